@@ -16,6 +16,6 @@ def _add(*modules) -> None:
         SQL.update(getattr(m, "SQL", {}))
 
 
-from strandloom.llm import neardup  # noqa: E402
+from strandloom.llm import neardup, toxicity  # noqa: E402
 
-_add(neardup)
+_add(neardup, toxicity)
