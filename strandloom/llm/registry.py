@@ -16,6 +16,6 @@ def _add(*modules) -> None:
         SQL.update(getattr(m, "SQL", {}))
 
 
-from strandloom.llm import neardup, toxicity  # noqa: E402
+from strandloom.llm import neardup, packing, pii, pipeline, toxicity  # noqa: E402
 
-_add(neardup, toxicity)
+_add(neardup, packing, pii, toxicity, pipeline)
