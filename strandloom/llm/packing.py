@@ -21,8 +21,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +32,79 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.shared import prepare, table, written
 
-CAPACITY, END, CACHE, BLOCK_ROWS = 4096, 1, 300_000, 100_000
+CAPACITY, END, BLOCK_ROWS = 4096, 1, 100_000
+#: Words, and parts of words, that a Python worker remembers at most.
+WORDS, PARTS, TEXTS = 400_000, 400_000, 128
 #: White space for the tokenizer, which unlike str.split() leaves out the four separators of ASCII.
 _ODD = re.compile("[\x1c-\x1f]")
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Words of these characters are their own normal form but for the lower case, and split as _PARTS says: contractions, letters, one digit, other signs.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+_PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z\xdf-\xf6\xf8-\u017e0-9]+")
 
 
-class WordIds(dict):
-    """Words to their ids as little-endian bytes, kept up to a bound."""
+class Recent:
+    """The latest entries up to a bound: when the new half is full it becomes the old half, and the old half goes."""
+
+    def __init__(self, bound: int):
+        self.bound, self.new, self.old = bound // 2, {}, {}
+
+    def known(self, keys: Iterable) -> tuple[dict, list]:
+        """Entries of these keys, and the keys without one."""
+        new, old = self.new, self.old
+        found, missing = {}, []
+        for k in keys:
+            v = new.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                new[k] = v
+            found[k] = v
+        return found, missing
+
+    def keep(self, found: dict) -> None:
+        self.new.update(found)
+        if len(self.new) >= self.bound:
+            self.old, self.new = self.new, {}
+
+
+class WordIds:
+    """Ids of words as little-endian bytes. The tokenizer's own model merges the parts of a word; a word that isn't plain goes to the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.encode = self.tokenizer.encode_batch_fast if hasattr(self.tokenizer, "encode_batch_fast") else self.tokenizer.encode_batch
-
-    def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.encode(words, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = dict(zip([*printed, *(b for b in range(256) if b not in printed)], [*map(chr, printed), *(chr(256 + i) for i in range(68))]))
+        self.parts, self.words = Recent(PARTS), Recent(WORDS)
+
+    def encoded(self, parts: set[str]) -> dict[str, bytes]:
+        found, missing = self.parts.known(parts)
+        if missing:
+            told = self.model.encode_batch([p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in missing], add_special_tokens=False)
+            new = {p: array("I", e.ids).tobytes() for p, e in zip(missing, told)}
+            self.parts.keep(new)
+            found.update(new)
+        return found
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        split = [(t.split() if not _ODD.search(t) else [w for w in _GAP.split(t) if w]) for t in texts]
-        if len(self) > CACHE:
-            self.clear()
-        unknown = [w for w in set().union(*split) if w not in self]
-        if unknown:
-            self.learn(unknown)
-        get = self.__getitem__
+        split = [t.split() if not _ODD.search(t) else [w for w in _GAP.split(t) if w] for t in texts]
+        found, missing = self.words.known(set().union(*split))
+        if missing:
+            plain = {w: _PARTS.findall(w.lower()) for w in missing if "<|" not in w and _PLAIN.fullmatch(w)}
+            part = self.encoded(set().union(*plain.values()))
+            new = {w: b"".join([part[p] for p in ps]) for w, ps in plain.items()}
+            rest = [w for w in missing if w not in plain]
+            new.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False)))
+            self.words.keep(new)
+            found.update(new)
         for words in split:
-            yield b"".join(map(get, words))
+            yield b"".join(map(found.__getitem__, words))
 
 
 _held: dict[str, WordIds] = {}
@@ -77,8 +120,8 @@ def _pieces(path: str, capacity: int, end: int):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out: list[tuple] = []
-            for lo in range(0, len(texts), 64):
-                for key, found in zip(keys[lo : lo + 64], ids.of(texts[lo : lo + 64])):
+            for lo in range(0, len(texts), TEXTS):
+                for key, found in zip(keys[lo : lo + TEXTS], ids.of(texts[lo : lo + TEXTS])):
                     found += tail
                     whole = zlib.crc32(found)
                     for piece, at in enumerate(range(0, len(found), 4 * capacity)):
