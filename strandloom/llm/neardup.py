@@ -143,10 +143,14 @@ def _confirmed(percent: int):
     return run
 
 
+def _orders(keys: list[str]) -> list:
+    """The centres of a bucket: its least node, its greatest, and the least by a hash that differs from bucket to bucket."""
+    return [F.min("node").alias("c0"), F.max("node").alias("c1"), *(F.min(F.struct(F.xxhash64("node", *keys, F.lit(i)).alias("h"), "node")).getField("node").alias(f"c{i}") for i in range(2, CENTRES))]
+
+
 def _pairs(members: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) from buckets of members (node and keys), and the members of large buckets with their size."""
-    orders = [F.min("node").alias("c0"), F.max("node").alias("c1"), *(F.min(F.struct(F.xxhash64("node", *keys, F.lit(i)).alias("h"), "node")).getField("node").alias(f"c{i}") for i in range(2, CENTRES))]
-    buckets = written(members.groupBy(*keys).agg(F.count("*").alias("n"), *orders).where("n > 1"), "buckets")
+    buckets = written(members.groupBy(*keys).agg(F.count("*").alias("n"), *_orders(keys)).where("n > 1"), "buckets")
     joined = members.join(buckets, keys)
     star = joined.select("node", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).alias("c"))
     few = written(joined.where((F.col("n") > 3) & (F.col("n") <= small)).select("node", *keys), "few")
@@ -177,17 +181,23 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     texts = written(docs.join(touched, "doc_id", "left_semi").join(reps.withColumnRenamed("node", "doc_id").select("doc_id", *key), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"), "texts")
     links = _verify(pairs, texts, percent)
     found = written(components(links), "components")
-    # Large buckets that hold several components: their members meet again in buckets of two bands.
-    labelled = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("band", "code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "code")
-    again = written(large.join(split, ["band", "code"], "left_semi"), "again")
-    if again.limit(1).count():
-        own = again.select("node").distinct().join(banded.withColumnRenamed("band", "band2").withColumnRenamed("code", "code2"), "node")
-        double = again.join(own, "node").where("band <> band2").select("node", "band", "code", "band2", "code2")
-        more, _ = _pairs(double, ["band", "code", "band2", "code2"], small)
+    # Large buckets that hold several components: all but the largest component meet its centres, and one another in buckets of two bands.
+    labelled = written(large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    centres = F.struct("n", "component", *(f"c{i}" for i in range(CENTRES)))
+    parts = labelled.groupBy("band", "code", "component").agg(F.count("*").alias("n"), *_orders(["band", "code"]))
+    mixed = written(parts.groupBy("band", "code").agg(F.max(centres).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", "code", "top.*").withColumnRenamed("component", "largest"), "mixed")
+    others = written(labelled.join(mixed, ["band", "code"]).where("component <> largest").select("node", "band", "code", *(f"c{i}" for i in range(CENTRES))), "others")
+    if others.limit(1).count():
+        star = others.select("node", F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("c"))
+        own = banded.join(others.select("node").distinct(), "node", "left_semi").select("node", F.col("band").alias("band2"), F.col("code").alias("code2"))
+        double = others.select("node", "band", "code").join(own, "node").where("band <> band2")
+        among, _ = _pairs(double, ["band", "code", "band2", "code2"], small)
+        more = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).unionByName(among).distinct()
         label = found.select("node", "component")
         more = more.join(pairs, ["a", "b"], "left_anti").join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        links = links.unionByName(_verify(written(more, "more"), texts, percent))
+        more = written(more, "more")
+        touched = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+        links = links.unionByName(_verify(more, texts.join(touched, "node", "left_semi"), percent))
         found = written(components(links), "components")
     classes = written(reps.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id")), "classes")
     return signed.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))

@@ -23,18 +23,19 @@ import struct
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.recent import Recent
 from strandloom.llm.shared import prepare, table, written
 
 CAPACITY, END, BLOCK_ROWS = 4096, 1, 100_000
 #: Words, and parts of words, that a Python worker remembers at most.
-WORDS, PARTS, TEXTS = 400_000, 400_000, 128
+WORDS, PARTS, TEXTS = 400_000, 400_000, 512
 #: White space for the tokenizer, which unlike str.split() leaves out the four separators of ASCII.
 _ODD = re.compile("[\x1c-\x1f]")
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -43,33 +44,6 @@ _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
 _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z\xdf-\xf6\xf8-\u017e0-9]+")
 
 
-class Recent:
-    """The latest entries up to a bound: when the new half is full it becomes the old half, and the old half goes."""
-
-    def __init__(self, bound: int):
-        self.bound, self.new, self.old = bound // 2, {}, {}
-
-    def known(self, keys: Iterable) -> tuple[dict, list]:
-        """Entries of these keys, and the keys without one."""
-        new, old = self.new, self.old
-        found, missing = {}, []
-        for k in keys:
-            v = new.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                    continue
-                new[k] = v
-            found[k] = v
-        return found, missing
-
-    def keep(self, found: dict) -> None:
-        self.new.update(found)
-        if len(self.new) >= self.bound:
-            self.old, self.new = self.new, {}
-
-
 class WordIds:
     """Ids of words as little-endian bytes. The tokenizer's own model merges the parts of a word; a word that isn't plain goes to the whole tokenizer."""
 
@@ -196,7 +170,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("length", "block", F.coalesce("before", F.lit(0)).alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "row", "start"))
     ranked = blocked.withColumn("local", local).join(before, ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local") - 1).alias("rank"))
-    return ranked.mapInArrow(_slots(plan(counts, capacity), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long") if counts else pieces.select("doc_id", F.col("piece").cast("int"), "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(_slots(plan(counts, capacity), capacity), "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumn("piece", F.col("piece").cast("int")) if counts else pieces.select("doc_id", F.col("piece").cast("int"), "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def tokenizer_path() -> str:
