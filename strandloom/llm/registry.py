@@ -16,6 +16,6 @@ def _add(*modules) -> None:
         SQL.update(getattr(m, "SQL", {}))
 
 
-from strandloom.llm import bytebpe, neardup, packing, pii, pipeline, toxicity  # noqa: E402
+from strandloom.llm import bytebpe, counts, neardup, packing, pii, pipeline, toxicity  # noqa: E402
 
-_add(neardup, packing, bytebpe, toxicity, pii, pipeline)
+_add(neardup, packing, counts, bytebpe, toxicity, pii, pipeline)
