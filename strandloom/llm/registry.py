@@ -16,6 +16,6 @@ def _add(*modules) -> None:
         SQL.update(getattr(m, "SQL", {}))
 
 
-from strandloom.llm import bytebpe, counts, flac, neardup, packing, pii, pipeline, toxicity  # noqa: E402
+from strandloom.llm import bytebpe, counts, flac, neardup, packing, pii, pipeline, toxicity, vectors  # noqa: E402
 
-_add(neardup, packing, counts, bytebpe, toxicity, flac, pii, pipeline)
+_add(neardup, packing, counts, vectors, bytebpe, toxicity, flac, pii, pipeline)
