@@ -114,8 +114,9 @@ def scan(documents: DataFrame, least: float = LEAST, share: float = SHARE) -> Da
     scored = cut.select(*key, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weight), "gram")  # the weights are bounded by the training texts above
     scored = scored.groupBy(*key, "family").agg((F.sum("weight") / F.sqrt(F.first("n"))).alias("score")).join(F.broadcast(bias), "family")
     scored = scored.withColumn("probability", 1 / (1 + F.exp(-(F.lit(a) * (F.col("score") + F.col("bias")) + F.lit(b)))))
-    best = scored.groupBy(*key).agg(F.max(F.struct(F.col("probability"), F.col("family"))).alias("best")).select(*key, "best.*").where(F.col("probability") >= least)
-    held = cut.select(*key, "words").join(best, [F.col(k).eqNullSafe(best[k]) for k in key]).select(*(cut[k] for k in key), "words", "family", "probability")
+    best = scored.groupBy(*key).agg(F.max(F.struct(F.col("probability"), F.col("family"))).alias("best")).select(*(F.col(k).alias(f"of_{k}") for k in key), "best.*").where(F.col("probability") >= least)
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
+    held = cut.select(*key, "words").join(best, same).select(*key, "words", "family", "probability")
     confirmed = held.join(F.broadcast(forms), "family").withColumn("share", F.size(F.array_intersect("words", "needed")) / F.size("needed"))
     return confirmed.groupBy(*key, "family", "probability").agg(F.max("share").alias("share")).where(F.col("share") >= share).select(*key, "family", F.round("probability", 6).alias("probability"), F.round("share", 6).alias("share"))
 
@@ -123,9 +124,9 @@ def scan(documents: DataFrame, least: float = LEAST, share: float = SHARE) -> Da
 def per_document(documents: DataFrame) -> DataFrame:
     """Every row of documents: doc_id, families (sorted, distinct; empty if none is known) and n_paragraphs with a confirmed licence."""
     docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("copy"))
-    found = scan(documents).groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_paragraphs"))
-    joined = docs.join(found, docs.doc_id.eqNullSafe(found.doc_id) & (docs["copy"] == found["copy"]), "left")
-    return joined.select(docs.doc_id, F.coalesce(F.array_join("families", ","), F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"))
+    found = scan(documents).groupBy(F.col("doc_id").alias("of_doc_id"), F.col("copy").alias("of_copy")).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_paragraphs"))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("copy") == F.col("of_copy")), "left")
+    return joined.select("doc_id", F.coalesce(F.array_join("families", ","), F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
