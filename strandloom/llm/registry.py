@@ -16,6 +16,6 @@ def _add(*modules) -> None:
         SQL.update(getattr(m, "SQL", {}))
 
 
-from strandloom.llm import bytebpe, counts, flac, licenses, neardup, packing, pii, pipeline, toxicity, vectors  # noqa: E402
+from strandloom.llm import bytebpe, counts, flac, hmm, licenses, neardup, packing, pii, pipeline, toxicity, vectors  # noqa: E402
 
-_add(neardup, packing, counts, vectors, bytebpe, toxicity, flac, licenses, pii, pipeline)
+_add(hmm, neardup, packing, counts, vectors, bytebpe, toxicity, flac, licenses, pii, pipeline)
