@@ -35,7 +35,7 @@ from strandloom.llm.shared import prepare, table, written
 
 CAPACITY, END, BLOCK_ROWS = 4096, 1, 100_000
 #: Words, and parts of words, that a Python worker remembers at most.
-WORDS, PARTS, TEXTS = 400_000, 400_000, 512
+WORDS, PARTS, TEXTS = 800_000, 800_000, 512
 #: White space for the tokenizer, which unlike str.split() leaves out the four separators of ASCII.
 _ODD = re.compile("[\x1c-\x1f]")
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
