@@ -263,7 +263,10 @@ def scores(documents: DataFrame, states: int = STATES, rounds: int = ROUNDS, top
     counts = written(docs.where(train).select("text").mapInArrow(_counted, "word long, suffix int, n long").groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n")), "counts")
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total = known.n + 0.5 * (known.v + 1)
-    frequent = counts.orderBy(F.desc("n"), "word").limit(top).select("word", "suffix", "n").toPandas()  # at most `top` rows
+    size = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r.size, r.words) for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()), reverse=True)  # a thousand rows at most
+    least = next((sizes[i][0] + 1 for i in range(len(sizes)) if sum(x[1] for x in sizes[: i + 1]) > top), 0)  # all words from this size on are no more than `top`
+    frequent = counts.where(size >= least).select("word", "suffix", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most `top` rows
     word, suffix, n = frequent["word"].to_numpy(np.int64), frequent["suffix"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
     own = np.where(np.arange(len(word)) < OWN, np.arange(len(word)), -1)
     own[word == END] = -1
