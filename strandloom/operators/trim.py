@@ -9,38 +9,34 @@ from strandloom.config import TrimConf
 from strandloom.functions import seq as S
 
 
-def region(quality: Column, seq: Column, conf: TrimConf = TrimConf()) -> Column:
-    """The good region of a read as (good_start, good_stop), 1-based and inclusive; null if it is discarded.
+def trim(reads: DataFrame, conf: TrimConf = TrimConf()) -> DataFrame:
+    """Adds good_start and good_stop (1-based, inclusive; null if discarded) and discarded to reads (seq, qual as text).
 
     From the first good quality on a sum of quality less threshold runs, never below zero; the region ends at the last place of its maximum. Then
-    N bases leave both ends. The region stands if it is long enough and its qualities, summed to the maximum and divided by its length, are high enough."""
-    m = conf.min_phred
-    n = F.size(quality)
-    first = F.array_position(F.transform(quality, lambda q: q >= m), F.lit(True)).cast("int")
+    N bases leave both ends. The region stands if it is long enough and its qualities, summed to the maximum and divided by its length, are high enough.
+    Each step is a column of its own, so that none is worked out twice."""
+    if not conf.enabled:
+        return reads.withColumns({"good_start": F.lit(1), "good_stop": F.length("seq"), "discarded": F.lit(False)})
+    m, c = conf.min_phred, F.col
     start = F.struct(F.lit(0).alias("a"), F.lit(-1).alias("best"), F.lit(0).alias("at"), F.lit(0).alias("i"))
 
     def step(s: Column, q: Column) -> Column:
-        i = s["i"] + 1
-        a = F.when(i >= first, F.greatest(F.lit(0), s["a"] + q - m)).otherwise(0)
-        better = (i >= first) & (a >= s["best"])
+        a, i = F.greatest(F.lit(0), s["a"] + q - m), s["i"] + 1
+        better = a >= s["best"]
         return F.struct(a.alias("a"), F.when(better, a).otherwise(s["best"]).alias("best"), F.when(better, i).otherwise(s["at"]).alias("at"), i.alias("i"))
 
-    top = F.aggregate(quality, start, step, lambda s: s["at"])
-    inner = F.substr(seq, first, top - first + 1)
-    left = first + F.length(inner) - F.length(F.ltrim(F.translate(inner, "N ", " ")))
-    right = top - (F.length(inner) - F.length(F.rtrim(F.translate(inner, "N ", " "))))
-    length = right - left + 1
-    total = F.aggregate(F.slice(quality, left, F.greatest(top - left + 1, F.lit(0))), F.lit(0), lambda t, q: t + q)
-    good = (n > 0) & (first > 0) & (length >= conf.min_size) & (length > 0)
-    return F.when(good, F.when(F.floor(total / length) >= conf.min_mean, F.struct(left.cast("int").alias("good_start"), right.cast("int").alias("good_stop"))))
-
-
-def trim(reads: DataFrame, conf: TrimConf = TrimConf()) -> DataFrame:
-    """Adds good_start, good_stop and discarded to reads (seq, qual as text)."""
-    if not conf.enabled:
-        return reads.withColumns({"good_start": F.lit(1), "good_stop": F.length("seq"), "discarded": F.lit(False)})
-    found = reads.withColumn("_r", region(S.phred(F.col("qual")), F.col("seq"), conf))
-    return found.withColumns({"good_start": F.col("_r.good_start"), "good_stop": F.col("_r.good_stop"), "discarded": F.col("_r").isNull()}).drop("_r")
+    rows = reads.withColumn("_q", F.filter(S.phred(F.col("qual")), lambda q: q.isNotNull()))
+    rows = rows.withColumn("_first", F.coalesce(F.array_position(F.transform("_q", lambda q: q >= m), F.lit(True)).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_from", F.slice("_q", F.greatest(c("_first"), F.lit(1)), F.size("_q") + 1))
+    rows = rows.withColumn("_top", F.aggregate("_from", start, step, lambda s: s["at"]) + c("_first") - 1)
+    rows = rows.withColumn("_inner", F.translate(F.substr("seq", c("_first"), c("_top") - c("_first") + 1), "N ", " "))
+    rows = rows.withColumn("_left", c("_first") + F.length("_inner") - F.length(F.ltrim("_inner"))).withColumn("_right", c("_top") - F.length("_inner") + F.length(F.rtrim("_inner")))
+    rows = rows.withColumn("_n", c("_right") - c("_left") + 1)
+    rows = rows.withColumn("_sum", F.aggregate(F.slice("_q", F.greatest(c("_left"), F.lit(1)), F.greatest(c("_top") - c("_left") + 1, F.lit(0))), F.lit(0), lambda t, q: t + q))
+    good = (c("_first") > 0) & (c("_n") >= max(1, conf.min_size)) & (F.floor(F.try_divide("_sum", "_n")) >= conf.min_mean)
+    rows = rows.withColumn("discarded", ~F.coalesce(good, F.lit(False)))
+    rows = rows.withColumns({"good_start": F.when(~c("discarded"), c("_left").cast("int")), "good_stop": F.when(~c("discarded"), c("_right").cast("int"))})
+    return rows.select(*reads.columns, "good_start", "good_stop", "discarded")
 
 
 def trimmed(reads: DataFrame) -> DataFrame:
