@@ -179,10 +179,10 @@ def indel_search(spark, sf):
     return dp.indel_search(cut, V.contigs(spark, sf), SearchConf(errors=1, indels=True, indels_max=5))
 
 
-GAPPED = f"WITH {V.CONTIGS_SQL}, p AS (SELECT item_id AS read_id, {V.dna_sql('text')} AS s FROM benchmark), split AS (SELECT read_id, substr(s, 1, 25) AS a, substr(s, 66, 25) AS b FROM p WHERE length(s) >= 90), pat AS (SELECT read_id, '+' AS strand, a, b FROM split UNION ALL SELECT read_id, '-', {V.revcomp_sql('b')}, {V.revcomp_sql('a')} FROM split), w AS (SELECT contig_id, p AS pos, substr(seq, p + 1, 25) AS w FROM (SELECT contig_id, seq, unnest(range(0, greatest(length(seq) - 24, 0))) AS p FROM contigs))"
+GAPPED = f"WITH {V.CONTIGS_SQL}, p AS (SELECT item_id AS read_id, {V.dna_sql('text')} AS s FROM benchmark), split AS (SELECT read_id, substr(s, 1, 25) AS a, substr(s, 66, 25) AS b FROM p WHERE length(s) >= 90), pat AS (SELECT read_id, '+' AS strand, a, b FROM split UNION ALL SELECT read_id, '-', {V.revcomp_sql('b')}, {V.revcomp_sql('a')} FROM split), w AS MATERIALIZED (SELECT contig_id, p AS pos, substr(seq, p + 1, 25) AS w FROM (SELECT contig_id, seq, unnest(range(0, greatest(length(seq) - 24, 0))) AS p FROM contigs))"
 
 
-@query("gapped_range_join", GAPPED + " SELECT l.read_id, l.contig_id, l.strand, l.pos, r.pos AS pos2, r.pos - l.pos - 25 AS gap FROM (SELECT read_id, strand, contig_id, pos FROM w JOIN pat ON w = a) l JOIN (SELECT read_id, strand, contig_id, pos FROM w JOIN pat ON w = b) r ON l.read_id = r.read_id AND l.strand = r.strand AND l.contig_id = r.contig_id AND r.pos - l.pos - 25 BETWEEN 0 AND 100")
+@query("gapped_range_join", GAPPED + ", l AS MATERIALIZED (SELECT read_id, strand, contig_id, pos FROM w JOIN pat ON w = a), r AS MATERIALIZED (SELECT read_id, strand, contig_id, pos FROM w JOIN pat ON w = b) SELECT l.read_id, l.contig_id, l.strand, l.pos, r.pos AS pos2, r.pos - l.pos - 25 AS gap FROM l JOIN r ON l.read_id = r.read_id AND l.strand = r.strand AND l.contig_id = r.contig_id AND r.pos - l.pos - 25 BETWEEN 0 AND 100")
 def gapped_range_join(spark, sf):
     """Two exact ends of a passage with up to 100 bases between them."""
     rows = V.table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("read_id"), S.dna(F.col("text")).alias("s")).where(F.length("s") >= 90)
