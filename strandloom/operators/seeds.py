@@ -28,9 +28,9 @@ def packed(seq: bytes, k: int, two: bool = False) -> tuple[np.ndarray, np.ndarra
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     bits = 1 if two else 2
-    key = np.zeros(n, np.int64)
+    key, letter = np.zeros(n, np.int64), code & (1 << bits) - 1
     for i in range(k):
-        key = key << bits | code[i : i + n]
+        key = key << bits | letter[i : i + n]
     bad = np.cumsum(np.concatenate(([0], code == 4)))
     return key, bad[k:] == bad[:-k]
 
