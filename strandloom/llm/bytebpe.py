@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.recent import Recent
 from strandloom.llm.shared import prepare, table
 
-PARTS, PIECES, TEXTS = 300_000, 300_000, 512
+PARTS, PIECES, TEXTS = 500_000, 500_000, 512
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -53,6 +53,11 @@ class Ranks:
         self.apart = {}
         self.longest = max(map(len, self.ids))
         self.sizes = {i: len(t) for t, i in self.ids.items()}
+        #: The greatest size of a token by its last three bytes; where these end no token only two bytes or one can.
+        self.reach: dict[bytes, int] = {}
+        for t in self.ids:
+            if len(t) > 2 and self.reach.get(t[-3:], 0) < len(t):
+                self.reach[t[-3:]] = len(t)
 
     def stays(self, a: int, b: int) -> bool:
         """Whether tokens a and b, side by side, are what merging by rank ends with."""
@@ -138,7 +143,7 @@ class Codec:
 
     def encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces. In sorted order each begins with what it shares with the one before, whose prefixes stay as they are: it is an append."""
-        get, pair, longest, sizes, shown = self.ranks.ids.get, self.ranks.pair, self.ranks.longest, self.ranks.sizes, self.shown
+        get, pair, reach, sizes, shown = self.ranks.ids.get, self.ranks.pair, self.ranks.reach.get, self.ranks.sizes, self.shown
         found, before, last = {}, b"", [-1]
         for data, piece in sorted((p.encode(), p) for p in pieces):
             shared, n = 0, len(data)
@@ -148,7 +153,8 @@ class Codec:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                most = reach(data[end - 3 : end], 2) if end > 3 else end
+                for start in range(end - most if end > most else 0, end):
                     token = get(data[start:end])
                     if token is not None and (not start or pair(last[start], token)):
                         last.append(token)
