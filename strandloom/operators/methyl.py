@@ -153,3 +153,16 @@ def error_histogram(errors: DataFrame, column: str, bins: int = 50) -> DataFrame
     counts = errors.groupBy(F.floor(F.col(column) * bins).cast("int").alias("k")).agg(F.count("*").alias("n"))
     all_ = errors.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("k"))
     return all_.join(counts, "k", "left").select(F.round(F.col("k") / bins, 6).alias("bin"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """A report or histogram as text with a tab between columns."""
+    rows.write.csv(path, sep="\t")
+
+
+def statistics(summary_: DataFrame, reads: DataFrame) -> DataFrame:
+    """One row: reads, share of them with a kind of "unique" and "multiple", covered and methylated sites, mean coverage (reads: kind; summary_: of `summary`)."""
+    share = lambda k: F.round(F.try_divide(F.count_if(F.col("kind") == k), F.count("*")), 6)
+    mapped = reads.agg(F.count("*").alias("reads"), share("unique").alias("unique"), share("multiple").alias("multiple"))
+    total = summary_.where("context is null and strand is null").select("covered", "methylated", F.round(F.try_divide("coverage", "covered"), 6).alias("mean_coverage"))
+    return mapped.crossJoin(total)  # one row with one row

@@ -216,3 +216,35 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
     schema = ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, _KINDS)) + ", tags map<string,string>"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def with_library(records: DataFrame, header: DataFrame) -> DataFrame:
+    """Adds library: the LB of the read group that a record's RG tag names."""
+    groups = header.where("rec_type = 'RG'").select(F.col("attrs")["ID"].alias("_rg"), F.col("attrs")["LB"].alias("library"))
+    return records.withColumn("_rg", F.col("tags")["RG"]).join(groups, "_rg", "left").drop("_rg")
+
+
+def with_tag(records: DataFrame, tag: str, value) -> DataFrame:
+    """Records with a tag set to a column's value."""
+    others = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, v: k != tag)
+    return records.withColumn("tags", F.map_concat(others, F.create_map(F.lit(tag), value.cast("string"))))
+
+
+def retargeted(header: DataFrame, contigs: DataFrame) -> DataFrame:
+    """A header whose contig lines are replaced by contigs (name, length)."""
+    lines = contigs.select(F.lit("SQ").alias("rec_type"), F.create_map(F.lit("SN"), F.col("name"), F.lit("LN"), F.col("length").cast("string")).alias("attrs"))
+    return header.where("rec_type <> 'SQ'").unionByName(lines)
+
+
+def in_region(records: DataFrame, name: str, begin: int, end: int) -> DataFrame:
+    """Records that overlap [begin, end) (0-based) of a contig."""
+    from strandloom.functions import cigar as C
+
+    span = F.greatest(C.reference_span(C.operations(F.col("cigar"))), F.lit(1))
+    return records.where((F.col("rname") == name) & (F.col("pos") - 1 < end) & (F.col("pos") - 1 + span > begin))
+
+
+def write_sorted(records: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Records in order of contig and position over range partitions, in columns: row groups serve as the index that a region's reader prunes by."""
+    dealt = records.repartitionByRange(partitions, "rname", "pos") if partitions else records.repartitionByRange("rname", "pos")
+    dealt.sortWithinPartitions("rname", "pos").write.parquet(path)

@@ -77,3 +77,18 @@ def test_stream_of_reads(spark, tmp_path):
     q = streaming.search_stream(streaming.read_stream(spark, f"{tmp_path}/in", "read_id long, seq string"), spark.createDataFrame([(5, "TTACGTACGTAC")], "contig_id long, seq string"), SearchConf(), lambda df, n: got.extend(df.collect()), f"{tmp_path}/state")
     q.awaitTermination(60)
     assert {(r.read_id, r.pos) for r in got} >= {(1, 2)}
+
+
+def test_headers_and_regions(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, KIND)
+    lines = spark.createDataFrame([("@RG\tID:x\tLB:lib",), ("@HD\tVN:1.0\tSO:coordinate",), ("@SQ\tSN:c1\tLN:9",)], "value string")
+    h = sam.header_of(lines)
+    assert {r.qname: r.library for r in sam.with_library(df, h).collect()} == {"a": "lib", "b": None}
+    assert sam.is_sorted(h) and not sam.is_sorted(sam.header_of(sam.unsorted(lines)))
+    from pyspark.sql import functions as F
+
+    assert {r.qname: r.tags["NH"] for r in sam.with_tag(df, "NH", F.lit(7)).collect()} == {"a": "7", "b": "7"}
+    assert [tuple(r) for r in sam.targets(sam.retargeted(h, spark.createDataFrame([("z", 4)], "name string, length long"))).collect()] == [("z", 4)]
+    assert [r.qname for r in sam.in_region(df, "c1", 7, 8).collect()] == ["a"] and sam.in_region(df, "c1", 8, 20).count() == 0
+    sam.write_sorted(df, f"{tmp_path}/sorted", 2)
+    assert spark.read.parquet(f"{tmp_path}/sorted").count() == 2
