@@ -176,4 +176,12 @@ def op5_hyperplane_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+_SQL = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+u AS (SELECT * FROM v WHERE length(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND length(a.e) = length(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
+c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = c.vec_id AS kept FROM c LEFT JOIN k ON c.vec_id = k.vec_id"""
+SQL = {"op5_hyperplane_dedup": _SQL}
 QUERIES = {"op5_hyperplane_dedup": op5_hyperplane_dedup}
