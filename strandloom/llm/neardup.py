@@ -35,7 +35,7 @@ from strandloom.llm.components import components
 from strandloom.llm.shared import prepare, table, written
 from strandloom.llm.tokens import U, mix
 
-BANDS, ROWS, WORDS, SMALL, CENTRES = 25, 5, 5, 8, 3
+BANDS, ROWS, WORDS, SMALL, CENTRES, NEXT = 25, 5, 5, 8, 3, 3
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
 
@@ -190,7 +190,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     if others.limit(1).count():
         star = others.select("node", F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("c"))
         own = banded.join(others.select("node").distinct(), "node", "left_semi").select("node", F.col("band").alias("band2"), F.col("code").alias("code2"))
-        double = others.select("node", "band", "code").join(own, "node").where("band <> band2")
+        double = others.select("node", "band", "code").join(own.withColumn("band", F.explode(F.array(*(F.pmod(F.col("band2") - i, F.lit(bands)).cast("int") for i in range(1, min(NEXT, bands - 1) + 1))))), ["node", "band"])
         among, _ = _pairs(double, ["band", "code", "band2", "code2"], small)
         more = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).unionByName(among).distinct()
         label = found.select("node", "component")
