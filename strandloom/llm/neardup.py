@@ -10,11 +10,13 @@ are below j + 1, so large sets need the first place only. Steps run over all ele
 Signatures are cut into bands; documents with an equal band share a bucket. Equal sets are one document from the start,
 so exact copies make no pairs. Buckets of at most `small` documents give all their pairs. Larger ones give each member
 with each of the centres of the bucket, which are its least documents under several orders, so that their number of
-pairs is in proportion to their members. Members of a larger bucket that are in more than one component after the first
-verification meet again in buckets of two bands, which are smaller, under the same rules. Every pair is then checked on the full sets.
+pairs is in proportion to their members; these pairs are checked on the full sets. Where the members of a larger bucket
+are then in more than one component, each of those outside the largest is compared with all other members of another
+component: the bucket is cut into blocks, and a pair of blocks is one product of matrices over their shingles' 64-bit
+hashes, that returns joined components and no pairs. Members of one component needn't be compared, as components are
+all that is asked for. So each two documents that share a band are compared or in one component already; there is no cap.
 
-What may be missed: a pair exactly at 0.85 shares none of 25 bands of 5 with a chance of 4e-7; in a bucket of more than
-`small` documents, two that are linked to no centre of any bucket they share and to no common component.
+What may be missed: a pair exactly at 0.85 shares none of 25 bands of 5 with a chance of 4e-7.
 
 Nulls in any column: a null text is an empty one; rows with a null doc_id are left out. Columns other than doc_id and
 text are ignored whatever their names are. Rows that repeat a doc_id are one document per distinct text, reported once
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import tokens
 from strandloom.llm.components import components
-from strandloom.llm.shared import prepare, table, written
+from strandloom.llm.shared import partitions, prepare, table, written
 from strandloom.llm.tokens import U, mix
 
-BANDS, ROWS, WORDS, SMALL, CENTRES, NEXT = 25, 5, 5, 8, 3, 3
+BANDS, ROWS, WORDS, SMALL, CENTRES = 25, 5, 5, 8, 3
+#: Documents and shingles of a block, and columns of a block's matrix.
+BLOCK, SHINGLES, COLUMNS = 256, 1 << 20, 4096
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
 
@@ -149,7 +153,7 @@ def _orders(keys: list[str]) -> list:
 
 
 def _pairs(members: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) from buckets of members (node and keys), and the members of large buckets with their size."""
+    """Pairs (a < b) from buckets of members (node and keys), and the members of large buckets: these have pairs with the centres only."""
     buckets = written(members.groupBy(*keys).agg(F.count("*").alias("n"), *_orders(keys)).where("n > 1"), "buckets")
     joined = members.join(buckets, keys)
     star = joined.select("node", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).alias("c"))
@@ -159,6 +163,82 @@ def _pairs(members: DataFrame, keys: list[str], small: int) -> tuple[DataFrame,
     return both, joined.where(F.col("n") > small).select("node", *keys)
 
 
+def _linked(texts: list, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components, and the least component that each is joined with by links between the texts at left and those at right. Components that stay alone are left out."""
+    data = pa.array(texts, pa.string())
+    sets: list = []
+    for lo, hi, raw, at in tokens.slices(data, 1 << 19):
+        hashed, row, _, _ = tokens.words(raw, at)
+        sets += shingles(hashed, row, hi - lo)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    one, two = (np.concatenate([sets[i] for i in side]) for side in (left, right))
+    shared = np.intersect1d(one, two)
+    both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
+    held = []
+    for side, all_ in ((left, one), (right, two)):
+        at = np.searchsorted(shared, all_)
+        known = at < len(shared)
+        known[known] = shared[at[known]] == all_[known]
+        order = np.argsort(at[known], kind="stable")
+        held.append((at[known][order], np.repeat(np.arange(len(side)), sizes[side])[known][order], len(side)))
+    for lo in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - lo)
+        parts = []
+        for at, row, n in held:
+            i, j = np.searchsorted(at, [lo, lo + width])
+            x = np.zeros((n, width), np.float32)
+            x[row[i:j], at[i:j] - lo] = 1
+            parts.append(x)
+        both += parts[0] @ parts[1].T
+    k = both.astype(np.int64)
+    i, j = np.nonzero((100 * k >= percent * (sizes[left][:, None] + sizes[right][None, :] - k)) & (component[left][:, None] != component[right][None, :]))
+    ids, place = np.unique(component, return_inverse=True)
+    u, v = place[left[i]], place[right[j]]
+    label = np.arange(len(ids))
+    while True:  # least label over links, until it stays
+        old = label.copy()
+        np.minimum.at(label, u, old[v])
+        np.minimum.at(label, v, old[u])
+        label = label[label]
+        if (label == old).all():
+            break
+    some = label != np.arange(len(ids))
+    return ids[some], ids[label[some]]
+
+
+def _crossed(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    keys = ("band", "code", "a", "b")
+
+    def work(unit: pa.Table) -> pa.RecordBatch:
+        a, b = unit.column("a")[0].as_py(), unit.column("b")[0].as_py()
+        chunk, component = unit.column("chunk").to_numpy(), unit.column("component").to_numpy()
+        left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
+        if not len(left) or not len(right):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _linked(unit.column("text").to_pylist(), component, left, right, percent)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # batches of the unit that is open
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy() for n in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = tuple(key[:, lo].tolist())
+                if held and own != last:
+                    yield work(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = own
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
@@ -166,7 +246,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Documents (doc_id, text) to one row each: doc_id, n_shingles, component_id (the least doc_id reached by links) and kept."""
     prepare(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
@@ -181,24 +261,23 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     texts = written(docs.join(touched, "doc_id", "left_semi").join(reps.withColumnRenamed("node", "doc_id").select("doc_id", *key), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"), "texts")
     links = _verify(pairs, texts, percent)
     found = written(components(links), "components")
-    # Large buckets that hold several components: all but the largest component meet its centres, and one another in buckets of two bands.
-    labelled = written(large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    centres = F.struct("n", "component", *(f"c{i}" for i in range(CENTRES)))
-    parts = labelled.groupBy("band", "code", "component").agg(F.count("*").alias("n"), *_orders(["band", "code"]))
-    mixed = written(parts.groupBy("band", "code").agg(F.max(centres).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", "code", "top.*").withColumnRenamed("component", "largest"), "mixed")
-    others = written(labelled.join(mixed, ["band", "code"]).where("component <> largest").select("node", "band", "code", *(f"c{i}" for i in range(CENTRES))), "others")
-    if others.limit(1).count():
-        star = others.select("node", F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("c"))
-        own = banded.join(others.select("node").distinct(), "node", "left_semi").select("node", F.col("band").alias("band2"), F.col("code").alias("code2"))
-        double = others.select("node", "band", "code").join(own.withColumn("band", F.explode(F.array(*(F.pmod(F.col("band2") - i, F.lit(bands)).cast("int") for i in range(1, min(NEXT, bands - 1) + 1))))), ["node", "band"])
-        among, _ = _pairs(double, ["band", "code", "band2", "code2"], small)
-        more = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).unionByName(among).distinct()
-        label = found.select("node", "component")
-        more = more.join(pairs, ["a", "b"], "left_anti").join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        more = written(more, "more")
-        touched = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-        links = links.unionByName(_verify(more, texts.join(touched, "node", "left_semi"), percent))
-        found = written(components(links), "components")
+    # Large buckets that hold several components: each member outside the largest one meets all members, in blocks.
+    bucket = ["band", "code"]
+    labelled = written(large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(reps.select("node", F.col("n_shingles").alias("size")), "node"), "labelled")
+    parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    chunks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / SHINGLES)).cast("int")
+    mixed = parts.groupBy(*bucket).agg(F.max(F.struct("n", "size", "component")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = written(mixed.select(*bucket, F.col("top.component").alias("largest"), chunks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("p"), chunks(F.col("top.n"), F.col("top.size")).alias("q")), "mixed")
+    inside = F.col("component") == F.col("largest")
+    dealt = F.xxhash64("node", *bucket)
+    member = labelled.join(mixed, bucket).withColumn("chunk", F.when(inside, F.col("p") + F.pmod(dealt, F.col("q"))).otherwise(F.pmod(dealt, F.col("p"))).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
+    units = written(member.select("node", "component", *bucket, "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")), "units")
+    if units.limit(1).count():
+        order = [*bucket, "a", "b"]
+        full = units.join(texts, "node").select(*order, "chunk", "component", "text").repartition(max(partitions(documents.sparkSession), 1), *order).sortWithinPartitions(*order)
+        more = written(full.mapInArrow(_crossed(percent), "a long, b long"), "crossed")
+        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     classes = written(reps.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id")), "classes")
     return signed.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
 

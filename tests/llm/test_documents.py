@@ -57,6 +57,27 @@ def test_near_duplicates_of_a_large_bucket(spark):
     assert {i: r.component_id for i, r in got.items()} == components(links, sets)
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_near_duplicates_whose_only_link_is_an_ordinary_member(spark, block):
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+
+    def changed(words, places, name):
+        return [f"{name}.{i}" if i in places else w for i, w in enumerate(words)]
+
+    docs = {i: changed(base, [5 + i % 190], f"m{i}") for i in [*range(60), *range(1000, 1060)]}
+    for i in range(40):  # each has three changes more than one member, so it is linked with no other
+        y = changed(base, [5], f"y{i}")
+        docs[100 + i] = y
+        docs[200 + i] = changed(y, [x + r.randrange(20) for x in (30, 80, 140)], f"x{i}")
+    docs = {i: " ".join(w) for i, w in docs.items()}
+    sets = {i: neardup.word_sets(t) for i, t in docs.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert all([a for a, b in links if b == 200 + i] == [100 + i] for i in range(40))
+    got = rows(neardup.near_duplicates(spark.createDataFrame([*docs.items()], "doc_id long, text string"), block=block))
+    assert {i: r.component_id for i, r in got.items()} == components(links, sets)
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.default_rng(1)
     x = r.integers(0, 2**63, 900).astype(np.uint64)
