@@ -303,6 +303,24 @@ def test_licenses(spark, nothing):
     assert licenses.per_document(nothing).count() == 0
 
 
+def test_licenses_that_are_wrapped_or_without_an_anchor(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this"
+    narrow = "\n".join(licenses.TEMPLATES["gpl"][1].split())  # a word in each line
+    told = {1: mit, 2: f"prose here\n\n{bsd}\n\nmore", 3: gpl, 4: mpl, 5: "Available under CC BY 4.0", 6: narrow, 7: f"{mit}\n\n{bsd}\n\nAll rights\nreserved.", 8: "All rights\n\nreserved."}
+    got = rows(licenses.per_document(spark.createDataFrame([*told.items()], "doc_id long, text string")))
+    assert {i: (r.families, r.n_paragraphs) for i, r in got.items()} == {1: ("mit", 1), 2: ("bsd", 1), 3: ("gpl", 1), 4: ("mpl", 1), 5: ("cc-by", 1), 6: ("gpl", 1), 7: ("bsd,mit,reserved", 3), 8: ("", 0)}
+
+
+def test_no_paragraph_that_reaches_the_share_is_without_an_anchor():
+    r = random.Random(2)
+    for _, words, k in licenses._forms(licenses.SHARE):
+        assert k / len(words) >= licenses.SHARE > (k - 1) / len(words)
+        assert all({*r.sample(words, k)} & {*licenses.ANCHORS} for _ in range(200))
+
+
 def test_every_template_has_an_anchor():
     import re
 
