@@ -1,10 +1,12 @@
 """Toxicity of documents: a learned lexicon in a trie, met by Levenshtein automata, with scores of context windows.
 
 Learning uses labelled rows only whose crc32(doc_id as text) mod 5 is not 0, at most `sample` of each label, those with
-the least xxhash64 of their id. Equal texts count once. One half of them, by a hash of the text, gives the lexicon: words and stems
+the least xxhash64 of their id. Where that leaves rows of a label out, those that are read stand for them: each counts as all rows of its label divided by those read,
+in the lexicon's rates and in the regression. Equal texts count once. The lexicon: words and stems
 (beginnings of words) that stand in at least `support` toxic texts, after as many different words (so that near copies of
-one text don't count as support), and whose log odds are high. The other half gives
-the weights of a logistic regression over what the lexicon finds. With few toxic rows both use all.
+one text don't count as support), whose log odds are high, and that aren't there by accident (a test on the rows read, as weights are no evidence).
+The weights are those of a logistic regression over what the lexicon finds, cross-fitted at every size: the texts are cut into `FOLDS` by a hash,
+and the features of each come from a lexicon of all others. The lexicon that scores is one of all texts.
 
 A word of a text meets the lexicon exactly, by a stem, or within one edit: the rows of the edit-distance automaton of the
 word are carried down the trie and a branch is left when no state is alive. A word can only be within one edit of a term
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.shared import partitions, prepare, table, written
 
-SAMPLE, SUPPORT, TERMS, WINDOW, CACHE = 10_000, 3, 20_000, 8, 300_000
+SAMPLE, SUPPORT, TERMS, WINDOW, CACHE, FOLDS = 10_000, 3, 20_000, 8, 300_000, 5
 #: Least exponent of the bound on the chance that a word stands in as many toxic texts by accident: one in e**12, for many words are tried.
 SURPRISE = 12.0
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -160,21 +162,21 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and stems of labelled texts: a row for each toxic text with the word that stands before, and counts of clean texts."""
+    """Words and stems of labelled texts: a row for each toxic text with the word that stands before, and counts of clean texts by fold."""
     clean: Counter = Counter()
-    names = ["term", "stem", "before", "toxic", "clean"]
+    names = ["term", "stem", "fold", "before", "toxic", "clean"]
 
     def rows(keys, before, toxic, n):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(before, pa.string()), pa.array(toxic, pa.int64()), pa.array(n, pa.int64())], names)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array(before, pa.string()), pa.array(toxic, pa.int64()), pa.array(n, pa.int64())], names)
 
     for batch in batches:
-        found: list[tuple[tuple[str, bool], str]] = []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found: list[tuple[tuple[str, bool, int], str]] = []
+        for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
             own = [word_of(w) for w in (text or "").lower().split()]
-            before: dict[tuple[str, bool], str] = {}
+            before: dict[tuple[str, bool, int], str] = {}
             for i, w in enumerate(own):
                 if w:
-                    for key in ((w, False), *((w[:n], True) for n in STEMS if len(w) >= n)):
+                    for key in ((w, False, fold), *((w[:n], True, fold) for n in STEMS if len(w) >= n)):
                         before.setdefault(key, own[i - 1] if i else "")
             if toxic:
                 found.extend(before.items())
@@ -187,44 +189,34 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows([*clean], [None] * len(clean), [0] * len(clean), [*clean.values()])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the intercept."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps, with rows that count so many times; the last weight is the intercept."""
+    times = np.ones(len(x)) if times is None else times
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    w[-1] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    w[-1] = math.log(((times * y).sum() + 1) / ((times * (1 - y)).sum() + 1))
     if not 0 < y.sum() < len(y):
         return w
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (times * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT) -> tuple[list[tuple[str, bool, float]], list[float]]:
-    """The lexicon (at most `TERMS` entries) and the weights. At most 2 * sample labelled rows are read for learning."""
-    known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    rows = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic <> 1").orderBy(order, "doc_id").limit(sample))
-    rows = rows.select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-    texts = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(rows), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # bounded by `sample`
-    texts = written(texts.select("text", "toxic", (F.abs(F.xxhash64(F.coalesce("text", F.lit("")))) % 2).alias("half")).repartition(partitions(documents.sparkSession)), "labelled")
-    totals = {(r.toxic, r.half): r.n for r in texts.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}  # four rows at most
-    positive = sum(n for (toxic, _), n in totals.items() if toxic)
-    halves = positive >= 400
-    mine = texts.where("half = 0") if halves else texts
-    total = [sum(n for (t, h), n in totals.items() if t == toxic and (not halves or h == 0)) for toxic in (False, True)]
-    counted = mine.select("text", "toxic").mapInArrow(_terms, "term string, stem boolean, before string, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("before").alias("places"))
-    odds = F.log((F.col("toxic") + 0.5) / (total[1] - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (total[0] - F.col("clean") + 0.5))
+def _lexicon(counted: DataFrame, total: list[int], times: list[float], support: int) -> list[tuple[str, bool, float]]:
+    """Terms from counts (term, stem, toxic, clean, places) over total clean and toxic texts read, each of which stands for `times` of its label."""
+    t, c = F.col("toxic") * times[1], F.col("clean") * times[0]
+    odds = F.log((t + 0.5) / (total[1] * times[1] - t + 0.5)) - F.log((c + 0.5) / (total[0] * times[0] - c + 0.5))
     least = F.when(F.col("stem"), 3 * support).otherwise(support)
     share = max(total[1], 1) / max(sum(total), 2)
-    n = F.col("toxic") + F.col("clean")
+    n = F.greatest(F.col("toxic") + F.col("clean"), F.lit(1))
     surprise = F.col("toxic") * F.log(F.col("toxic") / n / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - share if share < 1 else 1.0))).otherwise(0.0)
-    found = counted.where((F.col("toxic") >= least) & (F.col("places") >= least)).withColumn("odds", odds).where("odds > 3").where("toxic >= 20 * clean").where(surprise > SURPRISE).orderBy(F.desc("toxic"), "term", "stem").limit(TERMS).collect()  # bounded by TERMS
+    found = counted.where((F.col("toxic") >= least) & (F.col("places") >= least)).withColumn("odds", odds).where("odds > 3").where(t >= 20 * c).where(surprise > SURPRISE).orderBy(F.desc("toxic"), "term", "stem").limit(TERMS).collect()  # bounded by TERMS
     stems: list[str] = []
     for r in sorted((r for r in found if r.stem), key=lambda r: len(r.term)):
         if not r.term.startswith(tuple(stems)):
@@ -235,19 +227,44 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, support
     kept = [s for s in stems if sum(1 for w in whole if w.startswith(s)) >= 3 or s in whole]
     terms = [(s, True, weight[s, True]) for s in kept if s not in whole or any(w != s and w.startswith(s) for w in whole)]
     terms += [(w, False, weight[w, False]) for w in whole if not w.startswith(tuple(t[0] for t in terms)) or len(w) < 4]
-    terms = [(t, s, round(float(x), 6)) for t, s, x in sorted(terms)]
-    held = texts.where("half = 1") if halves else texts
-    told = held.select("text", "toxic").mapInArrow(_featured(terms), "f array<double>, toxic boolean").collect()  # bounded by 2 * sample rows of five numbers
+    return [(t, s, round(float(x), 6)) for t, s, x in sorted(terms)]
+
+
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT) -> tuple[list[tuple[str, bool, float]], list[float]]:
+    """The lexicon (at most `TERMS` entries) and the weights. At most 2 * sample labelled rows are read for learning."""
+    known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = written(known.select("doc_id", (F.col("toxic") == 1).alias("toxic")), "known")
+    labelled = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    times = [max(1.0, labelled.get(toxic, 0) / sample) for toxic in (False, True)]
+    order = F.xxhash64("doc_id")
+    rows = known.where("toxic").orderBy(order, "doc_id").limit(sample).unionByName(known.where("not toxic").orderBy(order, "doc_id").limit(sample))
+    texts = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(rows), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # bounded by `sample`
+    texts = written(texts.select("text", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")).repartition(partitions(documents.sparkSession)), "labelled")
+    totals = {(r.toxic, r.fold): r.n for r in texts.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}  # two rows for each fold at most
+    folds = range(FOLDS)
+    met = texts.select("text", "toxic", "fold").mapInArrow(_terms, "term string, stem boolean, fold int, before string, toxic long, clean long")
+    sums = [F.sum(F.when(F.col("fold") == k, F.col(n)).otherwise(0)).alias(f"{n}{k}") for k in folds for n in ("toxic", "clean")]
+    met = met.groupBy("term", "stem", "before").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *sums)
+    places = [F.count_if(F.col("before").isNotNull() & (F.col("toxic") > F.col(f"toxic{k}"))).alias(f"places{k}") for k in folds]
+    met = met.groupBy("term", "stem").agg(*(F.sum(f"{n}{k}").alias(f"{n}{k}") for k in ("", *folds) for n in ("toxic", "clean")), F.count("before").alias("places"), *places)
+    counted = written(met.where(F.col("toxic") >= support), "terms")
+    total = lambda out: [sum(n for (t, k), n in totals.items() if t == toxic and k != out) for toxic in (False, True)]
+    terms = _lexicon(counted, total(None), times, support)
+    others = [_lexicon(counted.select("term", "stem", (F.col("toxic") - F.col(f"toxic{k}")).alias("toxic"), (F.col("clean") - F.col(f"clean{k}")).alias("clean"), F.col(f"places{k}").alias("places")), total(k), times, support) for k in folds]
+    told = texts.select("text", "toxic", "fold").mapInArrow(_featured(others), "f array<double>, toxic boolean").collect()  # bounded by 2 * sample rows of five numbers
     x, y = np.array([r.f for r in told], float).reshape(-1, 5), np.array([r.toxic for r in told], float)
     order = np.lexsort((*x.T, y))  # the same sums whatever order the rows came in
-    return terms, [float(v) for v in np.round(_fit(x[order], y[order]), 9)]
+    return terms, [float(v) for v in np.round(_fit(x[order], y[order], times=np.where(y[order] > 0, times[1], times[0])), 9)]
+
 
+def _featured(lexicons: list[list[tuple[str, bool, float]]]):
+    """Features of texts by the lexicon of each one's fold."""
 
-def _featured(terms: list[tuple[str, bool, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Lexicon(terms))
+        matchers = [Matcher(Lexicon(terms)) for terms in lexicons]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, matcher) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["f", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t, matchers[k]) for t, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.float64())), batch.column(1)], ["f", "toxic"])
 
     return run
 

@@ -249,6 +249,22 @@ def test_forward_is_the_sum_over_paths():
     assert math.isclose(begin.sum(), 3) and math.isclose(moves.sum(), 8) and math.isclose(by_class.sum(), 11) and math.isclose(value, got.sum())
 
 
+def test_toxicity_of_a_sample_keeps_the_shares_of_labels(spark):
+    r = random.Random(4)
+    data, labels = [], []
+    for i in range(2000):
+        w = [f"{r.choice('bcdfgklm')}{r.choice('aeiou')}{r.choice('nprst')}{r.randrange(400)}" for _ in range(30)]
+        toxic = i % 10 == 0
+        if toxic and i % 40:  # one in four toxic texts shows nothing
+            w[r.randrange(30)] = r.choice(["vexorin", "quaffled", "zumbrick"])
+        data.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, part = (toxicity.train(docs, marks, sample)[1] for sample in (10_000, 150))
+    assert abs(whole[-1] - math.log(0.025 / 0.9)) < 0.5
+    assert abs(whole[-1] - part[-1]) < 0.8  # without weights it rises by about 2.2
+
+
 def test_toxicity(spark, nothing, documents):
     r = random.Random(4)
     plain = [f"w{i}" for i in range(300)]
