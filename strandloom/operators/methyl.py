@@ -102,19 +102,17 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def resolve(hits: DataFrame, reads: DataFrame, contigs: DataFrame, conf: MethylConf, folder: str, cycles: int = 50) -> DataFrame:
+def resolve(hits: DataFrame, reads: DataFrame, contigs: DataFrame, conf: MethylConf, folder: str) -> DataFrame:
     """Hits that are decided: unique ones, then in cycles those of ambiguous reads that the profile so far decides.
 
-    The coverage asked for begins at max_cov and falls by one after a cycle that decided nothing, down to min_cov. A cycle sees the profile
+    The coverage asked for begins at max_cov and falls by one after a cycle that decided nothing, down to min_cov; every other cycle decides a read, so it ends. A cycle sees the profile
     at its start, so its result doesn't depend on order. Each cycle is written to `folder`, which all executors share."""
     n = F.count("*").over(Window.partitionBy("read_id"))
     counted = _written(hits.select("read_id", "contig_id", "pos", "strand").withColumn("n", n), folder)
     done = counted.where("n = 1").drop("n")
     left = counted.where("n > 1").drop("n")
     required = conf.max_cov
-    for _ in range(cycles):
-        if required < conf.min_cov or not left.limit(1).count():
-            break
+    while required >= conf.min_cov and left.limit(1).count():
         known = covered(profile(observed(done, reads, contigs), conf.saturation), conf.coverage_threshold)
         new = _written(decided(candidate_scores(observed(left, reads, contigs), known), required, conf.error_threshold), folder)
         if new.limit(1).count():

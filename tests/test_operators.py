@@ -179,6 +179,16 @@ def test_simulated_methylation_is_found(spark, tmp_path):
     assert {(x.ref, x.strand, x.methylated) for x in truth.collect()} == {(1, "+", False), (2, "+", True), (3, "-", False), (4, "-", True)}
 
 
+def test_reads_that_are_decided_after_many_cycles(spark, tmp_path):
+    """The coverage asked for falls from 60 to that of a read with two sites, which takes more than 50 cycles."""
+    one, two = "AATTCAATTCAA", "GGTTCAATTCGG"
+    ct = spark.createDataFrame([(1, one), (2, two)], "contig_id long, seq string")
+    rd = spark.createDataFrame([(1, one), (2, two), (3, "TTCAATTC")], "read_id long, seq string")
+    hits = spark.createDataFrame([(1, 1, 0, "+"), (2, 2, 0, "+"), (3, 1, 2, "+"), (3, 2, 2, "+")], "read_id long, contig_id long, pos long, strand string")
+    done = methyl.resolve(hits, rd, ct, MethylConf(min_cov=1, max_cov=60), f"file://{tmp_path}")
+    assert sorted(x.read_id for x in done.collect()) == [1, 2, 3]
+
+
 def test_record_functions(spark):
     row = spark.range(1).select(sam.pair_name(F.lit("read/1")), sam.flag_letters(F.lit(1 + 16 + 128)), sam.alignment_class(F.lit(4), F.lit(None).cast("int"), F.lit(False)), sam.region(F.lit("chr1:1,001-2,000")), sam.strand_char(F.lit(None).cast("boolean")), sam.tag_map(F.lit("NM:i:3\tRG:Z:a:b"))).first()
     assert row[0] == "read" and row[1] == "pr2" and row[2] == "not_found" and tuple(row[3]) == ("chr1", 1000, 2000) and row[4] == "." and row[5] == {"NM": "3", "RG": "a:b"}
