@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.recent import Recent
 from strandloom.llm.shared import prepare, table
 
-PARTS, PIECES, TEXTS = 500_000, 500_000, 512
+PARTS, PIECES, TEXTS = 192 << 20, 96 << 20, 512
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -141,7 +141,7 @@ class Codec:
         self.shown = {i: b"%d" % i for i in self.ranks.tokens}
         self.bytes_of = {str(i).encode(): t for i, t in self.ranks.tokens.items()}
 
-    def encoded(self, pieces: list[str]) -> dict[str, bytes]:
+    def encoded(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces. In sorted order each begins with what it shares with the one before, whose prefixes stay as they are: it is an append."""
         get, pair, reach, sizes, shown = self.ranks.ids.get, self.ranks.pair, self.ranks.reach.get, self.ranks.sizes, self.shown
         found, before, last = {}, b"", [-1]
@@ -170,18 +170,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.cut.findall(t) for t in texts]
-        found, missing = self.parts.known(set().union(*split))
+        needed = set().union(*split)
+        missing = self.parts.missing(needed)
         if missing:
             pieces = {p: self.pattern.findall(p) for p in missing}
-            known, new = self.pieces.known(set().union(*pieces.values()))
-            made = self.encoded(new)
-            self.pieces.keep(made)
-            known.update(made)
-            told = {p: b" ".join([known[x] for x in xs]) for p, xs in pieces.items()}
-            self.parts.keep(told)
-            found.update(told)
+            all_ = set().union(*pieces.values())
+            self.pieces.keep(self.encoded(self.pieces.missing(all_)), lambda: all_)
+            known = self.pieces.__getitem__
+            self.parts.keep({p: b" ".join(map(known, xs)) for p, xs in pieces.items()}, lambda: needed)
+        get = self.parts.__getitem__
         for parts in split:
-            yield b" ".join(map(found.__getitem__, parts))
+            yield b" ".join(map(get, parts))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(b" "))) if ids else b""

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,56 +35,149 @@ from strandloom.llm.recent import Recent
 from strandloom.llm.shared import prepare, table, written
 
 CAPACITY, END, BLOCK_ROWS = 4096, 1, 100_000
-#: Words, and parts of words, that a Python worker remembers at most.
-WORDS, PARTS, TEXTS = 800_000, 800_000, 512
-#: White space for the tokenizer, which unlike str.split() leaves out the four separators of ASCII.
-_ODD = re.compile("[\x1c-\x1f]")
-_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Bytes of words, and of parts of words, that a Python worker remembers.
+WORDS, PARTS, JOINED = 144 << 20, 32 << 20, 2048
+#: Words that go to the tokenizer together.
+TOLD = 1 << 15
+#: Bytes of text that are looked at together.
+SLICE = 4 << 20
+#: White space of ASCII that the tokenizer drops. Words that hold other white space go to the whole tokenizer.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Words of these characters are their own normal form but for the lower case, and split as _PARTS says: contractions, letters, one digit, other signs.
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
-_PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z\xdf-\xf6\xf8-\u017e0-9]+")
+_PARTS = re.compile("\n|'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^\na-z\xdf-\xf6\xf8-\u017e0-9]+")
 
 
 class WordIds:
-    """Ids of words as little-endian bytes. The tokenizer's own model merges the parts of a word; a word that isn't plain goes to the whole tokenizer."""
+    """Ids of words as little-endian bytes. The tokenizer's own model merges the parts of words, many in one call; a word that isn't plain goes to the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip([*printed, *(b for b in range(256) if b not in printed)], [*map(chr, printed), *(chr(256 + i) for i in range(68))]))
         self.parts, self.words = Recent(PARTS), Recent(WORDS)
-
-    def encoded(self, parts: set[str]) -> dict[str, bytes]:
-        found, missing = self.parts.known(parts)
-        if missing:
-            told = self.model.encode_batch([p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in missing], add_special_tokens=False)
-            new = {p: array("I", e.ids).tobytes() for p, e in zip(missing, told)}
-            self.parts.keep(new)
-            found.update(new)
-        return found
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split() if not _ODD.search(t) else [w for w in _GAP.split(t) if w] for t in texts]
-        found, missing = self.words.known(set().union(*split))
-        if missing:
-            plain = {w: _PARTS.findall(w.lower()) for w in missing if "<|" not in w and _PLAIN.fullmatch(w)}
-            part = self.encoded(set().union(*plain.values()))
-            new = {w: b"".join([part[p] for p in ps]) for w, ps in plain.items()}
-            rest = [w for w in missing if w not in plain]
-            new.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False)))
-            self.words.keep(new)
-            found.update(new)
-        for words in split:
-            yield b"".join(map(found.__getitem__, words))
+        suffix = self.whole.model.end_of_word_suffix
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids end a part
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def merge(self, parts: set[str]) -> None:
+        """Parts that aren't known go to the model, one on a line."""
+        new = [*self.parts.missing(parts)]
+        made: dict[str, bytes] = {}
+        for lo in range(0, len(new), JOINED):
+            some = new[lo : lo + JOINED]
+            shown = "\n".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in some])
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # a model that doesn't mark ends tells the parts itself
+                told = self.model.encode(shown, add_special_tokens=False)
+                ids, ends = np.array(told.ids, np.uint32), np.searchsorted(np.array(told.word_ids, np.int64), np.arange(len(some)), "right")
+            at, data = [0, *(4 * ends).tolist()], ids.astype("<u4").tobytes()
+            made.update(zip(some, [data[i:j] for i, j in zip(at, at[1:])]))
+        self.parts.keep(made, lambda: parts)
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, null as an empty one. Words of many texts are found, told apart and put together by array operations; Python sees each distinct word of a slice once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if n else np.zeros(0, np.uint8)
+        at = at - at[0] if n else at
+        row, held, lo = 0, [], 0  # the text that is next, what earlier slices had of it
+        while row < n:
+            hi = min(len(data), lo + SLICE)
+            if hi < len(data):  # a slice ends at a text's end, or else before white space
+                ends = int(at[np.searchsorted(at, hi, "right") - 1])
+                if ends > lo:
+                    hi = ends
+                else:
+                    gaps = np.flatnonzero(_SPACE[data[hi : at[row + 1]]])
+                    hi = hi + int(gaps[0]) if len(gaps) else int(at[row + 1])
+            last = int(np.searchsorted(at, hi, "right")) - 1  # texts before it end in this slice
+            cuts = np.clip(at[row : min(last, n - 1) + 2], lo, hi) - lo
+            ids, ends = self.slice(data[lo:hi], cuts)
+            for k in range(row, last):
+                yield b"".join([*held, ids[4 * ends[k - row] : 4 * ends[k - row + 1]].tobytes()])
+                held = []
+            if last < n:
+                held.append(ids[4 * ends[last - row] :].tobytes())
+            row, lo = last, hi
+
+    def slice(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Ids (as bytes) of texts side by side, and how many of them stand before each cut."""
+        inside = ~_SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[cuts] = True
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | edge[1:-1]
+        end = inside.copy()
+        end[:-1] &= ~inside[1:] | edge[1:-1]
+        start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        if not len(start):
+            return np.zeros(0, np.uint8), [0] * len(cuts)
+        offsets = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=offsets[1:])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        one = pa.LargeListArray.from_arrays([0, len(words.dictionary)], words.dictionary)  # words hold no line feed, so one text of all is cut quickly
+        distinct = pc.binary_join(one, pa.scalar(b"\n", pa.large_binary()))[0].as_buffer().to_pybytes().decode().split("\n")
+        found = [*map(self.words.get, distinct)]
+        if None in found:
+            missing = [w for w, x in zip(distinct, found) if x is None]
+            new = {}
+            for lo in range(0, len(missing), TOLD):
+                new.update(self.told(missing[lo : lo + TOLD]))
+            self.words.keep(new, lambda: {*distinct})
+            found = [new[w] if x is None else x for w, x in zip(distinct, found)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begins = np.cumsum(sizes, dtype=np.int64) - sizes
+        flat, of = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        size = sizes[of]
+        before = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=before[1:])
+        kind = np.int32 if before[-1] < 1 << 31 else np.int64
+        at = np.repeat((begins[of] - before[:-1]).astype(kind), size)
+        at += np.arange(before[-1], dtype=kind)
+        ids = flat[at]
+        return ids.view(np.uint8), before[np.searchsorted(start, cuts)].tolist()
+
+    def told(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known."""
+        plain, rest = [], []
+        for w in words:
+            (plain if _PLAIN.fullmatch(w) and "<|" not in w else rest).append(w)
+        flat = _PARTS.findall("\n".join([*plain, ""]).lower())  # a line feed ends each word's parts
+        self.merge({*flat} - {"\n"})
+        ids = [b"" if p == "\n" else self.parts[p] for p in flat]
+        at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
+        ends = at[[i for i, p in enumerate(flat) if p == "\n"]].tolist()
+        data = b"".join(ids)
+        out = {w: data[lo:hi] for w, lo, hi in zip(plain, [0, *ends], ends)}
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)))
+        return out
 
 
 _held: dict[str, WordIds] = {}
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.Table]:
+    """Batches put together up to about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _pieces(path: str, capacity: int, end: int):
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
     tail = struct.pack("<I", end)
@@ -91,17 +185,18 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _held.setdefault(path, None) or WordIds(path)
         _held[path] = ids
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for batch in _grouped(batches):
             out: list[tuple] = []
-            for lo in range(0, len(texts), TEXTS):
-                for key, found in zip(keys[lo : lo + TEXTS], ids.of(texts[lo : lo + TEXTS])):
-                    found += tail
-                    whole = zlib.crc32(found)
-                    for piece, at in enumerate(range(0, len(found), 4 * capacity)):
-                        part = found[at : at + 4 * capacity]
-                        out.append((key, whole, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)] + [pa.array([x[5] for x in out], pa.int64())], names)
+            for key, found in zip(batch.column(0).to_pylist(), ids.of(batch.column(1).combine_chunks())):
+                found += tail
+                whole = zlib.crc32(found)
+                if len(found) <= 4 * capacity:
+                    out.append((key, whole, 0, 0, len(found) // 4, whole))
+                    continue
+                for piece, at in enumerate(range(0, len(found), 4 * capacity)):
+                    part = found[at : at + 4 * capacity]
+                    out.append((key, whole, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(6)], names)
 
     return run
 
