@@ -5,6 +5,9 @@ the number of pieces on its way, no pieces. Ties go as in the tokenizer: an end
 piece wins. A character that no piece of one character covers may stand alone as unknown, at the least score less ten, and then counts as its bytes,
 which the vocabulary has as pieces; without byte pieces neighbouring unknown characters count as one.
 
+The public files hold no unigram model, and tokenizers aren't trained here: the pieces are those of the public file, in its order, and a piece of rank r has the log probability that Zipf's law gives it, -log(r) less a constant. So counts are those of the library's
+unigram model over these pieces and scores (which the tests hold them against), not those of the merges that the file was made for. Control pieces and the unknown one match no text.
+
 Text is cut before each space; a space is written as the mark U+2581, and one is put before the text if it doesn't begin so.
 Words are looked up in a bounded memory, so each is searched about once in a task.
 
@@ -13,6 +16,8 @@ Null and empty texts have no tokens. Texts are counted whole. Repeated rows give
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.recent import Recent
 from strandloom.llm.shared import prepare, table
 
-MARK, UNKNOWN_PENALTY, WORDS, TEXTS = "▁", 10.0, 500_000, 512
+_BYTE = re.compile("<0x[0-9A-F]{2}>")
+MARK, UNKNOWN_PENALTY, WORDS, TEXTS = "▁", 10.0, 192 << 20, 512
 
 
 class Counter:
@@ -34,7 +40,7 @@ class Counter:
 
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
-            if piece and not self.automaton.exists(piece):
+            if piece and not _BYTE.fullmatch(piece) and not self.automaton.exists(piece):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {p for p, _ in pieces}
@@ -79,13 +85,12 @@ class Counter:
             t = t.replace(" ", MARK) if MARK in t else t
             mark = MARK if MARK in t else " "
             split.append((t[1:] if t[0] == mark else t).split(mark))
-        found, missing = self.words.known(set().union(*split))
+        needed = set().union(*split)
+        missing = self.words.missing(needed)
         if missing:
-            new = {w: self.search(MARK + w) for w in missing}
-            self.words.keep(new)
-            found.update(new)
-        number = {w: i for i, w in enumerate(found)}
-        values = np.array([*found.values()], float).reshape(-1, 2)
+            self.words.keep({w: self.search(MARK + w) for w in missing}, lambda: needed)
+        number = {w: i for i, w in enumerate(needed)}
+        values = np.array([*map(self.words.__getitem__, needed)], float).reshape(-1, 2)
         rows = np.fromiter((number[w] for words in split for w in words), np.int64, sum(map(len, split)))
         sizes = np.array([len(s) for s in split], np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -96,11 +101,16 @@ _held: dict[str, Counter] = {}
 
 
 def pieces_of(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file."""
+    """Pieces of a sentencepiece model file that may stand for text, with the log probabilities of a unigram model: by Zipf's law of their rank. Byte pieces have the least one."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    kept = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    kept.sort(key=lambda i: (-model.get_score(i), i))
+    norm = math.log(sum(1 / r for r in range(1, len(kept) + 1)))
+    found = [(model.id_to_piece(i), -math.log(r) - norm) for r, i in enumerate(kept, 1)]
+    least = found[-1][1] if found else 0.0
+    return found + [(model.id_to_piece(i), least) for i in range(model.get_piece_size()) if model.is_byte(i)]
 
 
 def _run(path: str):

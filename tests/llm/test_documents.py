@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 from strandloom.llm import bytebpe, counts, flac, hmm, licenses, neardup, packing, toxicity
 
@@ -142,14 +143,17 @@ def test_word_ids_equal_the_tokenizer():
     r, letters = random.Random(1), "aAbZ'sdtrevml '\".,!<|>0129éÉßÖİıſŸ ŉÅÅ½²_-\n\x1c ﬁ漢字ẞ"
     told = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     t = Tokenizer.from_file(packing.tokenizer_path())
-    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(packing.tokenizer_path()).of(told)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(packing.tokenizer_path()).of(pa.array(told, pa.string()))]
     assert got == [e.ids for e in t.encode_batch(told, add_special_tokens=False)]
 
 
 def test_token_counts(spark, documents, texts, nothing):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    pieces = counts.pieces_of(public.path("piece_bpe_32k.model"))
+    # The library must have an unknown piece; here one that no text holds.
+    own = counts.pieces_of(public.path("piece_bpe_32k.model"))
+    pieces = [("\0", own[-1][1]), *own]
+    assert len({p for p, _ in own}) == len(own) and not {"<s>", "</s>", "<unk>"} & {p for p, _ in own}
     t = Tokenizer(models.Unigram(pieces, 0, True))
     t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", True)
     got = rows(counts.token_counts(documents, public.path("piece_bpe_32k.model")))
@@ -343,3 +347,37 @@ def test_every_template_has_an_anchor():
     anchor = re.compile("|".join(licenses.ANCHORS).replace(" ", "[^A-Za-z0-9]+"), re.I)
     assert all(anchor.search(t) for texts_ in licenses.TEMPLATES.values() for t in texts_)
     assert all(licenses.grams(t) == licenses.grams(t.upper()) for texts_ in licenses.TEMPLATES.values() for t in texts_)
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Two texts under one id are two nodes; rows without an id are linked by their text."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    v, w, x = ([word() for _ in range(100)] for _ in range(3))
+    near = lambda t, i: [*t[:i], "changed", *t[i + 1 :]]
+    rows = [(7, v), (7, w), (9, near(w, 0)), (5, near(v, 99)), (None, x), (None, x), (None, near(x, 0)), (3, near(w, 99)), (8, ["a"]), (None, None), (None, None), (8, ["a"])]
+    df = spark.createDataFrame([(i, None if t is None else " ".join(t), "g") for i, t in rows], "doc_id long, text string, group string")
+    got = sorted(((r_.doc_id or 0, r_.n_shingles, r_.component_id or 0, r_.kept) for r_ in neardup.near_duplicates(df).collect()))
+    assert got == sorted([(7, 96, 5, False), (7, 96, 3, False), (9, 96, 3, False), (5, 96, 5, True), (0, 96, 0, False), (0, 96, 0, False), (0, 96, 0, False), (3, 96, 3, True), (8, 1, 8, True), (8, 1, 8, True), (0, 0, 0, False), (0, 0, 0, False)])
+    one = neardup.unique(df)
+    assert one.columns == df.columns
+    assert sorted((r_.doc_id or 0, len((r_.text or "").split())) for r_ in one.collect()) == [(0, 0), (0, 0), (0, 100), (3, 100), (5, 100), (8, 1)]
+
+
+def test_links_in_a_large_bucket_without_a_common_centre(spark):
+    """A chain of texts, each near to the next only, all in one bucket of shared bands, held against all pairs."""
+    r = random.Random(10)
+    base = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = {}
+    for i in range(120):
+        t = list(base)
+        for j in range(i, i + 60, 6):
+            t[j % 400] = f"x{j}"
+        texts[i] = " ".join(t)
+    for i in range(120, 150):
+        texts[i] = " ".join([*base[: 200 + i], *(f"y{i}_{k}" for k in range(i % 40))])
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    sets = {i: neardup.word_sets(t) for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = components(links, sets)
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, small=4, block=16).collect()} == want
