@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import prepare, table, written
+from strandloom.llm.shared import partitions, prepare, table, written
 
 EXCEPTIONS, CACHE, ROUNDS = 100_000, 200_000, 12
 SETTING, VARIABLE = "spark.strandloom.surrogates.key", "SURROGATES_KEY"
@@ -205,7 +205,7 @@ def _wide(key: bytes, bits: int, *parts: object) -> int:
     return found
 
 
-def permuted(kind: str, normal: str, key: bytes, attempt: int, rounds: int = 8) -> str:
+def permuted(kind: str, normal: str, key: bytes, attempt: int, rounds: int = 5) -> str:
     """The surrogate's normal form: a permutation of the format's forms in which none stays, if it has more than one."""
     cut, shape = _cut(kind, normal), places(kind, normal)
     free = [i for i, values in enumerate(shape) if len(values) > 1]
@@ -348,7 +348,8 @@ def collisions(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     the others are made again. Formats with entities left after `rounds` are settled: all of their entities take the first permutation, where they differ
     from each other, and only shared surrogates count for the others from then on."""
     schema = "kind string, normal string, attempt int, settled boolean, own long, of long, was long, form long"
-    made = lambda rows: written(rows.select("kind", "normal", "attempt", "settled").mapInArrow(_drawn(key), schema), "drawn")
+    some = partitions(found.sparkSession)
+    made = lambda rows: written(rows.select("kind", "normal", "attempt", "settled").repartition(some, "kind", "normal").mapInArrow(_drawn(key), schema), "drawn")
     drawn = made(found.select("kind", "normal", F.lit(0).alias("attempt"), F.lit(False).alias("settled")))
     for turn in range(3 * rounds):
         # The settled come first, so they keep theirs; a name never settles, for its later attempts are longer.
