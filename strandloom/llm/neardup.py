@@ -18,9 +18,11 @@ all that is asked for. So each two documents that share a band are compared or i
 
 What may be missed: a pair exactly at 0.85 shares none of 25 bands of 5 with a chance of 4e-7.
 
-Nulls in any column: a null text is an empty one; rows with a null doc_id are left out. Columns other than doc_id and
-text are ignored whatever their names are. Rows that repeat a doc_id are one document per distinct text, reported once
-per row. Empty tables give empty results.
+A node is a set, whatever documents have it, so two texts under one doc_id are two nodes, and one text under two is one.
+
+Nulls in any column: a null text is an empty one; rows with a null doc_id take part by their text, count for no component_id
+(null where no row of a component has an id) and are never `kept`; `unique` keeps one row of each component, with an id or not. Columns other than doc_id and
+text are ignored whatever their names are. Rows that repeat a doc_id are reported each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import tokens
 from strandloom.llm.components import components
-from strandloom.llm.shared import partitions, prepare, table, written
+from strandloom.llm.shared import discard, partitions, prepare, table, written
 from strandloom.llm.tokens import U, mix
 
 BANDS, ROWS, WORDS, SMALL, CENTRES = 25, 5, 5, 8, 3
@@ -100,12 +102,12 @@ def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 
 
 def _signed(bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = mix(np.arange(1, bands * rows + 1, dtype=U)).reshape(bands, rows) | U(1)
         for batch in batches:
-            ids = batch.column(0)
+            ids, copies = batch.column(0), batch.column(2)
             for lo, hi, data, at in tokens.slices(batch.column(1), 1 << 19):
                 hashed, row, _, _ = tokens.words(data, at)
                 sets = shingles(hashed, row, hi - lo)
@@ -116,7 +118,7 @@ def _signed(bands: int, rows: int):
                 some = sizes > 0
                 offsets = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), *(pa.array(x) for x in twice), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), copies.slice(lo, hi - lo), pa.array(sizes), *(pa.array(x) for x in twice), lists], schema=schema)
 
     return run
 
@@ -160,7 +162,9 @@ def _pairs(members: DataFrame, keys: list[str], small: int) -> tuple[DataFrame,
     few = written(joined.where((F.col("n") > 3) & (F.col("n") <= small)).select("node", *keys), "few")
     pairs = few.join(few.withColumnRenamed("node", "c"), keys).select("node", "c")
     both = star.unionByName(pairs).where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    return both, joined.where(F.col("n") > small).select("node", *keys)
+    both, large = written(both, "pairs"), written(joined.where(F.col("n") > small).select("node", *keys), "large")
+    discard(buckets, few)
+    return both, large
 
 
 def _linked(texts: list, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,24 +250,26 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Documents (doc_id, text) to one row each: doc_id, n_shingles, component_id (the least doc_id reached by links) and kept."""
+def grouped(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Documents (doc_id, text) to one row each: doc_id, text_id (a hash of the text), n_shingles, group (a number of the component, null for empty sets) and component_id (the least doc_id reached by links)."""
     prepare(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    signed = written(docs.mapInArrow(_signed(bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed")
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_id"))
+    signed = written(docs.mapInArrow(_signed(bands, rows), "doc_id long, text_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed")
     key = ["set_a", "set_b", "n_shingles"]
-    reps = written(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "sets")
-    banded = signed.join(reps.withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "code")).distinct()
-    pairs, large = _pairs(banded, ["band", "code"], small)
-    pairs = written(pairs, "pairs")
-    large = written(large, "large")
-    touched = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(touched, "doc_id", "left_semi").join(reps.withColumnRenamed("node", "doc_id").select("doc_id", *key), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"), "texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_id"))
+    sets = written(signed.where("n_shingles > 0").groupBy(*key).agg(first.alias("first"), F.first("bands").alias("bands")).withColumn("node", F.col("set_a")), "sets")
+    nodes = sets.select("node", F.col("n_shingles").alias("size"), "first.doc_id", "first.text_id")
+    pairs, large = _pairs(sets.select("node", F.posexplode("bands").alias("band", "code")), ["band", "code"], small)
+    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id"))
+    texts = docs.join(touched, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_id") == F.col("_text_id")))
+    texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     links = _verify(pairs, texts, percent)
-    found = written(components(links), "components")
+    found = components(links)
+    discard(pairs, links)
     # Large buckets that hold several components: each member outside the largest one meets all members, in blocks.
     bucket = ["band", "code"]
-    labelled = written(large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(reps.select("node", F.col("n_shingles").alias("size")), "node"), "labelled")
+    labelled = written(large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "size"), "node"), "labelled")
+    discard(large)
     parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     chunks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / SHINGLES)).cast("int")
     mixed = parts.groupBy(*bucket).agg(F.max(F.struct("n", "size", "component")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
@@ -273,13 +279,50 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     member = labelled.join(mixed, bucket).withColumn("chunk", F.when(inside, F.col("p") + F.pmod(dealt, F.col("q"))).otherwise(F.pmod(dealt, F.col("p"))).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
     units = written(member.select("node", "component", *bucket, "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")), "units")
+    discard(labelled, mixed)
     if units.limit(1).count():
         order = [*bucket, "a", "b"]
         full = units.join(texts, "node").select(*order, "chunk", "component", "text").repartition(max(partitions(documents.sparkSession), 1), *order).sortWithinPartitions(*order)
         more = written(full.mapInArrow(_crossed(percent), "a long, b long"), "crossed")
-        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    classes = written(reps.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id")), "classes")
-    return signed.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+        before, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        discard(before, more)
+    discard(units, texts)
+    # Components by their least doc_id.
+    named = found.join(nodes.select("node", "doc_id"), "node")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = found.join(least, "component").select("node", "component", "component_id")
+    classes = nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = written(classes, "classes")
+    discard(sets, found)
+    met = signed.select("doc_id", "text_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("node")).join(classes, "node", "left")
+    return met.select("doc_id", "text_id", "n_shingles", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Documents (doc_id, text) to one row each: doc_id, n_shingles, component_id (the least doc_id reached by links) and kept."""
+    found = grouped(documents, percent, bands, rows, small, block)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def unique(documents: DataFrame, **settings) -> DataFrame:
+    """The documents, with all their columns, of which one row of each component stays: the one with the least doc_id (null after all others), of several the one with the least hash of its text, of equal ones any. Rows without words stay."""
+    found = written(grouped(documents, **settings), "grouped")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_id")).alias("one")
+    heads = found.where("group is not null").groupBy("group").agg(one).select(F.col("one.doc_id").alias("_doc_id"), F.col("one.text_id").alias("_text_id"), F.lit(True).alias("_head"))
+    empty = found.where("group is null").select(F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id"), F.lit(False).alias("_head")).distinct()
+    keys = written(heads.unionByName(empty), "heads")
+    text_id = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (text_id == F.col("_text_id"))
+    met = documents.join(keys, same)
+    repeats = written(found.where("group is not null").groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id"), F.lit(True).alias("_again")), "repeats")
+    discard(found)
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    if not repeats.limit(1).count():
+        return met.select(*columns)
+    # Equal rows under one id: one of them stays.
+    told = met.join(repeats, (F.col("_head")) & met["_doc_id"].eqNullSafe(repeats["_doc_id"]) & (met["_text_id"] == repeats["_text_id"]), "left").select(*columns, met["_doc_id"].alias("_a"), met["_text_id"].alias("_b"), "_again")
+    alone = told.where("_again is null").select(*columns)
+    return alone.unionByName(told.where("_again").dropDuplicates(["_a", "_b"]).select(*columns))
 
 
 def op2_superminhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     order = ["table", "code", "size", "a", "b"]
     dealt = full.repartition(max(partitions(spark), 1), *order).sortWithinPartitions(*order)
     found = written(dealt.mapInArrow(_compared(cosine), "node long, links long, label long"), "compared")
-    joined = written(components(found.select(F.col("node").alias("a"), F.col("label").alias("b"))), "components")
+    joined = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = written(reps.select(*key, "node", "weight").join(links, "node", "left").join(joined, "node", "left").select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
     out = keyed.select("vec_id", *key).join(classes, key, "left")
