@@ -1,40 +1,14 @@
 """A corpus from documents: toxic ones go, one of each group of near copies stays, personal data is replaced, the rest is packed.
 
-Each stage reads what its predecessor wrote. The first three return the columns of documents. Rows with a null doc_id take part in
-no stage after the first's: near-duplicate grouping names documents by id.
+The stages are in strandloom.llm.stages; each reads what its predecessor wrote, and the first three return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandloom.llm import neardup, packing, pii, toxicity as toxic
 from strandloom.llm.shared import table, written
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon classifier, trained on the labels, doesn't predict toxic."""
-    return toxic.accepted(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    kept = neardup.near_duplicates(docs).where(F.col("kept")).select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
-def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every entity replaced by its surrogate."""
-    return pii.surrogates(docs)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack(docs, packing.tokenizer_path())
-
-
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("pii_surrogates", pii_surrogates), ("packing", packing_stage)]
+from strandloom.llm.stages import STAGES
 
 #: SQL can't express a trained classifier, an edit-distance automaton or a tokenizer; the stages are held against plainer versions in tests.
 ORACLE_SQL = None

@@ -22,3 +22,27 @@ def test_stages_follow_one_another(spark):
     assert all(not ({x[3] for x in pii.find(unique[i] or "")} & {x[3] for x in pii.find(safe[i] or "")}) for i in safe)
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == set(safe)
+
+
+def test_stages_of_odd_rows_and_of_none(spark):
+    """Null ids and texts, repeated rows, clashing columns, and a table without rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = docs.unionByName(docs.limit(1)).selectExpr("*", "1 AS score", "'x' AS node", "2 AS piece", "'k' AS kind", "3 AS length", "CAST(NULL AS INT) AS own")
+    none = odd.limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", *[f"`{c}`" for c in odd.columns[2:]])
+    both = odd.unionByName(none).unionByName(none)
+    for rows in (both, both.where("false")):
+        left = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, SF)
+            assert left.columns == rows.columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, SF)
+        assert packed.where("doc_id is null").count() == left.where("doc_id is null").count() and {r.doc_id for r in packed.collect()} == {r.doc_id for r in left.collect()}
+    assert left.count() == 0
+
+
+def test_the_guard_is_in_the_entry_alone():
+    import pathlib
+
+    root = pathlib.Path(corpus_pipeline.__file__).parent
+    files = [p for p in [root / "corpus_pipeline.py", *(root / "strandloom").rglob("*.py")] if "ImportError" in p.read_text() or "ModuleNotFoundError" in p.read_text()]
+    assert not files
