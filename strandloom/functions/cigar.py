@@ -76,3 +76,8 @@ def mismatch_text(read: Column, reference: Column) -> Column:
     step = lambda s, i: F.when(F.substr(read, i, F.lit(1)) == F.substr(reference, i, F.lit(1)), F.struct((s["n"] + 1).alias("n"), s["out"].alias("out"))).otherwise(F.struct(F.lit(0).alias("n"), F.concat(s["out"], s["n"].cast("string"), F.substr(reference, i, F.lit(1))).alias("out")))
     start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.length(read)), start, step, lambda s: F.concat(s["out"], s["n"].cast("string")))
+
+
+def reversed_text(cigar: Column) -> Column:
+    """The operations of a CIGAR text in the other direction."""
+    return text(F.reverse(operations(cigar)))

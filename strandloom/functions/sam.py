@@ -57,6 +57,20 @@ def pair_name(name: Column) -> Column:
     return F.regexp_replace(name, "/?[12]$", "")
 
 
+def common_name(first: Column, second: Column) -> Column:
+    """What two mates' names begin with, without a slash at its end."""
+    sizes = F.sequence(F.lit(0), F.least(F.length(first), F.length(second)))
+    shared = F.array_max(F.filter(sizes, lambda n: F.left(first, n) == F.left(second, n)))
+    return F.regexp_replace(F.left(first, shared), "/$", "")
+
+
+def flag_text(flag_: Column, form: str = "decimal") -> Column:
+    """A flag as a decimal number, as hexadecimal digits after 0x, or as letters."""
+    if form not in ("decimal", "hex", "letters"):
+        raise ValueError("a flag is written as decimal, hex or letters")
+    return flag_.cast("string") if form == "decimal" else F.concat(F.lit("0x"), F.lower(F.hex(flag_))) if form == "hex" else flag_letters(flag_)
+
+
 def strand_char(reverse: Column) -> Column:
     return F.when(reverse.isNull(), ".").when(reverse, "-").otherwise("+")
 

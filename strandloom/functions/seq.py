@@ -98,3 +98,33 @@ def index_width(size: Column, bisulfite: bool = False) -> Column:
 
 def description(name: Column, seq: Column, first: int = 20) -> Column:
     return F.concat(name, F.lit(": "), F.substring(seq, F.lit(1), F.lit(first)), F.lit(" ("), F.length(seq), F.lit(")"))
+
+
+def debug_text(name: Column, seq: Column, qual: Column, start: Column, stop: Column, discarded: Column) -> Column:
+    """All that is known of a read, in a line."""
+    region = F.when(discarded, "discarded").otherwise(F.concat_ws("-", start.cast("string"), stop.cast("string")))
+    return F.concat(name, F.lit(" ["), F.length(seq), F.lit("] "), region, F.lit(" "), masked(seq, start, stop, discarded), F.lit(" "), qual)
+
+
+# The two-base codes of a colour for each pair of bases, in the order A, C, G, T.
+COLOURS = {"AA": "0", "CC": "0", "GG": "0", "TT": "0", "AC": "1", "CA": "1", "GT": "1", "TG": "1", "AG": "2", "GA": "2", "CT": "2", "TC": "2", "AT": "3", "TA": "3", "CG": "3", "GC": "3"}
+
+
+def colours(seq: Column) -> Column:
+    """A sequence in colour space: its first base, then a digit for each step to the next; a step to or from another letter is "$", which also stands for a missing colour (".")."""
+    table = F.create_map(*(F.lit(x) for pair in COLOURS.items() for x in pair))
+    steps = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.coalesce(F.try_element_at(table, F.substr(seq, i, F.lit(2))), F.lit("$")))
+    return F.when(F.length(seq) < 2, seq).otherwise(F.concat(F.left(seq, F.lit(1)), F.array_join(steps, "")))
+
+
+def bases_of_colours(read: Column) -> Column:
+    """The other way: a base and colours to bases, N from the first missing colour on ("." or "$")."""
+    table = F.create_map(*(F.lit(x) for (a, b), c in COLOURS.items() for x in (a + c, b)))
+    step = lambda s, c: F.struct(F.coalesce(F.try_element_at(table, F.concat(s["last"], c)), F.lit("N")).alias("last"), s["out"].alias("out"))
+    grown = lambda s, c: F.transform(F.array(step(s, c)), lambda x: F.struct(x["last"].alias("last"), F.concat(x["out"], x["last"]).alias("out")))[0]
+    start = F.struct(F.left(read, F.lit(1)).alias("last"), F.left(read, F.lit(1)).alias("out"))
+    return F.aggregate(F.filter(F.split(F.substr(read, F.lit(2)), ""), lambda c: c != ""), start, grown, lambda s: s["out"])
+
+
+def missing_colours(read: Column) -> Column:
+    return F.translate(read, ".", "$")

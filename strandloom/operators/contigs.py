@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 
+#: Bases of a tile.
+TILE = 1 << 16
+
 
 def from_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """A text column recoded to bases; empty ones are left out."""
@@ -38,3 +44,51 @@ def fetch(contigs: DataFrame, name: str, begin: int, end: int) -> DataFrame:
     """Bases begin..end (0-based, half open) of a contig, clamped to it."""
     lo = max(0, begin)
     return contigs.where(F.col("name") == name).select("name", F.substring("seq", lo + 1, max(0, end - lo)).alias("seq"))
+
+
+def write_indexed(contigs: DataFrame, path: str, size: int = TILE, partitions: int | None = None) -> None:
+    """Named contigs (name, seq) as tiles in order of name and tile, in columns: a reader of a range opens the row groups of its tiles only."""
+    named = contigs.withColumn("contig_id", F.xxhash64("name"))
+    cut = tiled(named, 0, 0, size).join(named.select("contig_id", "name", F.length("seq").cast("long").alias("length")), "contig_id").select("name", "tile", "start", "length", "seq")
+    dealt = cut.repartitionByRange(partitions, "name", "tile") if partitions else cut.repartitionByRange("name", "tile")
+    dealt.sortWithinPartitions("name", "tile").write.option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def fetch_indexed(spark, path: str, name: str, begin: int, end: int, size: int = TILE) -> DataFrame:
+    """fetch() over what write_indexed wrote: name and seq; tiles outside the range are pruned by the file's statistics."""
+    lo = max(0, begin)
+    tiles = spark.read.parquet(path).where((F.col("name") == name) & F.col("tile").between(lo // size, max(lo, end - 1) // size))
+    parts = tiles.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("tile", "seq"))).alias("t"), F.min("start").alias("first"))  # the tiles of one range
+    return parts.select("name", F.substr(F.array_join(F.col("t.seq"), ""), (F.lit(lo) - F.col("first") + 1).cast("int"), F.lit(max(0, end - lo))).alias("seq"))
+
+
+def tiled(contigs: DataFrame, after: int, before: int = 0, size: int = TILE) -> DataFrame:
+    """Contigs (contig_id, seq) cut into tiles: contig_id, tile, start and seq, which has `size` bases from tile * size on, `before` more in front and `after` more behind (as far as the contig goes); start is where it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            held = 0
+            for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for tile in range(-(-len(seq or "") // size)):
+                    lo = max(0, tile * size - before)
+                    part = seq[lo : (tile + 1) * size + after]
+                    for column, value in zip(out, (contig, tile, lo, part)):
+                        column.append(value)
+                    held += len(part)
+                    if held > 1 << 23:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["contig_id", "tile", "start", "seq"])
+                        out, held = ([], [], [], []), 0
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["contig_id", "tile", "start", "seq"])
+
+    return contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(run, "contig_id long, tile long, start long, seq string")
+
+
+def with_parts(rows: DataFrame, tiles: DataFrame, at: Column, length: Column, name: str = "part", size: int = TILE) -> DataFrame:
+    """Adds the bases of the contig from `at` (0-based, not negative) on, `length` of them or as many as there are; the tiles must go that far. Rows beyond a contig's end, or of unknown contigs, are left out.
+
+    A row meets one tile, never a whole contig."""
+    cut = tiles.select("contig_id", F.col("tile").alias("_tile"), F.col("start").alias("_start"), F.col("seq").alias("_seq"))
+    met = rows.withColumns({"_at": at.cast("long"), "_length": length.cast("int")}).withColumn("_tile", F.floor(F.col("_at") / size)).join(cut, ["contig_id", "_tile"])
+    part = F.substr("_seq", (F.col("_at") - F.col("_start") + 1).cast("int"), F.col("_length"))
+    return met.withColumn(name, part).drop("_at", "_length", "_tile", "_start", "_seq")

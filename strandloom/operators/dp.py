@@ -1,8 +1,9 @@
-"""Alignments with insertions and deletions: banded scores and their CIGARs, on Arrow batches of candidates."""
+"""Alignments with insertions and deletions: banded scores and their CIGARs, for all candidates of an Arrow batch at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -10,77 +11,124 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
+from strandloom.operators.contigs import tiled, with_parts
 from strandloom.operators.search import budget, candidates, hits, seed_width
+from strandloom.operators.seeds import Index
 
 MATCH, MISMATCH, GAP = 1, -1, -2
+_LOW = -(1 << 30)
+#: Cells of the tables of one call.
+CELLS = 1 << 24
 
 
-def banded(read: str, part: str, band: int) -> tuple[int, list[tuple[int, str]], int, int]:
-    """Best alignment of the whole read with a beginning of `part`, within `band` of the diagonal: score, operations, mismatches, inserted and deleted bases.
+def banded(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | None = None, fixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best alignment of each whole read (a row of bytes) with a stretch of its part, within `band` of the middle diagonal: score, first column used, and operations (M, I, D, from the end on, 0 after the last).
 
-    Of equal steps the diagonal goes first, then an insertion, then a deletion; of equal ends the shortest."""
-    n, width = len(read), 2 * band + 1
-    low = -(1 << 30)
-    score = np.full((n + 1, width), low, np.int64)
-    came = np.zeros((n + 1, width), np.int8)
-    for d in range(width):  # column j = i + d - band of part
-        if 0 <= d - band <= len(part):
-            score[0, d], came[0, d] = GAP * (d - band), 2
+    A part has 2 * band bases more than the read: base i of the read is on the middle diagonal beside base i + band. Zeros stand for what is beyond a contig, where no alignment goes.
+    The start is free within the band, or on the middle diagonal if `fixed`; the end is free. `free` are pairs (strand row, read base, part base) that count as equal: a boolean array of reads, bases and columns isn't made, the pairs are compared row by row.
+    Of equal steps the diagonal goes first, then the insertion if it is better than the deletion, else the deletion; of equal ends the first."""
+    m, n = reads.shape
+    width = 2 * band + 1
+    score = np.full((m, width), _LOW, np.int32)
+    if fixed:
+        score[:, band] = 0
+    else:
+        score[:] = 0
+    came = np.zeros((n + 1, m, width), np.int8)
+    came[0] = 3  # the start
+    rows = np.arange(m)
     for i in range(1, n + 1):
+        own = parts[:, i - 1 : i - 1 + width]  # the base beside read base i on each diagonal
+        base = reads[:, i - 1 : i]
+        same = own == base
+        if free is not None:
+            same = same | ((base == free[:, :1]) & (own == free[:, 1:]))
+        diagonal = np.where(own != 0, score + np.where(same, MATCH, MISMATCH), _LOW)
+        insertion = np.full((m, width), _LOW, np.int32)
+        insertion[:, :-1] = score[:, 1:] + GAP
+        new, how = np.empty_like(score), came[i]
+        before = np.full(m, _LOW, np.int32)
         for d in range(width):
-            j = i + d - band
-            if not 0 <= j <= len(part):
-                continue
-            options = [
-                score[i - 1, d] + (MATCH if j and read[i - 1] == part[j - 1] else MISMATCH) if j else low,
-                score[i - 1, d + 1] + GAP if d + 1 < width else low,
-                score[i, d - 1] + GAP if d and j else low,
-            ]
-            best = int(np.argmax(options))
-            score[i, d], came[i, d] = options[best], best
-    d = int(np.argmax(score[n]))
-    i, ops, mismatches = n, [], 0
-    total = int(score[n, d])
-    while i or d != band:
-        step = came[i, d]
-        if step == 0:
-            mismatches += read[i - 1] != part[i + d - band - 1]
-            ops.append("M")
-            i -= 1
-        elif step == 1:
-            ops.append("I")
-            i, d = i - 1, d + 1
-        else:
-            ops.append("D")
-            d -= 1
-    runs: list[list] = []
-    for op in reversed(ops):
-        if runs and runs[-1][1] == op:
-            runs[-1][0] += 1
-        else:
-            runs.append([1, op])
-    return total, [(r[0], r[1]) for r in runs], int(mismatches), sum(r[0] for r in runs if r[1] != "M")
-
-
-def _aligned(band: int):
+            deletion = np.where(own[:, d] != 0, before + GAP, _LOW)
+            best = np.maximum(np.maximum(diagonal[:, d], insertion[:, d]), deletion)
+            how[:, d] = np.where(diagonal[:, d] == best, 0, np.where(insertion[:, d] > deletion, 1, 2))
+            new[:, d] = before = np.maximum(best, _LOW // 2)
+        score = new
+    end = score.argmax(axis=1)
+    total = score[rows, end]
+    ops = np.zeros((m, n + 4 * band + 1), np.uint8)
+    i, d = np.full(m, n), end.copy()
+    for k in range(ops.shape[1]):
+        step = came[i, rows, d]
+        open_ = step != 3
+        if not open_.any():
+            break
+        ops[:, k] = np.where(open_, np.frombuffer(b"MID\0", np.uint8)[step], 0)
+        i = i - (open_ & (step != 2))
+        d = d + (open_ & (step == 1)).astype(int) - (open_ & (step == 2))
+        d = np.clip(d, 0, width - 1)
+    return total, d, ops
+
+
+def cigar(ops: np.ndarray) -> list[tuple[int, str]]:
+    """Runs of a row of operations, from the beginning on."""
+    return [(len([*run]), op) for op, run in groupby(ops[ops != 0][::-1].tobytes().decode())]
+
+
+def _aligned(band: int, bisulfite: bool):
+    names = ["score", "shift", "cigar", "mismatches", "indels"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [banded(r, p, band) for r, p in zip(batch.column("pattern").to_pylist(), batch.column("part").to_pylist())]
-            extra = [pa.array([f[0] for f in found], pa.int32()), pa.array(["".join(f"{n}{op}" for n, op in f[1]) for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "score", "cigar", "mismatches", "indels"])
+            patterns, parts, strand = (batch.column(c).to_pylist() for c in ("pattern", "part", "strand"))
+            lead = batch.column("lead").to_pylist()
+            found: list[tuple | None] = [None] * len(patterns)
+            lengths = np.array([len(p) for p in patterns], np.int64)
+            for n in np.unique(lengths).tolist():
+                all_ = np.flatnonzero(lengths == n)
+                most = max(1, CELLS // ((n + 1) * (2 * band + 1)))
+                for lo in range(0, len(all_), most):
+                    which = all_[lo : lo + most]
+                    reads = np.frombuffer("".join(patterns[i] for i in which).encode("ascii", "replace"), np.uint8).reshape(-1, n)
+                    text = "".join(("\0" * lead[i] + parts[i]).ljust(n + 2 * band, "\0")[: n + 2 * band] for i in which)
+                    part = np.frombuffer(text.encode("ascii", "replace"), np.uint8).reshape(-1, n + 2 * band)
+                    free = np.array([[ord(c) for c in ("TC" if strand[i] == "+" else "AG")] for i in which], np.uint8) if bisulfite else None
+                    score, first, ops = banded(reads, part, band, free)
+                    kind = [(ops == c).sum(axis=1) for c in b"MID"]
+                    # score = matches - mismatches - 2 gaps, and matches + mismatches = M.
+                    wrong = (kind[0] + GAP * (kind[1] + kind[2]) - score) // 2
+                    for row, i in enumerate(which.tolist()):
+                        found[i] = (int(score[row]), int(first[row]) - band, "".join(f"{k}{op}" for k, op in cigar(ops[row])), int(wrong[row]), int(kind[1][row] + kind[2][row]))
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], [*batch.schema.names, *names])
 
     return run
 
 
-def indel_search(reads: DataFrame, contigs: DataFrame, conf: SearchConf) -> DataFrame:
-    """Reads without an ungapped hit, aligned with at most indels_max inserted or deleted bases: the best score of each read, with CIGARs.
+def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, index: Index | None = None) -> DataFrame:
+    """Reads without an ungapped hit, aligned within a band of indels_max: the best score of each read, with CIGARs, if no alignment with max_errors mismatches and indels_max gap bases has a lower one.
 
-    Places come from the read's pieces; the first piece anchors the alignment, as its start is fixed and its end is free."""
+    With e mismatches and indels_max gap bases allowed, one of e + indels_max + 1 disjoint pieces is free of both, so it is found exactly where it stands; from there the alignment may leave
+    the piece's diagonal by indels_max to either side, before and after it: start and end are free within that band. So an alignment is found wherever its gaps are. Reads
+    that are too short for pieces of 8 bases give fewer, longer pieces, and may then be missed if all of them hold a difference."""
     ready = budget(reads, conf)
-    left = ready.join(hits(reads, contigs, conf).select("read_id").distinct(), "read_id", "left_anti")
-    anchored = candidates(left, contigs, seed_width(left), conf.bisulfite).select("read_id", "strand", "pattern", "max_errors", "contig_id", "pos")
-    parts = anchored.join(contigs.select("contig_id", "seq"), "contig_id").withColumn("part", F.substr("seq", (F.col("pos") + 1).cast("int"), F.length("pattern") + conf.indels_max)).drop("seq")
+    ungapped = hits(reads, contigs, conf, index=index)
+    left = ready.join(ungapped.select("read_id").distinct(), "read_id", "left_anti")
+    # Pieces are cut for as many differences as the search allows.
+    room = F.greatest(F.floor(F.length("seq") / F.lit(index.k if index else 8)).cast("int") - 1, F.col("max_errors"))
+    wide = left.withColumn("allowed", F.col("max_errors")).withColumn("max_errors", F.least(F.col("max_errors") + conf.indels_max, room))
+    k = index.k if index else min(seed_width(wide), 12)
+    anchored = candidates(wide, contigs, k, conf.bisulfite, index, conf.indels_max).select("read_id", "strand", "pattern", "contig_id", "pos")
+    band = conf.indels_max
+    longest = left.agg(F.max(F.length("seq"))).first()[0] or 0
+    tiles = index.tiles if index else tiled(contigs, longest + 2 * band)
+    begin = F.greatest(F.col("pos") - band, F.lit(0))
+    parts = with_parts(anchored.withColumn("lead", (begin - (F.col("pos") - band)).cast("int")), tiles, begin, F.length("pattern") + 2 * band - F.col("lead"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    done = parts.mapInArrow(_aligned(conf.indels_max), schema + ", score int, cigar string, mismatches int, indels int")
-    good = done.where((F.col("mismatches") <= F.col("max_errors")) & (F.col("indels") <= conf.indels_max))
-    return good.withColumn("top", F.max("score").over(Window.partitionBy("read_id"))).where("score = top").select("read_id", "contig_id", "pos", "strand", "score", "cigar", "mismatches", "indels")
+    done = parts.mapInArrow(_aligned(band, conf.bisulfite), schema + ", score int, shift int, cigar string, mismatches int, indels int")
+    placed = done.withColumn("pos", F.col("pos") + F.col("shift")).join(left.select("read_id", F.col("max_errors").alias("allowed")), "read_id")
+    least = F.length("pattern") + 2 * MISMATCH * F.col("allowed") + (GAP - MATCH) * band  # an inserted base isn't a match either
+    good = placed.where(F.col("score") >= least).select("read_id", "contig_id", "pos", "strand", "score", "cigar", "mismatches", "indels")
+    # Several anchors may lead to one alignment.
+    one = good.dropDuplicates(["read_id", "contig_id", "pos", "strand", "cigar"])
+    return one.withColumn("top", F.max("score").over(Window.partitionBy("read_id"))).where("score = top").drop("top")

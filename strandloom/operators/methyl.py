@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from strandloom.config import MethylConf
 from strandloom.functions import seq as S
+from strandloom.operators.contigs import TILE, tiled, with_parts
+from strandloom.operators.pairs import nearest
 
 
 def observed(hits: DataFrame, reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """Hits to a row for each C (on +) or G (on -) of the contig that the read covers: methylated if the read has the base itself, unmethylated if the changed one."""
     pattern = F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq")))
     n = F.length("pattern")
-    met = hits.join(reads.select("read_id", "seq"), "read_id").withColumn("pattern", pattern).drop("seq").join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id")
-    part = F.substr("contig", (F.col("pos") + 1).cast("int"), n)
-    rows = met.withColumn("part", part).drop("contig").withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    met = hits.join(reads.select("read_id", "seq"), "read_id").withColumn("pattern", pattern).drop("seq")
+    longest = reads.agg(F.max(F.length("seq"))).first()[0] or 0
+    rows = with_parts(met, tiled(contigs, longest), F.col("pos"), n).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
     at = lambda c: F.substr(c, F.col("i"), F.lit(1))
     rows = rows.withColumns({"ref_base": at("part"), "base": at("pattern"), "ref": F.col("pos") + F.col("i") - 1})
     own, changed = F.when(F.col("strand") == "+", "C").otherwise("G"), F.when(F.col("strand") == "+", "T").otherwise("A")
@@ -45,9 +47,11 @@ def alpha(state: Column, level_: Column) -> Column:
 
 
 def sites(contigs: DataFrame) -> DataFrame:
-    """Every C and G of the contigs: contig_id, ref, strand, context."""
-    bases = contigs.select("contig_id", F.col("seq"), F.posexplode(F.split("seq", "")).alias("ref", "base")).where(F.col("base").isin("C", "G"))
-    return bases.select("contig_id", F.col("ref").cast("long").alias("ref"), F.when(F.col("base") == "C", "+").otherwise("-").alias("strand"), S.cytosine_context(F.col("seq"), F.col("ref")).alias("context"))
+    """Every C and G of the contigs: contig_id, ref, strand, context. Tiles have the two bases on either side that a context needs."""
+    cut = tiled(contigs, 2, 2)
+    bases = cut.select("contig_id", "tile", "start", "seq", F.posexplode(F.split("seq", "")).alias("i", "base")).where(F.col("base").isin("C", "G"))
+    own = bases.withColumn("ref", F.col("start") + F.col("i")).where(F.floor(F.col("ref") / TILE) == F.col("tile"))
+    return own.select("contig_id", "ref", F.when(F.col("base") == "C", "+").otherwise("-").alias("strand"), S.cytosine_context(F.col("seq"), F.col("i")).alias("context"))
 
 
 def context_counts(contigs: DataFrame) -> DataFrame:
@@ -67,7 +71,8 @@ def report(profile_: DataFrame, contigs: DataFrame, dense: bool = False, thresho
     if dense:
         rows = sites(contigs).join(known, ["contig_id", "ref", "strand"], "left")
     else:
-        rows = known.join(contigs.select("contig_id", "seq"), "contig_id").withColumn("context", S.cytosine_context(F.col("seq"), F.col("ref").cast("int"))).drop("seq")
+        begin = F.greatest(F.col("ref") - 2, F.lit(0))
+        rows = with_parts(known, tiled(contigs, 4), begin, F.lit(5)).withColumn("context", S.cytosine_context(F.col("part"), (F.col("ref") - begin).cast("int"))).drop("part")
     n = F.coalesce(F.col("c_cnt") + F.col("t_cnt"), F.lit(0))
     return rows.select("contig_id", (F.col("ref") + 1).alias("start"), (F.col("ref") + 1).alias("end"), F.concat_ws(":", "context", n.cast("string")).alias("ctx_cov"), F.round(level(F.col("c_cnt"), F.col("t_cnt")), 6).alias("level"), "strand")
 
@@ -102,30 +107,70 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _cycles(hits: DataFrame, reads: DataFrame, contigs: DataFrame, conf: MethylConf, folder: str) -> DataFrame:
+    """Decided hits of mates (read_id is 2 * pair for first and single ones, and one more for second ones) with the cycle that decided them."""
+    n = F.count("*").over(Window.partitionBy("read_id"))
+    pair, second = F.shiftright("read_id", 1), F.col("read_id") % 2 == 1
+    left = _written(hits.select("read_id", "contig_id", "pos", "strand").withColumn("n", n).withColumn("pair", pair), folder)
+    done, cycle, required = None, 0, conf.max_cov
+    key = ["pair", "read_id", "contig_id", "pos", "strand"]
+    while cycle == 0 or required >= conf.min_cov and left.limit(1).count():
+        if cycle == 0:
+            new = left.where("n = 1").select(*key)
+        else:
+            known = covered(profile(observed(done, reads, contigs), conf.saturation), conf.coverage_threshold)
+            new = decided(candidate_scores(observed(left, reads, contigs), known), required, conf.error_threshold).withColumn("pair", pair).select(*key)
+        new = _written(new, folder)
+        side = lambda rows, own: F.max(F.when(own, F.struct(*rows)))
+        own = ["contig_id", "pos", "strand"]
+        found = new.groupBy("pair").agg(side(own, ~second).alias("one"), side(own, second).alias("two"))
+        kinds = left.groupBy("pair").agg(F.max(~second).alias("has_one"), F.max(second).alias("has_two")).join(found, "pair")
+        kind = lambda d, has: F.when(F.col(d).isNotNull(), "unique").when(F.col(has), "multiple").otherwise("none")
+        told = _written(kinds.withColumn("decision", pair_decision(kind("one", "has_one"), kind("two", "has_two"), F.col("one.strand") == F.col("two.strand"))).where("decision <> 'wait'"), folder)
+        alone = new.join(told.select("pair", "decision"), "pair").where(F.col("decision").isin("both", "first", "second", "second_near_first", "first_near_second")).select(*key)
+        # The undecided mate's hit nearest to the decided one, on its contig and strand.
+        near = told.where(F.col("decision").isin("second_near_first", "first_near_second")).withColumn("at", F.coalesce("one", "two")).select("pair", "at.*")
+        others = left.join(told.where(F.col("decision").isin("second_near_first", "first_near_second")).select("pair", F.col("one").isNotNull().alias("first_known")), "pair").where(second == F.col("first_known"))
+        mate = nearest(near, others.select("pair", "contig_id", "pos", "strand", "read_id"), ["pair", "contig_id"], same_strand=True, keep=["read_id"])
+        chosen = mate.select("pair", "read_id", "contig_id", F.col("mate_pos").alias("pos"), F.col("mate_strand").alias("strand"))
+        now = alone.unionByName(chosen).withColumn("cycle", F.lit(cycle))
+        done = _written(now if done is None else done.unionByName(now), folder)
+        if told.limit(1).count():
+            left = _written(left.join(told.select("pair"), "pair", "left_anti"), folder)
+        elif cycle:
+            required -= 1
+        cycle += 1
+    return done.drop("pair")
+
+
 def resolve(hits: DataFrame, reads: DataFrame, contigs: DataFrame, conf: MethylConf, folder: str) -> DataFrame:
     """Hits that are decided: unique ones, then in cycles those of ambiguous reads that the profile so far decides.
 
     The coverage asked for begins at max_cov and falls by one after a cycle that decided nothing, down to min_cov; every other cycle decides a read, so it ends. A cycle sees the profile
     at its start, so its result doesn't depend on order. Each cycle is written to `folder`, which all executors share."""
-    n = F.count("*").over(Window.partitionBy("read_id"))
-    counted = _written(hits.select("read_id", "contig_id", "pos", "strand").withColumn("n", n), folder)
-    done = counted.where("n = 1").drop("n")
-    left = counted.where("n > 1").drop("n")
-    required = conf.max_cov
-    while required >= conf.min_cov and left.limit(1).count():
-        known = covered(profile(observed(done, reads, contigs), conf.saturation), conf.coverage_threshold)
-        new = _written(decided(candidate_scores(observed(left, reads, contigs), known), required, conf.error_threshold), folder)
-        if new.limit(1).count():
-            done = _written(done.unionByName(new), folder)
-            left = _written(left.join(new.select("read_id"), "read_id", "left_anti"), folder)
-        else:
-            required -= 1
-    return done
+    doubled = lambda df: df.withColumn("read_id", F.col("read_id").cast("long") * 2)
+    return _cycles(doubled(hits), doubled(reads), contigs, conf, folder).select(F.shiftright("read_id", 1).alias("read_id"), "contig_id", "pos", "strand")
+
+
+def resolve_pairs(first: DataFrame, second: DataFrame, reads1: DataFrame, reads2: DataFrame, contigs: DataFrame, conf: MethylConf, folder: str) -> DataFrame:
+    """The same for pairs, whose mates have one read_id: read_id, mate, contig_id, pos, strand and the cycle that decided. What becomes of a pair is as pair_decision says."""
+    joined = lambda a, b, *c: a.select((F.col("read_id").cast("long") * 2).alias("read_id"), *c).unionByName(b.select((F.col("read_id").cast("long") * 2 + 1).alias("read_id"), *c))
+    done = _cycles(joined(first, second, "contig_id", "pos", "strand"), joined(reads1, reads2, "seq"), contigs, conf, folder)
+    return done.select(F.shiftright("read_id", 1).alias("read_id"), (F.col("read_id") % 2 + 1).cast("int").alias("mate"), "contig_id", "pos", "strand", "cycle")
+
 
+def pair_decision(first: Column, second: Column, same_strand: Column | None = None) -> Column:
+    """What to do with two mates by their kinds (none, unique, multiple): use both (drop them if they are on different strands), use one, choose the other's hit near it, or wait."""
+    both = F.when(F.coalesce(same_strand, F.lit(False)), "both").otherwise("drop") if same_strand is not None else F.lit("both")
+    return F.when((first == "none") & (second == "none"), "drop").when((first == "unique") & (second == "unique"), both).when((first == "unique") & (second == "none"), "first").when((first == "none") & (second == "unique"), "second").when((first == "unique") & (second == "multiple"), "second_near_first").when((first == "multiple") & (second == "unique"), "first_near_second").otherwise("wait")
 
-def pair_decision(first: Column, second: Column) -> Column:
-    """What to do with two mates by their kinds (none, unique, multiple): use both, use one, choose the other's hit near it, or wait."""
-    return F.when((first == "none") & (second == "none"), "drop").when((first == "unique") & (second == "unique"), "both").when((first == "unique") & (second == "none"), "first").when((first == "none") & (second == "unique"), "second").when((first == "unique") & (second == "multiple"), "second_near_first").when((first == "multiple") & (second == "unique"), "first_near_second").otherwise("wait")
+
+def cycle_counters(done: DataFrame, hits: DataFrame) -> DataFrame:
+    """By cycle: reads (rows of done: read_id, mate, cycle) that it decided, and reads with hits that are left after it."""
+    total = hits.select("read_id", "mate").distinct().agg(F.count("*").alias("all"))
+    counts = done.groupBy("cycle").agg(F.count("*").alias("decided"))
+    upto = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)  # a row for each cycle
+    return counts.withColumn("so_far", F.sum("decided").over(upto)).crossJoin(total).select("cycle", "decided", (F.col("all") - F.col("so_far")).alias("left"))  # one row on the other side
 
 
 def truth_sites(truth: DataFrame) -> DataFrame:
@@ -134,6 +179,12 @@ def truth_sites(truth: DataFrame) -> DataFrame:
     return rows.select("contig_id", F.col("ref").cast("long").alias("ref"), F.when(F.col("base").isin("C", "M"), "+").otherwise("-").alias("strand"), F.col("base").isin("M", "L").alias("methylated"))
 
 
+def validated(calls: DataFrame, truth: DataFrame, threshold: int = 1) -> DataFrame:
+    """Called sites (contig_id, ref, strand, level, coverage) beside the truth (truth_sites): contig_id, ref, strand, truth and call (0 or 1: level over one half) and error, the distance of the level from the truth. Sites under the coverage are left out."""
+    met = calls.where(F.col("coverage") >= threshold).join(truth.select("contig_id", "ref", "strand", "methylated"), ["contig_id", "ref", "strand"])
+    return met.withColumns({"truth": F.col("methylated").cast("int"), "call": (F.col("level") > 0.5).cast("int"), "error": F.abs(F.col("level") - F.col("methylated").cast("double"))}).drop("methylated")
+
+
 def confusion(called: DataFrame, groups: list[str], truth: str = "truth", call: str = "call") -> DataFrame:
     """tp, tn, fp, fn, sensitivity and specificity over all rows and by each of the groups (grouping sets)."""
     sets = ", ".join(["()", *(f"({g})" for g in groups)])
@@ -159,8 +210,10 @@ def write_table(rows: DataFrame, path: str) -> None:
 
 
 def statistics(summary_: DataFrame, reads: DataFrame) -> DataFrame:
-    """One row: reads, share of them with a kind of "unique" and "multiple", covered and methylated sites, mean coverage (reads: kind; summary_: of `summary`)."""
+    """One row: reads, shares of them with a kind of "unique", "multiple" and "none", covered and methylated sites, mean coverage, and by context the share of all covered sites and the share of the context's covered sites that are methylated (reads: kind; summary_: of `summary`)."""
     share = lambda k: F.round(F.try_divide(F.count_if(F.col("kind") == k), F.count("*")), 6)
-    mapped = reads.agg(F.count("*").alias("reads"), share("unique").alias("unique"), share("multiple").alias("multiple"))
-    total = summary_.where("context is null and strand is null").select("covered", "methylated", F.round(F.try_divide("coverage", "covered"), 6).alias("mean_coverage"))
+    mapped = reads.agg(F.count("*").alias("reads"), *(share(k).alias(k) for k in ("unique", "multiple", "none")))
+    of = lambda value, context: F.sum(F.when((F.col("context") == context) & F.col("strand").isNull() if context else F.col("context").isNull() & F.col("strand").isNull(), F.col(value)))
+    by = [c for k in ("CG", "CHG", "CHH") for c in (F.round(F.try_divide(of("covered", k), of("covered", None)), 6).alias(f"covered_{k}"), F.round(F.try_divide(of("methylated", k), of("covered", k)), 6).alias(f"methylated_{k}"))]
+    total = summary_.agg(of("covered", None).alias("covered"), of("methylated", None).alias("methylated"), F.round(F.try_divide(of("coverage", None), of("covered", None)), 6).alias("mean_coverage"), *by)
     return mapped.crossJoin(total)  # one row with one row

@@ -18,9 +18,9 @@ def zipped(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "ordinal", "full").where(F.when(F.coalesce(same, F.lit(False)), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("mates differ at record"), F.col("ordinal").cast("string")))))
 
 
-def nearest(unique: DataFrame, multiple: DataFrame, keys: list[str], same_strand: bool = False) -> DataFrame:
-    """For each pair the hit of the other mate nearest to the unique one (ties: the smaller position), with `same_strand` on its strand only."""
-    met = unique.join(multiple.select(*keys, F.col("pos").alias("mate_pos"), F.col("strand").alias("mate_strand")), keys)
+def nearest(unique: DataFrame, multiple: DataFrame, keys: list[str], same_strand: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """For each pair the hit of the other mate nearest to the unique one (ties: the smaller position), with `same_strand` on its strand only. `keep` names more columns of the other mate's hits."""
+    met = unique.join(multiple.select(*keys, *(keep or []), F.col("pos").alias("mate_pos"), F.col("strand").alias("mate_strand")), keys)
     if same_strand:
         met = met.where(F.col("strand") == F.col("mate_strand"))
     order = Window.partitionBy(*keys).orderBy(F.abs(F.col("pos") - F.col("mate_pos")), "mate_pos", "mate_strand")

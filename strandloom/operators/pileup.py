@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as C
 from strandloom.functions import sam
 
+#: Depths are summed up in bins of 2**BIN positions.
+BIN = 14
+
 
 def bases(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
     """Records (contig_id, pos 0-based, cigar, seq, flag and more) to a row for each reference position they cover: ref, qpos, is_del, base.
@@ -21,9 +24,26 @@ def bases(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
     return each.select(*[c for c in records.columns if c not in ("seq", "cigar")], (F.col("b.ref") + F.col("k")).alias("ref"), qpos.alias("qpos"), is_del.alias("is_del"), F.substr("seq", (qpos + 1).cast("int"), F.lit(1)).alias("base"))
 
 
+def runs(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
+    """Stretches of one depth: contig_id, begin, end (half open), depth (bases and deletions) and n_bases. A block of a record is two rows, +1 where it begins and -1 where it ends, and depths are running sums.
+
+    Sums run within bins of 2**`BIN` positions, into which blocks are cut, so no task has a whole contig."""
+    kept = records.where(F.col("flag").bitwiseAND(mask) == 0).where(F.col("cigar") != "*")
+    blocks = kept.select("contig_id", F.explode(C.blocks(C.operations(F.col("cigar")), F.col("pos"))).alias("b")).where((F.col("b.op") != "N") & (F.col("b.len") > 0))
+    spans = blocks.select("contig_id", F.col("b.ref").alias("begin"), (F.col("b.ref") + F.col("b.len")).alias("end"), (F.col("b.op") != "D").cast("long").alias("base"))
+    bins = spans.withColumn("bin", F.explode(F.sequence(F.shiftright("begin", BIN), F.shiftright(F.col("end") - 1, BIN))))
+    first = F.shiftleft(F.col("bin"), BIN)
+    ends = F.array(F.struct(F.greatest("begin", first).alias("at"), F.lit(1).cast("long").alias("d"), F.col("base").alias("n")), F.struct(F.least("end", first + (1 << BIN)).alias("at"), F.lit(-1).cast("long").alias("d"), (-F.col("base")).alias("n")))
+    steps = bins.select("contig_id", "bin", F.explode(ends).alias("e")).groupBy("contig_id", "bin", "e.at").agg(F.sum("e.d").alias("d"), F.sum("e.n").alias("n"))
+    own = Window.partitionBy("contig_id", "bin").orderBy("at")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    summed = steps.select("contig_id", F.col("at").alias("begin"), F.lead("at").over(own).alias("end"), F.sum("d").over(upto).alias("depth"), F.sum("n").over(upto).alias("n_bases"))
+    return summed.where("depth > 0")
+
+
 def depth(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
-    """contig_id, ref and the number of records that have a base or a deletion there."""
-    return bases(records, mask).groupBy("contig_id", "ref").agg(F.count("*").alias("depth"), F.count_if(~F.col("is_del")).alias("n_bases"))
+    """contig_id, ref and the number of records that have a base or a deletion there, and of those with a base."""
+    return runs(records, mask).select("contig_id", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("ref"), "depth", "n_bases")
 
 
 def pileup(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:

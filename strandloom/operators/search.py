@@ -2,8 +2,9 @@
 
 A read with at most e differences at a place has e + 1 disjoint pieces of which one is the same there. So: pieces of the reads are
 keys; the contigs are read once, and only positions whose word is one of the keys go on, each with the part of the contig that a read can cover;
-they meet the pieces by an equi-join, whole reads are compared, and the best strata are chosen.
-The set of keys that filters the contigs is a bitmap of 4**k bits for k up to `BITMAP`, whatever the number of reads is.
+they meet the pieces by an equi-join, whole reads are compared, and the best strata are chosen. Keys that many rows of both sides have are split by AQE's skew join.
+The set of keys that filters the contigs is a bitmap of 2**`BITMAP` bits at most (wider keys by a hash), whatever the number of reads is.
+Where a hit needs more of its contig, it meets a tile of it, never the whole.
 """
 
 from __future__ import annotations
@@ -12,20 +13,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
-from strandloom.operators.seeds import packed
+from strandloom.operators.contigs import tiled, with_parts
+from strandloom.operators.seeds import WIDEST, Index, packed
 
-BITMAP = 12
+#: The bitmap of keys has at most 2**BITMAP bits (2 MB).
+BITMAP = 24
+#: Positions of a contig that are looked at together, and bases of windows in a batch.
+CHUNK, WINDOWS = 1 << 17, 1 << 23
+
+
+def budgeted(conf: SearchConf) -> Column:
+    """The number of errors that a read may have."""
+    return (S.error_budget(F.length("seq"), conf.errors_rate) if conf.auto_errors else F.lit(conf.errors)).cast("int")
 
 
 def budget(reads: DataFrame, conf: SearchConf) -> DataFrame:
     """Adds max_errors; leaves out reads with more N than that, and empty ones."""
-    errors = S.error_budget(F.length("seq"), conf.errors_rate) if conf.auto_errors else F.lit(conf.errors)
-    return reads.where(F.length("seq") > 0).withColumn("max_errors", errors.cast("int")).where(S.n_count(F.col("seq")) <= F.col("max_errors"))
+    return reads.where(F.length("seq") > 0).withColumn("max_errors", budgeted(conf)).where(S.n_count(F.col("seq")) <= F.col("max_errors"))
 
 
 def strands(reads: DataFrame) -> DataFrame:
@@ -34,80 +43,124 @@ def strands(reads: DataFrame) -> DataFrame:
     return reads.withColumn("s", F.explode(both)).select("*", "s.*").drop("s")
 
 
-def _windows(k: int, longest: int, two: bool, bitmap: np.ndarray | None):
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of the bitmap for keys of so many bits: themselves, or a hash of them."""
+    return keys if bits <= BITMAP else ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP)).astype(np.int64)
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings data[start:end], copied by one array operation."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at]))
+
+
+def _windows(k: int, longest: int, two: bool, bitmap: np.ndarray):
+    bits = k * (1 if two else 2)
+    most = max(1, WINDOWS // max(1, 2 * longest))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            held: list[pa.RecordBatch] = []
             for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not seq:
-                    continue
-                keys, valid = packed(seq.encode(), k, two)
-                if bitmap is not None:
-                    valid = valid & (bitmap[keys >> 3] >> (keys & 7) & 1).astype(bool)
-                for pos in np.flatnonzero(valid).tolist():
-                    start = max(0, pos - longest)
-                    for column, value in zip(out, (int(keys[pos]), contig, pos, start, seq[start : pos + longest])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], ["key", "contig_id", "at", "window_start", "window"])
+                data = np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)
+                for lo in range(0, max(0, len(data) - k + 1), CHUNK):
+                    keys, valid = packed(data[lo : lo + CHUNK + k - 1], k, two)
+                    slot = slots(keys, bits)
+                    found = np.flatnonzero(valid & (bitmap[slot >> 3] >> (slot & 7) & 1).astype(bool))
+                    for i in range(0, len(found), most):
+                        at = found[i : i + most] + lo
+                        start = np.maximum(0, at - longest)
+                        held.append(pa.RecordBatch.from_arrays([pa.array(keys[at - lo]), pa.array(np.full(len(at), contig, np.int64)), pa.array(at), pa.array(start), _gathered(data, start, np.minimum(len(data), at + longest))], ["key", "contig_id", "at", "window_start", "window"]))
+                    if sum(b.num_rows for b in held) > most:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held = []
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return run
 
 
 def _pieces(k: int, two: bool):
+    bits = k * (1 if two else 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows, offsets = [], [], []
             for i, (pattern, errors) in enumerate(zip(batch.column("pattern").to_pylist(), batch.column("max_errors").to_pylist())):
                 size = len(pattern) // (errors + 1)
                 if size >= k:
-                    found, valid = packed(pattern.encode(), k, two)
+                    found, valid = packed(pattern.encode("ascii", "replace"), k, two)
                     for p in range(errors + 1):
                         if valid[p * size]:
                             keys.append(int(found[p * size]))
                             rows.append(i)
                             offsets.append(p * size)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(keys, pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "key", "offset"])
+            key = np.array(keys, np.int64)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(key), pa.array(offsets, pa.int64()), pa.array(slots(key, bits))], [*batch.schema.names, "key", "offset", "slot"])
 
     return run
 
 
-def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False) -> DataFrame:
-    """Reads (read_id, seq, max_errors) and contigs (contig_id, seq) to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part."""
-    spark = reads.sparkSession
+def bitmap_of(pieces: DataFrame, bits: int) -> np.ndarray:
+    """The slots of all pieces as bits; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
+    size = min(bits, BITMAP)
+    words = pieces.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << max(0, size - 6)), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
+def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False, index: Index | None = None, slack: int | None = None) -> DataFrame:
+    """Reads (read_id, seq, max_errors) and contigs (contig_id, seq), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part.
+
+    A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases, and there is no part."""
     both = strands(reads.select("read_id", "seq", "max_errors")).select("read_id", "strand", "pattern", "max_errors")
-    pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long")
-    longest = reads.agg(F.max(F.length("seq"))).first()[0] or 0
-    bitmap = None
-    if k * (1 if two else 2) <= 2 * BITMAP:
-        bitmap = np.zeros(max(1, 1 << max(0, k * (1 if two else 2) - 3)), np.uint8)
-        keys = np.array([r.key for r in pieces.select("key").distinct().collect()], np.int64)  # at most 4**k keys
-        np.bitwise_or.at(bitmap, keys >> 3, (1 << (keys & 7)).astype(np.uint8))
-    windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap), "key long, contig_id long, at long, window_start long, window string")
-    met = windows.join(pieces, "key").withColumn("pos", F.col("at") - F.col("offset"))
+    pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
+    own = ["read_id", "strand", "contig_id", "pos"]
+    found = ["read_id", "strand", "pattern", "max_errors", "contig_id", "pos"]
+    if index is not None:
+        met = index.seeds.join(pieces.drop("slot"), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -(slack or 0)).select(*found).dropDuplicates(own)
+        return met if slack is not None else with_parts(met, index.tiles, F.col("pos"), F.length("pattern")).where(F.length("part") == F.length("pattern"))
+    longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) if slack is None else 0
+    windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap_of(pieces, k * (1 if two else 2))), "key long, contig_id long, at long, window_start long, window string")
+    met = windows.join(pieces.drop("slot"), "key").withColumn("pos", F.col("at") - F.col("offset"))
+    if slack is not None:
+        return met.where(F.col("pos") >= -slack).select(*found).dropDuplicates(own)
     part = F.substr("window", (F.col("pos") - F.col("window_start") + 1).cast("int"), F.length("pattern"))
     inside = (F.col("pos") >= F.col("window_start")) & (F.length(part) == F.length("pattern"))
-    return met.where(inside).withColumn("part", part).select("read_id", "strand", "pattern", "max_errors", "contig_id", "pos", "part").dropDuplicates(["read_id", "strand", "contig_id", "pos"])
+    return met.where(inside).withColumn("part", part).select(*found, "part").dropDuplicates(own)
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def seed_width(reads: DataFrame, widest: int = BITMAP) -> int:
+def seed_width(reads: DataFrame, widest: int = WIDEST) -> int:
     """The widest seed that every read's pieces have room for."""
     least = reads.agg(F.min(F.floor(F.length("seq") / (F.col("max_errors") + 1)))).first()[0]
     return max(1, min(widest, int(least or 1)))
 
 
-def hits(reads: DataFrame, contigs: DataFrame, conf: SearchConf, k: int | None = None) -> DataFrame:
+def hits(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, k: int | None = None, index: Index | None = None) -> DataFrame:
     """All places with at most max_errors + delta differences: read_id, contig_id, pos (0-based), strand, nm, max_errors."""
     ready = budget(reads, conf)
     wide = ready.withColumn("max_errors", F.col("max_errors") + conf.delta)
-    found = candidates(wide, contigs, k or seed_width(wide), conf.bisulfite)
+    found = candidates(wide, contigs, index.k if index else k or seed_width(wide), conf.bisulfite, index)
     nm = S.bisulfite_distance(F.col("pattern"), F.col("part"), F.col("strand")) if conf.bisulfite else S.hamming(F.col("pattern"), F.col("part"))
     return found.withColumn("nm", nm).where(F.col("nm") <= F.col("max_errors")).select("read_id", "contig_id", "pos", "strand", "nm", (F.col("max_errors") - conf.delta).alias("max_errors"))
 
 
+def indexed(reads: DataFrame, index: Index, conf: SearchConf = SearchConf()) -> DataFrame:
+    """search() over a stored index. Its seeds must be no wider than the reads' pieces, else the plan fails; its alphabet must be the search's."""
+    if index.two != conf.bisulfite:
+        raise ValueError("the index is for searches with the other alphabet")
+    size = F.floor(F.length("seq") / (budgeted(conf) + conf.delta + 1))
+    fits = (size >= index.k) & (F.length("seq") <= index.reach)
+    checked = reads.where(F.when((F.length("seq") == 0) | fits, True).otherwise(F.raise_error(F.concat(F.lit("the index doesn't fit read "), F.col("read_id").cast("string")))))
+    return strata(hits(checked, None, conf, index=index), conf.delta)
+
+
 def strata(found: DataFrame, delta: int = 0) -> DataFrame:
     """Of each read the hits of the best stratum and of `delta` more, if the best is within its budget."""
     best = F.min("nm").over(Window.partitionBy("read_id"))
@@ -191,13 +244,16 @@ def gapped(reads: DataFrame, contigs: DataFrame, conf: SearchConf) -> DataFrame:
         seeds = both.select(name.alias("read_id"), part.alias("seq"))
         ends.append(hits(seeds, contigs, plain).where("strand = '+'").select(F.col("read_id").alias("key"), "contig_id", "pos"))
     left = ends[0].withColumn("from", F.col("pos") + s).withColumnRenamed("pos", "pos1")
-    met = range_join(left, ends[1].withColumnRenamed("pos", "right_pos"), ["key", "contig_id"], "from", "right_pos", 1 << 20 if conf.max_gap > 1 << 20 else conf.max_gap + 4096)
+    longest = both.agg(F.max(F.length("pattern"))).first()[0] or 0
+    met = range_join(left, ends[1].withColumnRenamed("pos", "right_pos"), ["key", "contig_id"], "from", "right_pos", conf.max_gap + longest)
     rows = met.join(both.withColumn("key", name), "key").withColumn("n", F.length("pattern")).withColumn("gap", F.col("right_pos") + s - F.col("pos1") - F.col("n")).where((F.col("gap") >= 0) & (F.col("gap") <= conf.max_gap))
-    rows = rows.join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id")
+    # The bases that follow the first part, and those before the end of the last, each from a tile.
+    tiles = tiled(contigs, longest)
+    rows = with_parts(rows, tiles, F.col("pos1"), F.col("n"), "one")
+    rows = with_parts(rows, tiles, F.col("pos1") + F.col("gap"), F.col("n"), "two")
     at = lambda text, i: F.substr(text, i.cast("int"), F.lit(1))
-    first = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (at(F.col("pattern"), i) != at(F.col("contig"), F.col("pos1") + i)).cast("int"))
-    second = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (at(F.col("pattern"), i) != at(F.col("contig"), F.col("pos1") + F.col("gap") + i)).cast("int"))
-    rows = rows.withColumn("a", first).withColumn("b", second)
+    differ = lambda name: F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (at(F.col("pattern"), i) != at(F.col(name), i)).cast("int"))
+    rows = rows.withColumn("a", differ("one")).withColumn("b", differ("two"))
     total = lambda x, lo, n: F.aggregate(F.slice(x, lo, n), F.lit(0), lambda t, v: t + v)
     split = F.transform(F.sequence(F.lit(s), F.col("n") - s), lambda c: F.struct((total(F.col("a"), F.lit(1), c) + total(F.col("b"), c + 1, F.col("n") - c)).alias("total"), c.alias("cut"), total(F.col("a"), F.lit(1), c).alias("nm"), total(F.col("b"), c + 1, F.col("n") - c).alias("nm2")))
     rows = rows.withColumn("best", F.array_min(split)).where(F.col("best.total") <= F.col("max_errors"))

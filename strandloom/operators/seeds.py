@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, product
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.contigs import tiled
+
 #: Widest seed that fits a signed 64-bit key.
 WIDEST = 31
 _CODE = np.full(256, 4, np.uint8)
@@ -22,15 +25,23 @@ for _c, _v in zip(b"AGCT", (0, 0, 1, 1)):
 
 
 def packed(seq: bytes, k: int, two: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words of width k and whether they are valid (no letter but A, C, G and T)."""
+    """Keys of all words of width k and whether they are valid (no letter but A, C, G and T). Words of twice a width are two words of it side by side, so there are about log k steps."""
     code = (_CODE_TWO if two else _CODE)[np.frombuffer(seq, np.uint8)]
     n = len(code) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     bits = 1 if two else 2
-    key, letter = np.zeros(n, np.int64), code & (1 << bits) - 1
-    for i in range(k):
-        key = key << bits | letter[i : i + n]
+    key, width = np.zeros(len(code) + 1, np.int64), 0
+    part, step, left = (code & (1 << bits) - 1).astype(np.int64), 1, k
+    while left:
+        if left & 1:
+            m = len(code) - width - step + 1
+            key = key[:m] << bits * step | part[width : width + m]
+            width += step
+        left >>= 1
+        if left:
+            part = part[:-step] << bits * step | part[step:]
+            step *= 2
     bad = np.cumsum(np.concatenate(([0], code == 4)))
     return key, bad[k:] == bad[:-k]
 
@@ -40,18 +51,44 @@ def key_of(seq: str, k: int, two: bool = False) -> int | None:
     return int(keys[0]) if len(keys) and valid[0] else None
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], k: int, two: bool, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Contig, position and key of valid words, about `most` at a time, whatever the lengths of contigs are."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            data = (seq or "").encode("ascii", "replace")
+            for lo in range(0, max(0, len(data) - k + 1), most):
+                keys, valid = packed(data[lo : lo + most + k - 1], k, two)
+                pos = np.flatnonzero(valid)
+                held.append((np.full(len(pos), contig, np.int64), pos + lo, keys[pos]))
+                size += len(pos)
+                if size >= most:
+                    yield tuple(np.concatenate(c) for c in zip(*held))
+                    held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def seed_counts(contigs: DataFrame, k: int, two: bool = False) -> DataFrame:
+    """Numbers of positions by key, as histogram(seed_table(...)), summed where contigs are read: key, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, keys in _chunks(batches, k, two, 1 << 21):
+            found, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
+
+    return contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def seed_table(contigs: DataFrame, k: int, two: bool = False) -> DataFrame:
     """Contigs (contig_id, seq) to (key, contig_id, pos) for every position whose word has no letter but A, C, G and T."""
     if not 1 <= k <= WIDEST:
         raise ValueError(f"a seed has 1 to {WIDEST} bases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if seq:
-                    keys, valid = packed(seq.encode(), k, two)
-                    pos = np.flatnonzero(valid)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[pos]), pa.array(np.full(len(pos), contig, np.int64)), pa.array(pos)], ["key", "contig_id", "pos"])
+        for contigs_, starts, keys in _chunks(batches, k, two):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(contigs_), pa.array(starts)], ["key", "contig_id", "pos"])
 
     return contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(run, "key long, contig_id long, pos long")
 
@@ -66,6 +103,31 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@dataclass(frozen=True)
+class Index:
+    """What write_search_index wrote: seeds (key, contig_id, pos), tiles and lengths of the contigs, and the seeds' width and alphabet. Each part is read when it is used."""
+
+    k: int
+    two: bool
+    reach: int
+    seeds: DataFrame
+    tiles: DataFrame
+    contigs: DataFrame
+
+
+def write_search_index(contigs: DataFrame, path: str, k: int, two: bool = False, reach: int = 1024, partitions: int | None = None) -> None:
+    """Contigs (contig_id, seq) as an index that search.indexed reads: sorted seeds, tiles for reads of up to `reach` bases (gaps included), lengths, and one row of parameters."""
+    write_index(seed_table(contigs, k, two), f"{path}/seeds", partitions)
+    tiled(contigs, reach, reach).write.parquet(f"{path}/tiles")
+    contigs.select("contig_id", F.length("seq").cast("long").alias("length")).write.parquet(f"{path}/contigs")
+    contigs.sparkSession.createDataFrame([(k, two, reach)], "k int, two boolean, reach int").coalesce(1).write.parquet(f"{path}/info")
+
+
+def read_search_index(spark, path: str) -> Index:
+    info = spark.read.parquet(f"{path}/info").first()
+    return Index(info.k, info.two, info.reach, *(spark.read.parquet(f"{path}/{part}") for part in ("seeds", "tiles", "contigs")))
+
+
 def neighbours(k: int, distance: int, letters: int = 4) -> list[tuple[int, int]]:
     """(mask, changes) of every word of `letters` values that differs from zero in at most `distance` (0 to 2) places: keys xor the mask are the neighbours."""
     bits = (letters - 1).bit_length()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranks import ranked
+
 
 def assignment(lengths: dict[int, int], shards: int, balanced: bool = True) -> dict[int, int]:
     """Shard of each contig: the longest first (in the given order if not balanced), each to the shard with the least load."""
@@ -20,14 +22,68 @@ def assignment(lengths: dict[int, int], shards: int, balanced: bool = True) -> d
     return out
 
 
-def dealt(contigs: DataFrame, shards: int, most: int = 5_000_000) -> DataFrame:
-    """Adds shard. The list of contigs goes to the driver up to `most` of them; beyond that the shard is a hash of the id."""
-    sized = contigs.select("contig_id", F.length("seq").alias("n"))
-    if sized.count() > most:
-        return contigs.withColumn("shard", F.pmod(F.xxhash64("contig_id"), F.lit(shards)).cast("int"))
-    found = assignment({r.contig_id: r.n for r in sized.orderBy("contig_id").collect()}, shards)
-    table = contigs.sparkSession.createDataFrame([*found.items()], "contig_id long, shard int")
-    return contigs.join(table, "contig_id")
+def shares(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """The same dealing over counts of lengths: (length, first rank, last rank + 1, shard) of the contigs of a length.
+
+    The n contigs of a length go where the n least loads are that a shard has before each of its next contigs; the n-th least is found by halving, so a length costs the same however many contigs have it."""
+    loads, out = [0] * shards, []
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
+        if not length:  # no load: all to the least one
+            out.append((0, 0, n, min(range(shards), key=lambda s: (loads[s], s))))
+            continue
+        low, high = min(loads), min(loads) + n * length  # the last contig's load before it is in low..high
+        while low < high:
+            mid = (low + high) // 2
+            if sum(max(0, (mid - x) // length + 1) for x in loads) >= n:
+                high = mid
+            else:
+                low = mid + 1
+        below = [max(0, (low - 1 - x) // length + 1) for x in loads]
+        left = n - sum(below)
+        rank = 0
+        for s in range(shards):
+            own = below[s]
+            if left and loads[s] <= low and (low - loads[s]) % length == 0:  # it has a place at just that load; the first shards take these
+                own, left = own + 1, left - 1
+            if own:
+                out.append((length, rank, rank + own, s))
+                loads[s] += own * length
+                rank += own
+    return out
+
+
+def dealt(contigs: DataFrame, shards: int) -> DataFrame:
+    """Adds shard: the longest contigs first, each to the shard with the least load. The plan is made from counts of lengths, of which B bases have at most (2 B) ** 0.5; contigs take their shard by their rank within their length."""
+    sized = contigs.withColumn("_n", F.length("seq").cast("long"))
+    told = sized.groupBy("_n").agg(F.count("*").alias("n")).toArrow()
+    counts = dict(zip(told.column("_n").to_pylist(), told.column("n").to_pylist()))
+    plan = contigs.sparkSession.createDataFrame(shares(counts, shards), "_n long, lo long, hi long, shard int")
+    met = ranked(sized, "_n", ["contig_id"]).join(plan, "_n").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    return met.select(*contigs.columns, "shard")
+
+
+def write_shards(contigs: DataFrame, shards: int, path: str) -> None:
+    """Contigs dealt to shards: their texts in a folder for each shard, the names and lengths of all as a table with a tab between, and the number of shards."""
+    named = dealt(contigs, shards)
+    named.write.partitionBy("shard").parquet(f"{path}/contigs")
+    named.select("name", F.length("seq").cast("long").alias("length")).orderBy("name").coalesce(1).write.csv(f"{path}/header", sep="\t")
+    contigs.sparkSession.createDataFrame([(str(shards),)], "value string").coalesce(1).write.text(f"{path}/count")
+
+
+def read_shards(spark: SparkSession, path: str) -> tuple[int, DataFrame, DataFrame]:
+    """The number of shards, the header (name, length; the plan fails at a name that occurs twice), and the contigs with their shard."""
+    from strandloom.sources.sam import targets_of_table
+
+    n = int(spark.read.text(f"{path}/count").first().value)
+    return n, targets_of_table(spark, f"{path}/header"), spark.read.parquet(f"{path}/contigs")
+
+
+def linked(rows: DataFrame, header: DataFrame, name: str = "rname") -> DataFrame:
+    """Adds tid: the place in the header (name, tid) of the contig that a shard's row names; the plan fails at a name that the header lacks. Rows without a name have none."""
+    met = rows.join(header.select(F.col("name").alias("_name"), "tid"), F.col(name) == F.col("_name"), "left").drop("_name")
+    known = F.col("tid").isNotNull() | F.col(name).isNull() | (F.col(name) == "*")
+    return met.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("no such contig in the header: "), F.col(name)))))
 
 
 def partial(hits: DataFrame, shard: str = "shard") -> DataFrame:

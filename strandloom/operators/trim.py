@@ -60,3 +60,8 @@ def admitted(reads: DataFrame, max_errors: Column) -> DataFrame:
     """Adds low_quality (discarded) and searchable: neither discarded nor with more N than errors in its good part."""
     good = S.good_part(F.col("seq"), F.col("good_start"), F.col("good_stop"), F.col("discarded"))
     return reads.withColumn("low_quality", F.col("discarded")).withColumn("searchable", ~F.col("discarded") & (S.n_count(good) <= max_errors))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows with their columns worked out once: a generator stands after them, through which filters and projections aren't pushed, so what comes later doesn't repeat long expressions."""
+    return rows.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))))

@@ -52,7 +52,15 @@ def error_strata(spark, sf):
     return search.histogram(_hits(spark, sf)).select("read_id", sam.error_histogram(F.col("strata")).alias("xd"))
 
 
-BISULFITE = f"WITH {V.CONTIGS_SQL}, {V.CLEAN_SQL}, treated AS (SELECT read_id, translate(seq, 'C', 'T') AS seq FROM clean), {V.strands_sql('treated')}, {V.WINDOWS_SQL}, plain AS MATERIALIZED (SELECT *, translate(w, 'C', 'T') AS wt, translate(w, 'G', 'A') AS wa FROM windows), coded AS MATERIALIZED (SELECT *, translate(pattern, 'C', 'T') AS pt, translate(pattern, 'G', 'A') AS pa FROM patterns), near AS MATERIALIZED (SELECT * FROM plain, coded WHERE strand = '+' AND hamming(wt, pt) <= 2 UNION ALL SELECT * FROM plain, coded WHERE strand = '-' AND hamming(wa, pa) <= 2), hits AS (SELECT read_id, contig_id, pos, strand, list_sum(list_transform(range(1, 61), lambda i: CASE WHEN substr(w, i, 1) = substr(pattern, i, 1) THEN 0 WHEN strand = '+' AND substr(w, i, 1) = 'C' AND substr(pattern, i, 1) = 'T' THEN 0 WHEN strand = '-' AND substr(w, i, 1) = 'G' AND substr(pattern, i, 1) = 'A' THEN 0 ELSE 1 END)) AS nm FROM near)"
+#: In two letters a base and what bisulfite makes of it are the same; pieces are looked for in these.
+BISULFITE = (
+    f"WITH {V.CONTIGS_SQL}, {V.CLEAN_SQL}, treated AS (SELECT read_id, translate(seq, 'C', 'T') AS seq FROM clean), {V.strands_sql('treated')}, "
+    "forward AS (SELECT read_id, strand, translate(pattern, 'C', 'T') AS pattern FROM patterns WHERE strand = '+'), backward AS (SELECT read_id, strand, translate(pattern, 'G', 'A') AS pattern FROM patterns WHERE strand = '-'), "
+    "ct AS (SELECT contig_id, translate(seq, 'C', 'T') AS seq FROM contigs), ga AS (SELECT contig_id, translate(seq, 'G', 'A') AS seq FROM contigs), "
+    f"{V.pairs_sql('f', 'forward', 'ct', 2)}, {V.pairs_sql('b', 'backward', 'ga', 2)}, near AS (SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM b) JOIN patterns USING (read_id, strand) JOIN contigs USING (contig_id) WHERE pos + length(pattern) <= length(seq)), "
+    "hits AS (SELECT read_id, contig_id, pos, strand, list_sum(list_transform(range(1, length(pattern) + 1), lambda i: CASE WHEN substr(w, i, 1) = substr(pattern, i, 1) THEN 0 WHEN strand = '+' AND substr(w, i, 1) = 'C' AND substr(pattern, i, 1) = 'T' THEN 0 WHEN strand = '-' AND substr(w, i, 1) = 'G' AND substr(pattern, i, 1) = 'A' THEN 0 ELSE 1 END)) AS nm "
+    "FROM (SELECT *, substr(seq, CAST(pos + 1 AS BIGINT), length(pattern)) AS w FROM near))"
+)
 
 
 def _bisulfite_reads(spark, sf):
@@ -112,10 +120,10 @@ def _records(spark, sf):
     reads_, found = V.reads(spark, sf), _hits(spark, sf)
     rows = found.join(reads_, "read_id")
     seq = F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq")))
-    return rows.select(F.concat(F.lit("r"), F.col("read_id")).alias("qname"), F.when(F.col("strand") == "-", 16).otherwise(0).alias("flag"), "contig_id", (F.col("pos") + 5).alias("pos"), G.build(F.lit(50), F.lit(5), F.lit(5)).alias("cigar"), seq.alias("seq"))
+    return rows.select(F.concat(F.lit("r"), F.col("read_id")).alias("qname"), F.when(F.col("strand") == "-", 16).otherwise(0).alias("flag"), "contig_id", (F.col("pos") + 5).alias("pos"), G.build(F.length("seq") - 10, F.lit(5), F.lit(5)).alias("cigar"), seq.alias("seq"))
 
 
-@query("pileup_depth", HITS + " SELECT contig_id, ref, count(*) AS depth FROM (SELECT contig_id, pos + unnest(range(5, 55)) AS ref FROM hits) GROUP BY ALL")
+@query("pileup_depth", HITS + " SELECT contig_id, ref, count(*) AS depth FROM (SELECT contig_id, pos + unnest(range(5, length(seq) - 5)) AS ref FROM hits JOIN reads USING (read_id)) GROUP BY ALL")
 def pileup_depth(spark, sf):
     return pileup.depth(_records(spark, sf)).select("contig_id", "ref", "depth")
 
@@ -125,18 +133,18 @@ def idxstats(spark, sf):
     return pileup.idxstats(_records(spark, sf), V.contigs(spark, sf).select("contig_id", F.length("seq").cast("long").alias("length")))
 
 
-@query("sam_text", HITS + " SELECT 'r' || read_id || chr(9) || CASE strand WHEN '-' THEN 16 ELSE 0 END || chr(9) || contig_id || chr(9) || (pos + 1) || chr(9) || CASE WHEN nh = 1 THEN 60 ELSE 0 END || chr(9) || '60M' || chr(9) || '*' || chr(9) || 0 || chr(9) || 0 || chr(9) || seq || chr(9) || '*' || chr(9) || 'NH:i:' || nh || chr(9) || 'NM:i:' || nm AS value FROM (SELECT h.read_id, strand, contig_id, pos, nm, CASE strand WHEN '+' THEN r.seq ELSE " + V.revcomp_sql("r.seq") + " END AS seq, count(*) OVER (PARTITION BY h.read_id) AS nh FROM hits h JOIN reads r ON h.read_id = r.read_id)")
+@query("sam_text", HITS + " SELECT 'r' || read_id || chr(9) || CASE strand WHEN '-' THEN 16 ELSE 0 END || chr(9) || contig_id || chr(9) || (pos + 1) || chr(9) || CASE WHEN nh = 1 THEN 60 ELSE 0 END || chr(9) || length(seq) || 'M' || chr(9) || '*' || chr(9) || 0 || chr(9) || 0 || chr(9) || seq || chr(9) || '*' || chr(9) || 'NH:i:' || nh || chr(9) || 'NM:i:' || nm AS value FROM (SELECT h.read_id, strand, contig_id, pos, nm, CASE strand WHEN '+' THEN r.seq ELSE " + V.revcomp_sql("r.seq") + " END AS seq, count(*) OVER (PARTITION BY h.read_id) AS nh FROM hits h JOIN reads r ON h.read_id = r.read_id)")
 def sam_text(spark, sf):
     from strandloom.sources.sam import text_of
 
     rows = search.numbered(_hits(spark, sf)).join(V.reads(spark, sf), "read_id")
     seq = F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq")))
     null = F.lit(None)
-    fields = {"qname": F.concat(F.lit("r"), F.col("read_id")), "flag": sam.flag(reverse=F.col("strand") == "-"), "rname": F.col("contig_id").cast("string"), "pos": F.col("pos") + 1, "mapq": sam.mapq(F.col("nh")), "cigar": F.lit("60M"), "rnext": null.cast("string"), "pnext": null.cast("long"), "tlen": null.cast("long"), "seq": seq, "qual": null.cast("string"), "tags": F.create_map(F.lit("NH"), F.col("nh").cast("string"), F.lit("NM"), F.col("nm").cast("string"))}
+    fields = {"qname": F.concat(F.lit("r"), F.col("read_id")), "flag": sam.flag(reverse=F.col("strand") == "-"), "rname": F.col("contig_id").cast("string"), "pos": F.col("pos") + 1, "mapq": sam.mapq(F.col("nh")), "cigar": F.concat(F.length("seq").cast("string"), F.lit("M")), "rnext": null.cast("string"), "pnext": null.cast("long"), "tlen": null.cast("long"), "seq": seq, "qual": null.cast("string"), "tags": F.create_map(F.lit("NH"), F.col("nh").cast("string"), F.lit("NM"), F.col("nm").cast("string"))}
     return text_of(rows.select(*(v.alias(k) for k, v in fields.items())))
 
 
-PROFILE = BISULFITE + ", kept AS (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits WHERE nm <= 2), obs AS (SELECT k.contig_id, k.strand, k.pos + i - 1 AS ref, substr(c.seq, CAST(k.pos + i AS BIGINT), 1) AS r, substr(p.pattern, i, 1) AS b FROM (SELECT *, unnest(range(1, 61)) AS i FROM kept WHERE nm = least) k JOIN contigs c ON c.contig_id = k.contig_id JOIN patterns p ON p.read_id = k.read_id AND p.strand = k.strand), profile AS (SELECT contig_id, ref, strand, least(255, count(*) FILTER (b = r)) AS c_cnt, least(255, count(*) FILTER (b <> r)) AS t_cnt FROM obs WHERE (strand = '+' AND r = 'C' AND b IN ('C', 'T')) OR (strand = '-' AND r = 'G' AND b IN ('G', 'A')) GROUP BY ALL)"
+PROFILE = BISULFITE + ", kept AS (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits WHERE nm <= 2), obs AS (SELECT k.contig_id, k.strand, k.pos + i - 1 AS ref, substr(c.seq, CAST(k.pos + i AS BIGINT), 1) AS r, substr(k.pattern, i, 1) AS b FROM (SELECT *, unnest(range(1, length(pattern) + 1)) AS i FROM kept JOIN patterns USING (read_id, strand) WHERE nm = least) k JOIN contigs c ON c.contig_id = k.contig_id), profile AS (SELECT contig_id, ref, strand, least(255, count(*) FILTER (b = r)) AS c_cnt, least(255, count(*) FILTER (b <> r)) AS t_cnt FROM obs WHERE (strand = '+' AND r = 'C' AND b IN ('C', 'T')) OR (strand = '-' AND r = 'G' AND b IN ('G', 'A')) GROUP BY ALL)"
 
 
 def _profile(spark, sf):
@@ -162,31 +170,43 @@ def methyl_report(spark, sf):
 def methyl_resolve_loop(spark, sf):
     from strandloom.config import MethylConf
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cycles-")
-    return methyl.resolve(_bisulfite(spark, sf), _bisulfite_reads(spark, sf), V.contigs(spark, sf), MethylConf(min_cov=1, max_cov=2), folder)
+    return methyl.resolve(_bisulfite(spark, sf), _bisulfite_reads(spark, sf), V.contigs(spark, sf), MethylConf(min_cov=1, max_cov=2), _shared(spark, "cycles"))
+
+
+#: The dynamic programme of banded alignments in SQL: a row of scores for each base of a read, within five of the diagonal of a place. "." is beyond the contig.
+INDELS = (
+    f"WITH RECURSIVE {V.CONTIGS_SQL}, {V.CLEAN_SQL}, cut AS (SELECT read_id, substr(seq, 1, 30) || substr(seq, 33) AS seq FROM clean), {V.strands_sql('cut')}, {V.pairs_sql('plain', 'patterns', 'contigs', 1)}, "
+    "ungapped AS (SELECT DISTINCT read_id FROM plain JOIN patterns USING (read_id, strand) JOIN contigs USING (contig_id) WHERE pos + length(pattern) <= length(seq) AND hamming(substr(seq, CAST(pos + 1 AS BIGINT), length(pattern)), pattern) <= 1), "
+    "open_ AS (SELECT * FROM patterns WHERE read_id NOT IN (SELECT read_id FROM ungapped)), "
+    "width AS (SELECT min(length(pattern)) // 7 AS k FROM open_), "
+    "q AS (SELECT read_id, strand, pattern, k, j * (length(pattern) // 7) AS off, substr(pattern, CAST(j * (length(pattern) // 7) + 1 AS BIGINT), CAST(k AS BIGINT)) AS key FROM (SELECT *, unnest(range(0, 7)) AS j FROM open_), width), "
+    "w AS (SELECT contig_id, x, substr(seq, CAST(x + 1 AS BIGINT), CAST(k AS BIGINT)) AS key FROM (SELECT contig_id, seq, k, unnest(range(0, greatest(length(seq) - k + 1, 0))) AS x FROM contigs, (SELECT DISTINCT k FROM q))), "
+    "c AS MATERIALIZED (SELECT DISTINCT read_id, strand, pattern, contig_id, x - off AS pos FROM q JOIN w USING (key) WHERE x - off >= -5), "
+    "t AS MATERIALIZED (SELECT read_id, strand, pattern, contig_id, length(pattern) AS n, rpad(repeat('.', CAST(greatest(5 - pos, 0) AS BIGINT)) || substr(seq, CAST(greatest(pos - 5, 0) + 1 AS BIGINT), length(pattern) + 10 - greatest(5 - pos, 0)), CAST(length(pattern) + 10 AS INTEGER), '.') AS t FROM c JOIN contigs USING (contig_id) WHERE greatest(pos - 5, 0) < length(seq)), "
+    "u AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT read_id, strand, pattern, contig_id, n, t FROM t)), "
+    "r AS (SELECT id, 0 AS i, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS s FROM u UNION ALL SELECT id, i + 1, list_transform(range(1, 12), lambda d: CASE WHEN substr(w, d, 1) = '.' THEN base[d] ELSE list_max(list_transform(range(greatest(1, dots), d + 1), lambda j: base[j] - 2 * (d - j))) END) FROM "
+    "(SELECT id, i, w, length(w) - length(ltrim(w, '.')) AS dots, list_transform(range(1, 12), lambda d: greatest(CASE WHEN substr(w, d, 1) = '.' THEN -1000000 ELSE s[d] + CASE WHEN substr(w, d, 1) = b THEN 1 ELSE -1 END END, CASE WHEN d < 11 THEN s[d + 1] - 2 ELSE -1000000 END)) AS base FROM "
+    "(SELECT r.id, r.i, r.s, substr(u.t, r.i + 1, 11) AS w, substr(u.pattern, r.i + 1, 1) AS b FROM r JOIN u ON u.id = r.id WHERE r.i < u.n))), "
+    "ends AS (SELECT u.read_id, u.contig_id, u.strand, max(list_max(r.s)) AS score, any_value(u.n) AS n FROM r JOIN u ON u.id = r.id WHERE r.i = u.n GROUP BY ALL) "
+    "SELECT read_id, contig_id, strand, CAST(score AS INTEGER) AS score FROM (SELECT *, max(score) OVER (PARTITION BY read_id) AS top FROM ends) WHERE score = top AND score >= n - 17"
+)
 
 
-@query("indel_search")
+@query("indel_search", INDELS)
 def indel_search(spark, sf):
-    """Passages with two bases taken out of the middle: found by their first piece and aligned with a deletion."""
-    cut = V.clean_reads(spark, sf).select("read_id", F.concat(F.substring("seq", 1, 30), F.substring("seq", 33, 28)).alias("seq"))
-    return dp.indel_search(cut, V.contigs(spark, sf), SearchConf(errors=1, indels=True, indels_max=5))
+    """Passages with two bases taken out of the middle: found by a piece and aligned with a deletion."""
+    cut = V.clean_reads(spark, sf).select("read_id", F.concat(F.substring("seq", 1, 30), F.substr("seq", F.lit(33))).alias("seq"))
+    return dp.indel_search(cut, V.contigs(spark, sf), SearchConf(errors=1, indels=True, indels_max=5)).select("read_id", "contig_id", "strand", "score").distinct()
 
 
-GAPPED = f"WITH {V.CONTIGS_SQL}, p AS (SELECT item_id AS read_id, {V.dna_sql('text')} AS s FROM benchmark), split AS (SELECT read_id, substr(s, 1, 25) AS a, substr(s, 66, 25) AS b FROM p WHERE length(s) >= 90), pat AS (SELECT read_id, '+' AS strand, a, b FROM split UNION ALL SELECT read_id, '-', {V.revcomp_sql('b')}, {V.revcomp_sql('a')} FROM split), w AS MATERIALIZED (SELECT contig_id, p AS pos, substr(seq, p + 1, 25) AS w FROM (SELECT contig_id, seq, unnest(range(0, greatest(length(seq) - 24, 0))) AS p FROM contigs))"
+ENDS = "ends AS (SELECT read_id, left(seq, 25) AS a, right(seq, 25) AS b, length(seq) AS n FROM tiles WHERE length(seq) >= 50)"
+GAPPED = f"WITH {V.CONTIGS_SQL}, {V.passages_sql('tiles', 90)}, {ENDS}, pat AS (SELECT read_id, '+' AS strand, a, b FROM ends UNION ALL SELECT read_id, '-', {V.revcomp_sql('b')}, {V.revcomp_sql('a')} FROM ends), w AS MATERIALIZED (SELECT contig_id, p AS pos, substr(seq, p + 1, 25) AS w FROM (SELECT contig_id, seq, unnest(range(0, greatest(length(seq) - 24, 0))) AS p FROM contigs))"
 
 
 @query("gapped_range_join", GAPPED + ", l AS MATERIALIZED (SELECT read_id, strand, contig_id, pos FROM w JOIN pat ON w = a), r AS MATERIALIZED (SELECT read_id, strand, contig_id, pos FROM w JOIN pat ON w = b) SELECT l.read_id, l.contig_id, l.strand, l.pos, r.pos AS pos2, r.pos - l.pos - 25 AS gap FROM l JOIN r ON l.read_id = r.read_id AND l.strand = r.strand AND l.contig_id = r.contig_id AND r.pos - l.pos - 25 BETWEEN 0 AND 100")
 def gapped_range_join(spark, sf):
-    """Two exact ends of a passage with up to 100 bases between them."""
-    rows = V.table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("read_id"), S.dna(F.col("text")).alias("s")).where(F.length("s") >= 90)
-    ends = rows.select("read_id", F.substring("s", 1, 25).alias("a"), F.substring("s", 66, 25).alias("b"))
+    """Two exact ends of each stretch of 90 bases of the passages, with up to 100 bases between them."""
+    ends = V.passages(spark, sf, 90).where(F.length("seq") >= 50).select("read_id", F.left("seq", F.lit(25)).alias("a"), F.right("seq", F.lit(25)).alias("b"))
     both = ends.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), "a", "b"), F.struct(F.lit("-").alias("strand"), S.revcomp(F.col("b")).alias("a"), S.revcomp(F.col("a")).alias("b")))).alias("e")).select("read_id", "e.*")
     name = F.concat_ws("|", "read_id", "strand").alias("read_id")
     side = lambda c: search.hits(both.select(name, F.col(c).alias("seq")), V.contigs(spark, sf), SearchConf(errors=0)).where("strand = '+'").select(F.col("read_id").alias("key"), "contig_id", "pos")
@@ -195,8 +215,72 @@ def gapped_range_join(spark, sf):
     return met.select(F.split("key", "\\|")[0].cast("long").alias("read_id"), "contig_id", F.split("key", "\\|")[1].alias("strand"), "pos", "pos2", (F.col("pos2") - F.col("from")).alias("gap"))
 
 
-@query("gapped_search")
+SPLICED = (
+    f"WITH {V.CONTIGS_SQL}, {V.passages_sql('tiles', 100)}, cut AS (SELECT read_id, left(seq, 30) || right(seq, 30) AS seq FROM tiles WHERE length(seq) >= 60), {V.strands_sql('cut')}, "
+    f"heads AS (SELECT read_id, strand, left(pattern, 20) AS pattern FROM patterns), tails AS (SELECT read_id, strand, right(pattern, 20) AS pattern FROM patterns), {V.pairs_sql('h', 'heads', 'contigs', 1)}, {V.pairs_sql('e', 'tails', 'contigs', 1)}, "
+    "l AS MATERIALIZED (SELECT h.* FROM h JOIN heads USING (read_id, strand) JOIN contigs USING (contig_id) WHERE pos + 20 <= length(seq) AND hamming(substr(seq, CAST(pos + 1 AS BIGINT), 20), pattern) <= 1), "
+    "r AS MATERIALIZED (SELECT e.* FROM e JOIN tails USING (read_id, strand) JOIN contigs USING (contig_id) WHERE pos + 20 <= length(seq) AND hamming(substr(seq, CAST(pos + 1 AS BIGINT), 20), pattern) <= 1), "
+    "m AS (SELECT l.read_id, l.strand, l.contig_id, l.pos AS pos, r.pos + 20 - l.pos - length(pattern) AS gap, pattern, length(pattern) AS n, seq FROM l JOIN r ON l.read_id = r.read_id AND l.strand = r.strand AND l.contig_id = r.contig_id JOIN patterns p ON p.read_id = l.read_id AND p.strand = l.strand JOIN contigs c ON c.contig_id = l.contig_id WHERE r.pos + 20 - l.pos - length(pattern) BETWEEN 0 AND 100), "
+    "s AS (SELECT *, hamming(substr(seq, CAST(pos + 1 AS BIGINT), c), left(pattern, c)) AS nm, hamming(substr(seq, CAST(pos + gap + c + 1 AS BIGINT), n - c), right(pattern, n - c)) AS nm2 FROM (SELECT *, unnest(range(20, n - 19)) AS c FROM m)), "
+    "b AS (SELECT read_id, strand, contig_id, pos, gap, min(struct_pack(total := nm + nm2, cut := c, nm := nm, nm2 := nm2)) AS best FROM s GROUP BY ALL) "
+    "SELECT read_id, contig_id, strand, pos, CAST(pos + best.cut + gap AS BIGINT) AS pos2, CAST(best.cut AS INTEGER) AS len1, CAST(best.nm AS INTEGER) AS nm, CAST(best.nm2 AS INTEGER) AS nm2, gap FROM (SELECT *, min(best.total) OVER (PARTITION BY read_id) AS least FROM b WHERE best.total <= 2) WHERE best.total = least"
+)
+
+
+@query("gapped_search", SPLICED)
 def gapped_search(spark, sf):
-    """Passages with bases 31 to 70 taken out, looked for as two parts with a gap."""
-    rows = V.table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("read_id"), S.dna(F.col("text")).alias("s")).where(F.length("s") >= 110)
-    return search.gapped(rows.select("read_id", F.concat(F.substring("s", 1, 30), F.substring("s", 71, 30)).alias("seq")), V.contigs(spark, sf), SearchConf(errors=2, gap=True))
+    """The first and last 30 bases of each stretch of 100 of the passages, looked for as two parts with a gap."""
+    rows = V.passages(spark, sf, 100).where(F.length("seq") >= 60)
+    return search.gapped(rows.select("read_id", F.concat(F.left("seq", F.lit(30)), F.right("seq", F.lit(30))).alias("seq")), V.contigs(spark, sf), SearchConf(errors=2, gap=True))
+
+
+@query("screened_reads", V.hits_sql(4) + ", best AS (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits) SELECT r.read_id, min(contig_id) AS contaminant FROM reads r LEFT JOIN (SELECT * FROM best WHERE nm = least) b ON r.read_id = b.read_id GROUP BY r.read_id")
+def screened_reads(spark, sf):
+    """Reads that are contaminated by a contig, with it, and those that go on, with null."""
+    rest, found = search.screened(V.reads(spark, sf), V.contigs(spark, sf), E4)
+    return found.select("read_id", "contaminant").unionByName(rest.select("read_id", F.lit(None).cast("long").alias("contaminant")))
+
+
+@query("hits_by_position", HITS + " SELECT read_id, contig_id, pos, strand, row_number() OVER (PARTITION BY read_id ORDER BY pos, contig_id, strand) AS place FROM hits")
+def hits_by_position(spark, sf):
+    from pyspark.sql import Window
+
+    return _hits(spark, sf).select("read_id", "contig_id", "pos", "strand", F.row_number().over(Window.partitionBy("read_id").orderBy("pos", "contig_id", "strand")).cast("long").alias("place"))
+
+
+def _shared(spark, what: str) -> str:
+    """A new folder in the one that all executors share."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+@query("stored_index_search", BEST + f" SELECT {COLS} FROM best WHERE nm = least")
+def stored_index_search(spark, sf):
+    """hamming_join_best over an index that was written first."""
+    from strandloom.operators import seeds
+
+    path = _shared(spark, "index")
+    seeds.write_search_index(V.contigs(spark, sf), path, 12, reach=V.READ)
+    return search.indexed(V.reads(spark, sf), seeds.read_search_index(spark, path), E4).select(*COLS.split(", "))
+
+
+@query("bam_round_trip", HITS + f" SELECT 'r' || h.read_id AS qname, CASE strand WHEN '-' THEN 16 ELSE 0 END AS flag, CAST(contig_id AS VARCHAR) AS rname, pos + 1 AS pos, length(r.seq) || 'M' AS cigar, CASE strand WHEN '+' THEN r.seq ELSE {V.revcomp_sql('r.seq')} END AS seq, CAST(nm AS VARCHAR) AS nm FROM hits h JOIN reads r ON h.read_id = r.read_id")
+def bam_round_trip(spark, sf):
+    """Hits as records, written as BAM by all tasks and read back."""
+    from strandloom.sources import sam as files
+
+    found = _hits(spark, sf).join(V.reads(spark, sf), "read_id")
+    null = F.lit(None)
+    fields = {"qname": F.concat(F.lit("r"), "read_id"), "flag": sam.flag(reverse=F.col("strand") == "-"), "rname": F.col("contig_id").cast("string"), "pos": F.col("pos") + 1, "mapq": F.lit(0), "cigar": F.concat(F.length("seq").cast("string"), F.lit("M")), "rnext": F.lit("*"), "pnext": F.lit(0).cast("long"), "tlen": F.lit(0).cast("long"), "seq": F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq"))), "qual": null.cast("string"), "tags": F.create_map(F.lit("NM"), F.col("nm").cast("string"))}
+    named = found.select("contig_id").distinct().join(V.contigs(spark, sf), "contig_id").select(F.col("contig_id").cast("string").alias("name"), F.length("seq").alias("length"))
+    header = [(r.name, r.length) for r in named.collect()]  # the header of a file
+    path = _shared(spark, "bam")
+    files.write_bam(found.select(*(v.alias(k) for k, v in fields.items())), header, path)
+    return files.read_bam(spark, path).select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["NM"].alias("nm"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.config import PairConf
+from strandloom.config import PairConf, SearchConf
 from strandloom.functions import cigar as G
 from strandloom.functions import sam
 from strandloom.functions import seq as S
@@ -153,7 +153,15 @@ def shard_partial_final(spark, sf):
     return shards.final(shards.partial(rows))
 
 
-@query("lpt_assignment")
+LPT = (
+    f"WITH RECURSIVE {V.CONTIGS_SQL}, o AS (SELECT row_number() OVER (ORDER BY length(seq) DESC, contig_id) AS i, length(seq) AS n FROM contigs), "
+    "r AS (SELECT CAST(0 AS BIGINT) AS i, list_transform(range(8), lambda x: CAST(0 AS BIGINT)) AS loads, list_transform(range(8), lambda x: CAST(0 AS BIGINT)) AS counts "
+    "UNION ALL SELECT o.i, list_transform(range(1, 9), lambda s: loads[s] + CASE WHEN s = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END), list_transform(range(1, 9), lambda s: counts[s] + CASE WHEN s = list_position(loads, list_min(loads)) THEN 1 ELSE 0 END) FROM r JOIN o ON o.i = r.i + 1) "
+    "SELECT CAST(s - 1 AS INTEGER) AS shard, counts[s] AS contigs, loads[s] AS bases FROM (SELECT *, unnest(range(1, 9)) AS s FROM r WHERE i = (SELECT count(*) FROM o)) WHERE counts[s] > 0"
+)
+
+
+@query("lpt_assignment", LPT)
 def lpt_assignment(spark, sf):
     return shards.dealt(V.contigs(spark, sf), 8).groupBy("shard").agg(F.count("*").alias("contigs"), F.sum(F.length("seq")).alias("bases"))
 
@@ -169,3 +177,87 @@ def methyl_score_rank(spark, sf):
 def region_parse(spark, sf):
     text = F.concat(F.col("c_name"), F.lit(":"), F.format_number(F.col("c_custkey") + 1, 0), F.lit("-"), F.format_number(F.col("c_custkey") + 500, 0))
     return table(spark, sf, "customer").select("c_custkey", sam.region(text).alias("r")).select("c_custkey", "r.*")
+
+
+@query("linked_header", "SELECT s_suppkey, CAST(n_nationkey AS INTEGER) AS tid FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+def linked_header(spark, sf):
+    """Rows that name a contig, with its place in the header."""
+    nation = table(spark, sf, "nation")
+    rows = table(spark, sf, "supplier").join(nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("rname"))
+    return shards.linked(rows, nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("tid"))).select("s_suppkey", "tid")
+
+
+@query("colour_space", f"SELECT item_id, left(s, 1) || array_to_string(list_transform(range(1, length(s)), lambda i: CASE WHEN substr(s, i, 1) = substr(s, i + 1, 1) THEN '0' WHEN substr(s, i, 2) IN ('AC', 'CA', 'GT', 'TG') THEN '1' WHEN substr(s, i, 2) IN ('AG', 'GA', 'CT', 'TC') THEN '2' ELSE '3' END), '') AS colours, s AS bases, 'T01$$2' AS missing FROM (SELECT item_id, {V.dna_sql('text')} AS s FROM benchmark) WHERE length(s) > 1")
+def colour_space(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", S.dna(F.col("text")).alias("s")).where(F.length("s") > 1).withColumn("colours", S.colours(F.col("s")))
+    return rows.select("item_id", "colours", S.bases_of_colours(F.col("colours")).alias("bases"), S.missing_colours(F.lit("T01..2")).alias("missing"))
+
+
+REVERSED_CIGAR = "'1H2S' || CASE WHEN n > 0 THEN m || 'M' || n || 'N' ELSE '' END || m || 'M' || d || 'D' || m || 'M' || i || 'I' || m || 'M' || CASE WHEN s > 0 THEN s || 'S' ELSE '' END"
+
+
+@query("reversed_records", f"SELECT l_orderkey, l_linenumber, {REVERSED_CIGAR} AS cigar, 'TTNAC' AS seq, '!5III' AS qual, 16 AS flag FROM ({CIGARS_SQL})")
+def reversed_records(spark, sf):
+    from strandloom.sources.sam import reversed_records as turned
+
+    return turned(_cigars(spark, sf).withColumns({"seq": F.lit("GTNAA"), "qual": F.lit("III5!"), "flag": F.lit(0)}))
+
+
+DECISIONS_SQL = "SELECT o_orderkey, CASE WHEN a = 'none' AND b = 'none' THEN 'drop' WHEN a = 'unique' AND b = 'unique' THEN CASE WHEN same THEN 'both' ELSE 'drop' END WHEN a = 'unique' AND b = 'none' THEN 'first' WHEN a = 'none' AND b = 'unique' THEN 'second' WHEN a = 'unique' THEN 'second_near_first' WHEN b = 'unique' THEN 'first_near_second' ELSE 'wait' END AS decision FROM (SELECT o_orderkey, ['none', 'unique', 'multiple'][o_orderkey % 3 + 1] AS a, ['none', 'unique', 'multiple'][o_custkey % 3 + 1] AS b, o_orderstatus = 'O' AS same FROM orders)"
+
+
+@query("pair_decisions", DECISIONS_SQL)
+def pair_decisions(spark, sf):
+    kind = lambda c: F.element_at(F.array(F.lit("none"), F.lit("unique"), F.lit("multiple")), (F.col(c) % 3 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", methyl.pair_decision(kind("o_orderkey"), kind("o_custkey"), F.col("o_orderstatus") == "O").alias("decision"))
+
+
+@query("validated_calls", "WITH t AS (SELECT CASE WHEN o_orderstatus = 'O' THEN '+' ELSE '-' END AS strand, o_orderkey % 2 AS truth, floor(o_totalprice) % 101 / 100 AS level, o_custkey % 17 AS coverage FROM orders) SELECT strand, CAST(count(*) FILTER (truth = 1 AND level > 0.5) AS BIGINT) AS tp, CAST(count(*) FILTER (truth = 0 AND level <= 0.5) AS BIGINT) AS tn, CAST(count(*) FILTER (truth = 0 AND level > 0.5) AS BIGINT) AS fp, CAST(count(*) FILTER (truth = 1 AND level <= 0.5) AS BIGINT) AS fn FROM t WHERE coverage >= 10 GROUP BY GROUPING SETS ((), (strand))")
+def validated_calls(spark, sf):
+    """Calls joined with the truth by position, and the confusion of the two."""
+    c = F.col
+    rows = table(spark, sf, "orders").select(c("o_custkey").alias("contig_id"), c("o_orderkey").alias("ref"), F.when(c("o_orderstatus") == "O", "+").otherwise("-").alias("strand"), (c("o_orderkey") % 2 == 1).alias("methylated"), (F.floor("o_totalprice") % 101 / 100).alias("level"), (c("o_custkey") % 17).alias("coverage"))
+    met = methyl.validated(rows.drop("methylated"), rows.select("contig_id", "ref", "strand", "methylated"), 10)
+    return methyl.confusion(met, ["strand"]).drop("sensitivity", "specificity")
+
+
+@query("run_statistics", "WITH r AS (SELECT l_orderkey, ['CG', 'CHG', 'CHH'][l_suppkey % 3 + 1] AS context, l_quantity AS n, l_discount * 10 AS level FROM lineitem), k AS (SELECT ['none', 'unique', 'multiple'][o_orderkey % 3 + 1] AS kind FROM orders) SELECT a.*, b.* FROM (SELECT count(*) AS reads, round(count(*) FILTER (kind = 'unique') / count(*), 6) AS \"unique\", round(count(*) FILTER (kind = 'multiple') / count(*), 6) AS multiple, round(count(*) FILTER (kind = 'none') / count(*), 6) AS \"none\" FROM k) a, (SELECT count(*) AS covered, count(*) FILTER (level > 0.5) AS methylated, round(sum(n) / count(*), 6) AS mean_coverage, " + ", ".join(f"round(count(*) FILTER (context = '{k}') / count(*), 6) AS covered_{k}, round(count(*) FILTER (context = '{k}' AND level > 0.5) / nullif(count(*) FILTER (context = '{k}'), 0), 6) AS methylated_{k}" for k in ("CG", "CHG", "CHH")) + " FROM r) b")
+def run_statistics(spark, sf):
+    context = F.element_at(F.array(F.lit("CG"), F.lit("CHG"), F.lit("CHH")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    report = table(spark, sf, "lineitem").select(F.concat(context, F.lit(":"), F.col("l_quantity").cast("long")).alias("ctx_cov"), (F.col("l_discount") * 10).alias("level"), F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"))
+    kind = F.element_at(F.array(F.lit("none"), F.lit("unique"), F.lit("multiple")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return methyl.statistics(methyl.summary(report), table(spark, sf, "orders").select(kind.alias("kind")))
+
+
+#: Mates with made-up hits: the first one unless k % 3 is 2, the second unless k % 4 is 3, and once more for every fifth.
+PAIRED_SQL = f"""WITH {V.MATES_SQL}, m AS (SELECT conv_id * 4096 + k AS pair, k, conv_id, length(seq1) AS n1, length(seq2) AS n2, seq1, seq2 FROM mates WHERE length(seq1) > 0 AND length(seq2) > 0),
+h AS (SELECT pair, 1 AS mate, 100 + n1 AS pos, '+' AS strand, 1 AS nm, conv_id % 3 AS contig, n1 AS n, 1 AS hit FROM m WHERE k % 3 <> 2 UNION ALL SELECT pair, 2, 150 + n2, '-', 2, conv_id % 3, n2, 1 FROM m WHERE k % 4 <> 3 UNION ALL SELECT pair, 2, 5000 + n2, '+', 1, conv_id % 2, n2, 2 FROM m WHERE k % 4 <> 3 AND k % 5 = 0),
+c AS (SELECT h.*, count(*) OVER (PARTITION BY pair, mate) AS nh FROM h),
+one AS (SELECT pair, 3 - mate AS mate, contig AS o_contig, pos AS o_pos FROM c WHERE nh = 1),
+a AS (SELECT c.*, CASE WHEN o_contig = contig THEN abs(pos - o_pos) END AS apart FROM c LEFT JOIN one USING (pair, mate)),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair, mate ORDER BY apart NULLS LAST, CASE WHEN apart IS NOT NULL THEN pos END NULLS LAST, nm, contig, pos, strand) AS rank FROM a),
+p AS (SELECT * FROM r WHERE rank = 1), s AS (SELECT pair, seq1 AS seq, 1 AS mate, n1 AS n FROM m UNION ALL SELECT pair, seq2, 2, n2 FROM m),
+x AS (SELECT s.pair, s.mate, s.seq, s.n, r.contig, r.pos, r.strand, r.nm, r.nh, r.rank, o.contig AS oc, o.pos AS op, o.strand AS os, o.n AS onn FROM s LEFT JOIN (SELECT * FROM r WHERE nh = 1 OR rank = 1 UNION ALL SELECT * FROM r WHERE nh > 1 AND rank > 1) r ON r.pair = s.pair AND r.mate = s.mate LEFT JOIN p o ON o.pair = s.pair AND o.mate = 3 - s.mate),
+y AS (SELECT *, coalesce(contig = oc AND CASE WHEN strand = '+' AND os = '-' THEN pos + 1 <= op + onn WHEN strand = '-' AND os = '+' THEN op + 1 <= pos + n ELSE false END AND greatest(pos + n, op + onn) - least(pos + 1, op + 1) + 1 BETWEEN 0 AND 600, false) AS proper, CASE strand WHEN '+' THEN pos + 1 ELSE pos + n END AS five, CASE os WHEN '+' THEN op + 1 ELSE op + onn END AS ofive FROM x)
+SELECT 'q' || pair AS qname, CAST(1 + CASE WHEN proper THEN 2 ELSE 0 END + CASE WHEN contig IS NULL THEN 4 ELSE 0 END + CASE WHEN oc IS NULL THEN 8 ELSE 0 END + CASE WHEN strand = '-' THEN 16 ELSE 0 END + CASE WHEN os = '-' THEN 32 ELSE 0 END + 64 * mate + CASE WHEN rank > 1 THEN 256 ELSE 0 END AS INTEGER) AS flag,
+coalesce('c' || coalesce(contig, oc), '*') AS rname, CAST(coalesce(pos, op, -1) + 1 AS BIGINT) AS pos, CAST(CASE WHEN nh = 1 THEN 60 ELSE 0 END AS INTEGER) AS mapq, CASE WHEN contig IS NULL THEN '*' ELSE n || 'M' END AS cigar,
+CASE WHEN coalesce(oc, contig) IS NULL THEN '*' WHEN coalesce(oc, contig) = coalesce(contig, oc) THEN '=' ELSE 'c' || oc END AS rnext, CAST(coalesce(op, pos, -1) + 1 AS BIGINT) AS pnext, CAST(CASE WHEN contig = oc THEN ofive - five ELSE 0 END AS BIGINT) AS tlen, md5(CASE WHEN strand = '-' THEN {V.revcomp_sql('seq')} ELSE seq END) AS seq_md5, CAST(nm AS VARCHAR) AS nm, CAST(coalesce(nh, 0) AS VARCHAR) AS nh FROM y"""
+
+
+@query("paired_records", PAIRED_SQL)
+def paired_records(spark, sf):
+    from strandloom.operators import paired
+
+    c = F.col
+    rows = V.mates(spark, sf).where((F.length("seq1") > 0) & (F.length("seq2") > 0)).withColumn("pair", c("conv_id").cast("long") * 4096 + c("k"))
+    name = lambda i: F.concat(F.lit("q"), c("pair"), F.lit(f"/{i}"))
+    zipped = rows.select(c("pair").alias("ordinal"), name(1).alias("id1"), "seq1", F.repeat(F.lit("I"), F.length("seq1")).alias("qual1"), name(2).alias("id2"), "seq2", F.repeat(F.lit("I"), F.length("seq2")).alias("qual2"))
+    mates = paired.mates_of(zipped).withColumns({"good_start": F.lit(1), "good_stop": F.length("seq"), "discarded": F.lit(False), "contaminant": F.lit(None).cast("string")})
+    ready = paired.admitted(mates, SearchConf(errors=2))
+    n1, n2, conv = F.length("seq1").cast("long"), F.length("seq2").cast("long"), c("conv_id").cast("long")
+    hit = lambda mate, pos, strand, nm, contig: (c("pair") * 2 + mate - 1, contig, pos, F.lit(strand), F.lit(nm))
+    one = lambda where, h: rows.where(where).select(*(v.alias(k) for k, v in zip(("read_id", "contig_id", "pos", "strand", "nm"), h)))
+    hits = one("k % 3 <> 2", hit(1, n1 + 100, "+", 1, conv % 3)).unionByName(one("k % 4 <> 3", hit(2, n2 + 150, "-", 2, conv % 3))).unionByName(one("k % 4 <> 3 and k % 5 = 0", hit(2, n2 + 5000, "+", 1, conv % 2)))
+    names = spark.range(3).select(c("id").alias("contig_id"), F.concat(F.lit("c"), "id").alias("name"))
+    out = paired.records(ready, hits, names, PairConf(0, 600), first=None)
+    return out.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.md5("seq").alias("seq_md5"), c("tags")["NM"].alias("nm"), c("tags")["NH"].alias("nh"))

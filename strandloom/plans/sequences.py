@@ -33,18 +33,18 @@ def iupac_complement(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", S.complement(letters).alias("comp"))
 
 
-@query("lowercase_mask", f"SELECT item_id, lower(substr(s,1,10)) || substr(s,11,40) || lower(substr(s,51)) AS masked, replace(replace(s,'A','N'),'N','n') AS small_n FROM ({PASSAGE}) WHERE length(s) >= 50")
+@query("lowercase_mask", f"SELECT item_id, lower(substr(s,1,10)) || substr(s,11,40) || lower(substr(s,51)) AS masked, replace(replace(s,'A','N'),'N','n') AS small_n FROM ({PASSAGE})")
 def lowercase_mask(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", S.dna(F.col("text")).alias("s")).where(F.length("s") >= 50)
+    rows = table(spark, sf, "benchmark").select("item_id", S.dna(F.col("text")).alias("s"))
     return rows.select("item_id", S.masked(F.col("s"), F.lit(11), F.lit(50), F.lit(False)).alias("masked"), S.lower_n(F.replace("s", F.lit("A"), F.lit("N"))).alias("small_n"))
 
 
 def _n_text(spark, sf):
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, sf, "documents").select("doc_id", F.substring(F.translate(letters, S.LETTERS, "ACGTACGTANGTACGTNCGTACGNAN"), 1, 100).alias("s"))
+    return table(spark, sf, "documents").select("doc_id", F.translate(letters, S.LETTERS, "ACGTACGTANGTACGTNCGTACGNAN").alias("s"))
 
 
-@query("n_content_filter", f"SELECT doc_id, length(s) - length(replace(s,'N','')) AS n FROM (SELECT doc_id, substr({NTEXT},1,100) AS s FROM documents) WHERE length(s) > 0 AND length(s) - length(replace(s,'N','')) <= CAST(round(length(s) / 15.0) AS INTEGER)")
+@query("n_content_filter", f"SELECT doc_id, length(s) - length(replace(s,'N','')) AS n FROM (SELECT doc_id, {NTEXT} AS s FROM documents) WHERE length(s) > 0 AND length(s) - length(replace(s,'N','')) <= CAST(round(length(s) / 15.0) AS INTEGER)")
 def n_content_filter(spark, sf):
     s = F.col("s")
     return _n_text(spark, sf).where((F.length(s) > 0) & (S.n_count(s) <= S.error_budget(F.length(s)))).select("doc_id", S.n_count(s).alias("n"))
@@ -123,12 +123,12 @@ def _word(key, k=12):
 
 @query("seed_histogram", SEEDS + " SELECT n, count(*) AS words FROM (SELECT word, count(*) AS n FROM seeds GROUP BY word) GROUP BY n")
 def seed_histogram(spark, sf):
-    return seeds.histogram(seeds.seed_table(V.contigs(spark, sf), 12)).groupBy("n").agg(F.count("*").alias("words"))
+    return seeds.seed_counts(V.contigs(spark, sf), 12).groupBy("n").agg(F.count("*").alias("words"))
 
 
 @query("seed_topk", SEEDS + " SELECT word, count(*) AS n FROM seeds GROUP BY word ORDER BY n DESC, word LIMIT 50")
 def seed_topk(spark, sf):
-    found = seeds.histogram(seeds.seed_table(V.contigs(spark, sf), 12))
+    found = seeds.seed_counts(V.contigs(spark, sf), 12)
     return found.orderBy(F.desc("n"), "key").limit(50).select(_word(F.col("key")).alias("word"), "n")
 
 
@@ -136,7 +136,7 @@ def seed_topk(spark, sf):
 def seed_prefix_offsets(spark, sf):
     from pyspark.sql import Window
 
-    counts = seeds.seed_table(V.contigs(spark, sf), 12).groupBy(F.shiftright("key", 16).alias("p")).agg(F.count("*").alias("n"))  # 256 prefixes
+    counts = seeds.seed_counts(V.contigs(spark, sf), 12).groupBy(F.shiftright("key", 16).alias("p")).agg(F.sum("n").alias("n"))  # 256 prefixes
     first = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     word = _word(F.col("p"), 4)
     return counts.select(word.alias("prefix"), "n", first.alias("first"))

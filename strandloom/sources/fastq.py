@@ -80,7 +80,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str], illumina: bool = Fal
     if illumina:
         found = found.withColumn("qual", S.shift_quality(F.col("qual"), -31))
     if longest is not None:
-        found = found.where(F.when(F.length("seq") <= longest, True).otherwise(F.raise_error(F.concat(F.lit("read too long: "), F.col("id")))))
+        found = found.where(F.when(F.length("seq") <= longest, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("read too long: "), F.col("id"))).cast("boolean")))
     return found
 
 
@@ -93,10 +93,11 @@ def encoding(reads: DataFrame, order: list[str], qual: str = "qual") -> DataFram
     return least.select(F.when(F.col("c") < 59, "standard").when(F.col("c") > 74, "illumina").otherwise("unknown").alias("encoding"))
 
 
-def fastq_text(reads: DataFrame, illumina: bool = False) -> DataFrame:
+def fastq_text(reads: DataFrame, illumina: bool = False, keep: list[str] | None = None, upper: bool = True) -> DataFrame:
+    """Records as text, and the columns that are kept beside it."""
     qual = S.shift_quality(F.col("qual"), 31) if illumina else F.col("qual")
     head = F.concat(F.lit("@"), F.col("id"), F.when(F.coalesce(F.col("comment"), F.lit("")) != "", F.concat(F.lit(" "), F.col("comment"))).otherwise(""))
-    return reads.select(F.concat_ws("\n", head, F.upper("seq"), F.lit("+"), qual).alias("value"))
+    return reads.select(*(keep or []), F.concat_ws("\n", head, F.upper("seq") if upper else F.col("seq"), F.lit("+"), qual).alias("value"))
 
 
 def write_fastq(reads: DataFrame, path: str, illumina: bool = False, compression: str | None = None) -> None:
@@ -106,6 +107,28 @@ def write_fastq(reads: DataFrame, path: str, illumina: bool = False, compression
 
 def write_routed(reads: DataFrame, path: str) -> None:
     """Reads with a route as text files in a folder for each route."""
-    fastq_text(reads).select("value")  # the columns are checked before anything is written
-    text = reads.select("route", F.concat_ws("\n", F.concat(F.lit("@"), F.col("id")), F.upper("seq"), F.lit("+"), F.col("qual")).alias("value"))
+    text = fastq_text(reads.select("id", "comment", "seq", "qual", "route") if "comment" in reads.columns else reads.withColumn("comment", F.lit(None).cast("string")), keep=["route"])
     text.where("route is not null").write.partitionBy("route").text(path)
+
+
+def record_of(reads: DataFrame, form: str = "trimmed") -> DataFrame:
+    """Trimmed reads (id, seq, qual, good_start, good_stop, discarded) as records to write: "trimmed" (only the good part), "masked" (all, what is outside it in lower case), or "original"."""
+    from strandloom.operators.trim import trimmed
+
+    if form == "trimmed":
+        return trimmed(reads)
+    if form == "masked":
+        return reads.withColumn("seq", S.masked(F.col("seq"), F.col("good_start"), F.col("good_stop"), F.col("discarded")))
+    if form == "original":
+        return reads
+    raise ValueError("a record is trimmed, masked or original")
+
+
+def read_records(spark: SparkSession, path: str, illumina: bool = False) -> DataFrame:
+    """FASTA or FASTQ by the first character of the files that is @ or >, whatever their names are: name, comment, seq, qual (null in FASTA)."""
+    from strandloom.sources.fasta import read_fasta
+
+    lines = spark.read.text(path).select(F.regexp_extract("value", "^[^>@]*([>@])", 1).alias("first")).where("first <> ''").limit(1).collect()
+    if lines and lines[0]["first"] == "@":
+        return read_fastq(spark, path, illumina).select(F.col("id").alias("name"), "comment", "seq", "qual")
+    return read_fasta(spark, path).withColumn("qual", F.lit(None).cast("string"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import cigar as G
 from strandloom.functions import sam as M
+from strandloom.functions import seq as S
 
 COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 _KINDS = ["string", "int", "string", "long", "int", "string", "string", "long", "long", "string", "string"]
@@ -46,11 +50,11 @@ def header_of(lines: DataFrame) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    return records_of(spark.read.text(path))
+    return records_of(spark.read.option("recursiveFileLookup", "true").text(path))
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
-    return header_of(spark.read.text(path))
+    return header_of(spark.read.option("recursiveFileLookup", "true").text(path))
 
 
 def targets(header: DataFrame) -> DataFrame:
@@ -86,11 +90,12 @@ def unsorted(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", F.regexp_replace("value", r"(^@HD.*)SO:coordinate", "$1SO:unsorted"))
 
 
-def text_of(records: DataFrame) -> DataFrame:
-    """Records as lines; null fields are written as the format has it, tags in order of their names."""
+def text_of(records: DataFrame, flags: str = "decimal") -> DataFrame:
+    """Records as lines; null fields are written as the format has it, tags in order of their names. `flags`: decimal, hex or letters."""
     c = F.col
     default = {"rname": "*", "pos": "0", "mapq": "0", "cigar": "*", "rnext": "*", "pnext": "0", "tlen": "0", "seq": "*", "qual": "*", "flag": "0"}
     fields = [F.when(c(x).isNull() | (c(x).cast("string") == ""), default.get(x, "*")).otherwise(c(x).cast("string")) for x in COLUMNS]
+    fields[1] = M.flag_text(F.coalesce(c("flag"), F.lit(0)), flags)
     out = F.concat_ws("\t", *fields)
     if "tags" in records.columns:
         entries = F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
@@ -100,10 +105,11 @@ def text_of(records: DataFrame) -> DataFrame:
     return records.select(out.alias("value"))
 
 
-def write_sam(records: DataFrame, header: DataFrame, path: str) -> None:
-    """Header lines first, in one file each partition of records after it: part files in order of their names are one SAM text."""
-    header.orderBy("ordinal").select("value").coalesce(1).write.text(path)
-    text_of(records).write.mode("append").text(path)
+def write_sam(records: DataFrame, header: DataFrame | None, path: str, flags: str = "decimal") -> None:
+    """SAM text as folders: 0_header with one file (none without a header), 1_records with one for each partition. The files in order of their paths are one SAM text; read_sam and read_header read the folder."""
+    if header is not None:
+        header.orderBy("ordinal").select("value").coalesce(1).write.text(f"{path}/0_header")
+    text_of(records, flags).write.text(f"{path}/1_records")
 
 
 def _tags(data: bytes) -> dict[str, str]:
@@ -144,6 +150,12 @@ def bam_records(content: bytes) -> Iterator[tuple]:
     data = unpacked(content)
     if data[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
+    names, at = _names(data)
+    yield from _records(data, at, names)
+
+
+def _names(data: bytes) -> tuple[list[str], int]:
+    """Contigs of a header, and where it ends."""
     at = 8 + struct.unpack_from("<i", data, 4)[0]
     names, n = [], struct.unpack_from("<i", data, at)[0]
     at += 4
@@ -151,6 +163,10 @@ def bam_records(content: bytes) -> Iterator[tuple]:
         size = struct.unpack_from("<i", data, at)[0]
         names.append(data[at + 4 : at + 3 + size].decode())
         at += 8 + size
+    return names, at
+
+
+def _records(data: bytes, at: int, names: list[str]) -> Iterator[tuple]:
     while at < len(data):
         size, tid, pos, packed, more, length, mtid, mpos, tlen = struct.unpack_from("<iiiIIiiii", data, at)
         end, p = at + 4 + size, at + 36
@@ -159,9 +175,8 @@ def bam_records(content: bytes) -> Iterator[tuple]:
         p += n_name
         ops = struct.unpack_from(f"<{n_cigar}I", data, p)
         p += 4 * n_cigar
-        half = data[p : p + (length + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in half)[:length]
-        p += len(half)
+        seq = unpacked_bases(data[p : p + (length + 1) // 2], length)
+        p += (length + 1) // 2
         qual = data[p : p + length]
         p += length
         name = lambda t: names[t] if t >= 0 else "*"
@@ -169,53 +184,163 @@ def bam_records(content: bytes) -> Iterator[tuple]:
         at = end
 
 
-def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], header: str = "") -> bytes:
-    """A BAM file of some rows (as of read_bam); string tags Z, whole numbers i."""
-    tid = {n: i for i, (n, _) in enumerate(contigs)}
+def bam_header(contigs: list[tuple[str, int]], header: str = "") -> bytes:
+    """The beginning of a BAM file, before it is compressed."""
     out = [b"BAM\1", struct.pack("<i", len(header)), header.encode(), struct.pack("<i", len(contigs))]
     for name, size in contigs:
-        out.append(struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size))
-    import re
-
-    for r in rows:
-        ops = [(int(n), _OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r["cigar"] or "")]
-        seq = "" if r["seq"] in (None, "*") else r["seq"]
-        codes = [_BASES.index(c) if c in _BASES else 15 for c in seq] + [0] * (len(seq) % 2)
-        qual = bytes([255] * len(seq)) if r["qual"] in (None, "*") else bytes(ord(c) - 33 for c in r["qual"])
-        tags = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if re.fullmatch(r"-?\d{1,9}", v) else b"Z" + v.encode() + b"\0") for k, v in sorted((r.get("tags") or {}).items()))
-        span = sum(n for n, o in ops if _OPS[o] in "MDN=X") or 1
-        begin, last, bin_ = r["pos"] - 1, r["pos"] + span - 2, 0
-        for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-            if begin >= 0 and begin >> shift == last >> shift:
-                bin_ = first + (begin >> shift)
+        out.append(struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\0" + struct.pack("<i", size))
+    return b"".join(out)
+
+
+def packed_bases(seq: str) -> bytes:
+    """Bases in four bits each; letters without a code are N."""
+    codes = [_BASES.index(c) if c in _BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
+    return bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+
+
+def unpacked_bases(data: bytes, length: int) -> str:
+    return "".join(_BASES[b >> 4] + _BASES[b & 15] for b in data)[:length]
+
+
+def _bin(begin: int, end: int) -> int:
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >= 0 and begin >> shift == end - 1 >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
+def bam_record(r: dict, tid: dict[str, int]) -> bytes:
+    """One record (as of read_bam); tags of whole numbers are i, others Z."""
+    ops = [(int(n), _OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r["cigar"] or "")]
+    seq = "" if r["seq"] in (None, "*") else r["seq"]
+    qual = bytes([255] * len(seq)) if r["qual"] in (None, "*") else bytes(ord(c) - 33 for c in r["qual"])
+    tags = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if re.fullmatch(r"-?\d{1,9}", v) else b"Z" + v.encode() + b"\0") for k, v in sorted(dict(r.get("tags") or {}).items()))
+    begin = (r["pos"] or 0) - 1
+    span = sum(n for n, o in ops if _OPS[o] in "MDN=X") or 1
+    own = tid.get(r["rname"], -1)
+    name = r["qname"].encode()
+    body = struct.pack("<iiIIiiii", own, begin, _bin(begin, begin + span) << 16 | (r["mapq"] or 0) << 8 | len(name) + 1, r["flag"] << 16 | len(ops), len(seq), own if r["rnext"] == "=" else tid.get(r["rnext"], -1), (r["pnext"] or 0) - 1, r["tlen"] or 0)
+    body += name + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed_bases(seq) + qual + tags
+    return struct.pack("<i", len(body)) + body
+
+
+#: An empty block, which marks the end of a file of blocks.
+END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+BLOCK = 65280
+
+
+def blocks(data: bytes, level: int = 6) -> bytes:
+    """Compressed blocks of up to 64 kB, without the one at the end."""
+    out = []
+    for lo in range(0, len(data), BLOCK):
+        part = data[lo : lo + BLOCK]
+        for each in (level, 0):  # data that doesn't shrink is stored
+            deflate = zlib.compressobj(each, zlib.DEFLATED, -15)
+            packed = deflate.compress(part) + deflate.flush()
+            if len(packed) + 26 <= 65536:
                 break
-        own = tid.get(r["rname"], -1)
-        body = struct.pack("<iiIIiiii", own, begin, bin_ << 16 | r["mapq"] << 8 | len(r["qname"]) + 1, r["flag"] << 16 | len(ops), len(seq), own if r["rnext"] == "=" else tid.get(r["rnext"], -1), r["pnext"] - 1, r["tlen"])
-        body += r["qname"].encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + qual + tags
-        out.append(struct.pack("<i", len(body)) + body)
-    data, blocks = b"".join(out), []
-    for lo in [*range(0, len(data), 65280), None]:
-        part = data[lo : lo + 65280] if lo is not None else b""
-        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
-        packed = deflate.compress(part) + deflate.flush()
-        blocks.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(blocks)
+        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(out)
+
+
+def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], header: str = "") -> bytes:
+    """A BAM file of some rows (as of read_bam)."""
+    tid = {n: i for i, (n, _) in enumerate(contigs)}
+    return blocks(bam_header(contigs, header) + b"".join(bam_record(r, tid) for r in rows)) + END_BLOCK
+
+
+def write_bam(records: DataFrame, contigs: list[tuple[str, int]], path: str, header: str = "", level: int = 6) -> None:
+    """BAM as folders: 0_header with one file, 1_records with one for each partition, each written by its task. The files in order of their paths, one after another, are one BAM file; read_bam reads the folder. `level` 0 leaves it uncompressed.
+
+    Each row that is written is a run of whole blocks, with the mark of an end between two, which readers skip within a file; blocks begin at records. The list of contigs is on every executor, as a header is in every file."""
+    tid = {n: i for i, (n, _) in enumerate(contigs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, out = [], []
+            size = 0
+            for row in batch.to_pylist():
+                one = bam_record(row, tid)
+                if size + len(one) > BLOCK and held:
+                    out.append(blocks(b"".join(held), level))
+                    held, size = [], 0
+                held.append(one)
+                size += len(one)
+            if held:
+                out.append(blocks(b"".join(held), level))
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)] if out else [], pa.binary())], ["value"])
+
+    def save(rows: DataFrame, folder: str) -> None:
+        # A binary value goes to the file as it is; what stands between lines is the empty block.
+        rows.select(F.col("value").cast("string")).write.option("lineSep", END_BLOCK.decode("latin-1")).option("encoding", "ISO-8859-1").text(f"{path}/{folder}")
+
+    spark = records.sparkSession
+    save(spark.createDataFrame([(bytearray(blocks(bam_header(contigs, header), level)),)], "value binary").coalesce(1), "0_header")
+    save(records.select(*COLUMNS, *(["tags"] if "tags" in records.columns else [])).mapInArrow(run, "value binary"), "1_records")
+
+
+def write(records: DataFrame, header: DataFrame, contigs: list[tuple[str, int]], path: str, mode: str = "w") -> None:
+    """By mode, letters after w: nothing is text without a header, h with one, b BAM, u BAM uncompressed, x flags in hexadecimal, X flags as letters."""
+    if not re.fullmatch("w[bhuxX]*", mode):
+        raise ValueError(f"{mode} isn't a mode to write with")
+    if "b" in mode or "u" in mode:
+        lines = "".join(f"{r.value}\n" for r in header.orderBy("ordinal").collect())  # a header
+        write_bam(records, contigs, path, lines, 0 if "u" in mode else 6)
+    else:
+        write_sam(records, header if "h" in mode else None, path, "hex" if "x" in mode else "letters" if "X" in mode else "decimal")
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of BAM files, one task for each file."""
+    """Records of BAM files, one task for each file, or of a folder that write_bam wrote, one for each of its files, whose header is read first."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    head = files.where(F.col("path").contains("/0_header/")).select("content").first()
+    names = _names(unpacked(bytes(head.content)))[0] if head else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                rows = [*bam_records(content)]
-                for lo in range(0, len(rows), 4096):
-                    part = rows[lo : lo + 4096]
+                rows = bam_records(content) if names is None else _records(unpacked(content), 0, names)
+                while part := [*islice(rows, 4096)]:
                     yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], kinds[k]) for i, k in enumerate(_KINDS)), pa.array([[*r[11].items()] for r in part], pa.map_(pa.string(), pa.string()))], [*COLUMNS, "tags"])
 
     schema = ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, _KINDS)) + ", tags map<string,string>"
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return files.where(~F.col("path").contains("/0_header/")).select("content").mapInArrow(run, schema)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of SAM text or BAM, by the file's name (kind)."""
+    return read_bam(spark, path) if kind(path) == "bam" else read_sam(spark, path)
+
+
+def reversed_records(records: DataFrame) -> DataFrame:
+    """Each record read in the other direction: bases complemented, qualities and CIGAR turned round, and the bit of the strand changed."""
+    none = lambda c, value: F.when(F.col(c).isNull() | (F.col(c) == "*"), F.col(c)).otherwise(value)
+    return records.withColumns({"seq": none("seq", S.revcomp(F.col("seq"))), "qual": none("qual", F.reverse("qual")), "cigar": none("cigar", G.reversed_text(F.col("cigar"))), "flag": F.col("flag").bitwiseXOR(M.BITS["reverse"])})
+
+
+def renamed(lines: DataFrame, pattern: str, replacement: str) -> DataFrame:
+    """Header lines in which a pattern is replaced."""
+    return lines.withColumn("value", F.when(F.col("value").startswith("@"), F.regexp_replace("value", pattern, replacement)).otherwise(F.col("value")))
+
+
+# Attributes that a header line of a type must have.
+_NEEDED = {"HD": ["VN"], "SQ": ["SN", "LN"], "RG": ["ID"], "PG": ["ID"], "CO": []}
+
+
+def problems(header: DataFrame) -> DataFrame:
+    """Header rows that are not valid (rec_type, attrs), with what is wrong: unknown types, attributes that are missing."""
+    needed = F.create_map(*(x for k, v in _NEEDED.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    wanted = F.try_element_at(needed, F.col("rec_type"))
+    lacks = F.filter(wanted, lambda a: ~F.map_contains_key("attrs", a))
+    problem = F.when(wanted.isNull(), "unknown type").when(F.size(lacks) > 0, F.concat(F.lit("without "), F.array_join(lacks, ", ")))
+    return header.withColumn("problem", problem).where("problem is not null")
+
+
+def header_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Header rows that only one of two headers has, with only_in 1 or 2."""
+    flat = lambda h: h.select("rec_type", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs")))).alias("attrs"))
+    return flat(a).exceptAll(flat(b)).withColumn("only_in", F.lit(1)).unionByName(flat(b).exceptAll(flat(a)).withColumn("only_in", F.lit(2)))
 
 
 def with_library(records: DataFrame, header: DataFrame) -> DataFrame:

@@ -92,3 +92,43 @@ def test_headers_and_regions(spark, tmp_path):
     assert [r.qname for r in sam.in_region(df, "c1", 7, 8).collect()] == ["a"] and sam.in_region(df, "c1", 8, 20).count() == 0
     sam.write_sorted(df, f"{tmp_path}/sorted", 2)
     assert spark.read.parquet(f"{tmp_path}/sorted").count() == 2
+
+
+def test_routes_forms_and_dispatch(spark, tmp_path):
+    reads = spark.createDataFrame([("a", "x", "ACGT", "IIII", "paired", 2, 3, False), ("b", None, "GG", "II", "unpaired", None, None, True), ("c", None, "T", "I", None, 1, 1, False)], "id string, comment string, seq string, qual string, route string, good_start int, good_stop int, discarded boolean")
+    fastq.write_routed(reads, f"{tmp_path}/routed")
+    assert sorted(p.name for p in (tmp_path / "routed").glob("route=*")) == ["route=paired", "route=unpaired"]
+    assert [r.id for r in fastq.read_fastq(spark, f"{tmp_path}/routed/route=paired").collect()] == ["a"]
+    fastq.write_routed(reads.drop("comment"), f"{tmp_path}/plain")
+    assert {f: [(r.seq, r.qual) for r in fastq.record_of(reads, f).orderBy("id").collect()][0] for f in ("trimmed", "masked", "original")} == {"trimmed": ("CG", "II"), "masked": ("aCGt", "IIII"), "original": ("ACGT", "IIII")}
+    with pytest.raises(ValueError):
+        fastq.record_of(reads, "other")
+    (tmp_path / "one.txt").write_text("junk\n@r x\nACGT\n+\nIIII\n".removeprefix("junk\n"))
+    (tmp_path / "two.txt").write_text(">c some\nACG\nT\n")
+    assert [tuple(r) for r in fastq.read_records(spark, f"{tmp_path}/one.txt").collect()] == [("r", "x", "ACGT", "IIII")]
+    assert [tuple(r) for r in fastq.read_records(spark, f"{tmp_path}/two.txt").collect()] == [("c", "some", "ACGT", None)]
+    with pytest.raises(Exception, match="too long"):
+        fastq.read_fastq(spark, f"{tmp_path}/one.txt", longest=3).collect()
+    assert fastq.read_fastq(spark, f"{tmp_path}/one.txt", longest=4).count() == 1
+
+
+def test_tables_and_header_checks(spark, tmp_path):
+    (tmp_path / "h.tsv").write_text("c1\t10\nc2\t20\n")
+    assert {tuple(r) for r in sam.targets_of_table(spark, f"{tmp_path}/h.tsv").collect()} == {("c1", 10), ("c2", 20)}
+    (tmp_path / "h2.tsv").write_text("c1\t10\nc1\t20\n")
+    with pytest.raises(Exception, match="duplicate contig name"):
+        sam.targets_of_table(spark, f"{tmp_path}/h2.tsv").collect()
+    line = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    a, b = sam.header_of(line("@HD\tVN:1.0", "@SQ\tSN:c1\tLN:9")), sam.header_of(line("@SQ\tLN:8\tSN:c1", "@XX\tA:1", "@SQ\tSN:c2"))
+    assert sam.problems(a).count() == 0 and {r.problem for r in sam.problems(b).collect()} == {"unknown type", "without LN"}
+    with pytest.raises(Exception, match="headers differ at c1"):
+        sam.merged(a.unionByName(b)).collect()
+    assert sam.header_differences(a, a).count() == 0 and {r.only_in for r in sam.header_differences(a, b).collect()} == {1, 2}
+    same = sam.header_of(line("@SQ\tLN:9\tSN:c1", "@HD\tVN:1.0"))
+    assert sam.header_differences(a, same).count() == 0
+    assert [r.value for r in sam.renamed(line("@SQ\tSN:chr1\tLN:9", "chr1"), "chr([0-9]+)", "$1").collect()] == ["@SQ\tSN:1\tLN:9", "chr1"]
+
+
+def test_packed_bases():
+    for seq in ("", "A", "ACGTN", "=ACMGRSVTWYHKDBN", "acgtx"):
+        assert sam.unpacked_bases(sam.packed_bases(seq), len(seq)) == seq.upper().replace("X", "N")
