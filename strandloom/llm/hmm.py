@@ -14,7 +14,7 @@ cut after `passage` tokens, and each token of each training document is in one o
 chunks by a join, and (5) each chunk is scored, documents whole. Nothing that grows with the corpus is broadcast or collected.
 
 A word is known by a 64-bit hash: in a vocabulary of V words two share one with a chance of about V**2 / 2**65, which is 3e-6 at ten million.
-Null text is empty (the end only); rows with a null doc_id are left out; repeated rows each count and are each scored; other columns are ignored; an empty table gives no rows. Without training documents N and V are 0 and
+Null text is empty (the end only); rows with a null doc_id train nothing and are scored, with held_out null (inside, the least long stands for a missing id); repeated rows each count and are each scored; other columns are ignored; an empty table gives no rows. Without training documents N and V are 0 and
 every score equals the base score.
 """
 
@@ -80,6 +80,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out()], ["word", "suffix", "n"])
 
 
+#: Stands for a missing id.
+WITHOUT = -(1 << 63)
 _CHUNK = "chunk long, doc_ids binary, train binary, sizes binary, base binary, known binary, classes binary, rare_at binary, rare_of binary, rare array<long>"
 
 
@@ -258,8 +260,8 @@ def scores(documents: DataFrame, states: int = STATES, rounds: int = ROUNDS, top
     """Documents (doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. Training documents are those whose crc32(doc_id as text) mod 5 is not 1."""
     spark = documents.sparkSession
     prepare(spark)
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(WITHOUT)).alias("doc_id"), F.col("text").cast("string"))
+    train = (F.col("doc_id") != WITHOUT) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
     counts = written(docs.where(train).select("text").mapInArrow(_counted, "word long, suffix int, n long").groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n")), "counts")
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total = known.n + 0.5 * (known.v + 1)
@@ -304,7 +306,8 @@ def scores(documents: DataFrame, states: int = STATES, rounds: int = ROUNDS, top
     met = wanted.join(counts.select("word", "n"), "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "n")).alias("counts"))  # as many as the chunk has words, by its bounded size
     ready = chunks.drop("train").join(met, "chunk", "left").drop("chunk")
     scored = ready.mapInArrow(_scored(model, total), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", (~(F.crc32(F.col("doc_id").cast("string")) % 5 != 1)).alias("held_out"), "n_tokens", "n_known", F.lit(int(known.n)).cast("long").alias("train_tokens"), "base_score", "score")
+    own = F.nullif(F.col("doc_id"), F.lit(WITHOUT))
+    return scored.select(own.alias("doc_id"), (F.crc32(own.cast("string")) % 5 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(int(known.n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_hmm_scores(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +36,22 @@ TEMPLATES: dict[str, list[str]] = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "bsd": ["Licensed under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "lgpl": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
+    "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
+    "epl": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0."],
     "reserved": ["All rights reserved.", "Copyright. All rights reserved."],
-    "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0 Universal."],
+    "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain."],
 }
+# Identifiers of the short form of a notice, by family.
+SPDX = {
+    "apache-2.0": ["Apache-2.0"], "mit": ["MIT"], "gpl": ["GPL-2.0-only", "GPL-3.0-or-later"], "lgpl": ["LGPL-2.1-only", "LGPL-3.0-or-later"], "agpl": ["AGPL-3.0-only"], "epl": ["EPL-2.0"], "isc": ["ISC"], "mpl": ["MPL-2.0"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "boost": ["BSL-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "public-domain": ["CC0-1.0", "Unlicense"],
+}
+for _family, _ids in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {x}" for x in _ids]
 # Prose that shares words with notices and is none.
 OTHER = [
     "The version of the story that was released under a new name is free.", "He was granted permission to use the work of the public house.", "All of the files and the general terms were in the copy room.",
@@ -113,6 +126,11 @@ def train(templates: dict[str, list[str]] = TEMPLATES, other: list[str] = OTHER)
     return weights, shift, (round(a, 6), round(b, 6))
 
 
+@cache
+def _trained():
+    return train()
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -151,7 +169,7 @@ def _paragraphs(docs: DataFrame, share: float) -> DataFrame:
 def scan(documents: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFrame:
     """doc_id, line and last (of the range of lines), family, probability and the share of the template for each confirmed paragraph; and a row per document by `per_document`."""
     spark = documents.sparkSession
-    weights, shift, (a, b) = train()
+    weights, shift, (a, b) = _trained()
     families = sorted(TEMPLATES)
     weight = spark.createDataFrame([(g, f, w) for (g, f), w in sorted(weights.items())], "gram string, family string, weight double")
     forms = spark.createDataFrame([(f, i, sorted({x for x in re.split("[^a-z0-9]+", t.lower()) if x})) for f in families for i, t in enumerate(TEMPLATES[f])], "family string, form int, needed array<string>")

@@ -381,3 +381,13 @@ def test_links_in_a_large_bucket_without_a_common_centre(spark):
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     want = components(links, sets)
     assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, small=4, block=16).collect()} == want
+
+
+def test_licences_of_more_families(spark):
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    agpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"
+    epl = "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at"
+    told = {1: lgpl, 2: agpl, 3: isc, 4: epl, 5: "# SPDX-License-Identifier: GPL-3.0-only", 6: "// SPDX-License-Identifier: MIT", 7: "SPDX-License-Identifier: LGPL-2.1-or-later", 8: "/* SPDX-License-Identifier: Apache-2.0 */", 9: "Distributed under the Boost Software License, Version 1.0.", 10: "The identifier of the license plate was written on the box."}
+    got = rows(licenses.per_document(spark.createDataFrame([*told.items()], "doc_id long, text string")))
+    assert {i: r_.families for i, r_ in got.items()} == {1: "lgpl", 2: "agpl", 3: "isc", 4: "epl", 5: "gpl", 6: "mit", 7: "lgpl", 8: "apache-2.0", 9: "boost", 10: ""}
