@@ -1,6 +1,7 @@
 """FASTQ: a data source with one reader for each file, an encoding sniff, and a writer.
 
-A record can't be told from the middle of a file (a quality line may begin with @), so a file is one partition; many files are many.
+A record can't be told from the middle of a file (a quality line may begin with @), so for `read_fastq` a file is one partition; many files are many.
+`read_split` reads uncompressed files of four-line records in as many tasks as they have splits: text is cut before each @ that begins a line, pieces are put together again within a split, and what a cut has parted between two splits meets by a join.
 Files are read through Spark's own file source as bytes, so any store Spark reads is fine, and .gz and .bz2 are unpacked by suffix.
 """
 
@@ -12,7 +13,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
@@ -84,6 +85,65 @@ def read_fastq(spark: SparkSession, paths: str | list[str], illumina: bool = Fal
     return found
 
 
+_PIECES = "file string, block long, idx long, lines array<string>"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks between two cuts to records of four lines, and to the two halves (three lines, one line) of a record whose other half is in another split."""
+    own, held, idx = None, None, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for value, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != (file, block):
+                if held:
+                    out.append((*own, idx, held))
+                own, held, idx = (file, block), None, 0
+            lines = [x.removesuffix("\r") for x in value.split("\n")]
+            if not block and not idx and not held and lines[0].startswith("@"):
+                lines[0] = lines[0][1:]
+            if len(lines) in (2, 5) and not lines[-1]:  # the end of a file
+                lines.pop()
+            if held:
+                lines, held = held + ["@" + lines[0], *lines[1:]], None
+            elif len(lines) == 1 and not idx and block:
+                out.append((file, block, -1, lines))
+                continue
+            if len(lines) == 3:
+                held = lines
+                continue
+            if lines == [""]:
+                continue
+            out.append((file, block, idx, lines))
+            idx += 1
+        yield _pieces_batch(out)
+    if held:
+        yield _pieces_batch([(*own, idx, held)])
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["file", "block", "idx", "lines"])
+
+
+def read_split(spark: SparkSession, paths: str | list[str], illumina: bool = False) -> DataFrame:
+    """The columns of read_fastq, from plain files whose records have four lines each; the plan fails at others."""
+    raw = spark.read.option("lineSep", "\n@").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = raw.mapInArrow(_chunks, _PIECES)
+    whole = pieces.where((F.size("lines") != 1) & (F.size("lines") != 3))
+    # At most two halves for each split.
+    own = Window.partitionBy("file").orderBy("block", "idx")
+    halves = pieces.where((F.size("lines") == 1) | (F.size("lines") == 3)).withColumns({"next": F.lead("lines").over(own), "first": F.lag(F.size("lines")).over(own).isNull()}).where((F.size("lines") == 3) | F.col("first"))
+    joined = halves.select("file", "block", "idx", F.concat("lines", F.transform(F.coalesce("next", F.array().cast("array<string>")), lambda x: F.concat(F.lit("@"), x))).alias("lines"))
+    rows = whole.unionByName(joined)
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each split
+    line = lambda i: F.get("lines", i)
+    right = (F.size("lines") == 4) & line(2).startswith("+") & (F.length(line(1)) == F.length(line(3)))
+    checked = rows.join(before, ["file", "block"]).where(F.when(right, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a record of four lines: "), line(0))).cast("boolean")))
+    head = F.regexp_extract(line(0), r"^([^ \t]*)[ \t]?(.*)$", 1), F.regexp_extract(line(0), r"^([^ \t]*)[ \t]?(.*)$", 2)
+    qual = S.shift_quality(line(3), -31) if illumina else line(3)
+    return checked.select("file", (F.col("before") + F.col("idx")).alias("ordinal"), head[0].alias("id"), head[1].alias("comment"), F.upper(line(1)).alias("seq"), qual.alias("qual"))
+
+
 def encoding(reads: DataFrame, order: list[str], qual: str = "qual") -> DataFrame:
     """One row: standard, illumina or unknown, by the first quality character below 59 or above 74."""
     codes = F.transform(F.split(qual, ""), lambda c: F.ascii(c))

@@ -2,6 +2,7 @@
 
 import bz2
 import gzip
+import random
 
 import pytest
 
@@ -132,3 +133,29 @@ def test_tables_and_header_checks(spark, tmp_path):
 def test_packed_bases():
     for seq in ("", "A", "ACGTN", "=ACMGRSVTWYHKDBN", "acgtx"):
         assert sam.unpacked_bases(sam.packed_bases(seq), len(seq)) == seq.upper().replace("X", "N")
+
+
+@pytest.mark.parametrize("size", [37, 120, 1 << 20])
+def test_one_file_read_by_many_tasks(spark, tmp_path, size):
+    """Qualities that begin with @, splits of all kinds of places, against the reader of whole files."""
+    r = random.Random(size)
+    lines = []
+    for i in range(60):
+        n = r.randint(1, 12)
+        lines.append(f"@read{i} c{i}\n{''.join(r.choice('ACGT') for _ in range(n))}\n+\n{''.join(r.choice('@@I+A') for _ in range(n))}\n")
+    (tmp_path / "a.fastq").write_text("".join(lines))
+    (tmp_path / "b.fastq").write_text("".join(lines[:7]).rstrip("\n"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(size))
+        got = fastq.read_split(spark, f"{tmp_path}/*.fastq")
+        rows = {(x.file[-7:], x.ordinal, x.id, x.comment, x.seq, x.qual) for x in got.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {(x.file[-7:], x.ordinal, x.id, x.comment, x.seq, x.qual) for x in fastq.read_fastq(spark, f"{tmp_path}/*.fastq").collect()}
+    assert rows == want and len(want) == 67
+    (tmp_path / "c.fastq").write_text("@x\nAC\nGT\n+\nIIII\n")
+    with pytest.raises(Exception, match="four lines"):
+        fastq.read_split(spark, f"{tmp_path}/c.fastq").collect()
