@@ -20,15 +20,21 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import tokens
 from strandloom.llm.recent import Recent
-from strandloom.llm.shared import prepare, table
+from strandloom.llm.shared import prepare, table, together
 
-PARTS, PIECES, TEXTS = 192 << 20, 96 << 20, 512
+#: Bytes of parts and of pieces that a Python worker remembers, bytes of text that are looked at together, and parts that are matched together.
+PARTS, PIECES, SLICE, TOLD = 160 << 20, 64 << 20, 4 << 20, 1 << 15
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same beyond ASCII, as bytes.
+_WIDE = [int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
 
 
 class Ranks:
@@ -128,6 +134,14 @@ class Prefixes:
         return found[::-1]
 
 
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Where white space of more than one byte begins."""
+    at = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    one, two, three = (np.append(data, [0, 0])[at + i].astype(np.int64) for i in range(3))
+    code = np.where(one == 0xC2, one << 8 | two, one << 16 | two << 8 | three)
+    return at[np.isin(code, _WIDE)]
+
+
 class Codec:
     """Texts to ids written as decimal numbers with a space between, and back to bytes."""
 
@@ -168,19 +182,59 @@ class Codec:
             before = data
         return found
 
+    def told(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that aren't known; each run of ids is decoded and held against its part."""
+        pieces = {p: self.pattern.findall(p.decode()) for p in parts}
+        all_ = set().union(*pieces.values())
+        self.pieces.keep(self.encoded(self.pieces.missing(all_)), lambda: all_)
+        known = self.pieces.__getitem__
+        out = {p: b" ".join(map(known, xs)) for p, xs in pieces.items()}
+        for part, ids in out.items():
+            if self.decode(ids) != part:
+                raise ValueError("ids that don't decode to their text")
+        return out
+
+    def known(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
+        found = [*map(self.parts.get, parts)]
+        if None in found:
+            missing, new = [p for p, x in zip(parts, found) if x is None], {}
+            for lo in range(0, len(missing), TOLD):
+                new.update(self.told(missing[lo : lo + TOLD]))
+            self.parts.keep(new, lambda: {*parts})
+            found = [new[p] if x is None else x for p, x in zip(parts, found)]
+        return found
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each text, and the bytes that they decode to. Texts are cut before each run of white space, over which no match of the pattern goes; distinct parts of many texts are told apart by array operations.
+
+        Where white space isn't all ASCII, a text is cut by the pattern of all white space."""
+        for lo, hi, data, at in tokens.slices(column, SLICE):
+            space = tokens.SPACE[data]
+            begins = space.copy()
+            begins[1:] &= ~space[:-1]
+            begins[at[:-1][at[1:] > at[:-1]]] = True
+            cuts = np.flatnonzero(begins)
+            offsets = np.append(cuts, len(data)).astype(np.int64)
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            one = pa.LargeListArray.from_arrays([0, len(words.dictionary)], words.dictionary)  # no text holds a byte 255, so one string of all is cut quickly
+            parts = pc.binary_join(one, pa.scalar(b"\xff", pa.large_binary()))[0].as_buffer().to_pybytes().split(b"\xff") if len(words) else []
+            found, of = self.known(parts), words.indices.to_numpy()
+            edge = np.searchsorted(cuts, at).tolist()
+            odd = _wide_space(data)
+            wide = {*(np.searchsorted(at, odd, "right") - 1).tolist()}
+            for row in range(hi - lo):
+                if row in wide:
+                    own = [p.encode() for p in self.cut.findall(data[at[row] : at[row + 1]].tobytes().decode())]
+                    ids = dict(zip(distinct := [*{*own}], self.known(distinct)))
+                    yield b" ".join(map(ids.__getitem__, own)), b"".join(own)
+                else:
+                    mine = of[edge[row] : edge[row + 1]].tolist()
+                    yield b" ".join(map(found.__getitem__, mine)), b"".join(map(parts.__getitem__, mine))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.cut.findall(t) for t in texts]
-        needed = set().union(*split)
-        missing = self.parts.missing(needed)
-        if missing:
-            pieces = {p: self.pattern.findall(p) for p in missing}
-            all_ = set().union(*pieces.values())
-            self.pieces.keep(self.encoded(self.pieces.missing(all_)), lambda: all_)
-            known = self.pieces.__getitem__
-            self.parts.keep({p: b" ".join(map(known, xs)) for p, xs in pieces.items()}, lambda: needed)
-        get = self.parts.__getitem__
-        for parts in split:
-            yield b" ".join(map(get, parts))
+        for ids, _ in self.texts(pa.array(texts, pa.large_string())):
+            yield ids
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(b" "))) if ids else b""
@@ -203,17 +257,14 @@ def codec(path: str, pattern: str) -> Codec:
 def _run(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in together(batches, SLICE):
             rows: list[tuple] = []
-            for lo in range(0, len(texts), TEXTS):
-                for ids in own.encode(texts[lo : lo + TEXTS]):
-                    data = own.decode(ids)
-                    rows.append((ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()) + ((([int(i) for i in ids.split()]), data) if with_ids else ()))
+            for ids, data in own.texts(batch.column(1)):
+                rows.append((ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()) + (([int(i) for i in ids.split()], data) if with_ids else ()))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             n = 5 if with_ids else 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(n))], names[: n + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).combine_chunks(), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(n))], names[: n + 1])
 
     return run
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.recent import Recent
-from strandloom.llm.shared import prepare, table, written
+from strandloom.llm.shared import prepare, table, together, written
 
 CAPACITY, END, BLOCK_ROWS = 4096, 1, 100_000
 #: Bytes of words, and of parts of words, that a Python worker remembers.
@@ -166,18 +166,6 @@ class WordIds:
 _held: dict[str, WordIds] = {}
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.Table]:
-    """Batches put together up to about `most` bytes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= most:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _pieces(path: str, capacity: int, end: int):
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
     tail = struct.pack("<I", end)
@@ -185,7 +173,7 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _held.setdefault(path, None) or WordIds(path)
         _held[path] = ids
-        for batch in _grouped(batches):
+        for batch in together(batches, SLICE):
             out: list[tuple] = []
             for key, found in zip(batch.column(0).to_pylist(), ids.of(batch.column(1).combine_chunks())):
                 found += tail
