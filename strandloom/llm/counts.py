@@ -94,7 +94,8 @@ class Counter:
         rows = np.fromiter((number[w] for words in split for w in words), np.int64, sum(map(len, split)))
         sizes = np.array([len(s) for s in split], np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        return np.bincount(owner, values[rows, 0], len(texts)).astype(np.int64), sizes, np.bincount(owner, values[rows, 1], len(texts))
+        total = lambda i: np.bincount(owner, values[rows, i], len(texts)).astype(float)  # noqa: E731 - of nothing it has whole zeros
+        return total(0).astype(np.int64), sizes, total(1)
 
 
 _held: dict[str, Counter] = {}

@@ -100,7 +100,7 @@ def _chunked(common, total: float):
                 cls = np.where(hit, own[place], -1) if len(word) else np.full(len(h), -1)
                 cls = np.where(cls < 0, np.where(h == END, OWN + SUFFIXES, OWN + suffix), cls).astype(np.uint16)
                 owner = np.repeat(np.arange(hi - lo), sizes)
-                base = np.bincount(owner[hit], np.log10((count[place[hit]] + 0.5) / total), hi - lo)
+                base = np.bincount(owner[hit], np.log10((count[place[hit]] + 0.5) / total), hi - lo).astype(float)
                 known = np.bincount(owner[hit], minlength=hi - lo)
                 rare_at = np.flatnonzero(~hit)
                 rare, rare_of = np.unique(h[rare_at], return_inverse=True)

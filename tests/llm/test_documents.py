@@ -391,3 +391,25 @@ def test_licences_of_more_families(spark):
     told = {1: lgpl, 2: agpl, 3: isc, 4: epl, 5: "# SPDX-License-Identifier: GPL-3.0-only", 6: "// SPDX-License-Identifier: MIT", 7: "SPDX-License-Identifier: LGPL-2.1-or-later", 8: "/* SPDX-License-Identifier: Apache-2.0 */", 9: "Distributed under the Boost Software License, Version 1.0.", 10: "The identifier of the license plate was written on the box."}
     got = rows(licenses.per_document(spark.createDataFrame([*told.items()], "doc_id long, text string")))
     assert {i: r_.families for i, r_ in got.items()} == {1: "lgpl", 2: "agpl", 3: "isc", 4: "epl", 5: "gpl", 6: "mit", 7: "lgpl", 8: "apache-2.0", 9: "boost", 10: ""}
+
+
+def test_rows_without_an_id_repeats_and_long_words(spark):
+    """Every row comes back, and equal texts have equal values, whatever their ids and whatever other columns are called."""
+    told = [(None, "one two a.b@c.org"), (None, "one two a.b@c.org"), (5, "one two a.b@c.org"), (5, "one two a.b@c.org"), (6, None), (7, ""), (8, "x7" * 20000), (9, " one  two　\n"), (9, "the end")]
+    df = spark.createDataFrame(told, "doc_id long, text string").selectExpr("*", "1 AS score", "'a' AS ids", "2 AS n_tokens", "'b' AS feature", "'c' AS family", "3 AS chunk")
+    marks = spark.createDataFrame([(5, 1, 1), (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    operators = [
+        lambda d: counts.token_counts(d, public.path("piece_bpe_32k.model")), lambda d: bytebpe.encoded(d, public.path("byte_bpe_50k.tiktoken"), public.PATTERN), lambda d: flac.media(d), lambda d: hmm.scores(d, rounds=1),
+        lambda d: toxicity.toxicity(d, marks), lambda d: licenses.per_document(d),
+    ]
+    for operator in operators:
+        got = operator(df).collect()
+        assert sorted(r_.doc_id or 0 for r_ in got) == sorted(i or 0 for i, _ in told)
+        same = {tuple(v for k, v in r_.asDict().items() if k not in ("doc_id", "held_out")) for r_ in got if r_.doc_id in (None, 5)}
+        assert len(same) == 1
+        assert operator(df.where("false")).count() == 0
+    lone = spark.createDataFrame([(9, " one  two　\n")], "doc_id long, text string")
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bytebpe.load(public.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert bytebpe.encoded(lone, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, ids=True).first().ids == e.encode_ordinary(" one  two　\n")
