@@ -1,8 +1,10 @@
 """Documents packed into sequences of a fixed number of tokens by best fit over a histogram of lengths.
 
-Each text is tokenized once, where it is read. Its words (runs between white space, which the tokenizer drops) are
-looked up in a bounded memory of word to ids; only unknown ones go to the tokenizer. Only documents longer than a sequence
-are cut. What goes on is a row per piece of four numbers; texts and ids don't move.
+Each text is tokenized once, where it is read. Its words (runs between white space, which the tokenizer drops) are cut
+where letters, digits and other signs meet, as the tokenizer does, and A-Z lower-cased; words for which that isn't all it
+does (contractions, special tokens, other scripts) stay whole. These runs are looked up in a bounded memory of run to ids;
+only unknown ones go to the tokenizer. Only documents longer than a sequence are cut. What goes on is a row per piece of
+four numbers; texts and ids don't move.
 
 The plan needs the number of pieces of each length only: at most `capacity` rows at the driver. Lengths are placed from the longest
 on, each into the open sequences with the least room that is enough, all sequences with the same room at once, as many
@@ -35,56 +37,77 @@ from strandloom.llm.recent import Recent
 from strandloom.llm.shared import prepare, table, together, written
 
 CAPACITY, END, BLOCK_ROWS = 4096, 1, 100_000
-#: Bytes of words, and of parts of words, that a Python worker remembers.
-WORDS, PARTS, JOINED = 144 << 20, 32 << 20, 2048
-#: Words that go to the tokenizer together.
+#: Bytes of runs that a Python worker remembers.
+RUNS = 176 << 20
+#: Runs that go to the tokenizer together.
 TOLD = 1 << 15
 #: Bytes of text that are looked at together.
 SLICE = 4 << 20
-#: White space of ASCII that the tokenizer drops. Words that hold other white space go to the whole tokenizer.
+#: Kinds of bytes: 0 white space of ASCII, which the tokenizer drops, 1 letters of one or two bytes, 2 digits, 3 other signs, 4 those that leave their word whole.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WHOLE = 4
+_KIND = np.full(256, _WHOLE, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC6)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x27] = _WHOLE  # contractions begin with it
+_KIND[_SPACE] = 0
+#: Pairs of bytes that leave their word whole too: the start of a special token, signs among the letters, letters whose lower case is of ASCII.
+_ODD = np.zeros(1 << 16, bool)
+_ODD[[int.from_bytes(c.encode()) for c in ("<|", "\xd7", "\xf7", "\u0130", "\u017f")]] = True
 #: Words of these characters are their own normal form but for the lower case, and split as _PARTS says: contractions, letters, one digit, other signs.
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
 _PARTS = re.compile("\n|'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^\na-z\xdf-\xf6\xf8-\u017e0-9]+")
+#: Plain words of one part.
+_ONE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+|[0-9]|[!-&(-/:-@[-`{-~]+")
+
+
+def _kinds(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes, one kind throughout a word that stays whole, and the bytes with A-Z lower-cased in all other words."""
+    kind = _KIND[data]
+    low = data | ((data - np.uint8(0x41) < 26).view(np.uint8) << np.uint8(5))
+    first = np.flatnonzero((data[:-1] >= 0xC3) | (data[:-1] == 0x3C))
+    odd = first[_ODD[data[first].astype(np.uint16) << 8 | data[first + 1]]]
+    stay = np.concatenate((np.flatnonzero(kind == _WHOLE), odd))
+    if len(stay):
+        inside = kind > 0
+        start, end = inside.copy(), inside.copy()
+        start[1:] &= ~inside[:-1] | edge[1:-1]
+        end[:-1] &= ~inside[1:] | edge[1:-1]
+        start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        whole = np.zeros(len(start), bool)
+        whole[np.searchsorted(start, stay, "right") - 1] = True
+        start, size = start[whole], (end - start)[whole]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        kind[at], low[at] = _WHOLE, data[at]
+    return kind, low
 
 
 class WordIds:
-    """Ids of words as little-endian bytes. The tokenizer's own model merges the parts of words, many in one call; a word that isn't plain goes to the whole tokenizer."""
+    """Ids of words as little-endian bytes. The tokenizer's own model merges the parts of words; a word that isn't plain goes to the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.model = self.whole.model
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip([*printed, *(b for b in range(256) if b not in printed)], [*map(chr, printed), *(chr(256 + i) for i in range(68))]))
-        self.parts, self.words = Recent(PARTS), Recent(WORDS)
-        suffix = self.whole.model.end_of_word_suffix
-        vocabulary = self.whole.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids end a part
-        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-
-    def merge(self, parts: set[str]) -> None:
-        """Parts that aren't known go to the model, one on a line."""
-        new = [*self.parts.missing(parts)]
-        made: dict[str, bytes] = {}
-        for lo in range(0, len(new), JOINED):
-            some = new[lo : lo + JOINED]
-            shown = "\n".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in some])
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some):  # a model that doesn't mark ends tells the parts itself
-                told = self.model.encode(shown, add_special_tokens=False)
-                ids, ends = np.array(told.ids, np.uint32), np.searchsorted(np.array(told.word_ids, np.int64), np.arange(len(some)), "right")
-            at, data = [0, *(4 * ends).tolist()], ids.astype("<u4").tobytes()
-            made.update(zip(some, [data[i:j] for i, j in zip(at, at[1:])]))
-        self.parts.keep(made, lambda: parts)
+        self.runs = Recent(RUNS)
+
+    def merge(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, each a word of the model's."""
+        tokenize, ids, ends = self.model.tokenize, [], []
+        for p in parts:
+            ids += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.shown))]
+            ends.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        return {p: data[lo:hi] for p, lo, hi in zip(parts, [0, *ends], ends)}
 
     def of(self, texts: pa.Array) -> Iterator[bytes]:
-        """Ids of each text, null as an empty one. Words of many texts are found, told apart and put together by array operations; Python sees each distinct word of a slice once."""
+        """Ids of each text, null as an empty one. Runs of many texts are found, told apart and put together by array operations; Python sees each distinct run of a slice once."""
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
         at = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
@@ -112,53 +135,52 @@ class WordIds:
 
     def slice(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Ids (as bytes) of texts side by side, and how many of them stand before each cut."""
-        inside = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[cuts] = True
-        start = inside.copy()
-        start[1:] &= ~inside[:-1] | edge[1:-1]
-        end = inside.copy()
-        end[:-1] &= ~inside[1:] | edge[1:-1]
+        kind, low = _kinds(data, edge)
+        inside = kind > 0
+        change = (kind[1:] != kind[:-1]) | edge[1:-1]
+        start, end = inside.copy(), inside.copy()
+        start[1:] &= change
+        end[:-1] &= change
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
         if not len(start):
             return np.zeros(0, np.uint8), [0] * len(cuts)
         offsets = np.zeros(len(start) + 1, np.int64)
         np.cumsum(end - start, out=offsets[1:])
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
-        one = pa.LargeListArray.from_arrays([0, len(words.dictionary)], words.dictionary)  # words hold no line feed, so one text of all is cut quickly
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).dictionary_encode()
+        one = pa.LargeListArray.from_arrays([0, len(runs.dictionary)], runs.dictionary)  # runs hold no line feed, so one text of all is cut quickly
         distinct = pc.binary_join(one, pa.scalar(b"\n", pa.large_binary()))[0].as_buffer().to_pybytes().decode().split("\n")
-        found = [*map(self.words.get, distinct)]
+        found = [*map(self.runs.get, distinct)]
         if None in found:
             missing = [w for w, x in zip(distinct, found) if x is None]
             new = {}
             for lo in range(0, len(missing), TOLD):
                 new.update(self.told(missing[lo : lo + TOLD]))
-            self.words.keep(new, lambda: {*distinct})
             found = [new[w] if x is None else x for w, x in zip(distinct, found)]
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        begins = np.cumsum(sizes, dtype=np.int64) - sizes
-        flat, of = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
-        size = sizes[of]
-        before = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=before[1:])
-        kind = np.int32 if before[-1] < 1 << 31 else np.int64
-        at = np.repeat((begins[of] - before[:-1]).astype(kind), size)
-        at += np.arange(before[-1], dtype=kind)
-        ids = flat[at]
-        return ids.view(np.uint8), before[np.searchsorted(start, cuts)].tolist()
+            self.runs.keep(new, lambda: {*distinct})
+        sizes = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=sizes[1:])
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(sizes), pa.py_buffer(b"".join(found))]).take(runs.indices)
+        before = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        return np.frombuffer(ids.buffers()[2], np.uint8, before[-1]), (before[np.searchsorted(start, cuts)] // 4).tolist()
 
     def told(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known."""
-        plain, rest = [], []
+        """Ids of words (or runs of them) that aren't known, and of parts of theirs that aren't."""
+        one, plain, rest = [], [], []
         for w in words:
-            (plain if _PLAIN.fullmatch(w) and "<|" not in w else rest).append(w)
+            (one if _ONE.fullmatch(w) else plain if _PLAIN.fullmatch(w) and "<|" not in w else rest).append(w)
+        low = "\n".join(one).lower().split("\n") if one else []
         flat = _PARTS.findall("\n".join([*plain, ""]).lower())  # a line feed ends each word's parts
-        self.merge({*flat} - {"\n"})
-        ids = [b"" if p == "\n" else self.parts[p] for p in flat]
+        lowered = [(w, p) for w, p in zip(one, low) if w != p]
+        others = {*flat, *(p for _, p in lowered)} - {"\n"}
+        out = self.merge([*{*one}.difference(w for w, _ in lowered), *self.runs.missing(others).difference(one)])
+        ids = [b"" if p == "\n" else out.get(p) or self.runs.get(p, b"") for p in flat]
         at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
         ends = at[[i for i, p in enumerate(flat) if p == "\n"]].tolist()
         data = b"".join(ids)
-        out = {w: data[lo:hi] for w, lo, hi in zip(plain, [0, *ends], ends)}
+        out.update([(w, out.get(p) or self.runs.get(p, b"")) for w, p in lowered])
+        out.update(zip(plain, [data[lo:hi] for lo, hi in zip([0, *ends], ends)]))
         out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)))
         return out
 

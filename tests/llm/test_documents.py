@@ -1,6 +1,7 @@
 """Operators over documents, against brute force, the tokenizers' own results and round trips."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -147,6 +148,22 @@ def test_word_ids_equal_the_tokenizer():
     assert got == [e.ids for e in t.encode_batch(told, add_special_tokens=False)]
 
 
+def test_known_runs_are_not_told_again():
+    from tokenizers import Tokenizer
+
+    stems = ["".join(x) for x in itertools.product("abst", "aeé", "lnr", ["", "ou", "ñi"])]
+    plain = " ".join([*stems, ". , ( ) 12 !"])
+    other = " ".join(f"{x.capitalize()}, ({x}) {x}12! ({x}.{x})12" for x in stems)
+    whole = " ".join(f"{x}'s '{x} <|endoftext|>{x} {x}×{x} {x}\u0301{x} İ{x}" for x in stems)
+    t, ids, told = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path()), []
+    tell = ids.told
+    ids.told = lambda words: told.extend(words) or tell(words)
+    for text, new in ((plain, len(stems) + 6), (other, 0), (whole, 5 * len(stems) + len(stems))):
+        told.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.of(pa.array([text]))] == [t.encode(text, add_special_tokens=False).ids]
+        assert len(told) == len({*told}) == new
+
+
 def test_token_counts(spark, documents, texts, nothing):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
