@@ -16,6 +16,6 @@ def _add(*modules) -> None:
         SQL.update(getattr(m, "SQL", {}))
 
 
-from strandloom.llm import bytebpe, counts, flac, hmm, licenses, neardup, packing, pii, pipeline, resampling, topk, toxicity, vectors  # noqa: E402
+from strandloom.llm import bytebpe, counts, flac, hmm, licenses, neardup, packing, pii, pipeline, prefixes, resampling, topk, toxicity, vectors  # noqa: E402
 
-_add(hmm, neardup, packing, counts, vectors, bytebpe, toxicity, flac, licenses, pii, resampling, topk, pipeline)
+_add(hmm, neardup, packing, counts, vectors, bytebpe, toxicity, flac, licenses, pii, prefixes, resampling, topk, pipeline)
