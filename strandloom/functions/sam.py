@@ -96,6 +96,15 @@ def tag_map(text: Column) -> Column:
     return F.map_from_entries(F.transform(fields, lambda f: F.struct(F.substring(f, 1, 2), F.substr(f, F.lit(6)))))
 
 
+TAGS = "map<string, struct<code: string, value: string>>"
+
+
+def typed_tags(text: Column) -> Column:
+    """Fields of TAG:type:value as a map of tag to (code, value)."""
+    fields = F.filter(F.split(text, "\t"), lambda f: F.length(f) >= 5)
+    return F.map_from_entries(F.transform(fields, lambda f: F.struct(F.substring(f, 1, 2), F.struct(F.substring(f, 4, 1).alias("code"), F.substr(f, F.lit(6)).alias("value")))))
+
+
 def error_histogram(pairs: Column) -> Column:
     """Array of (nm, n) as "nm:n" joined by semicolons, in order of nm."""
     return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat_ws(":", p["nm"].cast("string"), p["n"].cast("string"))), ";")

@@ -81,7 +81,8 @@ def records(mates: DataFrame, hits: DataFrame, names: DataFrame, conf: PairConf
     mate_name, mate_pos = F.coalesce("o_rname", "rname"), F.coalesce("o_pos", "pos")
     place, at = F.coalesce("rname", "o_rname"), F.coalesce("pos", "o_pos")
     tags = {"RG": F.lit(group), "PG": F.lit(program), "NM": c("nm").cast("string"), "NH": F.coalesce(c("nh"), F.lit(0)).cast("string"), "IH": F.when(placed, F.least(c("nh"), F.lit(first) if first is not None else c("nh"))).otherwise(0).cast("string"), "HI": c("rank").cast("string"), "XC": c("contaminant")}
-    map_ = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*(v.cast("string") for v in tags.values()))), lambda k, v: v.isNotNull())
+    typed = [F.struct(F.lit("Z" if k in ("RG", "PG", "XC") else "i").alias("code"), v.cast("string").alias("value")) for k, v in tags.items()]
+    map_ = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*typed)), lambda k, v: v["value"].isNotNull())
     fields: dict[str, Column] = {
         "qname": c("qname"), "flag": bits, "rname": F.coalesce(place, F.lit("*")), "pos": F.coalesce(at + 1, F.lit(0)).cast("long"), "mapq": F.when(placed, sam.mapq(c("nh"))).otherwise(0), "cigar": F.when(placed, c("cigar")).otherwise("*"),
         "rnext": F.when(mate_name.isNull(), "*").when(mate_name == place, "=").otherwise(mate_name), "pnext": F.coalesce(mate_pos + 1, F.lit(0)).cast("long"), "tlen": tlen,

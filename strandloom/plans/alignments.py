@@ -283,4 +283,20 @@ def bam_round_trip(spark, sf):
     header = [(r.name, r.length) for r in named.collect()]  # the header of a file
     path = _shared(spark, "bam")
     files.write_bam(found.select(*(v.alias(k) for k, v in fields.items())), header, path)
-    return files.read_bam(spark, path).select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["NM"].alias("nm"))
+    return files.read_bam(spark, path).select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["NM"]["value"].alias("nm"))
+
+
+@query("typed_tag_round_trip", """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS c FROM orders)
+SELECT 'order/' || k AS qname, 'BC:Z:' || lpad(CAST(k AS VARCHAR), 12, '0') || chr(9) || 'XA:A:' || s || chr(9) || 'XI:i:' || (c - 500) || chr(9) || 'XF:f:' || ['0', '0.25', '0.5', '0.75'][k % 4 + 1] || chr(9) || 'XB:B:S,' || c % 65536 || ',' || k % 100 || chr(9) || 'XH:H:1AFF' || chr(9) || 'RG:Z:' || c AS tags FROM o""")
+def typed_tag_round_trip(spark, sf):
+    """Orders as records without a place, whose tags are of all kinds: digits that are text, letters, numbers and arrays; through BAM written by all tasks and read in splits, back to text."""
+    from strandloom.sources import sam as files
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    quarter = F.element_at(F.array(*map(F.lit, ("0", "0.25", "0.5", "0.75"))), (k % 4 + 1).cast("int"))
+    tags = F.concat_ws("\t", text("BC:Z:", F.lpad(k.cast("string"), 12, "0")), text("XA:A:", F.col("o_orderstatus")), text("XI:i:", c - 500), text("XF:f:", quarter), text("XB:B:S,", c % 65536, ",", k % 100), F.lit("XH:H:1AFF"), text("RG:Z:", c))
+    line = F.concat_ws("\t", text("order/", k), *map(F.lit, ("4", "*", "0", "0", "*", "*", "0", "0", "*", "*")), tags)
+    path = _shared(spark, "bam")
+    files.write_bam(files.records_of(V.table(spark, sf, "orders").select(line.alias("value"))), [], path, "@CO\tordres à plat\n")
+    return files.text_of(files.read_bam(spark, path)).select(F.split("value", "\t")[0].alias("qname"), F.array_join(F.slice(F.split("value", "\t"), 12, 99), "\t").alias("tags"))

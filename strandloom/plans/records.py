@@ -260,4 +260,4 @@ def paired_records(spark, sf):
     hits = one("k % 3 <> 2", hit(1, n1 + 100, "+", 1, conv % 3)).unionByName(one("k % 4 <> 3", hit(2, n2 + 150, "-", 2, conv % 3))).unionByName(one("k % 4 <> 3 and k % 5 = 0", hit(2, n2 + 5000, "+", 1, conv % 2)))
     names = spark.range(3).select(c("id").alias("contig_id"), F.concat(F.lit("c"), "id").alias("name"))
     out = paired.records(ready, hits, names, PairConf(0, 600), first=None)
-    return out.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.md5("seq").alias("seq_md5"), c("tags")["NM"].alias("nm"), c("tags")["NH"].alias("nh"))
+    return out.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.md5("seq").alias("seq_md5"), c("tags")["NM"]["value"].alias("nm"), c("tags")["NH"]["value"].alias("nh"))

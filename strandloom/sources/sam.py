@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 import re
-import struct
-import zlib
-from collections.abc import Iterator
-from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType, StringType
 
 from strandloom.functions import cigar as G
 from strandloom.functions import sam as M
 from strandloom.functions import seq as S
-
-COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-_KINDS = ["string", "int", "string", "long", "int", "string", "string", "long", "long", "string", "string"]
-# What the codes of a BAM record stand for.
-_OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+from strandloom.sources.bam import COLUMNS, KINDS, bam_bytes, packed_bases, read_bam, unpacked_bases, write_bam  # noqa: F401
 
 
 def kind(name: str) -> str:
@@ -38,8 +30,8 @@ def kind(name: str) -> str:
 def records_of(lines: DataFrame) -> DataFrame:
     """Text lines (value) to records of eleven columns and tags; header lines are left out."""
     parts = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
-    fields = [F.col("f")[i].cast(k).alias(c) for i, (c, k) in enumerate(zip(COLUMNS, _KINDS))]
-    return parts.select(*fields, M.tag_map(F.array_join(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), "\t")).alias("tags"))
+    fields = [F.col("f")[i].cast(k).alias(c) for i, (c, k) in enumerate(zip(COLUMNS, KINDS))]
+    return parts.select(*fields, M.typed_tags(F.array_join(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), "\t")).alias("tags"))
 
 
 def header_of(lines: DataFrame) -> DataFrame:
@@ -91,16 +83,20 @@ def unsorted(lines: DataFrame) -> DataFrame:
 
 
 def text_of(records: DataFrame, flags: str = "decimal") -> DataFrame:
-    """Records as lines; null fields are written as the format has it, tags in order of their names. `flags`: decimal, hex or letters."""
+    """Records as lines; null fields are written as the format has it, typed tags in their order, plain ones in order of their names. `flags`: decimal, hex or letters."""
     c = F.col
     default = {"rname": "*", "pos": "0", "mapq": "0", "cigar": "*", "rnext": "*", "pnext": "0", "tlen": "0", "seq": "*", "qual": "*", "flag": "0"}
     fields = [F.when(c(x).isNull() | (c(x).cast("string") == ""), default.get(x, "*")).otherwise(c(x).cast("string")) for x in COLUMNS]
     fields[1] = M.flag_text(F.coalesce(c("flag"), F.lit(0)), flags)
     out = F.concat_ws("\t", *fields)
     if "tags" in records.columns:
-        entries = F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
-        number = lambda e: F.when(e["value"].rlike("^-?[0-9]+$"), F.lit(":i:")).otherwise(F.lit(":Z:"))
-        text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], number(e), e["value"])), "\t")
+        if isinstance(records.schema["tags"].dataType.valueType, StringType):  # plain values: whole numbers, as numbers are written, are i, all else is Z
+            entries = F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
+            field = lambda e: F.concat(e["key"], F.when(e["value"].rlike("^(0|-?[1-9][0-9]{0,8})$"), F.lit(":i:")).otherwise(F.lit(":Z:")), e["value"])
+        else:
+            entries = F.coalesce(F.map_entries("tags"), F.array())
+            field = lambda e: F.concat(e["key"], F.lit(":"), F.when(e["value"]["code"].isin(*"cCsSI"), F.lit("i")).otherwise(e["value"]["code"]), F.lit(":"), e["value"]["value"])
+        text = F.array_join(F.transform(entries, field), "\t")
         out = F.when(F.length(text) > 0, F.concat_ws("\t", out, text)).otherwise(out)
     return records.select(out.alias("value"))
 
@@ -112,173 +108,6 @@ def write_sam(records: DataFrame, header: DataFrame | None, path: str, flags: st
     text_of(records, flags).write.text(f"{path}/1_records")
 
 
-def _tags(data: bytes) -> dict[str, str]:
-    found, at = {}, 0
-    sizes = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f", "d": "<d"}
-    while at + 3 <= len(data):
-        tag, code = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if code in "ZH":
-            end = data.index(b"\0", at)
-            found[tag], at = data[at:end].decode(), end + 1
-        elif code == "A":
-            found[tag], at = chr(data[at]), at + 1
-        elif code == "B":
-            form, n = sizes[chr(data[at])], struct.unpack_from("<I", data, at + 1)[0]
-            size = struct.calcsize(form)
-            found[tag] = ",".join(str(struct.unpack_from(form, data, at + 5 + i * size)[0]) for i in range(n))
-            at += 5 + n * size
-        else:
-            form = sizes[code]
-            found[tag] = str(struct.unpack_from(form, data, at)[0])
-            at += struct.calcsize(form)
-    return found
-
-
-def unpacked(content: bytes) -> bytes:
-    """Concatenated gzip blocks to their bytes."""
-    out = []
-    while content:
-        block = zlib.decompressobj(31)
-        out.append(block.decompress(content))
-        content = block.unused_data
-    return b"".join(out)
-
-
-def bam_records(content: bytes) -> Iterator[tuple]:
-    """Rows of eleven columns and tags from the bytes of a BAM file."""
-    data = unpacked(content)
-    if data[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    names, at = _names(data)
-    yield from _records(data, at, names)
-
-
-def _names(data: bytes) -> tuple[list[str], int]:
-    """Contigs of a header, and where it ends."""
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    names, n = [], struct.unpack_from("<i", data, at)[0]
-    at += 4
-    for _ in range(n):
-        size = struct.unpack_from("<i", data, at)[0]
-        names.append(data[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    return names, at
-
-
-def _records(data: bytes, at: int, names: list[str]) -> Iterator[tuple]:
-    while at < len(data):
-        size, tid, pos, packed, more, length, mtid, mpos, tlen = struct.unpack_from("<iiiIIiiii", data, at)
-        end, p = at + 4 + size, at + 36
-        n_name, mapq, n_cigar, flag = packed & 0xFF, packed >> 8 & 0xFF, more & 0xFFFF, more >> 16
-        qname = data[p : p + n_name - 1].decode()
-        p += n_name
-        ops = struct.unpack_from(f"<{n_cigar}I", data, p)
-        p += 4 * n_cigar
-        seq = unpacked_bases(data[p : p + (length + 1) // 2], length)
-        p += (length + 1) // 2
-        qual = data[p : p + length]
-        p += length
-        name = lambda t: names[t] if t >= 0 else "*"
-        yield (qname, flag, name(tid), pos + 1, mapq, "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*", "=" if mtid == tid >= 0 else name(mtid), mpos + 1, tlen, seq or "*", "*" if not length or qual[0] == 255 else "".join(chr(q + 33) for q in qual), _tags(data[p:end]))
-        at = end
-
-
-def bam_header(contigs: list[tuple[str, int]], header: str = "") -> bytes:
-    """The beginning of a BAM file, before it is compressed."""
-    out = [b"BAM\1", struct.pack("<i", len(header)), header.encode(), struct.pack("<i", len(contigs))]
-    for name, size in contigs:
-        out.append(struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\0" + struct.pack("<i", size))
-    return b"".join(out)
-
-
-def packed_bases(seq: str) -> bytes:
-    """Bases in four bits each; letters without a code are N."""
-    codes = [_BASES.index(c) if c in _BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    return bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-
-
-def unpacked_bases(data: bytes, length: int) -> str:
-    return "".join(_BASES[b >> 4] + _BASES[b & 15] for b in data)[:length]
-
-
-def _bin(begin: int, end: int) -> int:
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >= 0 and begin >> shift == end - 1 >> shift:
-            return first + (begin >> shift)
-    return 0
-
-
-def bam_record(r: dict, tid: dict[str, int]) -> bytes:
-    """One record (as of read_bam); tags of whole numbers are i, others Z."""
-    ops = [(int(n), _OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r["cigar"] or "")]
-    seq = "" if r["seq"] in (None, "*") else r["seq"]
-    qual = bytes([255] * len(seq)) if r["qual"] in (None, "*") else bytes(ord(c) - 33 for c in r["qual"])
-    tags = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if re.fullmatch(r"-?\d{1,9}", v) else b"Z" + v.encode() + b"\0") for k, v in sorted(dict(r.get("tags") or {}).items()))
-    begin = (r["pos"] or 0) - 1
-    span = sum(n for n, o in ops if _OPS[o] in "MDN=X") or 1
-    own = tid.get(r["rname"], -1)
-    name = r["qname"].encode()
-    body = struct.pack("<iiIIiiii", own, begin, _bin(begin, begin + span) << 16 | (r["mapq"] or 0) << 8 | len(name) + 1, r["flag"] << 16 | len(ops), len(seq), own if r["rnext"] == "=" else tid.get(r["rnext"], -1), (r["pnext"] or 0) - 1, r["tlen"] or 0)
-    body += name + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed_bases(seq) + qual + tags
-    return struct.pack("<i", len(body)) + body
-
-
-#: An empty block, which marks the end of a file of blocks.
-END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-BLOCK = 65280
-
-
-def blocks(data: bytes, level: int = 6) -> bytes:
-    """Compressed blocks of up to 64 kB, without the one at the end."""
-    out = []
-    for lo in range(0, len(data), BLOCK):
-        part = data[lo : lo + BLOCK]
-        for each in (level, 0):  # data that doesn't shrink is stored
-            deflate = zlib.compressobj(each, zlib.DEFLATED, -15)
-            packed = deflate.compress(part) + deflate.flush()
-            if len(packed) + 26 <= 65536:
-                break
-        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out)
-
-
-def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], header: str = "") -> bytes:
-    """A BAM file of some rows (as of read_bam)."""
-    tid = {n: i for i, (n, _) in enumerate(contigs)}
-    return blocks(bam_header(contigs, header) + b"".join(bam_record(r, tid) for r in rows)) + END_BLOCK
-
-
-def write_bam(records: DataFrame, contigs: list[tuple[str, int]], path: str, header: str = "", level: int = 6) -> None:
-    """BAM as folders: 0_header with one file, 1_records with one for each partition, each written by its task. The files in order of their paths, one after another, are one BAM file; read_bam reads the folder. `level` 0 leaves it uncompressed.
-
-    Each row that is written is a run of whole blocks, with the mark of an end between two, which readers skip within a file; blocks begin at records. The list of contigs is on every executor, as a header is in every file."""
-    tid = {n: i for i, (n, _) in enumerate(contigs)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, out = [], []
-            size = 0
-            for row in batch.to_pylist():
-                one = bam_record(row, tid)
-                if size + len(one) > BLOCK and held:
-                    out.append(blocks(b"".join(held), level))
-                    held, size = [], 0
-                held.append(one)
-                size += len(one)
-            if held:
-                out.append(blocks(b"".join(held), level))
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)] if out else [], pa.binary())], ["value"])
-
-    def save(rows: DataFrame, folder: str) -> None:
-        # A binary value goes to the file as it is; what stands between lines is the empty block.
-        rows.select(F.col("value").cast("string")).write.option("lineSep", END_BLOCK.decode("latin-1")).option("encoding", "ISO-8859-1").text(f"{path}/{folder}")
-
-    spark = records.sparkSession
-    save(spark.createDataFrame([(bytearray(blocks(bam_header(contigs, header), level)),)], "value binary").coalesce(1), "0_header")
-    save(records.select(*COLUMNS, *(["tags"] if "tags" in records.columns else [])).mapInArrow(run, "value binary"), "1_records")
-
-
 def write(records: DataFrame, header: DataFrame, contigs: list[tuple[str, int]], path: str, mode: str = "w") -> None:
     """By mode, letters after w: nothing is text without a header, h with one, b BAM, u BAM uncompressed, x flags in hexadecimal, X flags as letters."""
     if not re.fullmatch("w[bhuxX]*", mode):
@@ -290,24 +119,6 @@ def write(records: DataFrame, header: DataFrame, contigs: list[tuple[str, int]],
         write_sam(records, header if "h" in mode else None, path, "hex" if "x" in mode else "letters" if "X" in mode else "decimal")
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of BAM files, one task for each file, or of a folder that write_bam wrote, one for each of its files, whose header is read first."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = files.where(F.col("path").contains("/0_header/")).select("content").first()
-    names = _names(unpacked(bytes(head.content)))[0] if head else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = bam_records(content) if names is None else _records(unpacked(content), 0, names)
-                while part := [*islice(rows, 4096)]:
-                    yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], kinds[k]) for i, k in enumerate(_KINDS)), pa.array([[*r[11].items()] for r in part], pa.map_(pa.string(), pa.string()))], [*COLUMNS, "tags"])
-
-    schema = ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, _KINDS)) + ", tags map<string,string>"
-    return files.where(~F.col("path").contains("/0_header/")).select("content").mapInArrow(run, schema)
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of SAM text or BAM, by the file's name (kind)."""
     return read_bam(spark, path) if kind(path) == "bam" else read_sam(spark, path)
@@ -346,13 +157,16 @@ def header_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def with_library(records: DataFrame, header: DataFrame) -> DataFrame:
     """Adds library: the LB of the read group that a record's RG tag names."""
     groups = header.where("rec_type = 'RG'").select(F.col("attrs")["ID"].alias("_rg"), F.col("attrs")["LB"].alias("library"))
-    return records.withColumn("_rg", F.col("tags")["RG"]).join(groups, "_rg", "left").drop("_rg")
+    return records.withColumn("_rg", F.col("tags")["RG"]["value"]).join(groups, "_rg", "left").drop("_rg")
 
 
-def with_tag(records: DataFrame, tag: str, value) -> DataFrame:
-    """Records with a tag set to a column's value."""
-    others = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, v: k != tag)
-    return records.withColumn("tags", F.map_concat(others, F.create_map(F.lit(tag), value.cast("string"))))
+def with_tag(records: DataFrame, tag: str, value, code: str | None = None) -> DataFrame:
+    """Records with a tag set to a column's value; its code, where none is given, is i, f or Z by the column's type."""
+    kind = records.select(value).schema[0].dataType
+    code = code or ("i" if isinstance(kind, IntegralType) else "f" if isinstance(kind, FractionalType) else "Z")
+    empty = F.create_map().cast(M.TAGS)
+    others = F.map_filter(F.coalesce("tags", empty), lambda k, v: k != tag)
+    return records.withColumn("tags", F.map_concat(others, F.create_map(F.lit(tag), F.struct(F.lit(code).alias("code"), value.cast("string").alias("value")))))
 
 
 def retargeted(header: DataFrame, contigs: DataFrame) -> DataFrame:

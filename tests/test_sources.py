@@ -43,15 +43,15 @@ def test_fastq(spark, tmp_path):
             fastq.read_fastq(spark, f"{tmp_path}/bad.fastq").collect()
 
 
-ROWS = [{"qname": "a", "flag": 0, "rname": "c1", "pos": 5, "mapq": 60, "cigar": "4M", "rnext": "*", "pnext": 0, "tlen": 0, "seq": "ACGT", "qual": "IIII", "tags": {"NH": "1", "RG": "x"}}, {"qname": "b", "flag": 4, "rname": "*", "pos": 0, "mapq": 0, "cigar": "*", "rnext": "*", "pnext": 0, "tlen": 0, "seq": "ACN", "qual": "*", "tags": {}}]
-KIND = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
+ROWS = [{"qname": "a", "flag": 0, "rname": "c1", "pos": 5, "mapq": 60, "cigar": "4M", "rnext": "*", "pnext": 0, "tlen": 0, "seq": "ACGT", "qual": "IIII", "tags": {"NH": {"code": "i", "value": "1"}, "RG": {"code": "Z", "value": "x"}}}, {"qname": "b", "flag": 4, "rname": "*", "pos": 0, "mapq": 0, "cigar": "*", "rnext": "*", "pnext": 0, "tlen": 0, "seq": "ACN", "qual": "*", "tags": {}}]
+KIND = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string, struct<code: string, value: string>>"
 
 
 def test_sam(spark, tmp_path):
     df = spark.createDataFrame(ROWS, KIND)
     header = sam.header_text(spark, [("c1", 100)], "own", "g", "s", ("a:b\tc",))
     sam.write_sam(df, header, f"{tmp_path}/sam")
-    assert sorted((r.asDict() for r in sam.read_sam(spark, f"{tmp_path}/sam").collect()), key=lambda r: r["qname"]) == ROWS
+    assert sorted((r.asDict(True) for r in sam.read_sam(spark, f"{tmp_path}/sam").collect()), key=lambda r: r["qname"]) == ROWS
     h = sam.read_header(spark, f"{tmp_path}/sam")
     assert [tuple(r) for r in sam.targets(h).collect()] == [("c1", 100)] and not sam.is_sorted(h)
     assert sam.merged(h.unionByName(h)).count() == h.count()
@@ -62,7 +62,7 @@ def test_sam(spark, tmp_path):
 
 def test_bam(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(sam.bam_bytes(ROWS, [("c1", 100)], "@HD\tVN:1.0\n"))
-    assert [r.asDict() for r in sam.read_bam(spark, f"{tmp_path}/x.bam").collect()] == ROWS
+    assert [r.asDict(True) for r in sam.read_bam(spark, f"{tmp_path}/x.bam").collect()] == ROWS
 
 
 def test_stream_of_reads(spark, tmp_path):
@@ -88,7 +88,7 @@ def test_headers_and_regions(spark, tmp_path):
     assert sam.is_sorted(h) and not sam.is_sorted(sam.header_of(sam.unsorted(lines)))
     from pyspark.sql import functions as F
 
-    assert {r.qname: r.tags["NH"] for r in sam.with_tag(df, "NH", F.lit(7)).collect()} == {"a": "7", "b": "7"}
+    assert {r.qname: tuple(r.tags["NH"]) for r in sam.with_tag(df, "NH", F.lit(7)).collect()} == {"a": ("i", "7"), "b": ("i", "7")}
     assert [tuple(r) for r in sam.targets(sam.retargeted(h, spark.createDataFrame([("z", 4)], "name string, length long"))).collect()] == [("z", 4)]
     assert [r.qname for r in sam.in_region(df, "c1", 7, 8).collect()] == ["a"] and sam.in_region(df, "c1", 8, 20).count() == 0
     sam.write_sorted(df, f"{tmp_path}/sorted", 2)
