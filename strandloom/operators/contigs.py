@@ -88,7 +88,8 @@ def with_parts(rows: DataFrame, tiles: DataFrame, at: Column, length: Column, na
     """Adds the bases of the contig from `at` (0-based, not negative) on, `length` of them or as many as there are; the tiles must go that far. Rows beyond a contig's end, or of unknown contigs, are left out.
 
     A row meets one tile, never a whole contig."""
-    cut = tiles.select("contig_id", F.col("tile").alias("_tile"), F.col("start").alias("_start"), F.col("seq").alias("_seq"))
+    # Bases are one byte each: bytes are cut at a place at once, text is read up to it.
+    cut = tiles.select("contig_id", F.col("tile").alias("_tile"), F.col("start").alias("_start"), F.col("seq").cast("binary").alias("_seq"))
     met = rows.withColumns({"_at": at.cast("long"), "_length": length.cast("int")}).withColumn("_tile", F.floor(F.col("_at") / size)).join(cut, ["contig_id", "_tile"])
-    part = F.substr("_seq", (F.col("_at") - F.col("_start") + 1).cast("int"), F.col("_length"))
+    part = F.substr("_seq", (F.col("_at") - F.col("_start") + 1).cast("int"), F.col("_length")).cast("string")
     return met.withColumn(name, part).drop("_at", "_length", "_tile", "_start", "_seq")

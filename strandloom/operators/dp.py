@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
-from strandloom.operators.contigs import tiled, with_parts
-from strandloom.operators.search import budget, candidates, hits, seed_width
+from strandloom.functions import seq as S
+from strandloom.operators.contigs import TILE, tiled, with_parts
+from strandloom.operators.kept import kept
+from strandloom.operators.search import budget, candidates, hits
 from strandloom.operators.seeds import Index
 
 MATCH, MISMATCH, GAP = 1, -1, -2
 _LOW = -(1 << 30)
+#: The fewest bases of a piece that a read is looked up by, and the most.
+PIECE, WIDEST_PIECE = 6, 12
+SHORT_TILE = 1024
 #: Cells of the tables of one call.
 CELLS = 1 << 24
 
@@ -70,29 +77,75 @@ def banded(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | N
     return total, d, ops
 
 
+def scores(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | None = None) -> np.ndarray:
+    """What banded() scores with a free start, without the operations: a row of the table at a time, diagonals side by side."""
+    m, n = reads.shape
+    width = 2 * band + 1
+    kind = np.int16 if n < 1 << 12 else np.int32
+    low = kind(-(1 << 14) if kind is np.int16 else _LOW // 2)
+    step = (np.arange(width) * GAP).astype(kind)[:, None]
+    beside, bases = np.ascontiguousarray(parts.T), np.ascontiguousarray(reads.T)
+    score = np.zeros((width, m), kind)
+    for i in range(n):
+        own = beside[i : i + width]
+        same = own == bases[i]
+        if free is not None:
+            same |= (bases[i] == free[:, 0]) & (own == free[:, 1])
+        inside = own != 0
+        new = np.where(inside, score + np.where(same, kind(MATCH), kind(MISMATCH)), low)
+        np.maximum(new[:-1], score[1:] + kind(GAP), out=new[:-1])
+        # A deletion comes from any diagonal before: a running maximum once each diagonal's own cost is taken off.
+        # Before a contig none goes from one diagonal to the next, but the last of those may be left.
+        leave = inside.copy()
+        leave[:-1] |= inside[1:]
+        deeper = np.maximum.accumulate(np.where(leave, new, low) - step, axis=0) + step
+        score = np.maximum(np.where(inside, deeper, new), low)
+    return score.max(axis=0)
+
+
 def cigar(ops: np.ndarray) -> list[tuple[int, str]]:
     """Runs of a row of operations, from the beginning on."""
     return [(len([*run]), op) for op, run in groupby(ops[ops != 0][::-1].tobytes().decode())]
 
 
+def _rows(column: pa.Array, which: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of some strings, which have at least so many, as a row of bytes each."""
+    taken = pc.utf8_slice_codeunits(column.take(pa.array(which)), 0, n).cast(pa.large_string())
+    if not len(taken):
+        return np.zeros((0, n), np.uint8)
+    at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)
+    if at[-1] - at[0] != n * len(taken):  # letters of more than a byte
+        return np.frombuffer(b"".join(x.encode("ascii", "replace") for x in taken.to_pylist()), np.uint8).reshape(-1, n)
+    return np.frombuffer(taken.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, n)
+
+
 def _aligned(band: int, bisulfite: bool):
     names = ["score", "shift", "cigar", "mismatches", "indels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            patterns, parts, strand = (batch.column(c).to_pylist() for c in ("pattern", "part", "strand"))
-            lead = batch.column("lead").to_pylist()
-            found: list[tuple | None] = [None] * len(patterns)
-            lengths = np.array([len(p) for p in patterns], np.int64)
+            lead, least = batch.column("lead").to_numpy(), batch.column("least").to_numpy()
+            lengths, held = (pc.binary_length(batch.column(c)).to_numpy() for c in ("pattern", "part"))
+            minus = pc.equal(batch.column("strand"), "-").to_numpy(zero_copy_only=False)
+            found: dict[int, tuple] = {}
             for n in np.unique(lengths).tolist():
                 all_ = np.flatnonzero(lengths == n)
                 most = max(1, CELLS // ((n + 1) * (2 * band + 1)))
+                width = n + 2 * band
                 for lo in range(0, len(all_), most):
                     which = all_[lo : lo + most]
-                    reads = np.frombuffer("".join(patterns[i] for i in which).encode("ascii", "replace"), np.uint8).reshape(-1, n)
-                    text = "".join(("\0" * lead[i] + parts[i]).ljust(n + 2 * band, "\0")[: n + 2 * band] for i in which)
-                    part = np.frombuffer(text.encode("ascii", "replace"), np.uint8).reshape(-1, n + 2 * band)
-                    free = np.array([[ord(c) for c in ("TC" if strand[i] == "+" else "AG")] for i in which], np.uint8) if bisulfite else None
+                    reads = _rows(batch.column("pattern"), which, n)
+                    part = np.zeros((len(which), width), np.uint8)
+                    whole = (lead[which] == 0) & (held[which] >= width)
+                    part[whole] = _rows(batch.column("part"), which[whole], width)
+                    for row in np.flatnonzero(~whole).tolist():  # at the ends of contigs
+                        text = batch.column("part")[int(which[row])].as_py().encode("ascii", "replace")
+                        text = text[: width - lead[which[row]]]
+                        part[row, lead[which[row]] : lead[which[row]] + len(text)] = np.frombuffer(text, np.uint8)
+                    free = np.where(minus[which, None], np.frombuffer(b"AG", np.uint8), np.frombuffer(b"TC", np.uint8)) if bisulfite else None
+                    # Most places are chance: their operations aren't worked out.
+                    good = np.flatnonzero(scores(reads, part, band, free) >= least[which])
+                    which, reads, part, free = which[good], reads[good], part[good], None if free is None else free[good]
                     score, first, ops = banded(reads, part, band, free)
                     kind = [(ops == c).sum(axis=1) for c in b"MID"]
                     # score = matches - mismatches - 2 gaps, and matches + mismatches = M.
@@ -100,35 +153,49 @@ def _aligned(band: int, bisulfite: bool):
                     for row, i in enumerate(which.tolist()):
                         found[i] = (int(score[row]), int(first[row]) - band, "".join(f"{k}{op}" for k, op in cigar(ops[row])), int(wrong[row]), int(kind[1][row] + kind[2][row]))
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], [*batch.schema.names, *names])
+            rows = pa.array(sorted(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), *(pa.array([found[i][k] for i in rows.to_pylist()], t) for k, t in enumerate(kinds))], [*batch.schema.names, *names])
 
     return run
 
 
-def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, index: Index | None = None) -> DataFrame:
+def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, index: Index | None = None, piece: int = PIECE) -> DataFrame:
     """Reads without an ungapped hit, aligned within a band of indels_max: the best score of each read, with CIGARs, if no alignment with max_errors mismatches and indels_max gap bases has a lower one.
 
     With e mismatches and indels_max gap bases allowed, one of e + indels_max + 1 disjoint pieces is free of both, so it is found exactly where it stands; from there the alignment may leave
-    the piece's diagonal by indels_max to either side, before and after it: start and end are free within that band. So an alignment is found wherever its gaps are. Reads
-    that are too short for pieces of 8 bases give fewer, longer pieces, and may then be missed if all of them hold a difference."""
+    the piece's diagonal by indels_max to either side, before and after it: start and end are free within that band. So an alignment is found wherever its gaps are, in every read
+    of at least `piece` bases (or the index's width) for each piece. Reads are looked up by their own pieces, in groups of one width, so short ones don't shorten others'.
+    Shorter reads are cut for as many differences as they have pieces for, and alignments with more may be missed in them: pieces of a few bases would be everywhere."""
     ready = budget(reads, conf)
     ungapped = hits(reads, contigs, conf, index=index)
-    left = ready.join(ungapped.select("read_id").distinct(), "read_id", "left_anti")
+    left = kept(ready.join(ungapped.select("read_id").distinct(), "read_id", "left_anti"), "ungapped")
     # Pieces are cut for as many differences as the search allows.
-    room = F.greatest(F.floor(F.length("seq") / F.lit(index.k if index else 8)).cast("int") - 1, F.col("max_errors"))
-    wide = left.withColumn("allowed", F.col("max_errors")).withColumn("max_errors", F.least(F.col("max_errors") + conf.indels_max, room))
-    k = index.k if index else min(seed_width(wide), 12)
-    anchored = candidates(wide, contigs, k, conf.bisulfite, index, conf.indels_max).select("read_id", "strand", "pattern", "contig_id", "pos")
+    room = F.greatest(F.floor(F.length("seq") / F.lit(index.k if index else piece)).cast("int") - 1, F.col("max_errors"))
+    wide = left.withColumn("max_errors", F.least(F.col("max_errors") + conf.indels_max, room))
     band = conf.indels_max
+    if contigs is not None:
+        # A contig gives more places than it has bases, so contigs are dealt to all tasks first, however few files they come from.
+        contigs = contigs.select("contig_id", "seq").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if index:
+        anchored = candidates(wide, contigs, index.k, conf.bisulfite, index, band)
+    else:
+        wide = wide.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(WIDEST_PIECE), F.floor(F.length("seq") / (F.col("max_errors") + 1)))).cast("int"))
+        widths = sorted(r.width for r in wide.select("width").distinct().collect()) or [1]  # a row for each width
+        found = [candidates(wide.where(F.col("width") == k).drop("width"), contigs, k, conf.bisulfite, None, band) for k in widths]
+        anchored = reduce(DataFrame.unionByName, found)
+    # An inserted base isn't a match either.
+    least = F.length("seq") + 2 * MISMATCH * F.col("max_errors") + (GAP - MATCH) * band
+    pattern = F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq"))).alias("pattern")
+    anchored = anchored.join(left.select("read_id", "seq", least.cast("int").alias("least")), "read_id").select("read_id", "strand", "contig_id", "pos", "least", pattern)
     longest = left.agg(F.max(F.length("seq"))).first()[0] or 0
-    tiles = index.tiles if index else tiled(contigs, longest + 2 * band)
+    # Places are many and each takes its whole tile along, so tiles are short here.
+    size = TILE if index else max(SHORT_TILE, longest + 2 * band)
+    tiles = index.tiles if index else tiled(contigs, longest + 2 * band, size=size)
     begin = F.greatest(F.col("pos") - band, F.lit(0))
-    parts = with_parts(anchored.withColumn("lead", (begin - (F.col("pos") - band)).cast("int")), tiles, begin, F.length("pattern") + 2 * band - F.col("lead"))
+    parts = with_parts(anchored.withColumn("lead", (begin - (F.col("pos") - band)).cast("int")), tiles, begin, F.length("pattern") + 2 * band - F.col("lead"), size=size)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     done = parts.mapInArrow(_aligned(band, conf.bisulfite), schema + ", score int, shift int, cigar string, mismatches int, indels int")
-    placed = done.withColumn("pos", F.col("pos") + F.col("shift")).join(left.select("read_id", F.col("max_errors").alias("allowed")), "read_id")
-    least = F.length("pattern") + 2 * MISMATCH * F.col("allowed") + (GAP - MATCH) * band  # an inserted base isn't a match either
-    good = placed.where(F.col("score") >= least).select("read_id", "contig_id", "pos", "strand", "score", "cigar", "mismatches", "indels")
+    good = done.select("read_id", "contig_id", (F.col("pos") + F.col("shift")).alias("pos"), "strand", "score", "cigar", "mismatches", "indels")
     # Several anchors may lead to one alignment.
     one = good.dropDuplicates(["read_id", "contig_id", "pos", "strand", "cigar"])
     return one.withColumn("top", F.max("score").over(Window.partitionBy("read_id"))).where("score = top").drop("top")

@@ -114,19 +114,21 @@ def bitmap_of(pieces: DataFrame, bits: int) -> np.ndarray:
 def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False, index: Index | None = None, slack: int | None = None) -> DataFrame:
     """Reads (read_id, seq, max_errors) and contigs (contig_id, seq), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part.
 
-    A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases, and there is no part."""
+    A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases, and only read_id, strand, contig_id and pos are told."""
     both = strands(reads.select("read_id", "seq", "max_errors")).select("read_id", "strand", "pattern", "max_errors")
     pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
     own = ["read_id", "strand", "contig_id", "pos"]
     found = ["read_id", "strand", "pattern", "max_errors", "contig_id", "pos"]
     if index is not None:
-        met = index.seeds.join(pieces.drop("slot"), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -(slack or 0)).select(*found).dropDuplicates(own)
-        return met if slack is not None else with_parts(met, index.tiles, F.col("pos"), F.length("pattern")).where(F.length("part") == F.length("pattern"))
+        met = index.seeds.join(pieces.drop("slot"), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -(slack or 0))
+        if slack is not None:
+            return met.select(*own).distinct()
+        return with_parts(met.select(*found).dropDuplicates(own), index.tiles, F.col("pos"), F.length("pattern")).where(F.length("part") == F.length("pattern"))
     longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) if slack is None else 0
     windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap_of(pieces, k * (1 if two else 2))), "key long, contig_id long, at long, window_start long, window string")
     met = windows.join(pieces.drop("slot"), "key").withColumn("pos", F.col("at") - F.col("offset"))
     if slack is not None:
-        return met.where(F.col("pos") >= -slack).select(*found).dropDuplicates(own)
+        return met.where(F.col("pos") >= -slack).select(*own).distinct()
     part = F.substr("window", (F.col("pos") - F.col("window_start") + 1).cast("int"), F.length("pattern"))
     inside = (F.col("pos") >= F.col("window_start")) & (F.length(part) == F.length("pattern"))
     return met.where(inside).withColumn("part", part).select(*found, "part").dropDuplicates(own)

@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import re
 import struct
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators.kept import place as shared_place
+
 COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 KINDS = ["string", "int", "string", "long", "int", "string", "string", "long", "long", "string", "string"]
 # What the codes of a BAM record stand for, and how many bytes the numbers of a tag have.
@@ -486,23 +486,13 @@ def _stitched(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.concat_tables([rows, pa.Table.from_batches([head])])
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return f"{place.rstrip('/')}/bam-{uuid.uuid4().hex}"
-
-
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """Records of BAM files, of folders of them, or of a folder that write_bam wrote. Files are read in splits of spark.sql.files.maxPartitionBytes and kept as columns in the shared folder.
 
     The lists of contigs are broadcast, each different one once."""
     text = spark.read.option("recursiveFileLookup", "true").option("lineSep", MARK.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     splits = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary"))
-    place = _shared(spark)
+    place = shared_place(spark, "bam")
     splits.mapInArrow(_parsed, _PARSED).write.parquet(f"{place}/splits")
     parsed = spark.read.schema(_PARSED).parquet(f"{place}/splits")
     parsed.where("found is not null").groupBy("path").applyInArrow(_stitched, _PARSED).write.parquet(f"{place}/cut")

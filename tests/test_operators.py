@@ -148,6 +148,38 @@ def test_indels_anywhere_in_a_read(spark):
             assert (j, score, wrong, gaps) == (len(p), x.score, x.mismatches, x.indels)
 
 
+def test_scores_without_operations_are_the_same():
+    r = np.random.default_rng(3)
+    for n, band in ((1, 0), (7, 2), (40, 5), (60, 3)):
+        reads = r.choice(np.frombuffer(b"ACGT", np.uint8), (300, n))
+        parts = r.choice(np.frombuffer(b"ACGT", np.uint8), (300, n + 2 * band))
+        parts[::3, band : band + n] = reads[::3]
+        for i in range(300):  # beyond either end of a contig
+            parts[i, : i % (band + 1)] = 0
+            parts[i, parts.shape[1] - i % 4 :] = 0 if i % 4 else parts[i, parts.shape[1] - i % 4 :]
+        free = np.array([[ord("T"), ord("C")]] * 150 + [[ord("A"), ord("G")]] * 150, np.uint8)
+        for f in (None, free):
+            assert (np.maximum(dp.scores(reads, parts, band, f), -1000) == np.maximum(dp.banded(reads, parts, band, f)[0], -1000)).all()
+
+
+def test_every_read_within_the_bounds_is_found(spark):
+    """One substitution or deleted base in almost every piece: seven differences in 60 bases, where nine are allowed."""
+    r = random.Random(31)
+    text = "".join(r.choice("ACGT") for _ in range(4000))
+    reads = []
+    for i in range(200):
+        at = r.randrange(20, 3900)
+        part, places = list(text[at : at + 63]), [4 + 8 * j + r.randint(0, 3) for j in range(7)]
+        for j, k in enumerate(r.sample(places, 7)):
+            part[k] = "" if j < 3 else r.choice([c for c in "ACGT" if c != part[k]])
+        reads.append((i, "".join(part)))
+    reads += [(300, text[500:506]), (301, text[700:712]), (302, "A")]
+    found = dp.indel_search(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame([(1, text)], "contig_id long, seq string"), SearchConf(errors=4, indels=True, indels_max=5))
+    by = {x.read_id: x.score for x in found.collect()}
+    for i, read in reads[:200]:
+        assert by[i] == max(best_score(p, text) for p in (read, revcomp(read)))
+
+
 def test_indel_after_ten_bases(spark):
     r = random.Random(2)
     text = "".join(r.choice("ACGT") for _ in range(300))
