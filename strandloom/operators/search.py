@@ -9,6 +9,7 @@ Where a hit needs more of its contig, it meets a tile of it, never the whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
 from strandloom.operators.contigs import tiled, with_parts
-from strandloom.operators.seeds import WIDEST, Index, packed
+from strandloom.operators.seeds import WIDEST, Index, neighbours, packed
 
 #: The bitmap of keys has at most 2**BITMAP bits (2 MB).
 BITMAP = 24
@@ -102,6 +103,35 @@ def _pieces(k: int, two: bool):
     return run
 
 
+def _balls(k: int, two: bool):
+    """Pieces as wide as an index's seeds, as many as a read has room for or needs, and how many differences one of them has at most. An N is a difference wherever it stands, so any letter may stand for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, offsets, radius = [], [], [], []
+            for i, (pattern, errors) in enumerate(zip(batch.column("pattern").to_pylist(), batch.column("max_errors").to_pylist())):
+                n = min(errors + 1, len(pattern) // k)
+                if n:
+                    found, _ = packed(re.sub("[^ACGT]", "A", pattern).encode(), k, two)
+                    at = [p * (len(pattern) // n) for p in range(n)]
+                    keys += [int(found[p]) for p in at]
+                    offsets += at
+                    rows += [i] * n
+                    radius += [errors // n] * n
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(keys, pa.int64()), pa.array(offsets, pa.int64()), pa.array(radius, pa.int32())], [*batch.schema.names, "key", "offset", "radius"])
+
+    return run
+
+
+def probes(both: DataFrame, k: int, two: bool) -> DataFrame:
+    """Patterns (with max_errors) to the keys to look up in an index of width k: every word within the radius that one of the pieces must keep to. A radius over 2 fails."""
+    pieces = both.mapInArrow(_balls(k, two), f"{_ddl(both)}, key long, offset long, radius int")
+    masks = [F.array(*(F.lit(m).cast("long") for m, _ in neighbours(k, d, 2 if two else 4))) for d in range(3)]
+    too_far = F.raise_error(F.concat(F.lit("the index doesn't fit read "), F.col("read_id").cast("string"))).cast("array<bigint>")
+    ball = F.when(F.col("radius") == 0, masks[0]).when(F.col("radius") == 1, masks[1]).when(F.col("radius") == 2, masks[2]).otherwise(too_far)
+    return pieces.withColumn("mask", F.explode(ball)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask", "radius")
+
+
 def bitmap_of(pieces: DataFrame, bits: int) -> np.ndarray:
     """The slots of all pieces as bits; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
     size = min(bits, BITMAP)
@@ -116,14 +146,14 @@ def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False,
 
     A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases, and only read_id, strand, contig_id and pos are told."""
     both = strands(reads.select("read_id", "seq", "max_errors")).select("read_id", "strand", "pattern", "max_errors")
-    pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
     own = ["read_id", "strand", "contig_id", "pos"]
     found = ["read_id", "strand", "pattern", "max_errors", "contig_id", "pos"]
     if index is not None:
-        met = index.seeds.join(pieces.drop("slot"), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -(slack or 0))
+        met = index.seeds.join(probes(both, k, two), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -(slack or 0))
         if slack is not None:
             return met.select(*own).distinct()
         return with_parts(met.select(*found).dropDuplicates(own), index.tiles, F.col("pos"), F.length("pattern")).where(F.length("part") == F.length("pattern"))
+    pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
     longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) if slack is None else 0
     windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap_of(pieces, k * (1 if two else 2))), "key long, contig_id long, at long, window_start long, window string")
     met = windows.join(pieces.drop("slot"), "key").withColumn("pos", F.col("at") - F.col("offset"))
@@ -154,11 +184,14 @@ def hits(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, k: int |
 
 
 def indexed(reads: DataFrame, index: Index, conf: SearchConf = SearchConf()) -> DataFrame:
-    """search() over a stored index. Its seeds must be no wider than the reads' pieces, else the plan fails; its alphabet must be the search's."""
+    """search() over a stored index. Its alphabet must be the search's.
+
+    Reads with a piece as wide as the index's seeds for each difference and one more are looked up by those. Others have fewer pieces, so one of them has errors // pieces differences at most, and all words within that of each piece are looked up; beyond 2, or
+    where a read has no such piece or is longer than the index reaches, the plan fails."""
     if index.two != conf.bisulfite:
         raise ValueError("the index is for searches with the other alphabet")
-    size = F.floor(F.length("seq") / (budgeted(conf) + conf.delta + 1))
-    fits = (size >= index.k) & (F.length("seq") <= index.reach)
+    errors, pieces = budgeted(conf) + conf.delta, F.floor(F.length("seq") / index.k)
+    fits = (pieces >= 1) & (F.floor(errors / F.greatest(pieces, F.lit(1))) <= 2) & (F.length("seq") <= index.reach)
     checked = reads.where(F.when((F.length("seq") == 0) | fits, True).otherwise(F.raise_error(F.concat(F.lit("the index doesn't fit read "), F.col("read_id").cast("string")))))
     return strata(hits(checked, None, conf, index=index), conf.delta)
 

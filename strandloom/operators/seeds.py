@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, product
@@ -93,14 +95,24 @@ def seed_table(contigs: DataFrame, k: int, two: bool = False) -> DataFrame:
     return contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(run, "key long, contig_id long, pos long")
 
 
-def write_index(seeds: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Seeds sorted by key over range partitions: a reader of some keys opens the row groups that hold them only."""
-    dealt = seeds.repartitionByRange(partitions, "key") if partitions else seeds.repartitionByRange("key")
-    dealt.sortWithinPartitions("key", "contig_id", "pos").write.mode("errorifexists").parquet(path)
+def write_index(seeds: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Seeds in buckets of their keys, each sorted: a join on key reads them where they lie and shuffles only the other side, and a reader of some keys opens the row groups that hold them."""
+    spark = seeds.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"seeds_{uuid.uuid4().hex}"
+    dealt = seeds.select("key", "contig_id", "pos").repartition(n, "key")
+    dealt.write.bucketBy(n, "key").sortBy("key", "contig_id", "pos").option("path", path).mode("errorifexists").format("parquet").saveAsTable(name)
+    spark.sql(f"drop table {name}")  # the files stay
 
 
-def read_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_index(spark, path: str, buckets: int | None = None) -> DataFrame:
+    """Seeds that write_index wrote; with the number of buckets they are read as buckets, without it as plain files. The table's name in the catalogue is a hash of the path and the number."""
+    if buckets is None:
+        return spark.read.parquet(path)
+    name = f"seeds_{hashlib.md5(f'{path} {buckets}'.encode()).hexdigest()}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"create table if not exists {name} (key bigint, contig_id bigint, pos bigint) using parquet clustered by (key) sorted by (key, contig_id, pos) into {buckets} buckets location '{place}'")
+    return spark.table(name)
 
 
 @dataclass(frozen=True)
@@ -116,16 +128,18 @@ class Index:
 
 
 def write_search_index(contigs: DataFrame, path: str, k: int, two: bool = False, reach: int = 1024, partitions: int | None = None) -> None:
-    """Contigs (contig_id, seq) as an index that search.indexed reads: sorted seeds, tiles for reads of up to `reach` bases (gaps included), lengths, and one row of parameters."""
-    write_index(seed_table(contigs, k, two), f"{path}/seeds", partitions)
+    """Contigs (contig_id, seq) as an index that search.indexed reads: seeds in `partitions` buckets, tiles for reads of up to `reach` bases (gaps included), lengths, and one row of parameters."""
+    spark = contigs.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_index(seed_table(contigs, k, two), f"{path}/seeds", n)
     tiled(contigs, reach, reach).write.parquet(f"{path}/tiles")
     contigs.select("contig_id", F.length("seq").cast("long").alias("length")).write.parquet(f"{path}/contigs")
-    contigs.sparkSession.createDataFrame([(k, two, reach)], "k int, two boolean, reach int").coalesce(1).write.parquet(f"{path}/info")
+    spark.createDataFrame([(k, two, reach, n)], "k int, two boolean, reach int, buckets int").coalesce(1).write.parquet(f"{path}/info")
 
 
 def read_search_index(spark, path: str) -> Index:
     info = spark.read.parquet(f"{path}/info").first()
-    return Index(info.k, info.two, info.reach, *(spark.read.parquet(f"{path}/{part}") for part in ("seeds", "tiles", "contigs")))
+    return Index(info.k, info.two, info.reach, read_index(spark, f"{path}/seeds", info.buckets), *(spark.read.parquet(f"{path}/{part}") for part in ("tiles", "contigs")))
 
 
 def neighbours(k: int, distance: int, letters: int = 4) -> list[tuple[int, int]]:

@@ -271,6 +271,16 @@ def stored_index_search(spark, sf):
     return search.indexed(V.reads(spark, sf), seeds.read_search_index(spark, path), E4).select(*COLS.split(", "))
 
 
+@query("ball_search", BEST + f" SELECT {COLS} FROM best WHERE nm = least")
+def ball_search(spark, sf):
+    """hamming_join_best over an index of seeds that are too wide for a piece for each difference: reads of 60 bases have three pieces of 16, and with four differences one piece has one at most."""
+    from strandloom.operators import seeds
+
+    path = _shared(spark, "index")
+    seeds.write_search_index(V.contigs(spark, sf), path, 16, reach=V.READ)
+    return search.indexed(V.reads(spark, sf), seeds.read_search_index(spark, path), E4).select(*COLS.split(", "))
+
+
 @query("bam_round_trip", HITS + f" SELECT 'r' || h.read_id AS qname, CASE strand WHEN '-' THEN 16 ELSE 0 END AS flag, CAST(contig_id AS VARCHAR) AS rname, pos + 1 AS pos, length(r.seq) || 'M' AS cigar, CASE strand WHEN '+' THEN r.seq ELSE {V.revcomp_sql('r.seq')} END AS seq, CAST(nm AS VARCHAR) AS nm FROM hits h JOIN reads r ON h.read_id = r.read_id")
 def bam_round_trip(spark, sf):
     """Hits as records, written as BAM by all tasks and read back."""

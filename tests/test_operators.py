@@ -162,6 +162,30 @@ def test_scores_without_operations_are_the_same():
             assert (np.maximum(dp.scores(reads, parts, band, f), -1000) == np.maximum(dp.banded(reads, parts, band, f)[0], -1000)).all()
 
 
+@pytest.mark.parametrize("errors, k", [(2, 20), (3, 12), (5, 15)])
+def test_index_of_wide_seeds_serves_reads_by_balls(spark, tmp_path, errors, k):
+    """Radius 1 and 2, differences anywhere, an N, both strands: the same hits as the search that cuts pieces to fit."""
+    r = random.Random(41 + errors)
+    texts = [(c, "".join(r.choice("ACGT") for _ in range(700))) for c in range(3)]
+    reads = []
+    for i in range(60):
+        at = r.randrange(660)
+        read = list(texts[i % 3][1][at : at + 40])
+        for j in r.sample(range(len(read)), r.randint(0, errors)):
+            read[j] = r.choice("ACGT") if i % 6 else "N"
+        read = "".join(read)
+        reads.append((i, revcomp(read) if i % 4 == 0 else read))
+    rd, ct = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(texts, "contig_id long, seq string")
+    conf = SearchConf(errors=errors)
+    seeds.write_search_index(ct, f"{tmp_path}/own", k, partitions=8)
+    index = seeds.read_search_index(spark, f"{tmp_path}/own")
+    found = search.indexed(rd, index, conf)
+    got, want = ({tuple(x) for x in f.collect()} for f in (found, search.search(rd, ct, conf)))
+    assert got == want and len(got) > 40
+    plan = search.indexed(rd, index, conf)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in above and "seeds_" in below for above, below in zip(plan.splitlines(), plan.splitlines()[1:]))
+
+
 def test_every_read_within_the_bounds_is_found(spark):
     """One substitution or deleted base in almost every piece: seven differences in 60 bases, where nine are allowed."""
     r = random.Random(31)
