@@ -8,7 +8,7 @@ A bucket is cut into blocks of about `block` vectors by a hash of the id; each p
 row per vector, never pairs: the weight of those it is linked with, and the least id of its component within the unit. A pair that shares several
 tables counts in the first of them only. All members of a bucket are compared; there is no cap.
 
-A vector that is null, empty, zero, or holds a null or a component that isn't finite links with nothing, nor do vectors of different lengths. Rows with a null vec_id are left out; rows that repeat a vec_id
+A vector that is null, empty, zero, or holds a null or a component that isn't finite links with nothing, nor do vectors of different lengths. Rows with a null vec_id link with nothing and have a null component; rows that repeat a vec_id
 with equal vectors are copies like any other (n_links counts rows), reported once per row. Other columns, labels too, are ignored. An empty table gives no rows.
 """
 
@@ -169,7 +169,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     classes = written(reps.select(*key, "node", "weight").join(links, "node", "left").join(joined, "node", "left").select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
     out = keyed.select("vec_id", *key).join(classes, key, "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    told = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    none = F.lit(None).cast("long")
+    return told.unionByName(vectors.where("vec_id is null").select(none.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), none.alias("component_id"), F.lit(False).alias("kept")))
 
 
 def op5_hyperplane_dedup(spark, sf_dir: str) -> DataFrame:
@@ -182,6 +184,7 @@ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.ve
 r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
 c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
 k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
-SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = c.vec_id AS kept FROM c LEFT JOIN k ON c.vec_id = k.vec_id"""
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = c.vec_id AS kept FROM c LEFT JOIN k ON c.vec_id = k.vec_id
+UNION ALL SELECT NULL, 0, NULL, false FROM embeddings WHERE vec_id IS NULL"""
 SQL = {"op5_hyperplane_dedup": _SQL}
 QUERIES = {"op5_hyperplane_dedup": op5_hyperplane_dedup}

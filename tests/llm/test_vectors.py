@@ -46,3 +46,9 @@ def test_components_of_a_path_a_star_and_rings(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{200 + i: 200 for i in range(9)}}
     assert components(df.limit(0)).count() == 0
+
+
+def test_vectors_without_an_id_stay_and_link_with_nothing(spark):
+    df = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (None, None), (1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    found = sorted((tuple(r) for r in vectors.near_duplicates(df).collect()), key=repr)
+    assert found == [(1, 1, 1, True), (2, 1, 1, False)] + [(None, 0, None, False)] * 3
