@@ -259,7 +259,12 @@ def grouped(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: i
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_id"))
     sets = written(signed.where("n_shingles > 0").groupBy(*key).agg(first.alias("first"), F.first("bands").alias("bands")).withColumn("node", F.col("set_a")), "sets")
     nodes = sets.select("node", F.col("n_shingles").alias("size"), "first.doc_id", "first.text_id")
-    pairs, large = _pairs(sets.select("node", F.posexplode("bands").alias("band", "code")), ["band", "code"], small)
+    met, large = _pairs(sets.select("node", F.posexplode("bands").alias("band", "code")), ["band", "code"], small)
+    # Sets whose sizes are too far apart can't be similar enough: their texts aren't fetched.
+    sized = lambda end: nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"))
+    fits = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    pairs = written(met.join(sized("a"), "a").join(sized("b"), "b").where(fits).select("a", "b"), "pairs")
+    discard(met)
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id"))
     texts = docs.join(touched, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_id") == F.col("_text_id")))
     texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
