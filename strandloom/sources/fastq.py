@@ -11,6 +11,7 @@ import bz2
 import gzip
 import io
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -184,11 +185,23 @@ def record_of(reads: DataFrame, form: str = "trimmed") -> DataFrame:
     raise ValueError("a record is trimmed, masked or original")
 
 
+def forms(spark: SparkSession, path: str) -> DataFrame:
+    """The form of each file, by the first character of its first split that is @ (fastq) or > (fasta): file, form. Files without one are left out."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_extract("value", "^[^>@]*([>@])", 1).alias("first"))
+    firsts = text.where("block = 0 and first <> ''").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("first", "at").alias("first"))
+    return firsts.select("file", F.when(F.col("first") == "@", "fastq").otherwise("fasta").alias("form"))
+
+
 def read_records(spark: SparkSession, path: str, illumina: bool = False) -> DataFrame:
-    """FASTA or FASTQ by the first character of the files that is @ or >, whatever their names are: name, comment, seq, qual (null in FASTA)."""
+    """FASTA or FASTQ, each file by the first of its characters that is @ or >, whatever its name is: name, comment, seq, qual (null in FASTA). The driver has a row for each file."""
     from strandloom.sources.fasta import read_fasta
 
-    lines = spark.read.text(path).select(F.regexp_extract("value", "^[^>@]*([>@])", 1).alias("first")).where("first <> ''").limit(1).collect()
-    if lines and lines[0]["first"] == "@":
-        return read_fastq(spark, path, illumina).select(F.col("id").alias("name"), "comment", "seq", "qual")
-    return read_fasta(spark, path).withColumn("qual", F.lit(None).cast("string"))
+    files: dict[str, list[str]] = {"fastq": [], "fasta": []}
+    for r in forms(spark, path).collect():
+        files[r.form].append(unquote(r.file))
+    found = spark.createDataFrame([], "name string, comment string, seq string, qual string")
+    if files["fastq"]:
+        found = found.unionByName(read_fastq(spark, files["fastq"], illumina).select(F.col("id").alias("name"), "comment", "seq", "qual"))
+    if files["fasta"]:
+        found = found.unionByName(read_fasta(spark, files["fasta"]).withColumn("qual", F.lit(None).cast("string")))
+    return found

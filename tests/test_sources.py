@@ -108,6 +108,13 @@ def test_routes_forms_and_dispatch(spark, tmp_path):
     (tmp_path / "two.txt").write_text(">c some\nACG\nT\n")
     assert [tuple(r) for r in fastq.read_records(spark, f"{tmp_path}/one.txt").collect()] == [("r", "x", "ACGT", "IIII")]
     assert [tuple(r) for r in fastq.read_records(spark, f"{tmp_path}/two.txt").collect()] == [("c", "some", "ACGT", None)]
+    # A folder of both: each file by its own first mark.
+    (tmp_path / "both").mkdir()
+    (tmp_path / "both" / "a b.txt").write_text("\n@r x\nACGT\n+\n>III\n")
+    (tmp_path / "both" / "c.txt").write_text("\n>c some@\nACG\nT\n")
+    (tmp_path / "both" / "d.txt").write_text("\n")
+    assert sorted(tuple(r) for r in fastq.read_records(spark, f"{tmp_path}/both").collect()) == [("c", "some@", "ACGT", None), ("r", "x", "ACGT", ">III")]
+    assert {(r.file[-5:], r.form) for r in fastq.forms(spark, f"{tmp_path}/both").collect()} == {("b.txt", "fastq"), ("c.txt", "fasta")}
     with pytest.raises(Exception, match="too long"):
         fastq.read_fastq(spark, f"{tmp_path}/one.txt", longest=3).collect()
     assert fastq.read_fastq(spark, f"{tmp_path}/one.txt", longest=4).count() == 1
