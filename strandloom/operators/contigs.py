@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
+from strandloom.operators.kept import kept
 
 #: Bases of a tile.
 TILE = 1 << 16
@@ -19,15 +20,20 @@ def from_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).cast("long").alias("contig_id"), S.dna(F.col(text)).alias("seq")).where(F.length("seq") > 0)
 
 
-def with_offsets(contigs: DataFrame, block: int = 4096) -> DataFrame:
+def with_offsets(contigs: DataFrame) -> DataFrame:
     """Adds length and global_start: contigs in order of contig_id, one place between two.
 
-    Sums of blocks of ids are added up first, then within blocks, so no task has all contigs."""
-    sized = contigs.withColumn("length", F.length("seq").cast("long")).withColumn("block", F.floor(F.col("contig_id") / block))
-    sums = sized.groupBy("block").agg(F.sum(F.col("length") + 1).alias("n"))
-    before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
-    within = F.coalesce(F.sum(F.col("length") + 1).over(Window.partitionBy("block").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sized.withColumn("within", within).join(before, "block").withColumn("global_start", (F.col("before") + F.col("within")).cast("long")).drop("block", "before", "within")
+    Lengths are dealt by ranges of the ids that there are, however far apart these lie, and added up within each; the driver adds up a number for each range. Bases are not part of it."""
+    spark = contigs.sparkSession
+    sized = contigs.select("contig_id", F.length("seq").cast("long").alias("length"))
+    dealt = kept(sized.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "contig_id").withColumn("part", F.spark_partition_id()), "lengths")
+    before, total = [], 0
+    for r in dealt.groupBy("part").agg(F.sum(F.col("length") + 1).alias("n")).orderBy("part").collect():
+        before.append((r.part, total))
+        total += r.n
+    within = F.coalesce(F.sum(F.col("length") + 1).over(Window.partitionBy("part").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.withColumn("within", within).join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part")
+    return contigs.join(starts.select("contig_id", "length", (F.col("before") + F.col("within")).cast("long").alias("global_start")), "contig_id")
 
 
 def duplicate_names(contigs: DataFrame, name: str = "name") -> DataFrame:

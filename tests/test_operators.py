@@ -544,3 +544,16 @@ def test_admission_and_screens(spark):
     rest, found = search.screened(reads, bad, SearchConf(errors=1))
     assert [x.read_id for x in rest.collect()] == [2] and [(x.read_id, x.contaminant) for x in found.collect()] == [(1, 7)]
     assert pairs.placed(spark.createDataFrame([(1, None, 5, None)], "contig1 long, contig2 long, pos1 long, pos2 long")).first().asDict() == {"contig1": 1, "contig2": 1, "pos1": 5, "pos2": 5}
+
+
+def test_offsets_of_sparse_ids(spark):
+    """Ids far apart, in any order of rows, and no contig at all."""
+    r = random.Random(51)
+    ids = r.sample(range(-(2**60), 2**60), 300) + [0, 1, 2]
+    rows = [(i, "A" * r.randint(1, 50)) for i in ids]
+    found = {x.contig_id: (x.length, x.global_start) for x in contigs.with_offsets(spark.createDataFrame(rows, "contig_id long, seq string").repartition(7)).collect()}
+    at, want = 0, {}
+    for i, s in sorted(rows):
+        want[i], at = (len(s), at), at + len(s) + 1
+    assert found == want
+    assert contigs.with_offsets(spark.createDataFrame([], "contig_id long, seq string")).count() == 0
