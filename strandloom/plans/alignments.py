@@ -286,14 +286,35 @@ def bam_round_trip(spark, sf):
     """Hits as records, written as BAM by all tasks and read back."""
     from strandloom.sources import sam as files
 
-    found = _hits(spark, sf).join(V.reads(spark, sf), "read_id")
+    records, header = _bam_records(spark, sf)
+    path = _shared(spark, "bam")
+    files.write_bam(records, header, path)
+    return files.read_bam(spark, path).select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["NM"]["value"].alias("nm"))
+
+
+def _bam_records(spark, sf):
+    """Hits as BAM records, searched once, and the contigs that they lie in."""
+    from strandloom.operators.kept import kept
+
+    found = kept(_hits(spark, sf).join(V.reads(spark, sf), "read_id"), "hits")
     null = F.lit(None)
     fields = {"qname": F.concat(F.lit("r"), "read_id"), "flag": sam.flag(reverse=F.col("strand") == "-"), "rname": F.col("contig_id").cast("string"), "pos": F.col("pos") + 1, "mapq": F.lit(0), "cigar": F.concat(F.length("seq").cast("string"), F.lit("M")), "rnext": F.lit("*"), "pnext": F.lit(0).cast("long"), "tlen": F.lit(0).cast("long"), "seq": F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq"))), "qual": null.cast("string"), "tags": F.create_map(F.lit("NM"), F.col("nm").cast("string"))}
     named = found.select("contig_id").distinct().join(V.contigs(spark, sf), "contig_id").select(F.col("contig_id").cast("string").alias("name"), F.length("seq").alias("length"))
-    header = [(r.name, r.length) for r in named.collect()]  # the header of a file
-    path = _shared(spark, "bam")
-    files.write_bam(found.select(*(v.alias(k) for k, v in fields.items())), header, path)
-    return files.read_bam(spark, path).select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["NM"]["value"].alias("nm"))
+    return found.select(*(v.alias(k) for k, v in fields.items())), [(r.name, r.length) for r in named.collect()]  # the header of a file
+
+
+@query("bam_region_index", HITS + " SELECT 'r' || read_id AS qname, CAST(contig_id AS VARCHAR) AS rname, pos + 1 AS pos, CASE strand WHEN '-' THEN 16 ELSE 0 END AS flag FROM hits h JOIN contigs c USING (contig_id) JOIN reads r USING (read_id) WHERE pos < length(c.seq) * 3 // 4 AND pos + length(r.seq) > length(c.seq) // 4")
+def bam_region_index(spark, sf):
+    """Hits written as one sorted BAM file with its index, and the records of the middle half of each contig read through the index."""
+    from strandloom.sources import bai
+
+    records, header = _bam_records(spark, sf)
+    path = _shared(spark, "sorted")
+    bai.write_sorted_bam(records, header, path)
+    bai.joined(spark, path, f"{path}.bam")
+    index = bai.index_of(spark, f"{path}.bam")
+    bai.write_bai(index, f"{path}.bam", f"{path}.bam.bai")
+    return bai.in_regions(spark, f"{path}.bam", f"{path}.bam.bai", [(n, size // 4, size * 3 // 4) for n, size in header]).select("qname", "rname", "pos", "flag")
 
 
 @query("typed_tag_round_trip", """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS c FROM orders)
