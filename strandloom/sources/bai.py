@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.kept import kept
 from strandloom.sources import bam as B
-from strandloom.sources.ranged import Ranged, located, ranges
+from strandloom.sources.ranged import Ranged, located, named, ranges
 
 #: Positions of a window are 2**WINDOW; bytes that tasks of an index and of a region's long chunks read.
 WINDOW, RANGE, PIECE = 14, 128 << 20, 16 << 20
@@ -273,10 +273,10 @@ def index_of(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 
 
 def write_bai(index: DataFrame, path: str, to: str) -> None:
-    """The index of one file (path as in the index) in the usual form. Rows come to the driver in order, a partition at a time, and go to the file."""
+    """The index of one file in the usual form. Rows come to the driver in order, a partition at a time, and go to the file."""
     n_ref = len(B.contigs_of(header_of(path)))
     section = F.when(F.col("kind") == "bin", 0).when(F.col("kind") == "counts", 1).otherwise(2)
-    own = index.where(F.col("path") == path).withColumn("section", section)
+    own = index.where(F.col("path") == named(path)).withColumn("section", section)
     sums = own.groupBy("tid").agg(F.count_distinct(F.when(F.col("section") == 0, F.col("key"))).alias("bins"), F.max(F.when(F.col("section") == 2, F.col("key") + 1)).alias("windows"))
     rows = own.withColumn("chunks", F.count("*").over(Window.partitionBy("tid", "section", "key"))).join(sums, "tid").select("tid", "section", "key", "lo", "hi", "n", "m", "chunks", "bins", "windows").orderBy("tid", "section", "key", "lo")
     store, inner = located(to)

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def named(path: str) -> str:
+    """One form of a path: Spark tells local ones with one slash."""
+    return re.sub("^(file:)?/+", "file:///", path)
+
+
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path, and the path within it."""
-    path = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", path))
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", named(path)))
 
 
 class Ranged:
@@ -42,7 +46,7 @@ class Ranged:
 
 def ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
     """Files at a path cut into ranges of `size` bytes, dealt to tasks one by one: path, start, stop."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # what they hold isn't read
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length").where("length > 0")  # what they hold isn't read
     cut = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"), "length")
     dealt = cut.select("path", "start", F.least(F.col("start") + size, "length").alias("stop"))
     n = files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 1
