@@ -39,13 +39,30 @@ def right_clip(ops: Column) -> Column:
     return F.when(F.size(ops) > 1, left_clip(F.reverse(ops))).otherwise(0)
 
 
-def blocks(ops: Column, pos: Column) -> Column:
-    """Aligned stretches: array of (ref, query, len, op) for M, =, X, D and N, from the 0-based position on."""
-    start = F.struct(pos.cast("long").alias("ref"), F.lit(0).cast("long").alias("query"), F.array().cast("array<struct<ref:bigint,query:bigint,len:int,op:string>>").alias("out"))
+def neighbourhood(ops: Column) -> Column:
+    """Operations with what lies around each match between clips and skipped stretches: indel, the length of the insertion (negative: deletion) between it and the next match, padding aside, and whether it is the first and the last match there."""
+    letters = F.translate(F.array_join(F.transform(ops, lambda o: o["op"]), ""), "=X", "MM")
+
+    def around(o: Column, i: Column) -> Column:
+        after = F.substr(letters, i + 2)
+        other = F.get(ops, i + F.when(after.startswith("P"), 2).otherwise(1))
+        more, match = after.rlike("^[^MNSH]*M"), o["op"].isin("M", "=", "X")
+        size = F.when(other["op"] == "I", other["len"]).when(other["op"] == "D", -other["len"])
+        first = ~F.substr(letters, F.lit(1), i).rlike("M[^NSH]*$")
+        return F.struct(o["len"].alias("len"), o["op"].alias("op"), F.coalesce(F.when(match & more, size), F.lit(0)).alias("indel"), (match & first).alias("first"), (match & ~more).alias("last"))
+
+    return F.transform(ops, around)
+
+
+def blocks(ops: Column, pos: Column, also: dict[str, str] | None = None) -> Column:
+    """Aligned stretches: array of (ref, query, len, op) for M, =, X, D and N, from the 0-based position on, and fields that the operations have besides (name to type)."""
+    more = also or {}
+    fields = "".join(f",{n}:{t}" for n, t in more.items())
+    start = F.struct(pos.cast("long").alias("ref"), F.lit(0).cast("long").alias("query"), F.array().cast(f"array<struct<ref:bigint,query:bigint,len:int,op:string{fields}>>").alias("out"))
 
     def step(s: Column, o: Column) -> Column:
         on_ref, on_query = o["op"].isin("M", "D", "N", "=", "X", "P"), o["op"].isin("M", "I", "S", "=", "X")
-        own = F.struct(s["ref"].alias("ref"), s["query"].alias("query"), o["len"].alias("len"), o["op"].alias("op"))
+        own = F.struct(s["ref"].alias("ref"), s["query"].alias("query"), o["len"].alias("len"), o["op"].alias("op"), *(o[n].alias(n) for n in more))
         return F.struct(
             (s["ref"] + F.when(on_ref, o["len"]).otherwise(0)).alias("ref"),
             (s["query"] + F.when(on_query, o["len"]).otherwise(0)).alias("query"),

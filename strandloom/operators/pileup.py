@@ -13,15 +13,25 @@ BIN = 14
 
 
 def bases(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
-    """Records (contig_id, pos 0-based, cigar, seq, flag and more) to a row for each reference position they cover: ref, qpos, is_del, base.
+    """Records (contig_id, pos 0-based, cigar, seq, flag and more) to a row for each reference position they cover: ref, qpos, is_del, base, indel (length of the insertion, or less than 0 of the deletion, between this base and the next), is_head and is_tail (the first and the last base between clips and skipped stretches).
 
-    Skipped stretches (N) give no rows; deletions give rows without a base."""
+    Skipped stretches (N) give no rows; deletions give rows without a base. Nothing is shuffled or gathered, whatever the coverage."""
     kept = records.where(F.col("flag").bitwiseAND(mask) == 0).where(F.col("cigar") != "*")
-    blocks = kept.withColumn("b", F.explode(C.blocks(C.operations(F.col("cigar")), F.col("pos")))).where(F.col("b.op") != "N")
+    blocks = kept.withColumn("b", F.explode(C.blocks(C.neighbourhood(C.operations(F.col("cigar"))), F.col("pos"), {"indel": "int", "first": "boolean", "last": "boolean"}))).where((F.col("b.op") != "N") & (F.col("b.len") > 0))
     each = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
     is_del = F.col("b.op") == "D"
     qpos = F.when(is_del, None).otherwise(F.col("b.query") + F.col("k"))
-    return each.select(*[c for c in records.columns if c not in ("seq", "cigar")], (F.col("b.ref") + F.col("k")).alias("ref"), qpos.alias("qpos"), is_del.alias("is_del"), F.substr("seq", (qpos + 1).cast("int"), F.lit(1)).alias("base"))
+    at_end = F.col("k") == F.col("b.len") - 1
+    place = [(F.col("b.ref") + F.col("k")).alias("ref"), qpos.alias("qpos"), is_del.alias("is_del"), F.substr("seq", (qpos + 1).cast("int"), F.lit(1)).alias("base")]
+    around = [F.when(at_end, F.col("b.indel")).otherwise(0).alias("indel"), (F.col("b.first") & (F.col("k") == 0)).alias("is_head"), (F.col("b.last") & at_end).alias("is_tail")]
+    return each.select(*[c for c in records.columns if c not in ("seq", "cigar")], *place, *around)
+
+
+def columns(records: DataFrame, mask: int = sam.PILEUP_MASK, partitions: int | None = None) -> DataFrame:
+    """bases() in order of place and name. Ranges of (place, name) are dealt to tasks, so a place that very many records cover is dealt to several, and no task holds it at once."""
+    own, order = bases(records, mask), ["contig_id", "ref", "qname"]
+    dealt = own.repartitionByRange(partitions, *order) if partitions else own.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
 
 
 def runs(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
@@ -47,7 +57,7 @@ def depth(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
 
 
 def pileup(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
-    """Each position with the records that cover it, in order of their names. For bounded coverage; depth() has no such bound."""
+    """Each position with the records that cover it, in order of their names. For bounded coverage; columns() and depth() have no such bound."""
     own = bases(records, mask)
     return own.groupBy("contig_id", "ref").agg(F.array_sort(F.collect_list(F.struct("qname", "qpos", "is_del", "base"))).alias("column"))
 

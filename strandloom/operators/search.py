@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
@@ -176,9 +176,15 @@ def seed_width(reads: DataFrame, widest: int = WIDEST) -> int:
 
 def hits(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, k: int | None = None, index: Index | None = None) -> DataFrame:
     """All places with at most max_errors + delta differences: read_id, contig_id, pos (0-based), strand, nm, max_errors."""
-    ready = budget(reads, conf)
+    return within(budget(reads, conf), contigs, conf, k, index)
+
+
+def within(ready: DataFrame, contigs: DataFrame | None, conf: SearchConf, k: int | None = None, index: Index | None = None, watch: Observation | None = None) -> DataFrame:
+    """hits() of reads that have their own max_errors. `watch` is told the number of candidates, the places where whole reads are compared."""
     wide = ready.withColumn("max_errors", F.col("max_errors") + conf.delta)
     found = candidates(wide, contigs, index.k if index else k or seed_width(wide), conf.bisulfite, index)
+    if watch is not None:
+        found = found.observe(watch, F.count(F.lit(1)).alias("candidates"))
     nm = S.bisulfite_distance(F.col("pattern"), F.col("part"), F.col("strand")) if conf.bisulfite else S.hamming(F.col("pattern"), F.col("part"))
     return found.withColumn("nm", nm).where(F.col("nm") <= F.col("max_errors")).select("read_id", "contig_id", "pos", "strand", "nm", (F.col("max_errors") - conf.delta).alias("max_errors"))
 

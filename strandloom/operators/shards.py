@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.config import SearchConf
+from strandloom.operators import search
+from strandloom.operators.kept import kept
 from strandloom.operators.ranks import ranked
 
 
@@ -95,3 +98,23 @@ def final(partials: DataFrame) -> DataFrame:
     """Over shards: the least number of differences, and the sum of the counts of the shards that have it. Any order and grouping gives the same."""
     by_nm = partials.groupBy("read_id", "nm").agg(F.sum("n").alias("n"))
     return by_nm.groupBy("read_id").agg(F.min(F.struct("nm", "n")).alias("best")).select("read_id", "best.nm", "best.n")
+
+
+def carried(reads: DataFrame, contigs: DataFrame, conf: SearchConf = SearchConf(), shards: list | None = None) -> tuple[DataFrame, list[int]]:
+    """search() over contigs (contig_id, seq, shard) one shard after another: each looks for at most as many differences as the best hit so far has, and `delta` more. Also the number of candidates that each shard compared.
+
+    The result is the same in any order of the shards; without a list they come in their own order. Reads, their budgets and a shard's hits are written between shards. A budget that falls means fewer and wider pieces, so fewer places meet one by chance."""
+    order = [r.shard for r in contigs.select("shard").distinct().orderBy("shard").collect()] if shards is None else shards  # numbers of shards
+    left = kept(search.budget(reads, conf).select("read_id", "seq", "max_errors"), "budgets")
+    out, compared = None, []
+    for s in order:
+        watch = Observation(f"shard {s}")
+        found = kept(search.within(left, contigs.where(F.col("shard") == s).select("contig_id", "seq"), conf, watch=watch), "hits")
+        compared.append(watch.get["candidates"])
+        out = found if out is None else out.unionByName(found)
+        if s != order[-1]:
+            best = found.groupBy("read_id").agg(F.min("nm").alias("nm"))
+            left = kept(left.join(best, "read_id", "left").select("read_id", "seq", F.least("max_errors", "nm").cast("int").alias("max_errors")), "budgets")
+    if out is None:
+        return search.search(reads, contigs.select("contig_id", "seq"), conf), []
+    return search.strata(out, conf.delta), compared

@@ -115,6 +115,12 @@ def shard_min_merge(spark, sf):
     return shards.final(shards.partial(_hits(spark, sf).withColumn("shard", F.col("contig_id") % 4)))
 
 
+@query("shard_carried_budget", BEST + f" SELECT {COLS} FROM best WHERE nm = least")
+def shard_carried_budget(spark, sf):
+    """hamming_join_best over four shards of contigs, each searched with what the shards before found."""
+    return shards.carried(V.reads(spark, sf), V.contigs(spark, sf).withColumn("shard", F.col("contig_id") % 4), E4)[0].select(*COLS.split(", "))
+
+
 def _records(spark, sf):
     """Hits as records: soft-clipped by five bases on each side."""
     reads_, found = V.reads(spark, sf), _hits(spark, sf)
@@ -128,6 +134,26 @@ def pileup_depth(spark, sf):
     return pileup.depth(_records(spark, sf)).select("contig_id", "ref", "depth")
 
 
+@query(
+    "pileup_entries",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS contig_id, o_custkey % 1000 AS p, o_custkey % 7 + 1 AS a, o_orderkey % 3 AS b, o_orderkey % 5 + 1 AS c, o_custkey % 3 AS d, o_orderkey % 4 + 1 AS e, translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM orders),
+r AS (
+SELECT k, contig_id, s, p + i AS ref, 3 + i AS qpos, CASE WHEN i = a - 1 THEN b ELSE 0 END AS indel, i = 0 AS is_head, false AS is_tail FROM (SELECT *, unnest(range(0, a)) AS i FROM o)
+UNION ALL SELECT k, contig_id, s, p + a + i, 3 + a + b + i, CASE WHEN i = c - 1 THEN -d ELSE 0 END, false, false FROM (SELECT *, unnest(range(0, c)) AS i FROM o)
+UNION ALL SELECT k, contig_id, s, p + a + c + i, NULL, 0, false, false FROM (SELECT *, unnest(range(0, d)) AS i FROM o)
+UNION ALL SELECT k, contig_id, s, p + a + c + d + i, 3 + a + b + c + i, 0, false, i = e - 1 FROM (SELECT *, unnest(range(0, e)) AS i FROM o))
+SELECT 'r' || k AS qname, contig_id, ref, qpos, qpos IS NULL AS is_del, substr(s, CAST(qpos + 1 AS BIGINT), 1) AS base, CAST(indel AS INTEGER) AS indel, is_head, is_tail FROM r""",
+)
+def pileup_entries(spark, sf):
+    """Orders as alignments with a clip, an insertion and a deletion: what each position has of each."""
+    o, c = V.table(spark, sf, "orders"), F.col
+    part = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise("")
+    cigar = F.concat(F.lit("3S"), part(c("o_custkey") % 7 + 1, "M"), part(c("o_orderkey") % 3, "I"), part(c("o_orderkey") % 5 + 1, "M"), part(c("o_custkey") % 3, "D"), part(c("o_orderkey") % 4 + 1, "M"))
+    seq = F.translate(F.md5(c("o_orderkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = o.select(F.concat(F.lit("r"), "o_orderkey").alias("qname"), F.lit(0).alias("flag"), (c("o_orderkey") % 4).alias("contig_id"), (c("o_custkey") % 1000).alias("pos"), cigar.alias("cigar"), seq.alias("seq"))
+    return pileup.columns(rows).select("qname", "contig_id", "ref", "qpos", "is_del", "base", "indel", "is_head", "is_tail")
+
+
 @query("idxstats", HITS + " SELECT c.contig_id, length(c.seq) AS length, count(h.read_id) AS mapped, CAST(0 AS BIGINT) AS unmapped FROM contigs c LEFT JOIN hits h ON c.contig_id = h.contig_id GROUP BY ALL")
 def idxstats(spark, sf):
     return pileup.idxstats(_records(spark, sf), V.contigs(spark, sf).select("contig_id", F.length("seq").cast("long").alias("length")))
