@@ -61,7 +61,7 @@ def blocks(ops: Column, pos: Column, also: dict[str, str] | None = None) -> Colu
     start = F.struct(pos.cast("long").alias("ref"), F.lit(0).cast("long").alias("query"), F.array().cast(f"array<struct<ref:bigint,query:bigint,len:int,op:string{fields}>>").alias("out"))
 
     def step(s: Column, o: Column) -> Column:
-        on_ref, on_query = o["op"].isin("M", "D", "N", "=", "X", "P"), o["op"].isin("M", "I", "S", "=", "X")
+        on_ref, on_query = o["op"].isin("M", "D", "N", "=", "X"), o["op"].isin("M", "I", "S", "=", "X")
         own = F.struct(s["ref"].alias("ref"), s["query"].alias("query"), o["len"].alias("len"), o["op"].alias("op"), *(o[n].alias(n) for n in more))
         return F.struct(
             (s["ref"] + F.when(on_ref, o["len"]).otherwise(0)).alias("ref"),

@@ -357,3 +357,15 @@ def typed_tag_round_trip(spark, sf):
     path = _shared(spark, "bam")
     files.write_bam(files.records_of(V.table(spark, sf, "orders").select(line.alias("value"))), [], path, "@CO\tordres à plat\n")
     return files.text_of(files.read_bam(spark, path)).select(F.split("value", "\t")[0].alias("qname"), F.array_join(F.slice(F.split("value", "\t"), 12, 99), "\t").alias("tags"))
+
+
+@query("fasta_index_fetch", f"WITH {V.CONTIGS_SQL} SELECT CAST(contig_id AS VARCHAR) AS name, substr(seq, CAST(length(seq) // 4 + 1 AS BIGINT), CAST(length(seq) * 3 // 4 - length(seq) // 4 AS BIGINT)) AS seq FROM contigs")
+def fasta_index_fetch(spark, sf):
+    """Contigs written as FASTA, indexed, and the middle half of each read by its bytes."""
+    from strandloom.sources import fai, fasta
+
+    path = _shared(spark, "fasta")
+    named = V.contigs(spark, sf).select(F.col("contig_id").cast("string").alias("name"), F.lit("").alias("comment"), "seq")
+    fasta.write_fasta(named, path)
+    index = fai.index_of(spark, f"{path}/*.txt")
+    return fai.fetch(index, index.select("name", F.expr("length div 4").alias("begin"), F.expr("length * 3 div 4").alias("end"))).select("name", "seq")

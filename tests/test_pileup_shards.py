@@ -33,7 +33,7 @@ def walked(name, pos, ops, seq):
         if op not in "NSH":
             stretch.append(("M" if op in "=X" else op, rows[0] if rows else None, rows[-1] if rows else None, n))
         out += rows
-        ref += n if op in "M=XDNP" else 0
+        ref += n if op in "M=XDN" else 0
         query += n if op in "M=XIS" else 0
     close()
     return out
@@ -61,7 +61,7 @@ def test_entries_equal_a_plain_walk(spark):
 
 def test_an_insertion_behind_padding(spark):
     df = spark.createDataFrame([("a", 0, 1, 0, "2M1P2I2M", "ACGTAC")], "qname string, flag int, contig_id long, pos long, cigar string, seq string")
-    assert [(x.qpos, x.indel, x.is_head, x.is_tail) for x in pileup.columns(df).collect()] == [(0, 0, True, False), (1, 2, False, False), (4, 0, False, False), (5, 0, False, True)]
+    assert [(x.ref, x.qpos, x.indel, x.is_head, x.is_tail) for x in pileup.columns(df).collect()] == [(0, 0, 0, True, False), (1, 1, 2, False, False), (2, 4, 0, False, False), (3, 5, 0, False, True)]
 
 
 def test_very_many_records_at_one_place_are_dealt_to_tasks(spark):
