@@ -261,3 +261,19 @@ def paired_records(spark, sf):
     names = spark.range(3).select(c("id").alias("contig_id"), F.concat(F.lit("c"), "id").alias("name"))
     out = paired.records(ready, hits, names, PairConf(0, 600), first=None)
     return out.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.md5("seq").alias("seq_md5"), c("tags")["NM"]["value"].alias("nm"), c("tags")["NH"]["value"].alias("nh"))
+
+
+@query(
+    "merged_read_groups",
+    """WITH g AS (SELECT DISTINCT s_nationkey AS f, 'g' || s_suppkey % 10 AS id, 's' || s_nationkey % 3 AS sm FROM supplier),
+v AS (SELECT id, sm, row_number() OVER (PARTITION BY id ORDER BY min(lpad(CAST(f AS VARCHAR), 4, '0')), sm) AS n FROM g GROUP BY id, sm)
+SELECT s_suppkey AS k, CASE WHEN n = 1 THEN id ELSE id || '.' || substr(md5('{"SM":"' || sm || '"}'), 1, 16) END AS read_group FROM supplier JOIN v ON id = 'g' || s_suppkey % 10 AND sm = 's' || s_nationkey % 3""",
+)
+def merged_read_groups(spark, sf):
+    """Suppliers as records of a file for each nation, whose read groups have the same names and other samples: the names after the files' headers are merged."""
+    from strandloom.operators import headers
+
+    own = table(spark, sf, "supplier").select(F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("file"), F.concat(F.lit("g"), F.col("s_suppkey") % 10).alias("id"), F.concat(F.lit("s"), F.col("s_nationkey") % 3).alias("sm"), F.col("s_suppkey").alias("k"))
+    lines = own.select("file", F.lit("RG").alias("rec_type"), F.create_map(F.lit("ID"), "id", F.lit("SM"), "sm").alias("attrs"))
+    tags = F.create_map(F.lit("RG"), F.struct(F.lit("Z").alias("code"), F.col("id").alias("value")))
+    return headers.rewritten(own.select("file", "k", tags.alias("tags")), headers.renames(lines)).select("k", F.col("tags")["RG"]["value"].alias("read_group"))
