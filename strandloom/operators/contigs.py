@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,43 @@ from strandloom.operators.kept import kept
 
 #: Bases of a tile.
 TILE = 1 << 16
+#: Bytes that are recoded together.
+BLOCK = 1 << 20
+
+
+def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column in a row, and where each begins (and the last one ends); null is empty."""
+    c = column.fill_null("").cast(pa.large_string())
+    if not len(c):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(c.buffers()[1], np.int64, len(c) + 1, c.offset * 8)
+    return np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+#: The base that stands for each byte of lower-case prose; bytes without one (also all those of letters beyond ASCII) are 0.
+_BASE = np.zeros(256, np.uint8)
+_BASE[list(S.LETTERS.encode())] = list(S.BASES_OF_LETTERS.encode())
+
+
+def _recoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = letters(batch.column(1))
+        out, kept_ = [], np.zeros(len(at), np.int64)
+        for lo in range(0, len(data), BLOCK):
+            bases = _BASE[data[lo : lo + BLOCK]]
+            stays = bases != 0
+            upto = np.cumsum(stays)
+            inside = slice(np.searchsorted(at, lo, "right"), np.searchsorted(at, lo + len(bases), "right"))  # ends of texts within this block
+            total = sum(map(len, out))
+            kept_[inside] = total + upto[at[inside] - lo - 1]
+            out.append(bases[stays])
+        seq = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(kept_), pa.py_buffer(np.concatenate(out) if out else b"")).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), seq], ["contig_id", "seq"]).filter(pc.greater(pc.binary_length(seq), 0))
 
 
 def from_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """A text column recoded to bases; empty ones are left out."""
-    return texts.select(F.col(key).cast("long").alias("contig_id"), S.dna(F.col(text)).alias("seq")).where(F.length("seq") > 0)
+    """A text column recoded to bases, as functions.seq.dna does; empty ones are left out. Texts are put in lower case by Spark and recoded a batch at a time."""
+    return texts.select(F.col(key).cast("long").alias("contig_id"), F.lower(text).alias("seq")).mapInArrow(_recoded, "contig_id long, seq string")
 
 
 def with_offsets(contigs: DataFrame) -> DataFrame:

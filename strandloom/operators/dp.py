@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
-from strandloom.operators.contigs import TILE, tiled, with_parts
 from strandloom.operators.kept import kept
-from strandloom.operators.search import budget, candidates, hits
+from strandloom.operators.search import budget, budgeted, candidates, hits
 from strandloom.operators.seeds import Index
 
 MATCH, MISMATCH, GAP = 1, -1, -2
 _LOW = -(1 << 30)
 #: The fewest bases of a piece that a read is looked up by, and the most.
 PIECE, WIDEST_PIECE = 6, 12
-SHORT_TILE = 1024
 #: Cells of the tables of one call.
-CELLS = 1 << 24
+CELLS = 1 << 20
+#: Bases of the words by which places are ruled out before they are aligned (shared_words is written for 4).
+WORD = 4
 
 
 def banded(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | None = None, fixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +103,26 @@ def scores(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | N
     return score.max(axis=0)
 
 
+def shared_words(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | None = None) -> np.ndarray:
+    """How many of each read's words of `WORD` bases stand on some diagonal of the band."""
+    m, n = reads.shape
+    beside, bases = np.ascontiguousarray(parts.T), np.ascontiguousarray(reads.T)
+    found = np.zeros((max(0, n - WORD + 1), m), bool)
+    for d in range(2 * band + 1) if len(found) else ():
+        own = beside[d : d + n]
+        same = own == bases
+        if free is not None:
+            same |= (bases == free[:, 0]) & (own == free[:, 1])
+        two = same[:-1] & same[1:]
+        found |= two[:-2] & two[2:]
+    return found.sum(axis=0, dtype=np.int32)
+
+
+def least_shared(n: int, least: np.ndarray) -> np.ndarray:
+    """The fewest words that an alignment of n bases with such a score leaves whole: each base that is another, put in or left out costs 2 at least and lies in `WORD` words at most."""
+    return n - WORD + 1 - WORD * ((n - least) * MATCH // 2)
+
+
 def cigar(ops: np.ndarray) -> list[tuple[int, str]]:
     """Runs of a row of operations, from the beginning on."""
     return [(len([*run]), op) for op, run in groupby(ops[ops != 0][::-1].tobytes().decode())]
@@ -143,8 +163,9 @@ def _aligned(band: int, bisulfite: bool):
                         text = text[: width - lead[which[row]]]
                         part[row, lead[which[row]] : lead[which[row]] + len(text)] = np.frombuffer(text, np.uint8)
                     free = np.where(minus[which, None], np.frombuffer(b"AG", np.uint8), np.frombuffer(b"TC", np.uint8)) if bisulfite else None
-                    # Most places are chance: their operations aren't worked out.
-                    good = np.flatnonzero(scores(reads, part, band, free) >= least[which])
+                    # Most places are chance: too few of their words are the same, and those of the rest that score too little need no operations.
+                    good = np.flatnonzero(shared_words(reads, part, band, free) >= least_shared(n, least[which]))
+                    good = good[scores(reads[good], part[good], band, None if free is None else free[good]) >= least[which[good]]]
                     which, reads, part, free = which[good], reads[good], part[good], None if free is None else free[good]
                     score, first, ops = banded(reads, part, band, free)
                     kind = [(ops == c).sum(axis=1) for c in b"MID"]
@@ -174,7 +195,7 @@ def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf,
     wide = left.withColumn("max_errors", F.least(F.col("max_errors") + conf.indels_max, room))
     band = conf.indels_max
     if contigs is not None:
-        # A contig gives more places than it has bases, so contigs are dealt to all tasks first, however few files they come from.
+        # A contig gives about as many places as it has bases, so contigs are dealt to all tasks first, however few files they come from.
         contigs = contigs.select("contig_id", "seq").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if index:
         anchored = candidates(wide, contigs, index.k, conf.bisulfite, index, band)
@@ -184,15 +205,10 @@ def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf,
         found = [candidates(wide.where(F.col("width") == k).drop("width"), contigs, k, conf.bisulfite, None, band) for k in widths]
         anchored = reduce(DataFrame.unionByName, found)
     # An inserted base isn't a match either.
-    least = F.length("seq") + 2 * MISMATCH * F.col("max_errors") + (GAP - MATCH) * band
-    pattern = F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq"))).alias("pattern")
-    anchored = anchored.join(left.select("read_id", "seq", least.cast("int").alias("least")), "read_id").select("read_id", "strand", "contig_id", "pos", "least", pattern)
-    longest = left.agg(F.max(F.length("seq"))).first()[0] or 0
-    # Places are many and each takes its whole tile along, so tiles are short here.
-    size = TILE if index else max(SHORT_TILE, longest + 2 * band)
-    tiles = index.tiles if index else tiled(contigs, longest + 2 * band, size=size)
-    begin = F.greatest(F.col("pos") - band, F.lit(0))
-    parts = with_parts(anchored.withColumn("lead", (begin - (F.col("pos") - band)).cast("int")), tiles, begin, F.length("pattern") + 2 * band - F.col("lead"), size=size)
+    least = F.length("pattern") + 2 * MISMATCH * budgeted(conf, "pattern") + (GAP - MATCH) * band
+    # Places are many and nearly all chance: they are aligned where they are found, and only what scores enough is shuffled.
+    lead = F.greatest(band - F.col("pos"), F.lit(0)).cast("int")
+    parts = anchored.select("read_id", "strand", "contig_id", "pos", least.cast("int").alias("least"), "pattern", "part", lead.alias("lead"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     done = parts.mapInArrow(_aligned(band, conf.bisulfite), schema + ", score int, shift int, cigar string, mismatches int, indels int")
     good = done.select("read_id", "contig_id", (F.col("pos") + F.col("shift")).alias("pos"), "strand", "score", "cigar", "mismatches", "indels")

@@ -2,7 +2,7 @@
 
 A read with at most e differences at a place has e + 1 disjoint pieces of which one is the same there. So: pieces of the reads are
 keys; the contigs are read once, and only positions whose word is one of the keys go on, each with the part of the contig that a read can cover;
-they meet the pieces by an equi-join, whole reads are compared, and the best strata are chosen. Keys that many rows of both sides have are split by AQE's skew join.
+they meet the pieces by an equi-join, whole reads are compared, and the best strata are chosen. Pieces of up to `FEW` bytes are broadcast, so windows aren't shuffled; of more, keys that many rows of both sides have are split by AQE's skew join.
 The set of keys that filters the contigs is a bitmap of 2**`BITMAP` bits at most (wider keys by a hash), whatever the number of reads is.
 Where a hit needs more of its contig, it meets a tile of it, never the whole.
 """
@@ -14,23 +14,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
-from strandloom.operators.contigs import tiled, with_parts
+from strandloom.operators.contigs import letters, tiled, with_parts
 from strandloom.operators.seeds import WIDEST, Index, neighbours, packed
 
 #: The bitmap of keys has at most 2**BITMAP bits (2 MB).
 BITMAP = 24
 #: Positions of a contig that are looked at together, and bases of windows in a batch.
-CHUNK, WINDOWS = 1 << 17, 1 << 23
+CHUNK, WINDOWS = 1 << 17, 1 << 21
+#: Bytes of pieces with their reads that go to all tasks; where there are more, both sides are shuffled.
+FEW = 1 << 25
 
 
-def budgeted(conf: SearchConf) -> Column:
+def budgeted(conf: SearchConf, seq: str = "seq") -> Column:
     """The number of errors that a read may have."""
-    return (S.error_budget(F.length("seq"), conf.errors_rate) if conf.auto_errors else F.lit(conf.errors)).cast("int")
+    return (S.error_budget(F.length(seq), conf.errors_rate) if conf.auto_errors else F.lit(conf.errors)).cast("int")
 
 
 def budget(reads: DataFrame, conf: SearchConf) -> DataFrame:
@@ -62,26 +65,59 @@ def _windows(k: int, longest: int, two: bool, bitmap: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            data, ends = letters(batch.column(1))
+            if len(data) and data.max() > 127:
+                data, ends = letters(pa.array([(x or "").encode("ascii", "replace").decode() for x in batch.column(1).to_pylist()], pa.string()))
             held: list[pa.RecordBatch] = []
-            for contig, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)
-                for lo in range(0, max(0, len(data) - k + 1), CHUNK):
-                    keys, valid = packed(data[lo : lo + CHUNK + k - 1], k, two)
-                    slot = slots(keys, bits)
-                    found = np.flatnonzero(valid & (bitmap[slot >> 3] >> (slot & 7) & 1).astype(bool))
-                    for i in range(0, len(found), most):
-                        at = found[i : i + most] + lo
-                        start = np.maximum(0, at - longest)
-                        held.append(pa.RecordBatch.from_arrays([pa.array(keys[at - lo]), pa.array(np.full(len(at), contig, np.int64)), pa.array(at), pa.array(start), _gathered(data, start, np.minimum(len(data), at + longest))], ["key", "contig_id", "at", "window_start", "window"]))
-                    if sum(b.num_rows for b in held) > most:
-                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                        held = []
+            # All contigs of the batch in a row; words that go over the end of one aren't any.
+            for lo in range(0, max(0, len(data) - k + 1), CHUNK):
+                keys, valid = packed(data[lo : lo + CHUNK + k - 1], k, two)
+                slot = slots(keys, bits)
+                places = np.flatnonzero(valid & (bitmap[slot >> 3] >> (slot & 7) & 1).astype(bool))
+                row = np.searchsorted(ends, places + lo, "right") - 1
+                whole = places + lo + k <= ends[row + 1]
+                places, row = places[whole], row[whole]
+                for i in range(0, len(places), most):
+                    key, own = keys[places[i : i + most]], row[i : i + most]
+                    at = places[i : i + most] + lo
+                    start = np.maximum(ends[own], at - longest)
+                    held.append(pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(own)), pa.array(at - ends[own]), pa.array(start - ends[own]), _gathered(data, start, np.minimum(ends[own + 1], at + longest))], ["key", "contig_id", "at", "window_start", "window"]))
+                if sum(b.num_rows for b in held) > most:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held = []
             if held:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return run
 
 
+def _compared(bisulfite: bool):
+    """Adds nm, the differences of pattern and part, and leaves out rows with more than max_errors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (a, at), (b, bt) = letters(batch.column("pattern")), letters(batch.column("part"))
+            minus = pc.equal(batch.column("strand"), "-").to_numpy(zero_copy_only=False)
+            if not len(a):
+                nm = np.zeros(batch.num_rows, np.int32)
+            elif max(a.max(), b.max()) > 127:  # letters of more than a byte
+                free = [("A", "G") if m else ("T", "C") for m in minus]
+                pairs = zip(batch.column("pattern").to_pylist(), batch.column("part").to_pylist(), free)
+                nm = np.array([sum(x != y and not (bisulfite and (x, y) == f) for x, y in zip(p, w)) for p, w, f in pairs], np.int32)
+            else:
+                differ = a != b
+                if bisulfite:
+                    other = np.repeat(minus, np.diff(at))
+                    differ &= ~np.where(other, (a == ord("A")) & (b == ord("G")), (a == ord("T")) & (b == ord("C")))
+                upto = np.concatenate(([0], np.cumsum(differ)))
+                nm = (upto[at[1:]] - upto[at[:-1]]).astype(np.int32)
+            near = pa.array(nm <= batch.column("max_errors").to_numpy())
+            names = ["read_id", "contig_id", "pos", "strand", "max_errors"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(nm)], [*names, "nm"]).filter(near)
+
+    return run
+
+
 def _pieces(k: int, two: bool):
     bits = k * (1 if two else 2)
 
@@ -132,36 +168,40 @@ def probes(both: DataFrame, k: int, two: bool) -> DataFrame:
     return pieces.withColumn("mask", F.explode(ball)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask", "radius")
 
 
-def bitmap_of(pieces: DataFrame, bits: int) -> np.ndarray:
-    """The slots of all pieces as bits; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
+def bitmap_of(pieces: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """The slots of all pieces as bits, and the pieces' size in bytes; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
     size = min(bits, BITMAP)
-    words = pieces.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    held = F.sum(F.octet_length("pattern").cast("long") + 64).alias("size")
+    words = pieces.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits"), held).toArrow()
     out = np.zeros(max(1, 1 << max(0, size - 6)), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.astype("<i8").view(np.uint8)
+    return out.astype("<i8").view(np.uint8), pc.sum(words.column("size")).as_py() or 0
 
 
 def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False, index: Index | None = None, slack: int | None = None) -> DataFrame:
-    """Reads (read_id, seq, max_errors) and contigs (contig_id, seq), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part.
+    """Reads (read_id, seq, max_errors) and contigs (contig_id, seq), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part. A place that several pieces lead to is told for each of them.
 
-    A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases, and only read_id, strand, contig_id and pos are told."""
+    A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases; then part has so many more on both sides, as far as the contig goes."""
     both = strands(reads.select("read_id", "seq", "max_errors")).select("read_id", "strand", "pattern", "max_errors")
-    own = ["read_id", "strand", "contig_id", "pos"]
     found = ["read_id", "strand", "pattern", "max_errors", "contig_id", "pos"]
+    more = slack or 0
+    begin = F.greatest(F.col("pos") - more, F.lit(0))
+    size = (F.col("pos") + F.length("pattern") + more - begin).cast("int")
     if index is not None:
-        met = index.seeds.join(probes(both, k, two), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -(slack or 0))
-        if slack is not None:
-            return met.select(*own).distinct()
-        return with_parts(met.select(*found).dropDuplicates(own), index.tiles, F.col("pos"), F.length("pattern")).where(F.length("part") == F.length("pattern"))
+        met = index.seeds.join(probes(both, k, two), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -more)
+        parts = with_parts(met.select(*found).dropDuplicates(["read_id", "strand", "contig_id", "pos"]), index.tiles, begin, size)
+        return parts if slack is not None else parts.where(F.length("part") == F.length("pattern"))
     pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
-    longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) if slack is None else 0
-    windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap_of(pieces, k * (1 if two else 2))), "key long, contig_id long, at long, window_start long, window string")
-    met = windows.join(pieces.drop("slot"), "key").withColumn("pos", F.col("at") - F.col("offset"))
+    longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) + more
+    bitmap, held = bitmap_of(pieces, k * (1 if two else 2))
+    windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap), "key long, contig_id long, at long, window_start long, window string")
+    pieces = pieces.drop("slot")
+    met = windows.join(F.broadcast(pieces) if held <= FEW else pieces, "key").withColumn("pos", F.col("at") - F.col("offset")).where(F.col("pos") >= -more)
+    part = F.substr("window", (begin - F.col("window_start") + 1).cast("int"), size)
     if slack is not None:
-        return met.where(F.col("pos") >= -slack).select(*own).distinct()
-    part = F.substr("window", (F.col("pos") - F.col("window_start") + 1).cast("int"), F.length("pattern"))
-    inside = (F.col("pos") >= F.col("window_start")) & (F.length(part) == F.length("pattern"))
-    return met.where(inside).withColumn("part", part).select(*found, "part").dropDuplicates(own)
+        return met.withColumn("part", part).where(F.length("part") > 0).select(*found, "part")
+    inside = (F.col("pos") >= F.col("window_start")) & (F.length("part") == F.length("pattern"))
+    return met.withColumn("part", part).where(inside).select(*found, "part")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -185,8 +225,11 @@ def within(ready: DataFrame, contigs: DataFrame | None, conf: SearchConf, k: int
     found = candidates(wide, contigs, index.k if index else k or seed_width(wide), conf.bisulfite, index)
     if watch is not None:
         found = found.observe(watch, F.count(F.lit(1)).alias("candidates"))
-    nm = S.bisulfite_distance(F.col("pattern"), F.col("part"), F.col("strand")) if conf.bisulfite else S.hamming(F.col("pattern"), F.col("part"))
-    return found.withColumn("nm", nm).where(F.col("nm") <= F.col("max_errors")).select("read_id", "contig_id", "pos", "strand", "nm", (F.col("max_errors") - conf.delta).alias("max_errors"))
+    kind = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    near = found.mapInArrow(_compared(conf.bisulfite), f"read_id {kind['read_id']}, contig_id {kind['contig_id']}, pos long, strand string, max_errors int, nm int")
+    # Compared first: few of the places that meet a piece by chance are left.
+    one = near.dropDuplicates(["read_id", "contig_id", "pos", "strand"])
+    return one.select("read_id", "contig_id", "pos", "strand", "nm", (F.col("max_errors") - conf.delta).alias("max_errors"))
 
 
 def indexed(reads: DataFrame, index: Index, conf: SearchConf = SearchConf()) -> DataFrame:

@@ -33,8 +33,9 @@ def packed(seq: bytes, k: int, two: bool = False) -> tuple[np.ndarray, np.ndarra
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     bits = 1 if two else 2
-    key, width = np.zeros(len(code) + 1, np.int64), 0
-    part, step, left = (code & (1 << bits) - 1).astype(np.int64), 1, k
+    kind = np.int32 if bits * k < 32 else np.int64
+    key, width = np.zeros(len(code) + 1, kind), 0
+    part, step, left = (code & (1 << bits) - 1).astype(kind), 1, k
     while left:
         if left & 1:
             m = len(code) - width - step + 1
@@ -44,7 +45,11 @@ def packed(seq: bytes, k: int, two: bool = False) -> tuple[np.ndarray, np.ndarra
         if left:
             part = part[:-step] << bits * step | part[step:]
             step *= 2
-    bad = np.cumsum(np.concatenate(([0], code == 4)))
+    key = key.astype(np.int64)
+    other = code == 4
+    if not other.any():
+        return key, np.ones(n, bool)
+    bad = np.cumsum(np.concatenate(([0], other)))
     return key, bad[k:] == bad[:-k]
 
 
