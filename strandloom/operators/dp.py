@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
-from strandloom.functions import seq as S
+from strandloom.operators.contigs import letters
 from strandloom.operators.kept import kept
-from strandloom.operators.search import budget, budgeted, candidates, hits
-from strandloom.operators.seeds import Index
+from strandloom.operators.search import CHUNK, FEW, budget, budgeted, candidates, hits, pieces_of
+from strandloom.operators.seeds import Index, packed
 
 MATCH, MISMATCH, GAP = 1, -1, -2
 _LOW = -(1 << 30)
@@ -26,6 +26,8 @@ PIECE, WIDEST_PIECE = 6, 12
 CELLS = 1 << 20
 #: Bases of the words by which places are ruled out before they are aligned (shared_words is written for 4).
 WORD = 4
+#: Places that are compared at once.
+PLACES = 4096
 
 
 def banded(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | None = None, fixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +105,9 @@ def scores(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | N
     return score.max(axis=0)
 
 
-def shared_words(reads: np.ndarray, parts: np.ndarray, band: int, free: np.ndarray | None = None) -> np.ndarray:
-    """How many of each read's words of `WORD` bases stand on some diagonal of the band."""
-    m, n = reads.shape
-    beside, bases = np.ascontiguousarray(parts.T), np.ascontiguousarray(reads.T)
+def shared_words(bases: np.ndarray, beside: np.ndarray, band: int, free: np.ndarray | None = None) -> np.ndarray:
+    """How many of each read's words of `WORD` bases stand on some diagonal of the band; reads and parts are columns here."""
+    n, m = bases.shape
     found = np.zeros((max(0, n - WORD + 1), m), bool)
     for d in range(2 * band + 1) if len(found) else ():
         own = beside[d : d + n]
@@ -164,7 +165,7 @@ def _aligned(band: int, bisulfite: bool):
                         part[row, lead[which[row]] : lead[which[row]] + len(text)] = np.frombuffer(text, np.uint8)
                     free = np.where(minus[which, None], np.frombuffer(b"AG", np.uint8), np.frombuffer(b"TC", np.uint8)) if bisulfite else None
                     # Most places are chance: too few of their words are the same, and those of the rest that score too little need no operations.
-                    good = np.flatnonzero(shared_words(reads, part, band, free) >= least_shared(n, least[which]))
+                    good = np.flatnonzero(shared_words(np.ascontiguousarray(reads.T), np.ascontiguousarray(part.T), band, free) >= least_shared(n, least[which]))
                     good = good[scores(reads[good], part[good], band, None if free is None else free[good]) >= least[which[good]]]
                     which, reads, part, free = which[good], reads[good], part[good], None if free is None else free[good]
                     score, first, ops = banded(reads, part, band, free)
@@ -180,6 +181,62 @@ def _aligned(band: int, bisulfite: bool):
     return run
 
 
+def _placed(k: int, band: int, bisulfite: bool, pieces: pa.Table):
+    """Contigs to the places of pieces (read_id, strand, pattern, least, key, offset) where enough words of the read are the same: what candidates() tells with a slack of `band`, less most of the chance."""
+    names = ["read_id", "strand", "pattern", "least"]
+    texts = [x.encode("ascii", "replace") for x in pieces.column("pattern").to_pylist()]
+    lengths = np.array([len(x) for x in texts], np.int64)
+    minus = pc.equal(pieces.column("strand"), "-").to_numpy()
+    key, offset, least = (pieces.column(c).to_numpy() for c in ("key", "offset", "least"))
+    groups = []
+    for n in np.unique(lengths).tolist():
+        which = np.flatnonzero(lengths == n)
+        which = which[np.argsort(key[which], kind="stable")]
+        keys, first = np.unique(key[which], return_index=True)
+        groups.append((n, which, keys, np.append(first, len(which)), np.frombuffer(b"".join(texts[i] for i in which), np.uint8).reshape(-1, n).T))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = letters(batch.column(1))
+            if len(data) and data.max() > 127:
+                data, ends = letters(pa.array([(x or "").encode("ascii", "replace").decode() for x in batch.column(1).to_pylist()], pa.string()))
+            for lo in range(0, max(0, len(data) - k + 1), CHUNK):
+                words, valid = packed(data[lo : lo + CHUNK + k - 1], k, bisulfite)
+                for n, which, keys, first, columns in groups:
+                    slot = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+                    at = np.flatnonzero(valid & (keys[slot] == words))
+                    slot, row = slot[at], np.searchsorted(ends, at + lo, "right") - 1
+                    whole = at + lo + k <= ends[row + 1]
+                    at, slot, row = at[whole] + lo, slot[whole], row[whole]
+                    times = first[slot + 1] - first[slot]
+                    upto = np.cumsum(times)
+                    done = 0
+                    while done < len(at):  # about PLACES at once, one position's pieces at least
+                        stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PLACES, "right")))
+                        t = times[done:stop]
+                        nth = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+                        mine, own = np.repeat(first[slot[done:stop]], t) + nth, np.repeat(row[done:stop], t)
+                        piece = which[mine]
+                        begin = np.repeat(at[done:stop], t) - offset[piece] - band
+                        done = stop
+                        in_ = begin >= ends[own] - 2 * band
+                        mine, own, piece, begin = mine[in_], own[in_], piece[in_], begin[in_]
+                        places = begin + np.arange(n + 2 * band)[:, None]
+                        beside = data.take(places, mode="clip")
+                        edge = np.flatnonzero((begin < ends[own]) | (begin + n + 2 * band > ends[own + 1]))
+                        beside[:, edge] = np.where((places[:, edge] < ends[own[edge]]) | (places[:, edge] >= ends[own[edge] + 1]), 0, beside[:, edge])
+                        free = np.where(minus[piece, None], np.frombuffer(b"AG", np.uint8), np.frombuffer(b"TC", np.uint8)) if bisulfite else None
+                        good = np.flatnonzero(shared_words(columns.take(mine, axis=1), beside, band, free) >= least_shared(n, least[piece]))
+                        if len(good):
+                            own, piece, begin = own[good], piece[good], begin[good]
+                            start, end = np.maximum(begin, ends[own]), np.minimum(begin + n + 2 * band, ends[own + 1])
+                            part = pa.array([data[i:j].tobytes().decode() for i, j in zip(start, end)], pa.string())
+                            told = pieces.select(names).take(pa.array(piece)).combine_chunks().to_batches()[0]
+                            yield pa.RecordBatch.from_arrays([*told.columns, batch.column(0).take(pa.array(own)), pa.array(begin + band - ends[own]), part, pa.array((start - begin).astype(np.int32))], [*names, "contig_id", "pos", "part", "lead"])
+
+    return run
+
+
 def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf, index: Index | None = None, piece: int = PIECE) -> DataFrame:
     """Reads without an ungapped hit, aligned within a band of indels_max: the best score of each read, with CIGARs, if no alignment with max_errors mismatches and indels_max gap bases has a lower one.
 
@@ -197,18 +254,29 @@ def indel_search(reads: DataFrame, contigs: DataFrame | None, conf: SearchConf,
     if contigs is not None:
         # A contig gives about as many places as it has bases, so contigs are dealt to all tasks first, however few files they come from.
         contigs = contigs.select("contig_id", "seq").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # An inserted base isn't a match either.
+    least = (F.length("pattern") + 2 * MISMATCH * budgeted(conf, "pattern") + (GAP - MATCH) * band).cast("int").alias("least")
+    # Places are many and nearly all chance: they are aligned where they are found, and only what scores enough is shuffled.
+    lead = F.greatest(band - F.col("pos"), F.lit(0)).cast("int").alias("lead")
+    columns = ["read_id", "strand", "pattern", "least", "contig_id", "pos", "part", "lead"]
     if index:
-        anchored = candidates(wide, contigs, index.k, conf.bisulfite, index, band)
+        parts = candidates(wide, contigs, index.k, conf.bisulfite, index, band).select("*", least, lead).select(*columns)
     else:
         wide = wide.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(WIDEST_PIECE), F.floor(F.length("seq") / (F.col("max_errors") + 1)))).cast("int"))
         widths = sorted(r.width for r in wide.select("width").distinct().collect()) or [1]  # a row for each width
-        found = [candidates(wide.where(F.col("width") == k).drop("width"), contigs, k, conf.bisulfite, None, band) for k in widths]
-        anchored = reduce(DataFrame.unionByName, found)
-    # An inserted base isn't a match either.
-    least = F.length("pattern") + 2 * MISMATCH * budgeted(conf, "pattern") + (GAP - MATCH) * band
-    # Places are many and nearly all chance: they are aligned where they are found, and only what scores enough is shuffled.
-    lead = F.greatest(band - F.col("pos"), F.lit(0)).cast("int")
-    parts = anchored.select("read_id", "strand", "contig_id", "pos", least.cast("int").alias("least"), "pattern", "part", lead.alias("lead"))
+        found = []
+        for k in widths:
+            own = wide.where(F.col("width") == k).drop("width")
+            pieces = pieces_of(own, k, conf.bisulfite)
+            held = pieces.agg(F.sum(F.octet_length("pattern").cast("long") + 64)).first()[0] or 0
+            if 0 < held <= FEW:
+                table = pieces.select("read_id", "strand", "pattern", least, "key", "offset").toArrow()
+                kind = pieces.schema["read_id"].dataType.simpleString()
+                ddl = f"read_id {kind}, strand string, pattern string, least int, contig_id long, pos long, part string, lead int"
+                found.append(contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_placed(k, band, conf.bisulfite, table), ddl))
+            else:
+                found.append(candidates(own, contigs, k, conf.bisulfite, None, band).select("*", least, lead).select(*columns))
+        parts = reduce(DataFrame.unionByName, found)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     done = parts.mapInArrow(_aligned(band, conf.bisulfite), schema + ", score int, shift int, cigar string, mismatches int, indels int")
     good = done.select("read_id", "contig_id", (F.col("pos") + F.col("shift")).alias("pos"), "strand", "score", "cigar", "mismatches", "indels")

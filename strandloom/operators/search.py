@@ -168,6 +168,16 @@ def probes(both: DataFrame, k: int, two: bool) -> DataFrame:
     return pieces.withColumn("mask", F.explode(ball)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask", "radius")
 
 
+def patterns(reads: DataFrame) -> DataFrame:
+    return strands(reads.select("read_id", "seq", "max_errors")).select("read_id", "strand", "pattern", "max_errors")
+
+
+def pieces_of(reads: DataFrame, k: int, two: bool) -> DataFrame:
+    """Reads (read_id, seq, max_errors) on both strands to the pieces that they are looked up by: read_id, strand, pattern, max_errors, key, offset, slot."""
+    both = patterns(reads)
+    return both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
+
+
 def bitmap_of(pieces: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """The slots of all pieces as bits, and the pieces' size in bytes; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
     size = min(bits, BITMAP)
@@ -182,16 +192,15 @@ def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False,
     """Reads (read_id, seq, max_errors) and contigs (contig_id, seq), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part. A place that several pieces lead to is told for each of them.
 
     A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases; then part has so many more on both sides, as far as the contig goes."""
-    both = strands(reads.select("read_id", "seq", "max_errors")).select("read_id", "strand", "pattern", "max_errors")
     found = ["read_id", "strand", "pattern", "max_errors", "contig_id", "pos"]
     more = slack or 0
     begin = F.greatest(F.col("pos") - more, F.lit(0))
     size = (F.col("pos") + F.length("pattern") + more - begin).cast("int")
     if index is not None:
-        met = index.seeds.join(probes(both, k, two), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -more)
+        met = index.seeds.join(probes(patterns(reads), k, two), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -more)
         parts = with_parts(met.select(*found).dropDuplicates(["read_id", "strand", "contig_id", "pos"]), index.tiles, begin, size)
         return parts if slack is not None else parts.where(F.length("part") == F.length("pattern"))
-    pieces = both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
+    pieces = pieces_of(reads, k, two)
     longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) + more
     bitmap, held = bitmap_of(pieces, k * (1 if two else 2))
     windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap), "key long, contig_id long, at long, window_start long, window string")
