@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
 from strandloom.operators.contigs import letters, tiled, with_parts
-from strandloom.operators.seeds import WIDEST, Index, neighbours, packed
+from strandloom.operators.seeds import WIDEST, Index, arrays, neighbours, packed
 
 #: The bitmap of keys has at most 2**BITMAP bits (2 MB).
 BITMAP = 24
@@ -29,6 +29,8 @@ BITMAP = 24
 CHUNK, WINDOWS = 1 << 17, 1 << 21
 #: Bytes of pieces with their reads that go to all tasks; where there are more, both sides are shuffled.
 FEW = 1 << 25
+#: Bytes that a word to look up in an index takes.
+PROBE = 48
 
 
 def budgeted(conf: SearchConf, seq: str = "seq") -> Column:
@@ -140,32 +142,63 @@ def _pieces(k: int, two: bool):
 
 
 def _balls(k: int, two: bool):
-    """Pieces as wide as an index's seeds, as many as a read has room for or needs, and how many differences one of them has at most. An N is a difference wherever it stands, so any letter may stand for it."""
+    """Pieces as wide as an index's seeds, as many as a read has room for or needs, and every word with as many differences as one of them has at most. An N is a difference wherever it stands, so any letter may stand for it."""
+    bits, letters_ = k * (1 if two else 2), 2 if two else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys, rows, offsets, radius = [], [], [], []
-            for i, (pattern, errors) in enumerate(zip(batch.column("pattern").to_pylist(), batch.column("max_errors").to_pylist())):
-                n = min(errors + 1, len(pattern) // k)
-                if n:
-                    found, _ = packed(re.sub("[^ACGT]", "A", pattern).encode(), k, two)
-                    at = [p * (len(pattern) // n) for p in range(n)]
-                    keys += [int(found[p]) for p in at]
-                    offsets += at
-                    rows += [i] * n
-                    radius += [errors // n] * n
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(keys, pa.int64()), pa.array(offsets, pa.int64()), pa.array(radius, pa.int32())], [*batch.schema.names, "key", "offset", "radius"])
+            for lo in range(0, batch.num_rows, 64):
+                some = batch.slice(lo, 64)
+                keys, rows, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, (read, pattern, errors) in enumerate(zip(some.column("read_id").to_pylist(), some.column("pattern").to_pylist(), some.column("max_errors").to_pylist())):
+                    n = min(errors + 1, len(pattern) // k)
+                    if n:
+                        radius = errors // n
+                        if radius > 2:
+                            raise ValueError(f"the index doesn't fit read {read}")
+                        if radius not in masks:
+                            masks[radius] = np.array([m for m, _ in neighbours(k, radius, letters_)], np.int64)
+                        found, _ = packed(re.sub("[^ACGT]", "A", pattern).encode(), k, two)
+                        at = np.arange(n) * (len(pattern) // n)
+                        near = found[at][:, None] ^ masks[radius]
+                        keys.append(near.ravel())
+                        offsets.append(np.repeat(at, near.shape[1]))
+                        rows.append(np.full(near.size, i))
+                key, row = np.concatenate(keys), pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([some.column("read_id").take(row), some.column("strand").take(row), pa.array(key), pa.array(np.concatenate(offsets)), pa.array(slots(key, bits))], ["read_id", "strand", "key", "offset", "slot"])
 
     return run
 
 
 def probes(both: DataFrame, k: int, two: bool) -> DataFrame:
-    """Patterns (with max_errors) to the keys to look up in an index of width k: every word within the radius that one of the pieces must keep to. A radius over 2 fails."""
-    pieces = both.mapInArrow(_balls(k, two), f"{_ddl(both)}, key long, offset long, radius int")
-    masks = [F.array(*(F.lit(m).cast("long") for m, _ in neighbours(k, d, 2 if two else 4))) for d in range(3)]
-    too_far = F.raise_error(F.concat(F.lit("the index doesn't fit read "), F.col("read_id").cast("string"))).cast("array<bigint>")
-    ball = F.when(F.col("radius") == 0, masks[0]).when(F.col("radius") == 1, masks[1]).when(F.col("radius") == 2, masks[2]).otherwise(too_far)
-    return pieces.withColumn("mask", F.explode(ball)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask", "radius")
+    """Patterns (with max_errors) to the keys to look up in an index of width k: read_id, strand, key, offset, slot, a row for every word within the radius that one of the pieces must keep to. A radius over 2 fails."""
+    return both.mapInArrow(_balls(k, two), f"read_id {both.schema['read_id'].dataType.simpleString()}, strand string, key long, offset long, slot long")
+
+
+def _looked_up(k: int, two: bool, longest: int, bitmap: np.ndarray):
+    """Blocks of an index to the windows around its places whose keys are in the bitmap, as _windows."""
+    bits = k * (1 if two else 2)
+    most = max(1, WINDOWS // max(1, 2 * longest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                contigs, begins, offsets, keys, firsts, places = (np.frombuffer(batch.column(c)[r].as_buffer(), kind) for c, kind in arrays(bits).items())
+                text = np.frombuffer(batch.column("text")[r].as_buffer(), np.uint8)
+                slot = slots(keys.astype(np.int64), bits)
+                found = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7) & 1)
+                n = firsts[found + 1] - firsts[found]
+                upto = np.cumsum(n)
+                at_all = places[np.arange(upto[-1] if len(upto) else 0) + np.repeat(firsts[found] - (upto - n), n)].astype(np.int64)
+                key_all = np.repeat(keys[found].astype(np.int64), n)
+                for i in range(0, len(at_all), most):
+                    at = at_all[i : i + most]
+                    part = np.searchsorted(offsets, at, "right") - 1
+                    start, shift = np.maximum(offsets[part], at - longest), begins[part] - offsets[part]
+                    yield pa.RecordBatch.from_arrays([pa.array(key_all[i : i + most]), pa.array(contigs[part]), pa.array(at + shift), pa.array(start + shift), _gathered(text, start, np.minimum(offsets[part + 1], at + longest))], ["key", "contig_id", "at", "window_start", "window"])
+
+    return run
 
 
 def patterns(reads: DataFrame) -> DataFrame:
@@ -178,10 +211,10 @@ def pieces_of(reads: DataFrame, k: int, two: bool) -> DataFrame:
     return both.mapInArrow(_pieces(k, two), f"{_ddl(both)}, key long, offset long, slot long")
 
 
-def bitmap_of(pieces: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """The slots of all pieces as bits, and the pieces' size in bytes; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
+def bitmap_of(pieces: DataFrame, bits: int, each: Column) -> tuple[np.ndarray, int]:
+    """The slots of all pieces as bits, and the sum of `each`, the pieces' sizes in bytes; they come to the driver in words of 64, so at most 2**(BITMAP - 6) rows."""
     size = min(bits, BITMAP)
-    held = F.sum(F.octet_length("pattern").cast("long") + 64).alias("size")
+    held = F.sum(each.cast("long")).alias("size")
     words = pieces.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits"), held).toArrow()
     out = np.zeros(max(1, 1 << max(0, size - 6)), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
@@ -196,16 +229,26 @@ def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False,
     more = slack or 0
     begin = F.greatest(F.col("pos") - more, F.lit(0))
     size = (F.col("pos") + F.length("pattern") + more - begin).cast("int")
-    if index is not None:
-        met = index.seeds.join(probes(patterns(reads), k, two), "key").withColumn("pos", F.col("pos") - F.col("offset")).where(F.col("pos") >= -more)
-        parts = with_parts(met.select(*found).dropDuplicates(["read_id", "strand", "contig_id", "pos"]), index.tiles, begin, size)
-        return parts if slack is not None else parts.where(F.length("part") == F.length("pattern"))
-    pieces = pieces_of(reads, k, two)
     longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) + more
-    bitmap, held = bitmap_of(pieces, k * (1 if two else 2))
-    windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap), "key long, contig_id long, at long, window_start long, window string")
-    pieces = pieces.drop("slot")
-    met = windows.join(F.broadcast(pieces) if held <= FEW else pieces, "key").withColumn("pos", F.col("at") - F.col("offset")).where(F.col("pos") >= -more)
+    cut = "key long, contig_id long, at long, window_start long, window string"
+    if index is not None:
+        if longest > index.reach:
+            raise ValueError(f"the index is for reads of up to {index.reach} bases")
+        # Balls are many rows, so they don't carry the patterns.
+        own = patterns(reads)
+        balls = probes(own, k, two)
+        bitmap, held = bitmap_of(balls, k * (1 if two else 2), F.lit(PROBE))
+        sized = own.agg(F.sum(F.octet_length("pattern").cast("long") + PROBE)).first()[0] or 0
+        hint = lambda df, n: F.broadcast(df) if n <= FEW else df
+        windows = index.blocks.drop("lengths").mapInArrow(_looked_up(k, two, longest, bitmap), cut)
+        met = windows.join(hint(balls.drop("slot"), held), "key").join(hint(own, sized), ["read_id", "strand"])
+    else:
+        pieces = pieces_of(reads, k, two)
+        bitmap, held = bitmap_of(pieces, k * (1 if two else 2), F.octet_length("pattern").cast("long") + 64)
+        windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap), cut)
+        pieces = pieces.drop("slot")
+        met = windows.join(F.broadcast(pieces) if held <= FEW else pieces, "key")
+    met = met.withColumn("pos", F.col("at") - F.col("offset")).where(F.col("pos") >= -more)
     part = F.substr("window", (begin - F.col("window_start") + 1).cast("int"), size)
     if slack is not None:
         return met.withColumn("part", part).where(F.length("part") > 0).select(*found, "part")

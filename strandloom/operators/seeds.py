@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.contigs import tiled
+from strandloom.operators.contigs import TILE, letters
 
 #: Widest seed that fits a signed 64-bit key.
 WIDEST = 31
+#: Bases of a block of a stored index.
+BLOCK = 1 << 18
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
@@ -122,29 +124,99 @@ def read_index(spark, path: str, buckets: int | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What write_search_index wrote: seeds (key, contig_id, pos), tiles and lengths of the contigs, and the seeds' width and alphabet. Each part is read when it is used."""
+    """What write_search_index wrote: the seeds' width and alphabet, how long a read may be, and blocks of contigs with their seeds in order. Blocks are read when they are used."""
 
     k: int
     two: bool
     reach: int
-    seeds: DataFrame
-    tiles: DataFrame
-    contigs: DataFrame
+    blocks: DataFrame
+
+    @property
+    def contigs(self) -> DataFrame:
+        """contig_id and length."""
+        return self.blocks.select(F.explode("lengths").alias("l")).select("l.*")
+
+
+#: Arrays of a block, and the numbers they hold: a contig for each part of the text, where the part begins in it and in the text (with the text's end), and by key the first of its places, and the places.
+def arrays(bits: int) -> dict[str, str]:
+    return {"contigs": "<i8", "begins": "<i8", "offsets": "<i8", "keys": "<u4" if bits <= 32 else "<i8", "firsts": "<i4", "places": "<i4"}
+
+
+_BLOCKS = f"{', '.join(f'{c} binary' for c in arrays(0))}, text binary, lengths array<struct<contig_id: bigint, length: bigint>>"
+
+
+def block(text: np.ndarray, offsets: np.ndarray, own: np.ndarray, k: int, two: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, the first place of each (and their number), and the places in the text in order of key and place. Part i of the text begins at offsets[i]; words that begin in own[i, 0] .. own[i, 1] count, if they end within it."""
+    keys, valid = packed(text, k, two)
+    ends = np.maximum(np.minimum(own[:, 1], offsets[1:] - k + 1), own[:, 0])
+    inside = np.zeros(len(text) + 1, np.int32)
+    np.add.at(inside, own[:, 0], 1)
+    np.add.at(inside, ends, -1)
+    places = np.flatnonzero(valid & (np.cumsum(inside[: len(valid)]) > 0))
+    shift = max(1, len(text).bit_length())
+    if k * (1 if two else 2) + shift <= 63:  # sorted as one number
+        both = keys[places] << shift | places
+        both.sort()
+        key, places = both >> shift, both & (1 << shift) - 1
+    else:
+        order = np.argsort(keys[places], kind="stable")
+        key, places = keys[places][order], places[order]
+    firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    return key[firsts], np.append(firsts, len(key)), places
+
+
+def _blocks(k: int, two: bool, reach: int, size: int, tile: int):
+    around, kinds = max(reach, k), arrays(k * (1 if two else 2))
+
+    def row(parts: list[tuple], lengths: list[tuple]) -> pa.RecordBatch:
+        text = np.concatenate([x for *_, x in parts])
+        offsets = np.concatenate(([0], np.cumsum([len(x) for *_, x in parts])))
+        own = np.array([(first, last) for _, _, first, last, _ in parts], np.int64) + offsets[:-1, None]
+        keys, firsts, places = block(text, offsets, own, k, two)
+        found = {"contigs": [p[0] for p in parts], "begins": [p[1] for p in parts], "offsets": offsets, "keys": keys, "firsts": firsts, "places": places}
+        columns = [pa.array([np.asarray(found[c]).astype(kind).tobytes()], pa.binary()) for c, kind in kinds.items()]
+        told = pa.array([[{"contig_id": c, "length": n} for c, n in lengths]], pa.list_(pa.struct([("contig_id", pa.int64()), ("length", pa.int64())])))
+        return pa.RecordBatch.from_arrays([*columns, pa.array([text.tobytes()], pa.binary()), told], [*kinds, "text", "lengths"])
 
-
-def write_search_index(contigs: DataFrame, path: str, k: int, two: bool = False, reach: int = 1024, partitions: int | None = None) -> None:
-    """Contigs (contig_id, seq) as an index that search.indexed reads: seeds in `partitions` buckets, tiles for reads of up to `reach` bases (gaps included), lengths, and one row of parameters."""
-    spark = contigs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write_index(seed_table(contigs, k, two), f"{path}/seeds", n)
-    tiled(contigs, reach, reach).write.parquet(f"{path}/tiles")
-    contigs.select("contig_id", F.length("seq").cast("long").alias("length")).write.parquet(f"{path}/contigs")
-    spark.createDataFrame([(k, two, reach, n)], "k int, two boolean, reach int, buckets int").coalesce(1).write.parquet(f"{path}/info")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, lengths, held = [], [], 0
+        for batch in batches:
+            data, ends = letters(batch.column(1))
+            if len(data) and data.max() > 127:
+                data, ends = letters(pa.array([(x or "").encode("ascii", "replace").decode() for x in batch.column(1).to_pylist()], pa.string()))
+            for contig, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                lengths.append((contig, b - a))
+                for lo in range(0, b - a, tile):
+                    begin, hi = max(0, lo - around), min(b - a, lo + tile)
+                    part = data[a + begin : min(b, a + hi + around)].copy()
+                    parts.append((contig, begin, lo - begin, hi - begin, part))
+                    held += len(part)
+                    if held >= size:
+                        yield row(parts, lengths)
+                        parts, lengths, held = [], [], 0
+        if parts or lengths:
+            yield row(parts or [(0, 0, 0, 0, np.zeros(0, np.uint8))], lengths)
+
+    return run
+
+
+def write_search_index(contigs: DataFrame, path: str, k: int, two: bool = False, reach: int = 1024, partitions: int | None = None, size: int = BLOCK, tile: int = TILE) -> None:
+    """Contigs (contig_id, seq) as an index that search.indexed reads, for reads of up to `reach` bases (gaps included), and one row of parameters.
+
+    Contigs are read once, and nothing is shuffled: each task puts about `size` bases in a block, with their seeds in order of keys. Long contigs are cut into tiles that have `reach` bases of what is before and after. With `partitions` contigs are dealt to so many tasks first."""
+    if not 1 <= k <= WIDEST:
+        raise ValueError(f"a seed has 1 to {WIDEST} bases")
+    rows = contigs.select(F.col("contig_id").cast("long"), "seq")
+    dealt = rows.repartition(partitions) if partitions else rows
+    # Small row groups, looked at after each row: a writer and a reader hold one at once.
+    small = {"parquet.block.size": 1 << 23, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
+    dealt.mapInArrow(_blocks(k, two, reach, size, tile), _BLOCKS).write.options(**small).parquet(f"{path}/blocks")
+    contigs.sparkSession.createDataFrame([(k, two, reach)], "k int, two boolean, reach int").coalesce(1).write.parquet(f"{path}/info")
 
 
 def read_search_index(spark, path: str) -> Index:
     info = spark.read.parquet(f"{path}/info").first()
-    return Index(info.k, info.two, info.reach, read_index(spark, f"{path}/seeds", info.buckets), *(spark.read.parquet(f"{path}/{part}") for part in ("tiles", "contigs")))
+    return Index(info.k, info.two, info.reach, spark.read.parquet(f"{path}/blocks"))
 
 
 def neighbours(k: int, distance: int, letters: int = 4) -> list[tuple[int, int]]:
