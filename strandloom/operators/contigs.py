@@ -124,6 +124,11 @@ def tiled(contigs: DataFrame, after: int, before: int = 0, size: int = TILE) ->
     return contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(run, "contig_id long, tile long, start long, seq string")
 
 
+def of_rows(contigs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Contigs that rows name, so that only their tiles are shuffled. Rows are read twice, so they should be a written table."""
+    return contigs.join(rows.select("contig_id").distinct(), "contig_id", "left_semi")
+
+
 def with_parts(rows: DataFrame, tiles: DataFrame, at: Column, length: Column, name: str = "part", size: int = TILE) -> DataFrame:
     """Adds the bases of the contig from `at` (0-based, not negative) on, `length` of them or as many as there are; the tiles must go that far. Rows beyond a contig's end, or of unknown contigs, are left out.
 

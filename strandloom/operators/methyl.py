@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandloom.config import MethylConf
 from strandloom.functions import seq as S
-from strandloom.operators.contigs import TILE, tiled, with_parts
+from strandloom.operators.contigs import TILE, of_rows, tiled, with_parts
+from strandloom.operators.kept import kept
 from strandloom.operators.pairs import nearest
 
 
@@ -17,14 +18,15 @@ def observed(hits: DataFrame, reads: DataFrame, contigs: DataFrame) -> DataFrame
     """Hits to a row for each C (on +) or G (on -) of the contig that the read covers: methylated if the read has the base itself, unmethylated if the changed one."""
     pattern = F.when(F.col("strand") == "+", F.col("seq")).otherwise(S.revcomp(F.col("seq")))
     n = F.length("pattern")
+    hits = kept(hits, "hits")
     met = hits.join(reads.select("read_id", "seq"), "read_id").withColumn("pattern", pattern).drop("seq")
     longest = reads.agg(F.max(F.length("seq"))).first()[0] or 0
-    rows = with_parts(met, tiled(contigs, longest), F.col("pos"), n).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    rows = with_parts(met, tiled(of_rows(contigs, hits), longest), F.col("pos"), n).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
     at = lambda c: F.substr(c, F.col("i"), F.lit(1))
     rows = rows.withColumns({"ref_base": at("part"), "base": at("pattern"), "ref": F.col("pos") + F.col("i") - 1})
     own, changed = F.when(F.col("strand") == "+", "C").otherwise("G"), F.when(F.col("strand") == "+", "T").otherwise("A")
-    kept = rows.where(F.col("ref_base") == own).withColumn("state", F.when(F.col("base") == own, "m").when(F.col("base") == changed, "u"))
-    return kept.drop("pattern", "part", "i")
+    seen = rows.where(F.col("ref_base") == own).withColumn("state", F.when(F.col("base") == own, "m").when(F.col("base") == changed, "u"))
+    return seen.drop("pattern", "part", "i")
 
 
 def profile(observations: DataFrame, saturation: int = 255) -> DataFrame:
@@ -72,7 +74,8 @@ def report(profile_: DataFrame, contigs: DataFrame, dense: bool = False, thresho
         rows = sites(contigs).join(known, ["contig_id", "ref", "strand"], "left")
     else:
         begin = F.greatest(F.col("ref") - 2, F.lit(0))
-        rows = with_parts(known, tiled(contigs, 4), begin, F.lit(5)).withColumn("context", S.cytosine_context(F.col("part"), (F.col("ref") - begin).cast("int"))).drop("part")
+        known = kept(known, "covered")
+        rows = with_parts(known, tiled(of_rows(contigs, known), 4), begin, F.lit(5)).withColumn("context", S.cytosine_context(F.col("part"), (F.col("ref") - begin).cast("int"))).drop("part")
     n = F.coalesce(F.col("c_cnt") + F.col("t_cnt"), F.lit(0))
     return rows.select("contig_id", (F.col("ref") + 1).alias("start"), (F.col("ref") + 1).alias("end"), F.concat_ws(":", "context", n.cast("string")).alias("ctx_cov"), F.round(level(F.col("c_cnt"), F.col("t_cnt")), 6).alias("level"), "strand")
 
@@ -112,14 +115,19 @@ def _cycles(hits: DataFrame, reads: DataFrame, contigs: DataFrame, conf: MethylC
     n = F.count("*").over(Window.partitionBy("read_id"))
     pair, second = F.shiftright("read_id", 1), F.col("read_id") % 2 == 1
     left = _written(hits.select("read_id", "contig_id", "pos", "strand").withColumn("n", n).withColumn("pair", pair), folder)
-    done, cycle, required = None, 0, conf.max_cov
+    every = left
+    done, cycle, required, seen = None, 0, conf.max_cov, None
     key = ["pair", "read_id", "contig_id", "pos", "strand"]
+    place = key[1:]
     while cycle == 0 or required >= conf.min_cov and left.limit(1).count():
         if cycle == 0:
             new = left.where("n = 1").select(*key)
         else:
-            known = covered(profile(observed(done, reads, contigs), conf.saturation), conf.coverage_threshold)
-            new = decided(candidate_scores(observed(left, reads, contigs), known), required, conf.error_threshold).withColumn("pair", pair).select(*key)
+            # Contigs are read once: what a cycle decides are hits that are there from the start.
+            seen = seen if seen is not None else _written(observed(every.select(*place), reads, contigs), folder)
+            of = lambda rows: seen.join(rows.select(*place).distinct(), place, "left_semi")
+            known = covered(profile(of(done), conf.saturation), conf.coverage_threshold)
+            new = decided(candidate_scores(of(left), known), required, conf.error_threshold).withColumn("pair", pair).select(*key)
         new = _written(new, folder)
         side = lambda rows, own: F.max(F.when(own, F.struct(*rows)))
         own = ["contig_id", "pos", "strand"]
