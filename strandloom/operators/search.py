@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
-from strandloom.operators.contigs import letters, tiled, with_parts
+from strandloom.operators.contigs import letters, of_rows, tiled, with_parts
+from strandloom.operators.kept import kept
 from strandloom.operators.seeds import WIDEST, Index, arrays, neighbours, packed
 
 #: The bitmap of keys has at most 2**BITMAP bits (2 MB).
@@ -325,6 +326,11 @@ def numbered(found: DataFrame, first: int | None = None) -> DataFrame:
     return out if first is None else out.where(F.col("hi") <= first)
 
 
+def places(found: DataFrame) -> DataFrame:
+    """Places that have a hit on either strand, once each. Both strands are of one search, so contigs are read once."""
+    return found.select("contig_id", "pos").distinct()
+
+
 def chosen(found: DataFrame, seed: str = "1") -> DataFrame:
     """One of each read's hits, drawn by a hash, so the same in every run."""
     order = F.md5(F.concat_ws("|", F.lit(seed), "read_id", "contig_id", "pos", "strand"))
@@ -345,8 +351,8 @@ def contaminated(reads: DataFrame, contaminants: DataFrame, conf: SearchConf) ->
 
 
 def screened(reads: DataFrame, contaminants: DataFrame, conf: SearchConf) -> tuple[DataFrame, DataFrame]:
-    """Reads without a hit among the contaminants, and those with one, with it."""
-    found = contaminated(reads, contaminants, conf)
+    """Reads without a hit among the contaminants, and those with one, with it. Both come from one search, which is written."""
+    found = kept(contaminated(reads, contaminants, conf), "contaminated")
     return reads.join(found, "read_id", "left_anti"), reads.join(found, "read_id")
 
 
@@ -375,18 +381,18 @@ def gapped(reads: DataFrame, contigs: DataFrame, conf: SearchConf) -> DataFrame:
     both = strands(ready.select("read_id", "seq", "max_errors"))
     plain = SearchConf(errors=conf.seed_errors)
     name = F.concat_ws("|", "read_id", "strand")
-    ends = []
-    for part in (F.substring("pattern", 1, s), F.right("pattern", F.lit(s))):
-        seeds = both.select(name.alias("read_id"), part.alias("seq"))
-        ends.append(hits(seeds, contigs, plain).where("strand = '+'").select(F.col("read_id").alias("key"), "contig_id", "pos"))
+    # One search for both ends.
+    sides = F.array(F.struct(F.concat(F.lit("L"), name).alias("read_id"), F.substring("pattern", 1, s).alias("seq")), F.struct(F.concat(F.lit("R"), name).alias("read_id"), F.right("pattern", F.lit(s)).alias("seq")))
+    found = kept(hits(both.select(F.explode(sides).alias("e")).select("e.*"), contigs, plain).where("strand = '+'").select("read_id", "contig_id", "pos"), "ends")
+    ends = [found.where(F.col("read_id").startswith(side)).select(F.substr("read_id", F.lit(2)).alias("key"), "contig_id", "pos") for side in "LR"]
     left = ends[0].withColumn("from", F.col("pos") + s).withColumnRenamed("pos", "pos1")
     longest = both.agg(F.max(F.length("pattern"))).first()[0] or 0
     met = range_join(left, ends[1].withColumnRenamed("pos", "right_pos"), ["key", "contig_id"], "from", "right_pos", conf.max_gap + longest)
     rows = met.join(both.withColumn("key", name), "key").withColumn("n", F.length("pattern")).withColumn("gap", F.col("right_pos") + s - F.col("pos1") - F.col("n")).where((F.col("gap") >= 0) & (F.col("gap") <= conf.max_gap))
-    # The bases that follow the first part, and those before the end of the last, each from a tile.
-    tiles = tiled(contigs, longest)
-    rows = with_parts(rows, tiles, F.col("pos1"), F.col("n"), "one")
-    rows = with_parts(rows, tiles, F.col("pos1") + F.col("gap"), F.col("n"), "two")
+    # The bases that follow the first part, and those before the end of the last, both from one tile of a contig that has both.
+    rows = kept(rows, "gapped")
+    rows = with_parts(rows, tiled(of_rows(contigs, rows), longest + conf.max_gap), F.col("pos1"), F.col("n") + F.col("gap"), "span")
+    rows = rows.withColumns({"one": F.substr("span", F.lit(1), F.col("n")), "two": F.substr("span", (F.col("gap") + 1).cast("int"), F.col("n"))})
     at = lambda text, i: F.substr(text, i.cast("int"), F.lit(1))
     differ = lambda name: F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (at(F.col("pattern"), i) != at(F.col(name), i)).cast("int"))
     rows = rows.withColumn("a", differ("one")).withColumn("b", differ("two"))

@@ -106,8 +106,7 @@ def unique_choice_md5(spark, sf):
 
 @query("set_union_strands", HITS + " SELECT DISTINCT contig_id, pos FROM (SELECT contig_id, pos FROM hits WHERE strand = '+' UNION ALL SELECT contig_id, pos FROM hits WHERE strand = '-')")
 def set_union_strands(spark, sf):
-    found = _hits(spark, sf)
-    return found.where("strand = '+'").select("contig_id", "pos").unionByName(found.where("strand = '-'").select("contig_id", "pos")).distinct()
+    return search.places(_hits(spark, sf))
 
 
 @query("shard_min_merge", HITS + " SELECT read_id, min(nm) AS nm, count(*) FILTER (nm = least) AS n FROM (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits) GROUP BY read_id")
