@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +58,47 @@ def neighbourhood(ops: Column) -> Column:
     return F.transform(ops, around)
 
 
+def _around(cigar: str) -> list[tuple[int, int, int, str, int, bool, bool]]:
+    """blocks(neighbourhood(operations)) of one text at position 0, in time that grows with its length."""
+    ops = [(int(n), o) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+    more, ahead = [], False
+    for _, o in reversed(ops):
+        more.append(ahead)
+        ahead = o in "M=X" or (ahead and o not in "NSH")
+    more.reverse()
+    out, ref, query, seen = [], 0, 0, False
+    for i, (n, o) in enumerate(ops):
+        match = o in "M=X"
+        if o in "MDN=X":
+            indel = 0
+            if match and more[i]:
+                size, other = ops[i + 2] if ops[i + 1][1] == "P" else ops[i + 1]
+                indel = size if other == "I" else -size if other == "D" else 0
+            out.append((ref, query, n, o, indel, match and not seen, match and not more[i]))
+        seen = match or (seen and o not in "NSH")
+        ref += n if o in "MDN=X" else 0
+        query += n if o in "MIS=X" else 0
+    return out
+
+
+_AROUND = pa.struct([("ref", pa.int64()), ("query", pa.int64()), ("len", pa.int32()), ("op", pa.string()), ("indel", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+
+
+def blocks_around(cigar: Column) -> Column:
+    """blocks() with neighbourhood()'s fields, of CIGAR texts and from position 0 on. Each text that a batch has is worked out once."""
+
+    @F.arrow_udf("array<struct<ref:bigint,query:bigint,len:int,op:string,indel:int,first:boolean,last:boolean>>")
+    def run(texts: pa.Array) -> pa.Array:
+        each = texts.dictionary_encode()
+        found = [_around(t) for t in each.dictionary.to_pylist()]
+        at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        rows = list(zip(*(b for one in found for b in one))) or [()] * _AROUND.num_fields
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _AROUND)], fields=list(_AROUND))
+        return pa.ListArray.from_arrays(at, flat).take(each.indices)
+
+    return run(cigar)
+
+
 def blocks(ops: Column, pos: Column, also: dict[str, str] | None = None) -> Column:
     """Aligned stretches: array of (ref, query, len, op) for M, =, X, D and N, from the 0-based position on, and fields that the operations have besides (name to type)."""
     more = also or {}

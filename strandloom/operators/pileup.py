@@ -17,12 +17,12 @@ def bases(records: DataFrame, mask: int = sam.PILEUP_MASK) -> DataFrame:
 
     Skipped stretches (N) give no rows; deletions give rows without a base. Nothing is shuffled or gathered, whatever the coverage."""
     kept = records.where(F.col("flag").bitwiseAND(mask) == 0).where(F.col("cigar") != "*")
-    blocks = kept.withColumn("b", F.explode(C.blocks(C.neighbourhood(C.operations(F.col("cigar"))), F.col("pos"), {"indel": "int", "first": "boolean", "last": "boolean"}))).where((F.col("b.op") != "N") & (F.col("b.len") > 0))
+    blocks = kept.withColumn("b", F.explode(C.blocks_around(F.col("cigar")))).where((F.col("b.op") != "N") & (F.col("b.len") > 0))
     each = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
     is_del = F.col("b.op") == "D"
     qpos = F.when(is_del, None).otherwise(F.col("b.query") + F.col("k"))
     at_end = F.col("k") == F.col("b.len") - 1
-    place = [(F.col("b.ref") + F.col("k")).alias("ref"), qpos.alias("qpos"), is_del.alias("is_del"), F.substr("seq", (qpos + 1).cast("int"), F.lit(1)).alias("base")]
+    place = [(F.col("pos").cast("long") + F.col("b.ref") + F.col("k")).alias("ref"), qpos.alias("qpos"), is_del.alias("is_del"), F.substr("seq", (qpos + 1).cast("int"), F.lit(1)).alias("base")]
     around = [F.when(at_end, F.col("b.indel")).otherwise(0).alias("indel"), (F.col("b.first") & (F.col("k") == 0)).alias("is_head"), (F.col("b.last") & at_end).alias("is_tail")]
     return each.select(*[c for c in records.columns if c not in ("seq", "cigar")], *place, *around)
 
