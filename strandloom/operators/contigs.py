@@ -15,8 +15,8 @@ from strandloom.operators.kept import kept
 
 #: Bases of a tile.
 TILE = 1 << 16
-#: Bytes that are recoded together.
-BLOCK = 1 << 20
+#: Bytes that are recoded together, and bytes of texts that are worked on at once.
+BLOCK, SLICE = 1 << 20, 1 << 22
 
 
 def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -28,30 +28,41 @@ def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-#: The base that stands for each byte of lower-case prose; bytes without one (also all those of letters beyond ASCII) are 0.
-_BASE = np.zeros(256, np.uint8)
-_BASE[list(S.LETTERS.encode())] = list(S.BASES_OF_LETTERS.encode())
+# The base that stands for each byte of lower-case prose, and bytes without one (also all those of letters beyond ASCII).
+_BASES = bytes.maketrans(S.LETTERS.encode(), S.BASES_OF_LETTERS.encode())
+_OTHER = bytes(sorted({*range(256)} - {*S.LETTERS.encode()}))
 
 
-def _recoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `most` bytes of the second column (of whole rows), so that what is worked out for one is small whatever a batch holds."""
     for batch in batches:
+        _, at = letters(batch.column(1))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _recoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and lower-case texts to ids and bases, a slice at a time; texts without a base are left out."""
+    for batch in sliced(batches, SLICE):
         data, at = letters(batch.column(1))
-        out, kept_ = [], np.zeros(len(at), np.int64)
-        for lo in range(0, len(data), BLOCK):
-            bases = _BASE[data[lo : lo + BLOCK]]
-            stays = bases != 0
-            upto = np.cumsum(stays)
-            inside = slice(np.searchsorted(at, lo, "right"), np.searchsorted(at, lo + len(bases), "right"))  # ends of texts within this block
-            total = sum(map(len, out))
-            kept_[inside] = total + upto[at[inside] - lo - 1]
-            out.append(bases[stays])
-        seq = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(kept_), pa.py_buffer(np.concatenate(out) if out else b"")).cast(pa.string())
+        raw, ends = data.tobytes(), at.tolist()
+        out = [b"".join(raw[i : min(i + BLOCK, hi)].translate(_BASES, _OTHER) for i in range(lo, hi, BLOCK)) for lo, hi in zip(ends, ends[1:])]
+        kept_ = np.cumsum([0, *map(len, out)]).astype(np.int64)
+        seq = pa.LargeStringArray.from_buffers(len(out), pa.py_buffer(kept_), pa.py_buffer(b"".join(out))).cast(pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), seq], ["contig_id", "seq"]).filter(pc.greater(pc.binary_length(seq), 0))
 
 
 def from_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """A text column recoded to bases, as functions.seq.dna does; empty ones are left out. Texts are put in lower case by Spark and recoded a batch at a time."""
-    return texts.select(F.col(key).cast("long").alias("contig_id"), F.lower(text).alias("seq")).mapInArrow(_recoded, "contig_id long, seq string")
+    """A text column recoded to bases, as functions.seq.dna does; empty ones are left out. Texts are put in lower case by Spark and recoded a slice of a batch at a time."""
+    return prose(texts, key, text).withColumnRenamed("prose", "seq").mapInArrow(_recoded, "contig_id long, seq string")
+
+
+def prose(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """A text column as contigs that aren't recoded yet (contig_id, prose): the search recodes them where it looks for seeds, so bases don't go from one Python worker to another."""
+    return texts.select(F.col(key).cast("long").alias("contig_id"), F.lower(text).alias("prose"))
 
 
 def with_offsets(contigs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import SearchConf
 from strandloom.functions import seq as S
-from strandloom.operators.contigs import letters, of_rows, tiled, with_parts
+from strandloom.operators.contigs import SLICE, _recoded, letters, of_rows, sliced, tiled, with_parts
 from strandloom.operators.kept import kept
 from strandloom.operators.seeds import WIDEST, Index, arrays, neighbours, packed
 
@@ -62,17 +62,18 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at]))
 
 
-def _windows(k: int, longest: int, two: bool, bitmap: np.ndarray):
+def _windows(k: int, longest: int, two: bool, bitmap: np.ndarray, prose: bool = False):
+    """Contigs, or texts that are recoded first, to the windows around the places whose words are in the bitmap."""
     bits = k * (1 if two else 2)
     most = max(1, WINDOWS // max(1, 2 * longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held: list[pa.RecordBatch] = []
+        for batch in _recoded(batches) if prose else sliced(batches, SLICE):
             data, ends = letters(batch.column(1))
             if len(data) and data.max() > 127:
                 data, ends = letters(pa.array([(x or "").encode("ascii", "replace").decode() for x in batch.column(1).to_pylist()], pa.string()))
-            held: list[pa.RecordBatch] = []
-            # All contigs of the batch in a row; words that go over the end of one aren't any.
+            # All contigs of the slice in a row; words that go over the end of one aren't any.
             for lo in range(0, max(0, len(data) - k + 1), CHUNK):
                 keys, valid = packed(data[lo : lo + CHUNK + k - 1], k, two)
                 slot = slots(keys, bits)
@@ -88,8 +89,8 @@ def _windows(k: int, longest: int, two: bool, bitmap: np.ndarray):
                 if sum(b.num_rows for b in held) > most:
                     yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                     held = []
-            if held:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return run
 
@@ -223,7 +224,7 @@ def bitmap_of(pieces: DataFrame, bits: int, each: Column) -> tuple[np.ndarray, i
 
 
 def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False, index: Index | None = None, slack: int | None = None) -> DataFrame:
-    """Reads (read_id, seq, max_errors) and contigs (contig_id, seq), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part. A place that several pieces lead to is told for each of them.
+    """Reads (read_id, seq, max_errors) and contigs (contig_id, seq; or as contigs.prose has them), or an index of them, to the places where a piece is the same: read_id, strand, pattern, max_errors, contig_id, pos, part. A place that several pieces lead to is told for each of them.
 
     A place whose read would begin before its contig or end after it is left out. With `slack` it may by so many bases; then part has so many more on both sides, as far as the contig goes."""
     found = ["read_id", "strand", "pattern", "max_errors", "contig_id", "pos"]
@@ -246,7 +247,8 @@ def candidates(reads: DataFrame, contigs: DataFrame, k: int, two: bool = False,
     else:
         pieces = pieces_of(reads, k, two)
         bitmap, held = bitmap_of(pieces, k * (1 if two else 2), F.octet_length("pattern").cast("long") + 64)
-        windows = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(_windows(k, longest, two, bitmap), cut)
+        prose = "prose" in contigs.columns
+        windows = contigs.select(F.col("contig_id").cast("long"), "prose" if prose else "seq").mapInArrow(_windows(k, longest, two, bitmap, prose), cut)
         pieces = pieces.drop("slot")
         met = windows.join(F.broadcast(pieces) if held <= FEW else pieces, "key")
     met = met.withColumn("pos", F.col("at") - F.col("offset")).where(F.col("pos") >= -more)

@@ -19,27 +19,27 @@ COLS = "read_id, contig_id, pos, strand, nm"
 
 
 def _hits(spark, sf, errors=4):
-    return search.hits(V.reads(spark, sf), V.contigs(spark, sf), SearchConf(errors=errors))
+    return search.hits(V.reads(spark, sf), V.prose(spark, sf), SearchConf(errors=errors))
 
 
 @query("exact_join", V.hits_sql(0, "clean") + f" SELECT {COLS} FROM hits")
 def exact_join(spark, sf):
-    return search.search(V.clean_reads(spark, sf), V.contigs(spark, sf), SearchConf(errors=0)).select(*COLS.split(", "))
+    return search.search(V.clean_reads(spark, sf), V.prose(spark, sf), SearchConf(errors=0)).select(*COLS.split(", "))
 
 
 @query("hamming_join_best", BEST + f" SELECT {COLS} FROM best WHERE nm = least")
 def hamming_join_best(spark, sf):
-    return search.search(V.reads(spark, sf), V.contigs(spark, sf), E4).select(*COLS.split(", "))
+    return search.search(V.reads(spark, sf), V.prose(spark, sf), E4).select(*COLS.split(", "))
 
 
 @query("hamming_join_delta", V.hits_sql(4) + f", best AS (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits) SELECT {COLS} FROM best WHERE least <= 3 AND nm <= least + 1")
 def hamming_join_delta(spark, sf):
-    return search.search(V.reads(spark, sf), V.contigs(spark, sf), SearchConf(errors=3, delta=1)).select(*COLS.split(", "))
+    return search.search(V.reads(spark, sf), V.prose(spark, sf), SearchConf(errors=3, delta=1)).select(*COLS.split(", "))
 
 
 @query("staged_join", BEST + f" SELECT {COLS} FROM best WHERE nm = least AND nm <= 2")
 def staged_join(spark, sf):
-    return search.staged(V.reads(spark, sf), V.contigs(spark, sf), SearchConf(errors=2)).select(*COLS.split(", "))
+    return search.staged(V.reads(spark, sf), V.prose(spark, sf), SearchConf(errors=2)).select(*COLS.split(", "))
 
 
 @query("hit_count_nh", BEST + " SELECT read_id, count(*) AS nh, min(nm) AS nm FROM best WHERE nm = least GROUP BY read_id")
@@ -68,7 +68,7 @@ def _bisulfite_reads(spark, sf):
 
 
 def _bisulfite(spark, sf):
-    return search.search(_bisulfite_reads(spark, sf), V.contigs(spark, sf), SearchConf(errors=2, bisulfite=True))
+    return search.search(_bisulfite_reads(spark, sf), V.prose(spark, sf), SearchConf(errors=2, bisulfite=True))
 
 
 @query("bisulfite_join", BISULFITE + ", best AS (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits WHERE nm <= 2) SELECT read_id, contig_id, pos, strand, CAST(nm AS INTEGER) AS nm FROM best WHERE nm = least")
@@ -78,7 +78,7 @@ def bisulfite_join(spark, sf):
 
 def _contaminated(spark, sf):
     """Contigs in which a passage occurs: the passages are the contaminants."""
-    return search.hits(V.clean_reads(spark, sf), V.contigs(spark, sf), E4)
+    return search.hits(V.clean_reads(spark, sf), V.prose(spark, sf), E4)
 
 
 CONTAM = V.hits_sql(4, "clean")
@@ -262,7 +262,7 @@ def gapped_search(spark, sf):
 @query("screened_reads", V.hits_sql(4) + ", best AS (SELECT *, min(nm) OVER (PARTITION BY read_id) AS least FROM hits) SELECT r.read_id, min(contig_id) AS contaminant FROM reads r LEFT JOIN (SELECT * FROM best WHERE nm = least) b ON r.read_id = b.read_id GROUP BY r.read_id")
 def screened_reads(spark, sf):
     """Reads that are contaminated by a contig, with it, and those that go on, with null."""
-    rest, found = search.screened(V.reads(spark, sf), V.contigs(spark, sf), E4)
+    rest, found = search.screened(V.reads(spark, sf), V.prose(spark, sf), E4)
     return found.select("read_id", "contaminant").unionByName(rest.select("read_id", F.lit(None).cast("long").alias("contaminant")))
 
 

@@ -18,6 +18,11 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.from_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contigs() for queries that only search them: recoded where seeds are looked for."""
+    return C.prose(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def passages(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """Whole benchmark passages in pieces of `size` bases, side by side, the last one back from the end; a shorter passage is one piece: read_id, seq."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), S.dna(F.col("text")).alias("s")).where(F.length("s") > 0)
