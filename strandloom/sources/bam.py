@@ -36,8 +36,8 @@ _FORMS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f":
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK = 65280
 MARK = b"\x1f\x8b\x08\x04"
-#: Records that must follow each other at a guessed place, bytes of records decoded at once.
-FOLLOW, SLICE = 4, 1 << 22
+#: Records that must follow each other at a guessed place, bytes of records held at once, bytes of records whose fields are objects at once, and rows.
+FOLLOW, SLICE, PORTION, ROWS = 4, 1 << 22, 1 << 19, 1 << 10
 
 Tags = dict[str, tuple[str, str]]
 
@@ -183,7 +183,7 @@ def write_bam(records: DataFrame, contigs: list[tuple[str, int]], path: str, hea
         for batch in batches:
             held, out = [], []
             size = 0
-            for row in batch.to_pylist():
+            for row in (r for lo in range(0, batch.num_rows, ROWS) for r in batch.slice(lo, ROWS).to_pylist()):
                 one = bam_record(row, tid)
                 if size + len(one) > BLOCK and held:
                     out.append(blocks(b"".join(held), level))
@@ -307,6 +307,17 @@ def _starts(data: bytes, at: int) -> tuple[list[int], int]:
     return out, at
 
 
+def _portions(starts: list[int]) -> Iterator[list[int]]:
+    """Beginnings of records in runs that are about PORTION bytes long."""
+    lo = 0
+    for i, at in enumerate(starts):
+        if at - starts[lo] >= PORTION:
+            yield starts[lo:i]
+            lo = i
+    if starts:
+        yield starts[lo:]
+
+
 _PAIR = np.array([[ord(_BASES[b >> 4]), ord(_BASES[b & 15])] for b in range(256)], np.uint8)
 _TAGS = pa.map_(pa.string(), pa.struct([("code", pa.string()), ("value", pa.string())]))
 
@@ -345,9 +356,16 @@ def decoded(data: bytes, starts: list[int], shapes: dict[bytes, str]) -> list[pa
         if (text := shapes.get(key)) is None:
             text = shapes[key] = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in struct.unpack(f"<{len(key) // 4}I", key)) or "*"
         cigar.append(text)
-    tags = [list(tags_of(data[a:b]).items()) for a, b in zip((seq_at + half + length).tolist(), (at + 4 + size).tolist())]
+    keys, codes, values, ends = [], [], [], [0]
+    for a, b in zip((seq_at + half + length).tolist(), (at + 4 + size).tolist()):
+        for tag, (code, value) in tags_of(data[a:b]).items():
+            keys.append(tag)
+            codes.append(code)
+            values.append(value)
+        ends.append(len(keys))
+    pairs = pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(values, pa.string())], ["code", "value"])
+    tags = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pairs)
     star = pa.scalar("*")
-    tags = pa.array([[(k, {"code": c, "value": v}) for k, (c, v) in t] for t in tags], _TAGS)
     number = lambda x, t: pa.array(x, pa.int64()).cast(t)
     return [qname, number(flag, pa.int32()), number(tid, pa.int32()), number(pos + 1, pa.int64()), number(mapq, pa.int32()), pa.array(cigar, pa.string()), number(mtid, pa.int32()), number(mpos + 1, pa.int64()), number(tlen, pa.int64()), pc.if_else(pa.array(length == 0), star, seq), pc.if_else(pa.array(unknown), star, qual), tags]
 
@@ -421,8 +439,8 @@ class _Split:
             self.header = bytes(self.data[:at])
         data = bytes(self.data[at:])
         starts, end = _starts(data, 0)
-        if starts:
-            yield _batch(self.path, self.start, decoded(data, starts, self.shapes), None)
+        for part in _portions(starts):
+            yield _batch(self.path, self.start, decoded(data, part, self.shapes), None)
         self.data = bytearray(data[end:])
 
     def close(self) -> Iterator[pa.RecordBatch]:
