@@ -208,8 +208,8 @@ def write_search_index(contigs: DataFrame, path: str, k: int, two: bool = False,
         raise ValueError(f"a seed has 1 to {WIDEST} bases")
     rows = contigs.select(F.col("contig_id").cast("long"), "seq")
     dealt = rows.repartition(partitions) if partitions else rows
-    # Small row groups, looked at after each row: a writer and a reader hold one at once.
-    small = {"parquet.block.size": 1 << 23, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
+    # Small row groups, looked at after each row: a writer and a reader hold one at once. Without statistics: a writer would keep the least and greatest value of each column, whole arrays, of all its row groups until it closes the file.
+    small = {"parquet.block.size": 1 << 23, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false", "parquet.size.statistics.enabled": "false", "compression": "zstd"}
     dealt.mapInArrow(_blocks(k, two, reach, size, tile), _BLOCKS).write.options(**small).parquet(f"{path}/blocks")
     contigs.sparkSession.createDataFrame([(k, two, reach)], "k int, two boolean, reach int").coalesce(1).write.parquet(f"{path}/info")
 

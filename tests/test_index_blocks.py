@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from strandloom.config import SearchConf
@@ -46,3 +47,13 @@ def test_block_has_the_words_that_begin_in_its_own_part():
     keys, firsts, places = seeds.block(text, np.array([0, 8, 14]), np.array([[0, 4], [10, 14]]), 4, False)
     found = {int(k): places[a:b].tolist() for k, a, b in zip(keys, firsts, firsts[1:])}
     assert found == {seeds.key_of("ACGT", 4): [0, 10], seeds.key_of("CGTA", 4): [1], seeds.key_of("GTAC", 4): [2], seeds.key_of("TACG", 4): [3]}
+
+
+def test_blocks_have_no_statistics(spark, tmp_path):
+    """A writer keeps the least and greatest value of a column, here whole arrays, for each row group until its file is closed."""
+    ct = spark.createDataFrame([(c, "ACGGTCATTG" * 40) for c in range(40)], "contig_id long, seq string").coalesce(1)
+    seeds.write_search_index(ct, f"{tmp_path}/own", 12, size=1000)
+    told = [pq.ParquetFile(f).metadata for f in (tmp_path / "own" / "blocks").glob("*.parquet")]
+    columns = [m.row_group(g).column(c) for m in told for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert columns and not any(c.is_stats_set and c.statistics.has_min_max for c in columns)
+    assert seeds.read_search_index(spark, f"{tmp_path}/own").blocks.count() > 4
